@@ -209,7 +209,7 @@ def exact_search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     asked = usable(df.where(is_query), id_col, vector_col).toPandas()
     x, ids, out = _stack(rows["v"]), rows["id"].to_numpy(), []
     for q, v in zip(asked["id"], asked["v"], strict=True):
-        score = x @ np.asarray(v, float)
+        score = (x * np.asarray(v, float)).sum(1)  # row by row, so equal vectors tie exactly
         order = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:k]
         out += [(q, r, ids[i], score[i]) for r, i in enumerate(order, 1)]
     return pd.DataFrame(out, columns=["query_id", "rank", id_col, "score"])

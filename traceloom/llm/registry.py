@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, language_model, quality, sharding, simhash, warc
+from . import chat, decontamination, language_model, neighbours, quality, sharding, simhash, warc
 from .common import table
 
 
@@ -31,11 +32,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_chat, op4_quality, op5_sharding, op6_simhash, op10_lm)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_chat, op4_quality, op5_sharding, op6_simhash, op7_decontamination, op8_neighbours, op10_lm)}
 
 ORACLES = {
     "op1_warc": """
