@@ -20,8 +20,7 @@ the empty text; repeated rows each count; an empty table gives no rows; other co
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -34,34 +33,34 @@ END = b""  # no word is empty
 _HASH_BITS = 56
 
 
+@dataclass(frozen=True)
 class BackoffAutomaton:
-    """States with weighted word arcs and one failure arc each; state 0 is the root, whose misses weigh `unknown`."""
-
-    def __init__(self, unknown: float):
-        self.arcs: list[dict] = [{}]
-        self.failure: list[tuple[float, int]] = [(unknown, -1)]
-
-    def add_state(self, weight: float, to: int = 0) -> int:
-        self.arcs.append({})
-        self.failure.append((weight, to))
-        return len(self.arcs) - 1
-
-    def score(self, words: list, start: int) -> float:
-        """Sum of log10 weights along one left-to-right traversal from a start state."""
-        arcs, failure, state, total = self.arcs, self.failure, start, 0.0
-        for word in words:
-            hit = arcs[state].get(word)
-            while hit is None:
-                weight, state = failure[state]
-                total += weight
-                if state < 0:
-                    state = 0
-                    break
-                hit = arcs[state].get(word)
-            else:
-                total += hit[0]
-                state = hit[1]
-        return total
+    """States, word arcs and failure arcs of the n-grams in a block of texts, as arrays.
+
+    State 0 is the root; every word that was a context has a state of its own, and each arc that reads a word leads to
+    that word's state (the root for words that were none). arc: weight of each (context, word) arc, NaN where training
+    has no such bigram; failure: weight of each state's failure arc to the root; root: weight of the root's arc of each
+    word, misses included.
+    """
+
+    arc: np.ndarray
+    failure: np.ndarray
+    root: np.ndarray
+    state_after: np.ndarray
+    start: int
+
+    def score(self, words: np.ndarray, arcs: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """Sums of log10 weights of texts laid end to end, each begun at the start state.
+
+        words: word numbers; arcs: the number of the (context, word) arc of each step; firsts: where each text starts.
+        The state before a step is the one after the word before it, so the traversal's states are one shifted gather;
+        a step takes its arc, or else the state's failure arc and the root's arc.
+        """
+        state = np.empty(len(words), np.int64)
+        state[1:] = self.state_after[words[:-1]]
+        state[firsts] = self.start
+        weight = self.arc[arcs]
+        return np.add.reduceat(np.where(np.isnan(weight), self.failure[state] + self.root[words], weight), firsts)
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -78,16 +77,20 @@ def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted distinct keys as fixed-width differences, in as few bytes as the largest needs."""
-    deltas = np.diff(keys, prepend=np.uint64(0))
+    """Sorted distinct keys: the first, then differences of a fixed width, in as few bytes as the largest needs."""
+    if not len(keys):
+        return b""
+    deltas = np.diff(keys)
     width = max(1, -(-int(deltas.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + deltas.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return bytes([width]) + int(keys[0]).to_bytes(8, "little") + deltas.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack_keys(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
-    full = np.zeros((len(raw), 8), np.uint8)
-    full[:, : data[0]] = raw
+    if not data:
+        return np.zeros(0, np.uint64)
+    raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, data[0])
+    full = np.zeros((len(raw) + 1, 8), np.uint8)
+    full[0], full[1:, : data[0]] = np.frombuffer(data, np.uint8, 8, 1), raw
     return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
 
 
@@ -111,20 +114,24 @@ class _Block:
         import xxhash
 
         ids: dict[bytes, int] = {END: 0}
-        self.of_text = [np.array([ids.setdefault(w, len(ids)) for w in _words(t)], np.int64) for t in texts]
+        flat, sizes = [], []
+        for text in texts:
+            words = _words(text)
+            sizes.append(len(words))
+            flat.append(np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words)))
+        self.flat, self.sizes = np.concatenate(flat), np.array(sizes)
+        self.firsts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
         self.words = list(ids)
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
         self.bucket_hash = hashes >> np.uint64(8)
-        trained = [w for w, use in zip(self.of_text, training, strict=True) if use]
-        self.n_training = len(trained)
-        self.counts = np.bincount(np.concatenate([*trained, np.zeros(0, np.int64)]), minlength=len(ids))
-        flat = np.concatenate([*self.of_text, np.zeros(0, np.int64)])
-        use = np.repeat(training, [len(w) for w in self.of_text]) if len(texts) else np.zeros(0, bool)
-        context = np.concatenate(([0], flat[:-1])) if len(flat) else flat  # the end token before a text is its start
+        use = np.repeat(training, self.sizes)
+        self.counts = np.bincount(self.flat[use], minlength=len(ids))
+        context = np.concatenate(([0], self.flat[:-1]))  # the end token before a text is its start
+        flat = self.flat
         self.keys, self.inverse = np.unique(_mix(hashes[context], hashes[flat]), return_inverse=True)
         self.key_counts = np.bincount(self.inverse, weights=use, minlength=len(self.keys)).astype(np.int64)
-        _, first = np.unique(self.inverse, return_index=True)
-        self.key_context, self.key_word = context[first], flat[first]
+        self.key_context, self.key_word = np.empty(len(self.keys), np.int64), np.empty(len(self.keys), np.int64)
+        self.key_context[self.inverse], self.key_word[self.inverse] = context, flat
 
     def word_order(self, buckets: int) -> list[np.ndarray]:
         """Ids of the block's words for each bucket."""
@@ -191,20 +198,17 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     return out.astype({"block": "Int32", "bucket": "Int32", "tokens": "Int64", "kinds": "Int64"})
 
 
-def _compile(block: _Block, word_totals: np.ndarray, pair_totals: np.ndarray, tokens: int, kinds: int, prior: float) -> tuple[BackoffAutomaton, int, np.ndarray]:
-    """The automaton of the n-grams in a block, its start state and the root's log10 weight of each word."""
+def _compile(block: _Block, word_totals: np.ndarray, pair_totals: np.ndarray, tokens: int, kinds: int, prior: float) -> BackoffAutomaton:
+    """The automaton of the n-grams in a block; the end token's state is the start of a text."""
     root = np.log10((word_totals + 1) / (tokens + kinds + 1))
-    machine = BackoffAutomaton(-math.log10(tokens + kinds + 1))
-    state = np.zeros(len(word_totals), np.int64)  # of the context that a word is; word 0, the end, is the start of a text
-    for w in np.flatnonzero(word_totals).tolist():
-        state[w] = machine.add_state(math.log10(prior / (word_totals[w] + prior)))
-    machine.arcs[0] = {w: (p, s) for w, p, s in zip(range(len(root)), root.tolist(), state.tolist(), strict=True)}
-    seen = np.flatnonzero(pair_totals)
-    context, word = block.key_context[seen], block.key_word[seen]
-    weight = np.log10((pair_totals[seen] + prior * 10.0 ** root[word]) / (word_totals[context] + prior))
-    for s, w, p, to in zip(state[context].tolist(), word.tolist(), weight.tolist(), state[word].tolist(), strict=True):
-        machine.arcs[s][w] = (p, to)
-    return machine, int(state[0]), root
+    seen = word_totals > 0
+    state = np.where(seen, np.cumsum(seen), 0)
+    failure = np.concatenate(([0.0], np.log10(prior / (word_totals[seen] + prior))))
+    arc = np.full(len(pair_totals), np.nan)
+    at = np.flatnonzero(pair_totals)
+    context, word = block.key_context[at], block.key_word[at]
+    arc[at] = np.log10((pair_totals[at] + prior * 10.0 ** root[word]) / (word_totals[context] + prior))
+    return BackoffAutomaton(arc, failure, root, state, int(state[0]))
 
 
 def _score(prior: float, buckets: int):
@@ -220,11 +224,10 @@ def _score(prior: float, buckets: int):
         for bucket, of_words, of_pairs in zip(answers["bucket"], answers["word_totals"], answers["pair_totals"], strict=True):
             word_totals[order[bucket]] = unpack_counts(of_words)
             pair_totals[cuts[bucket] : cuts[bucket + 1]] = unpack_counts(of_pairs)
-        machine, start, root = _compile(block, word_totals, pair_totals, tokens, kinds, prior)
-        known = word_totals > 0
-        out = [(len(w), int(known[w].sum()), tokens, float(root[w].sum()), machine.score(w.tolist(), start)) for w in block.of_text]
-        return pd.concat([texts[["id", "held_out"]], pd.DataFrame(out, columns=columns[2:])], axis=1)
-
+        machine = _compile(block, word_totals, pair_totals, tokens, kinds, prior)
+        sums = lambda x: np.add.reduceat(x, block.firsts)
+        out = {"n_tokens": block.sizes, "n_known": sums((word_totals > 0)[block.flat].astype(np.int64)), "train_tokens": tokens, "base_score": sums(machine.root[block.flat]), "score": machine.score(block.flat, block.inverse, block.firsts)}
+        return texts[["id", "held_out"]].assign(**out)[columns]
     return run
 
 
