@@ -5,9 +5,10 @@ k-means gives `books` full-dimensional codebooks of `size` words, refined by alt
 least-squares update of all codebooks together.
 Encoding: every vector is coded by beam search over the codebooks; the squared norm of its reconstruction is stored with
 the code. Search: queries are held in blocks and meet every block of codes (a stated query set against all rows, in
-blocks); a lookup table of inner products of query and codewords scores all codes, each block passes on its best
-`shortlist`, those are merged per query and reranked exactly in double precision on the original vectors. Scores of
-codes are accumulated in float32 from the tables; `measure` may be "ip" or "l2" (which uses the stored norms).
+blocks); a lookup table of inner products of query and codewords scores all codes of a block, the best `shortlist` of
+each block (so a fixed share of all rows) are reranked exactly in double precision on the original vectors, which stand
+beside their codes, and a block passes on its k + 1 best; those are merged per query. Scores of codes are accumulated
+in float32 from the tables; `measure` may be "ip" or "l2" (which uses the stored norms).
 
 Equal vectors are one entry: a class keeps its smallest `k + 1` ids (gathered over salted partial groups), which is all
 that the k nearest and the tie rule (smaller id first) can need, so copies cannot crowd a shortlist out.
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
+from .common import materialize
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,7 @@ class Quantiser:
         m, size, _ = self.books.shape
         n, flat = len(x), self.books.reshape(m * size, -1)
         dots, norms = x @ flat.T, (flat**2).sum(1)
-        gram = flat @ flat.T
+        gram = (flat @ flat.T).reshape(m, size, m, size)
         codes, cost = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1))
         rows = np.arange(n)[:, None]
         for k in range(m):
@@ -50,7 +51,7 @@ class Quantiser:
             step = norms[own] - 2 * dots[:, own]
             cross = np.zeros((n, codes.shape[1], size))
             for j in range(k):
-                cross += gram[codes[:, :, j] + j * size][:, :, own]
+                cross += np.ascontiguousarray(gram[j, :, k])[codes[:, :, j]]
             total = (cost[:, :, None] + step[:, None, :] + 2 * cross).reshape(n, -1)
             width = min(self.beam, total.shape[1])
             best = np.argpartition(total, width - 1, axis=1)[:, :width]
@@ -116,26 +117,29 @@ def _best(scores: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
     return np.arange(len(scores))
 
 
-def _shortlister(model: Quantiser, shortlist: int, measure: str):
-    books = model.books.shape[0]
+def _shortlister(model: Quantiser, shortlist: int, keep: int, measure: str):
+    books, _, dim = model.books.shape
 
     def run(queries: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(codes):
-            ids = np.concatenate([np.frombuffer(x, np.int64) for x in codes["ids"]])
-            code = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, books) for x in codes["codes"]])
-            norm = np.concatenate([np.frombuffer(x, np.float32) for x in codes["norms"]])
-            for qids, vectors in zip(queries["qids"], queries["vectors"], strict=True):
+            ids, code, norm, vectors = (
+                np.concatenate([np.frombuffer(x, kind).reshape(shape) for x in codes[c]]) for c, kind, shape in (("ids", np.int64, (-1,)), ("codes", np.uint8, (-1, books)), ("norms", np.float32, (-1,)), ("originals", np.float64, (-1, dim)))
+            )
+            flat = np.ascontiguousarray(code.T).astype(np.int64)
+            for qids, packed in zip(queries["qids"], queries["vectors"], strict=True):
                 numbers = np.frombuffer(qids, np.int64)
-                table = _tables(model, np.frombuffer(vectors, np.float64).reshape(len(numbers), -1))
-                for q, lut in zip(numbers.tolist(), table, strict=True):
-                    score = lut[0][code[:, 0]]
+                asked = np.frombuffer(packed, np.float64).reshape(len(numbers), dim)
+                for q, v, lut in zip(numbers.tolist(), asked, _tables(model, asked), strict=True):
+                    score = lut[0][flat[0]]
                     for k in range(1, books):
-                        score += lut[k][code[:, k]]
+                        score += lut[k][flat[k]]
                     if measure == "l2":
                         score = 2 * score - norm
                     at = _best(score, ids, shortlist)
-                    out.append((q, ids[at].tolist(), score[at].tolist()))
+                    exact = (vectors[at] * v).sum(1) if measure == "ip" else -((vectors[at] - v) ** 2).sum(1)
+                    best = _best(exact, ids[at], keep)
+                    out.append((q, ids[at][best].tolist(), exact[best].tolist()))
         return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
 
     return run
@@ -148,11 +152,12 @@ def _trained(reps: DataFrame, sample: int, books: int, size: int, beam: int) ->
 
 
 def search(
-    df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, measure: str = "ip", shortlist: int = 600, sample: int = 4096, books: int = 8, size: int = 64, beam: int = 4, block_rows: int = 8192, query_rows: int = 512
+    df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, measure: str = "ip", shortlist: int = 768, sample: int = 8192, books: int = 16, size: int = 128, beam: int = 4, block_rows: int = 8192, query_rows: int = 512
 ) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each row of df that is_query holds for, its k nearest other rows.
 
-    sample: vectors that codebooks are trained on, at most. shortlist: classes of equal vectors reranked per query.
+    sample: vectors that codebooks are trained on, at most. shortlist: classes of equal vectors
+    reranked for a query in each block of about block_rows classes.
     """
     spark = df.sparkSession
     rows = usable(df.withColumn("__is_query", F.coalesce(is_query, F.lit(False))), id_col, vector_col)
@@ -162,7 +167,7 @@ def search(
     dim = sizes["n"]
     rows = rows.where(F.size("v") == dim)
     asked = df.where(F.coalesce(is_query, F.lit(False)))
-    queries = usable(asked, id_col, vector_col).where(F.size("v") == dim).dropDuplicates(["id", "v"])
+    queries = usable(asked, id_col, vector_col).where(F.size("v") == dim).dropDuplicates(["id"])
     # Classes of equal vectors, each with its smallest k + 1 ids and named by the smallest.
     smallest = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
     salted = rows.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(256)).alias("salt")).agg(smallest(F.collect_list("id")).alias("ids"))
@@ -176,8 +181,8 @@ def search(
             for at in range(0, len(pdf), 1024):
                 part = pdf.iloc[at : at + 1024]
                 codes, norms = model.encode(_stack(part["v"]))
-                out.append((int(part["block"].iloc[0]), part["id"].to_numpy(np.int64).tobytes(), codes.tobytes(), norms.astype(np.float32).tobytes()))
-            yield pd.DataFrame(out, columns=["block", "ids", "codes", "norms"])
+                out.append((int(part["block"].iloc[0]), part["id"].to_numpy(np.int64).tobytes(), codes.tobytes(), norms.astype(np.float32).tobytes(), _stack(part["v"]).tobytes()))
+            yield pd.DataFrame(out, columns=["block", "ids", "codes", "norms", "originals"])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -186,20 +191,16 @@ def search(
 
     blocks = max(1, -(-classes.count() // block_rows))
     per_block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    codes = classes.select("id", "v", per_block.alias("block")).groupBy("block").applyInPandas(lambda pdf: next(encode(iter([pdf]))), "block int, ids binary, codes binary, norms binary")
+    codes = classes.select("id", "v", per_block.alias("block")).groupBy("block").applyInPandas(lambda pdf: next(encode(iter([pdf]))), "block int, ids binary, codes binary, norms binary, originals binary")
     packed = queries.mapInPandas(pack, "qids binary, vectors binary")
     asked_blocks = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    short = asked_blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInPandas(_shortlister(model, shortlist, measure), "query_id long, ids array<long>, scores array<float>")
-    pairs = F.arrays_zip(F.transform("scores", lambda s: -s).alias("far"), F.col("ids").alias("id"))
-    merged = short.select("query_id", pairs.alias("c")).groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("c"))), 1, shortlist).alias("c"))
-    near = merged.select("query_id", F.explode("c.id").alias("id"))
-    exact = near.join(classes, "id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    if measure == "l2":
-        score = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a - x)
-    else:
-        score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    ranked = exact.select("query_id", F.explode("ids").alias("id"), score.alias("score")).where("id != query_id").dropDuplicates(["query_id", "id"])
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    short = asked_blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInPandas(_shortlister(model, shortlist, k + 1, measure), "query_id long, ids array<long>, scores array<double>")
+    found = short.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("c")).select("query_id", F.col("c.ids").alias("id"), F.col("c.scores").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    near = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    # A class may hold the query's own row and k others, so k + 1 classes with k + 1 ids each are enough.
+    ranked = near.join(classes.select("id", "ids"), "id").select("query_id", F.explode("ids").alias("id"), "score").where("id != query_id")
+    rank = F.row_number().over(order)
     return ranked.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
