@@ -1,3 +1,62 @@
-"""Stages of the corpus pipeline (being filled in)."""
-STAGES: list = []
+"""The corpus pipeline: documents in, clean token ids out.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; every stage but the last returns the
+columns of docs, whatever they are. run() writes each stage's result to the shared folder and reads it again, so a lost
+executor costs one stage's work at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from traceloom.llm import decontamination, pii, quality, simhash, tokenization
+from traceloom.llm.common import materialize, table
+from traceloom.llm.registry import SENTENCEPIECE_MODEL
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects (score below 0.3) go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays: the one with the smallest id."""
+    return simhash.keep_representatives(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item is verified go."""
+    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by surrogates; n_chars, where there is such a column, follows the new text."""
+    out = pii.replace_entities(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids, decoded_ok) of the texts that are left."""
+    return tokenization.encode(docs, SENTENCEPIECE_MODEL)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("PII surrogates", pii_stage),
+    ("SentencePiece encoding", encoding_stage),
+]
+
+# Neither a classifier fitted on all labels nor SimHash components can be said in SQL; the tests have a brute-force run.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, name.replace(" ", "-"))
+    return docs
