@@ -46,7 +46,7 @@ def shingles(words: list[str], width: int = 5) -> list[tuple[str, ...]]:
     return [tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))] if words else []
 
 
-@dataclass
+@dataclass(repr=False)
 class Index:
     """Posting lists of (item, impact) by word, with block maxima; items are numbered by length."""
 
@@ -244,13 +244,16 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
+def _leaks(index: Index, threshold: float):
+    @F.pandas_udf("boolean")
+    def leaks(texts: pd.Series) -> pd.Series:
+        return pd.Series([bool(m) for m in _scan(index, threshold)(texts.tolist())], dtype=bool)
+
+    return leaks
+
+
 def drop_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of df, with all their columns, in whose text no item was verified."""
     for index in build_indexes(items):
-
-        @F.pandas_udf("boolean")
-        def leaks(texts: pd.Series, index: Index = index) -> pd.Series:
-            return pd.Series([bool(m) for m in _scan(index, threshold)(texts.tolist())])
-
-        df = df.where(~leaks(df[text_col]))
+        df = df.where(~_leaks(index, threshold)(df[text_col]))
     return df
