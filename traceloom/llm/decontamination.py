@@ -5,9 +5,9 @@ in an item divided by the item's score for itself, so 1 means every word of the
 by length and cut into blocks, each with its largest impact per word.
 
 Query: texts are cut into windows of `2 * L` words every `L` words (L: the longest item of the index), so a verbatim
-item lies whole in one window. First all windows of a batch get an upper bound from the block maxima (a sum over their
-distinct words); the few whose bound reaches the threshold run block-max WAND over the posting lists, which returns
-every item above the threshold. Retrieved pairs are verified: the share of the item's five-word shingles that stand in
+item lies whole in one window. First all windows of a batch get upper bounds from the block maxima (a sum over their
+distinct words), refined inside the blocks that reach the threshold; the few windows that are left run block-max WAND
+over the posting lists, which returns every item above the threshold. Retrieved pairs are verified: the share of the item's five-word shingles that stand in
 the window is at least 0.8, and both its question and its answer part have words in order there.
 
 The index is broadcast inside the task closures in shards of at most `shard_items` items, so what is sent at a time is
@@ -34,15 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-_SPACED = str.maketrans({c: " " for c in string.punctuation})
+_SPACED = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _BOUND_COLUMNS = 32  # of the table of upper bounds; more items make its blocks larger
+_FINE_CELLS = 1 << 24  # of the finer table
 
 
-def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().translate(_SPACED).split()
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text in UTF-8: lower case, cut at ASCII white space and punctuation."""
+    return (text or "").lower().encode("utf-8", "replace").translate(_SPACED).split()
 
 
-def shingles(words: list[str], width: int = 5) -> list[tuple[str, ...]]:
+def shingles(words: list[bytes], width: int = 5) -> list[tuple[bytes, ...]]:
     return [tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))] if words else []
 
 
@@ -51,10 +53,10 @@ class Index:
     """Posting lists of (item, impact) by word, with block maxima; items are numbered by length."""
 
     ids: list
-    words: list[list[str]]
+    words: list[list[bytes]]
     answers: list[int]  # where each item's answer part starts
     block: int = 8
-    number: dict[str, int] = field(default_factory=dict)
+    number: dict[bytes, int] = field(default_factory=dict)
     postings: list[list[tuple[int, float]]] = field(default_factory=list)
     maxima: list[dict[int, float]] = field(default_factory=list)
     top: list[float] = field(default_factory=list)
@@ -82,6 +84,15 @@ class Index:
         for term, best in enumerate(self.maxima):
             for b, x in best.items():
                 self.bounds[term, b // self.wide] = max(self.bounds[term, b // self.wide], x)
+        # The same for parts of each column: single items, or larger parts where the table would be too large.
+        per, columns = self.wide * self.block, self.bounds.shape[1]
+        self.parts = max(1, min(per, _FINE_CELLS // (len(self.bounds) * columns)))
+        size = -(-per // self.parts)
+        self.fine = np.zeros((len(self.bounds), columns, self.parts), np.float32)
+        for term, posting in enumerate(self.postings):
+            for item, x in posting:
+                cell = self.fine[term, item // per]
+                cell[item % per // size] = max(cell[item % per // size], x)
         self.longest = max(map(len, self.words), default=0)
         self.shingles = [shingles(w) for w in self.words]
 
@@ -132,7 +143,24 @@ class Index:
                     heapq.heappush(heap, (item, k))
         return found
 
-    def verify(self, item: int, window: list[str]) -> tuple[float, float, float]:
+    def reached(self, term: np.ndarray, edges: np.ndarray, threshold: float) -> np.ndarray:
+        """Which queries some item may reach the threshold for; query k has the distinct terms from edges[k] on.
+
+        Block maxima are summed over a query's terms, and only in blocks whose sum reaches the threshold are those of
+        smaller parts (single items, unless the index is very large).
+        """
+        out, least = np.zeros(len(edges), bool), threshold - 1e-4
+        query, column = np.nonzero(np.add.reduceat(self.bounds[term], edges, axis=0) >= least)
+        sizes = np.diff(edges, append=len(term))[query]
+        for at in range(0, len(query), 4096):
+            q, n = query[at : at + 4096], sizes[at : at + 4096]
+            firsts = np.cumsum(n) - n
+            rows = np.arange(n.sum()) + np.repeat(edges[q] - firsts, n)
+            best = np.add.reduceat(self.fine[term[rows], np.repeat(column[at : at + 4096], n)], firsts, axis=0).max(axis=1)
+            out[q[best >= least]] = True
+        return out
+
+    def verify(self, item: int, window: list[bytes]) -> tuple[float, float, float]:
         """Shares of the item's shingles, and of the words of its question and its answer part in order, in the window."""
         there = set(shingles(window, min(5, len(self.words[item]))))
         whole = self.shingles[item]
@@ -140,7 +168,7 @@ class Index:
         return sum(s in there for s in whole) / len(whole), in_order(words[:cut], window), in_order(words[cut:], window)
 
 
-def in_order(part: list[str], window: list[str]) -> float:
+def in_order(part: list[bytes], window: list[bytes]) -> float:
     """Length of the longest common subsequence as a share of the part; 1 for an empty part."""
     if not part:
         return 1.0
@@ -152,7 +180,7 @@ def in_order(part: list[str], window: list[str]) -> float:
     return row[-1] / len(part)
 
 
-def answer_start(text: str, words: list[str]) -> int:
+def answer_start(text: str, words: list[bytes]) -> int:
     """Where the answer part starts: after the last question mark, else after three quarters of the words."""
     head, mark, tail = text.rpartition("?")
     return len(words_of(head)) if mark and words_of(head) and words_of(tail) else len(words) * 3 // 4
@@ -174,7 +202,7 @@ def build_indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "te
         yield Index([x[0] for x in rows], [x[1] for x in rows], [x[2] for x in rows])
 
 
-def _matches(index: Index, words: list[str], windows: list[int], terms: np.ndarray, threshold: float) -> list[tuple[int, int, float, float, float, float]]:
+def _matches(index: Index, words: list[bytes], windows: list[int], terms: np.ndarray, threshold: float) -> list[tuple[int, int, float, float, float, float]]:
     out: dict[int, tuple] = {}
     for start in windows:
         stop = start + 2 * index.longest
@@ -214,9 +242,8 @@ def _scan(index: Index, threshold: float):
                 continue
             window, term = flat // (none + 1), flat % (none + 1)
             edges = np.flatnonzero(np.diff(window, prepend=-1))
-            best = np.add.reduceat(index.bounds[term], edges, axis=0).max(axis=1)
             hit: dict[int, list[int]] = {}
-            for k in window[edges[best >= threshold - 1e-4]].tolist():
+            for k in window[edges[index.reached(term, edges, threshold)]].tolist():
                 hit.setdefault(owners[k], []).append(starts[k])
             for owner, windows in hit.items():
                 out[owner] = _matches(index, *[part[owner - first][0], windows, part[owner - first][1]], threshold)
