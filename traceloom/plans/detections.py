@@ -1 +1,294 @@
+"""Queries of the rule-based operators: small tables written here, given to Spark as rows and to the oracle as VALUES."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import timestamps as S
+from ..operators import ioc, lateral, ntfs, persistence, process
+from .registry import query, read
+
+
+def values(rows: list[tuple], names: str) -> str:
+    """The rows as a SQL table expression; `names` are its column names."""
+    shown = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows) + f") t({names}))"
+
+
+def frame(spark, rows: list[tuple], schema: str):
+    return spark.createDataFrame(rows, schema)
+
+
+# Scalar functions.
+
+_TIMES = [
+    (1, "2024-01-15T14:30:00Z", "2024-01-15 14:30:00"), (2, "2024-01-15 14:30:00", "2024-01-15 14:30:00"), (3, "1/15/2024", "2024-01-15 00:00:00"), (4, "01/15/2024 2:30:00 PM", "2024-01-15 14:30:00"), (5, "Feb 5th 2026", "2026-02-05 00:00:00"), (6, "February 5, 2026", "2026-02-05 00:00:00"), (7, "5 Feb 2026", "2026-02-05 00:00:00"),
+    (8, "1705329000", "2024-01-15 14:30:00"), (9, "1705329000000", "2024-01-15 14:30:00"), (10, "45566", "2024-10-01 00:00:00"), (11, "not a time", None), (12, "", None), (13, "99999", None), (14, "2024-01-15T14:30:00+02:00", "2024-01-15 12:30:00"),
+]
+
+
+@query(f"SELECT id, CAST(want AS TIMESTAMP) AS ts, strftime(CAST(want AS TIMESTAMP), '%Y-%m-%d') AS day, strftime(CAST(want AS TIMESTAMP), '%Y-%m-%d %H:%M') AS minute FROM {values(_TIMES, 'id, raw, want')}")
+def ts_normalize(spark, d):
+    x = F.col("raw")
+    return frame(spark, _TIMES, "id int, raw string, want string").select("id", S.normalize_timestamp(x).alias("ts"), S.extract_date(x).alias("day"), S.extract_minute(x).alias("minute"))
+
+
+_FLAGS = [(1, 0x80000101, "DataOverwrite|FileCreate|Close"), (2, 0, "0"), (3, 0x3000, "RenameOldName|RenameNewName"), (4, 0x200, "FileDelete")]
+
+
+@query(f"SELECT id, want AS names FROM {values(_FLAGS, 'id, bits, want')}")
+def flag_decode(spark, d):
+    bits = F.col("bits")
+    return frame(spark, _FLAGS, "id int, bits long, want string").select("id", T.flag_names(bits, T.USN_REASONS, bits.cast("string")).alias("names"))
+
+
+_DEFANG = [(1, "hxxps://evil[.]com/a?b=1#c", "evil.com"), (2, "1.2.3[.]4", "1.2.3.4"), (3, "user[@]bad[dot]org", "user@bad.org"), (4, "http[://]x(.)net.", "x.net"), (5, "1.2.3.4[:]443", "1.2.3.4:443"), (6, "C:\\Temp\\a.exe", "C:\\Temp\\a.exe")]
+
+
+@query(f"SELECT id, want AS ioc FROM {values(_DEFANG, 'id, raw, want')}")
+def defang(spark, d):
+    return frame(spark, _DEFANG, "id int, raw string, want string").select("id", T.defang(F.col("raw")).alias("ioc"))
+
+
+_KINDS = [
+    ("d41d8cd98f00b204e9800998ecf8427e", "MD5"), ("da39a3ee5e6b4b0d3255bfef95601890afd80709", "SHA1"), ("a" * 64, "SHA256"), ("1.2.3.4:80", "IPv4:Port"), ("1.2.3.0/24", "IPv4"), ("[::1]:443", "IPv6:Port"), ("fe80::1", "IPv6"), ("a@b.org", "Email"), ("evil.com", "Domain"), ("bad.exe", "Filename"), ("HKLM\\Software\\X", "Registry"), ("C:\\a\\b", "Path"), ("???", "Other"),
+]
+
+
+@query(f"SELECT value, kind FROM {values(_KINDS, 'value, kind')}")
+def ioc_classify(spark, d):
+    return frame(spark, _KINDS, "value string, kind string").select("value", T.classify_ioc(F.col("value")).alias("kind"))
+
+
+_MISC = [(1, ".bashrc", "", "0x1a2c", "6700", 45, "45m"), (2, "a.", "", "12", "12", 200, "3h 20m"), (3, "a.tar.gz", ".gz", "0xFF", "255", 3180, "2d 5h"), (4, "x", "", "", "", 0, "0m")]
+
+
+@query(f"SELECT id, ext, pid, span FROM {values(_MISC, 'id, name, ext, raw, pid, minutes, span')}")
+def small_functions(spark, d):
+    rows = frame(spark, _MISC, "id int, name string, ext string, raw string, pid string, minutes int, span string")
+    return rows.select("id", T.extension(F.col("name")).alias("ext"), T.hex_to_decimal(F.col("raw")).alias("pid"), T.duration_text(F.col("minutes")).alias("span"))
+
+
+_TICKS = [(1, 0, "", False), (2, 116444735999999999, "", False), (3, 133498026000000000, "2024-01-15 14:30:00.0000000", True), (4, 133498026001234567, "2024-01-15 14:30:00.1234567", False)]
+
+
+@query(f"SELECT id, want AS text, zero FROM {values(_TICKS, 'id, ticks, want, zero')}")
+def filetime_text(spark, d):
+    x = F.col("ticks")
+    return frame(spark, _TICKS, "id int, ticks long, want string, zero boolean").select("id", S.filetime_string(x).alias("text"), S.zero_subsecond(x).alias("zero"))
+
+
+_IPS = [("10.1.2.3", True), ("172.20.0.1:80", True), ("172.32.0.1", False), ("::1", True), ("[::1]:443", True), ("8.8.8.8", False), ("fe80::1", False)]
+
+
+@query(f"SELECT ip, private FROM {values(_IPS, 'ip, private')}")
+def private_ip(spark, d):
+    return frame(spark, _IPS, "ip string, private boolean").select("ip", T.is_private_ip(F.col("ip")).alias("private"))
+
+
+@query("""WITH c AS (SELECT p_partkey, unnest(list_transform(range(1, length(p_type) + 1), lambda i: substring(p_type, i, 1))) AS ch, length(p_type) AS n FROM part), g AS (SELECT p_partkey, n, count(*) AS k FROM c GROUP BY ALL)
+SELECT p_partkey, round(sum(-(k::DOUBLE / n) * log2(k::DOUBLE / n)), 6) AS bits FROM g GROUP BY 1""")
+def text_entropy(spark, d):
+    return read(spark, d, "part").select("p_partkey", F.round(T.entropy(F.col("p_type")), 6).alias("bits"))
+
+
+# Processes.
+
+_PROCESSES = [
+    (1, "h1", "2024-01-01 00:00:01", "100", "4", "{a}", "", "C:\\Windows\\explorer.exe", "", "explorer.exe"), (2, "h1", "2024-01-01 00:00:03", "200", "100", "{b}", "{a}", "C:\\Office\\WINWORD.EXE", "C:\\Windows\\explorer.exe", "winword.exe doc.docx"), (3, "h1", "2024-01-01 00:00:05", "300", "200", "", "", "C:\\Windows\\cmd.exe", "C:\\Office\\WINWORD.EXE", "cmd.exe /c whoami"),
+    (4, "h1", "2024-01-01 00:00:06", "100", "300", "", "", "C:\\Windows\\powershell.exe", "C:\\Windows\\cmd.exe", "powershell -enc AAAA"), (5, "h1", "2024-01-01 00:00:07", "400", "100", "", "", "C:\\Users\\a\\AppData\\x.exe", "C:\\Windows\\powershell.exe", "x.exe"), (6, "h2", "2024-01-01 00:00:07", "500", "100", "", "", "C:\\Tools\\rclone.exe", "", "rclone copy"), (7, "h2", "2024-01-01 00:00:09", "600", "500", "", "", "C:\\Temp\\msiexec.exe", "", "msiexec /i a.msi"),
+]
+_PROC_SCHEMA = "id int, host string, ts string, pid string, ppid string, guid string, pguid string, image string, parent_image string, command string"
+_PARENTS = [(1, None), (2, 1), (3, 2), (4, 3), (5, 4), (6, None), (7, 6)]
+
+
+@query(f"SELECT id, CAST(parent_id AS INTEGER) AS parent_id FROM {values(_PARENTS, 'id, parent_id')}")
+def process_parents(spark, d):
+    return process.link_parents(frame(spark, _PROCESSES, _PROC_SCHEMA)).select("id", "parent_id")
+
+
+@query(f"""WITH RECURSIVE e AS {values(_PARENTS, 'id, parent_id')}, w AS (SELECT id, 0 AS depth, id AS root, parent_id FROM e WHERE parent_id IS NULL UNION ALL SELECT e.id, w.depth + 1, w.root, e.parent_id FROM e JOIN w ON e.parent_id = w.id)
+SELECT id, CAST(depth AS INTEGER) AS depth, root FROM w""")
+def process_tree(spark, d):
+    return process.ancestors(process.link_parents(frame(spark, _PROCESSES, _PROC_SCHEMA)).select("id", "parent_id")).select("id", "depth", "root")
+
+
+_ASSESSED = [(1, 0, "", ""), (2, 0, "", ""), (3, 3, "winword.exe started cmd.exe", "T1204.002"), (4, 3, "Encoded PowerShell", ""), (5, 1, "Suspicious path", ""), (6, 2, "Exfiltration tool", ""), (7, 0, "", "")]
+
+
+@query(f"SELECT id, level, reason, techniques FROM {values(_ASSESSED, 'id, level, reason, techniques')}")
+def chain_rules(spark, d):
+    return process.assess(frame(spark, _PROCESSES, _PROC_SCHEMA), process.default_rules(spark)).select("id", "level", "reason", "techniques")
+
+
+@query(f"""SELECT id, CASE WHEN regexp_matches(command, '{process.ENCODED_PS}') THEN 3 WHEN regexp_matches(regexp_extract(lower(image), '([^\\/]*)$', 1), '{process.EXFIL_TOOLS}') THEN 2
+WHEN regexp_matches(image, '{process.SUS_PATHS}') AND NOT regexp_matches(regexp_extract(lower(image), '([^\\/]*)$', 1), '{process.SAFE_PROCS}') THEN 1 ELSE 0 END AS level
+FROM {values(_PROCESSES, 'id, host, ts, pid, ppid, guid, pguid, image, parent_image, command')}""".replace("[^\\/]", "[^\\\\/]"))
+def standalone_patterns(spark, d):
+    rows = frame(spark, _PROCESSES, _PROC_SCHEMA)
+    return rows.select("id", process.standalone(F.col("image"), F.col("command"))["level"].alias("level"))
+
+
+# Lateral movement.
+
+_LOGONS = [
+    (4624, "2024-01-01 10:00:00", "A", "B", "bob", 3), (4624, "2024-01-01 10:05:00", "A", "B", "bob", 3), (4624, "2024-01-01 11:00:00", "B", "C", "bob", 10), (4624, "2024-01-01 12:00:00", "C", "D", "bob", 8), (4624, "2024-01-01 09:00:00", "D", "E", "amy", 3), (4624, "2024-01-01 10:00:00", "-", "B", "bob", 3), (4624, "2024-01-01 10:00:00", "A", "B", "SYSTEM", 3), (4672, "2024-01-01 10:00:00", "A", "B", "bob", 3),
+]
+_LOGON_SCHEMA = "event_id int, ts string, source string, target string, user string, logon_type int"
+
+
+@query(f"""SELECT source, target, "user", logon_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, '4624' AS event_ids, logon_type = 8 AS clear_text FROM {values(_LOGONS, 'event_id, ts, source, target, "user", logon_type')}
+WHERE event_id = 4624 AND source <> '-' AND "user" <> 'SYSTEM' GROUP BY ALL""")
+def lateral_edges(spark, d):
+    return lateral.logon_edges(frame(spark, _LOGONS, _LOGON_SCHEMA))
+
+
+_CHAINS = [("A>B>C>D", 3), ("D>E", 1)]
+
+
+@query(f"SELECT path, hops FROM {values(_CHAINS, 'path, hops')}")
+def chain_paths(spark, d):
+    return lateral.chains(lateral.logon_edges(frame(spark, _LOGONS, _LOGON_SCHEMA))).select("path", "hops")
+
+
+@query("SELECT 'B' AS host, 1 AS chains UNION ALL SELECT 'C', 1")
+def lateral_pivots(spark, d):
+    return lateral.pivots(lateral.chains(lateral.logon_edges(frame(spark, _LOGONS, _LOGON_SCHEMA))))
+
+
+_HOSTS = [("DESKTOP-AB12CD3", 1), ("WIN-12345678", 1), ("kali", 1), ("myvps01", 2), ("DC01", 0), ("h\u00f6st", 1)]
+
+
+@query(f"SELECT host, tier FROM {values(_HOSTS, 'host, tier')}")
+def host_tiers(spark, d):
+    return frame(spark, _HOSTS, "host string, tier int").select("host", lateral.host_tier(F.col("host")).alias("tier"))
+
+
+_REMOTE = [("cmd.exe /Q /c cd 1> \\\\127.0.0.1\\ADMIN$\\__1 2>&1", "wmiexec"), ("x __output y", "smbexec"), ("mmc.exe -Embedding", "dcomexec"), ("\\\\.\\pipe\\RemCom_communicat", "psexec"), ("notepad", None)]
+
+
+@query(f"SELECT command, variant FROM {values(_REMOTE, 'command, variant')}")
+def remote_execution(spark, d):
+    return frame(spark, _REMOTE, "command string, variant string").select("command", lateral.remote_execution(F.col("command")).alias("variant"))
+
+
+_RDP = [(1149, 0, "A", "B", "u"), (21, 5, "A", "B", "u"), (22, 6, "A", "B", "u"), (4672, 7, "A", "B", "u"), (24, 600, "A", "B", "u"), (25, 700, "A", "B", "u"), (23, 900, "A", "B", "u"), (4625, 10, "A", "C", "v")]
+_RDP_OUT = [("B", "u", 1, 5, "DISCONNECTED", True, False), ("B", "u", 2, 2, "ENDED", False, True), ("C", "v", 0, 1, "FAILED", False, False)]
+
+
+@query(f"SELECT target, \"user\", CAST(session AS BIGINT) AS session, n, status, admin, reconnect FROM {values(_RDP_OUT, 'target, \"user\", session, n, status, admin, reconnect')}")
+def rdp_sessions(spark, d):
+    rows = frame(spark, _RDP, "event_id int, at int, source string, target string, user string").withColumn("ts", F.timestamp_seconds(F.col("at") + 1_700_000_000))
+    return lateral.rdp_sessions(rows).select("target", "user", "session", "n", "status", "admin", "reconnect")
+
+
+# Persistence.
+
+_PERSIST = [
+    (7045, "System", "Updater", "C:\\Users\\Public\\a.exe"), (7045, "System", "AnyDesk Service", "C:\\Program Files\\AnyDesk\\AnyDesk.exe"), (7045, "System", "CSFalcon", "C:\\Program Files\\CrowdStrike\\CSFalconService.exe"), (4698, "Security", "\\Evil", "powershell -enc AAAA"), (4698, "Security", "\\Microsoft\\Windows\\X", "svchost"),
+    (5861, "Microsoft-Windows-WMI-Activity/Operational", "c", "powershell iex"), (7045, "System", "Google Chrome Elevation", "C:\\Program Files\\Google\\Chrome\\e.exe"), (4624, "Security", "", ""),
+]
+_PERSIST_OUT = [("Updater", "Services", 7, "High", "User-writable path", False), ("AnyDesk Service", "Services", 6, "High", "", True), ("\\Evil", "Scheduled Tasks", 6, "High", "Non-standard task path|LOLBin execution", False), ("\\Microsoft\\Windows\\X", "Scheduled Tasks", 4, "Medium", "", False), ("c", "WMI Persistence", 10, "Critical", "LOLBin execution", False), ("Google Chrome Elevation", "Services", 2, "Low", "", False)]
+
+
+@query(f"SELECT name, category, risk, severity, badges, rmm FROM {values(_PERSIST_OUT, 'name, category, risk, severity, badges, rmm')}")
+def persistence_events(spark, d):
+    return persistence.event_findings(frame(spark, _PERSIST, "event_id int, channel string, name string, command string")).select("name", "category", "risk", "severity", "badges", "rmm")
+
+
+_REG = [("HKLM\\SOFTWARE\\Microsoft\\Windows\\CurrentVersion\\Run", "x", "C:\\Temp\\a.exe", "Run / RunOnce", 5), ("HKLM\\SYSTEM\\CurrentControlSet\\Control\\Lsa", "Security Packages", "a", "LSA Packages", 8), ("HKLM\\SOFTWARE\\Other", "x", "y", None, 0)]
+
+
+@query(f"SELECT key, location, risk FROM {values(_REG, 'key, value_name, value_data, location, risk')} WHERE location IS NOT NULL")
+def persistence_registry(spark, d):
+    return persistence.registry_findings(frame(spark, _REG, "key string, value_name string, value_data string, want string, want_risk int")).select("key", "location", "risk")
+
+
+@query("SELECT conv_id AS block_id, string_agg(text, '' ORDER BY turn) AS script, count(*) >= 4 AS complete FROM conversations GROUP BY 1")
+def script_blocks(spark, d):
+    pieces = read(spark, d, "conversations").select(F.col("conv_id").alias("block_id"), F.col("turn").alias("number"), "text", F.lit(4).alias("wanted"))
+    whole = persistence.script_blocks(pieces.withColumn("total", F.lit(0)))
+    counted = pieces.groupBy("block_id").agg((F.count(F.lit(1)) >= 4).alias("complete"))
+    return whole.select("block_id", "script").join(counted, "block_id")
+
+
+# Indicators.
+
+
+@query("SELECT b.text AS ioc, count(d.doc_id) AS hits FROM benchmark b LEFT JOIN documents d ON contains(lower(concat_ws(chr(1), d.text, d.source)), lower(b.text)) GROUP BY 1")
+def ioc_match_counts(spark, d):
+    iocs = read(spark, d, "benchmark").select(F.col("text").alias("ioc"))
+    return ioc.hit_counts(iocs, ioc.match(read(spark, d, "documents"), iocs, ["text", "source"], "doc_id"))
+
+
+_VERDICTS = [("evil.com", 5, 0, 70), ("1.2.3.4", 0, 2, 80), ("good.org", 0, 0, 60)]
+_ENRICHED = [("EVIL.com", "malicious", 5 / 70), ("1.2.3.4:443", "suspicious", 2 / 80), ("good.org", "clean", 0.0), ("none.net", "not_found", 0.0)]
+
+
+@query(f"SELECT ioc, verdict, CAST(score AS DOUBLE) AS score FROM {values(_ENRICHED, 'ioc, verdict, score')}")
+def verdict_enrichment(spark, d):
+    return ioc.enrich(frame(spark, _ENRICHED, "ioc string, w string, s double").select("ioc"), frame(spark, _VERDICTS, "key string, malicious int, suspicious int, total int"))
+
+
+# File system.
+
+_ENTRIES = [(6, 5, "a"), (7, 6, "b"), (30, 99, "z"), (20, 21, "x"), (21, 20, "y")]
+_PATHS = [(5, "."), (6, ".\\a"), (7, ".\\a\\b"), (30, ".\\[ORPHAN]\\z"), (20, ".\\[ORPHAN]\\y\\x"), (21, ".\\[ORPHAN]\\x\\y"), (99, ".\\[ORPHAN]")]
+
+
+@query(f"SELECT CAST(entry AS BIGINT) AS entry, path FROM {values(_PATHS, 'entry, path')}")
+def parent_paths(spark, d):
+    return ntfs.parent_paths(frame(spark, _ENTRIES, "entry long, parent long, name string"))
+
+
+_JOURNAL = [(1, 10, 1, 5, 1, "old", True, "FileCreate"), (2, 11, 1, 10, 1, "f.exe", False, "FileCreate|Close"), (3, 10, 2, 5, 1, "new", True, "RenameNewName"), (4, 12, 1, 10, 2, "g.zip", False, "DataExtend"), (5, 11, 1, 10, 1, "f.exe", False, "FileDelete|Close")]
+_J_SCHEMA = "usn long, entry long, seq int, parent_entry long, parent_seq int, name string, is_dir boolean, reasons string"
+_J_PARENTS = [(1, None), (2, "old"), (3, None), (4, "new"), (5, "old")]
+
+
+@query(f"SELECT CAST(usn AS BIGINT) AS usn, parent_name FROM {values(_J_PARENTS, 'usn, parent_name')}")
+def journal_parents(spark, d):
+    return ntfs.journal_parents(frame(spark, _JOURNAL, _J_SCHEMA)).select("usn", "parent_name")
+
+
+_J_CATS = [(1, "creations"), (2, "creations"), (2, "execution"), (2, "close patterns"), (3, "renames"), (4, "exfiltration"), (5, "deletions"), (5, "close patterns")]
+
+
+@query(f"SELECT CAST(usn AS BIGINT) AS usn, category FROM {values(_J_CATS, 'usn, category')}")
+def journal_categories(spark, d):
+    return ntfs.journal_categories(frame(spark, _JOURNAL, _J_SCHEMA).withColumn("path", F.concat(F.lit(".\\x\\"), F.col("name")))).select("usn", "category")
+
+
+@query("SELECT CAST(11 AS BIGINT) AS entry, 'f.exe: FileCreate|Close > f.exe: FileDelete|Close' AS story")
+def journal_chains(spark, d):
+    return ntfs.file_chains(frame(spark, _JOURNAL, _J_SCHEMA)).where("entry = 11").select("entry", "story")
+
+
+_STAMPS = [(1, "a.exe", 100_000_000_003, 100_000_000_004, 10**15, 10**15, "critical"), (2, "b.txt", 10**15 - 10**10 * 4 + 1, 10**15 + 1, 10**15, 10**15, "medium"), (3, "c.txt", 10**15 + 7, 10**15 + 8, 10**15, 10**15, None), (4, "d.txt", 10**15 + 9, 10**14 + 1, 10**15, 10**15, None)]
+
+
+@query(f"SELECT entry, severity FROM {values(_STAMPS, 'entry, name, a, b, c, e, severity')} WHERE severity IS NOT NULL")
+def timestomping(spark, d):
+    rows = frame(spark, _STAMPS, "entry int, name string, si_created long, si_modified long, fn_created long, fn_modified long, want string")
+    return ntfs.timestomping(rows).select("entry", "severity")
+
+
+_ZONES = [(1, "[ZoneTransfer]\r\nZoneId=3\r\nReferrerUrl=http://a/\r\nHostUrl=http://a/b.exe\r\n", 3, "http://a/", "http://a/b.exe")]
+
+
+@query("SELECT 1 AS entry, 3 AS zone, 'http://a/' AS referrer, 'http://a/b.exe' AS host_url")
+def alternate_streams(spark, d):
+    return ntfs.streams(frame(spark, _ZONES, "entry int, zone_contents string, z int, r string, h string").select("entry", "zone_contents"))
+
+
+@query("""SELECT count(*) FILTER (WHERE ends_with(lower(event_type || '.k'), 'or.k')) AS files, CAST(sum(event_id) FILTER (WHERE event_type = 'error') AS BIGINT) AS bytes, min(ts) FILTER (WHERE event_type = 'error') AS first_ts, max(ts) FILTER (WHERE event_type = 'error') AS last_ts,
+count(*) FILTER (WHERE contains(event_type, 'sign')) AS notes, round(count(*) FILTER (WHERE event_type = 'error') / ((epoch_us(max(ts) FILTER (WHERE event_type = 'error')) - epoch_us(min(ts) FILTER (WHERE event_type = 'error'))) / 6e7), 9) AS files_per_minute FROM events""")
+def ransomware_rollup(spark, d):
+    files = read(spark, d, "events").select(F.concat("event_type", F.lit(".k")).alias("name"), F.col("event_id").alias("size"), "ts")
+    return ntfs.ransomware(files, "or.k", "sign").withColumn("files_per_minute", F.round("files_per_minute", 9))
+
+
+@query("SELECT event_type AS parent_path, to_timestamp(floor(epoch(ts) / 3600) * 3600)::TIMESTAMP AS slot, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) >= 5")
+def directory_incidents(spark, d):
+    return ntfs.directory_incidents(read(spark, d, "events").select(F.col("event_type").alias("parent_path"), "ts"), 60, 5)
