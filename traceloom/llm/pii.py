@@ -157,10 +157,11 @@ def resolve(entities: DataFrame, key: str) -> DataFrame:
 def replace_entities(df: DataFrame, text_col: str = "text", key: str = "traceloom", count_col: str | None = None) -> DataFrame:
     """df with surrogates in its texts; count_col, if given, is a further column with the number of replacements."""
     text, columns = F.col(f"`{text_col}`"), df.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    row = F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col]).alias("row") if len(columns) > 1 else F.lit(None).alias("row")
     found = F.coalesce(text.rlike(PATTERN), F.lit(False))
-    hits = df.where(found).select(row, text.alias("text"), mentions_of(text).alias("mentions")).withColumn("list", F.sha2(F.to_json("mentions"), 256))
-    lists = materialize(df.where(found).select(mentions_of(text).alias("mentions")).select(F.sha2(F.to_json("mentions"), 256).alias("list"), "mentions").dropDuplicates(["list"]), "mentions")
+    name = F.sha2(F.to_json(mentions_of(text)), 256).alias("list")
+    hits = df.where(found).select(row, text.alias("text"), name)
+    lists = materialize(df.where(found).select(name, mentions_of(text).alias("mentions")).dropDuplicates(["list"]), "mentions")
     each = lists.select("list", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", type_of(F.col("mention"))).withColumn("entity", F.lower("mention"))
     attempts = resolve(each.groupBy("kind", "entity").agg(F.min("mention").alias("sample")), key)
     made = each.join(attempts, ["kind", "entity"]).select("list", "at", surrogate(F.col("mention"), F.col("kind"), F.col("entity"), F.col("attempt"), key).alias("made"))
