@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from .filters import col
 
-ALL = Window.partitionBy(F.lit(1))
+def all_rows():
+    """One window over all rows, for tables of buckets."""
+    return Window.partitionBy(F.lit(1))
+
 
 
 def seconds(ts: Column) -> Column:
@@ -24,7 +27,7 @@ def minutes_of(df: DataFrame, ts_col: str) -> DataFrame:
 
 def sessions(df: DataFrame, ts_col: str, threshold_minutes: int = 60) -> DataFrame:
     """(session, from_ts, to_ts, n, duration_minutes): runs of minutes without a silence over the threshold."""
-    order = ALL.orderBy("minute")
+    order = all_rows().orderBy("minute")
     silence = (seconds(F.col("minute")) - seconds(F.lag("minute").over(order))) / 60
     cut = minutes_of(df, ts_col).withColumn("cut", (F.coalesce(silence, F.lit(0.0)) > threshold_minutes).cast("int"))
     numbered = cut.withColumn("session", F.sum("cut").over(order) + 1)
@@ -33,7 +36,7 @@ def sessions(df: DataFrame, ts_col: str, threshold_minutes: int = 60) -> DataFra
 
 def gaps(df: DataFrame, ts_col: str, threshold_minutes: int = 60) -> DataFrame:
     """(from_ts, to_ts, minutes) of the silences over the threshold."""
-    order = ALL.orderBy("minute")
+    order = all_rows().orderBy("minute")
     pairs = minutes_of(df, ts_col).select(F.lag("minute").over(order).alias("from_ts"), F.col("minute").alias("to_ts"))
     return pairs.withColumn("minutes", ((seconds(F.col("to_ts")) - seconds(F.col("from_ts"))) / 60).cast("long")).where(F.col("minutes") > threshold_minutes)
 
@@ -43,7 +46,7 @@ def burst_windows(df: DataFrame, ts_col: str, window_minutes: int = 5, multiplie
     w = window_minutes * 60
     start = F.timestamp_seconds(F.floor(seconds(col(ts_col)) / w) * w)
     counts = df.where(col(ts_col).isNotNull()).groupBy(start.alias("window_start")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("baseline", F.greatest(F.median("n").over(ALL), F.lit(1.0))).withColumn("is_burst", F.col("n") > multiplier * F.col("baseline"))
+    return counts.withColumn("baseline", F.greatest(F.median("n").over(all_rows()), F.lit(1.0))).withColumn("is_burst", F.col("n") > multiplier * F.col("baseline"))
 
 
 def bursts(df: DataFrame, ts_col: str, window_minutes: int = 5, multiplier: float = 5) -> DataFrame:
@@ -51,7 +54,7 @@ def bursts(df: DataFrame, ts_col: str, window_minutes: int = 5, multiplier: floa
     w = window_minutes * 60
     flagged = burst_windows(df, ts_col, window_minutes, multiplier).where("is_burst")
     slot = F.floor(seconds(F.col("window_start")) / w)
-    islands = flagged.withColumn("island", slot - F.row_number().over(ALL.orderBy("window_start")))
+    islands = flagged.withColumn("island", slot - F.row_number().over(all_rows().orderBy("window_start")))
     merged = islands.groupBy("island").agg(F.min("window_start").alias("from_ts"), F.timestamp_seconds(seconds(F.max("window_start")) + w).alias("to_ts"), F.sum("n").alias("n"), F.max("n").alias("peak"), F.first("baseline").alias("baseline"))
     return merged.select("from_ts", "to_ts", "n", (F.col("peak") / F.col("baseline")).alias("factor"), ((seconds(F.col("to_ts")) - seconds(F.col("from_ts"))) / 60).cast("long").alias("duration_minutes"))
 
@@ -107,5 +110,5 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts_col: str, value
 def densest_window(df: DataFrame, ts_col: str, window_seconds: int = 180) -> DataFrame:
     """The instant from which the window holds most rows, on rows counted per second first."""
     per = df.where(col(ts_col).isNotNull()).groupBy(F.floor(seconds(col(ts_col))).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    ahead = F.sum("n").over(ALL.orderBy("s").rangeBetween(0, window_seconds - 1))
+    ahead = F.sum("n").over(all_rows().orderBy("s").rangeBetween(0, window_seconds - 1))
     return per.withColumn("total", ahead).orderBy(F.desc("total"), "s").limit(1).select(F.timestamp_seconds("s").alias("from_ts"), "total")

@@ -87,7 +87,7 @@ def private_ip(spark, d):
     return frame(spark, _IPS, "ip string, private boolean").select("ip", T.is_private_ip(F.col("ip")).alias("private"))
 
 
-@query("""WITH c AS (SELECT p_partkey, unnest(list_transform(range(1, length(p_type) + 1), lambda i: substring(p_type, i, 1))) AS ch, length(p_type) AS n FROM part), g AS (SELECT p_partkey, n, count(*) AS k FROM c GROUP BY ALL)
+@query("""WITH c AS (SELECT p_partkey, unnest(list_transform(range(1, length(p_type) + 1), lambda i: substring(p_type, i, 1))) AS ch, length(p_type) AS n FROM part), g AS (SELECT p_partkey, ch, n, count(*) AS k FROM c GROUP BY ALL)
 SELECT p_partkey, round(sum(-(k::DOUBLE / n) * log2(k::DOUBLE / n)), 6) AS bits FROM g GROUP BY 1""")
 def text_entropy(spark, d):
     return read(spark, d, "part").select("p_partkey", F.round(T.entropy(F.col("p_type")), 6).alias("bits"))
@@ -103,9 +103,9 @@ _PROC_SCHEMA = "id int, host string, ts string, pid string, ppid string, guid st
 _PARENTS = [(1, None), (2, 1), (3, 2), (4, 3), (5, 4), (6, None), (7, 6)]
 
 
-@query(f"SELECT id, CAST(parent_id AS INTEGER) AS parent_id FROM {values(_PARENTS, 'id, parent_id')}")
+@query(f"SELECT id, CAST(coalesce(parent_id, 0) AS INTEGER) AS parent_id FROM {values(_PARENTS, 'id, parent_id')}")
 def process_parents(spark, d):
-    return process.link_parents(frame(spark, _PROCESSES, _PROC_SCHEMA)).select("id", "parent_id")
+    return process.link_parents(frame(spark, _PROCESSES, _PROC_SCHEMA)).select("id", F.coalesce("parent_id", F.lit(0)).alias("parent_id"))
 
 
 @query(f"""WITH RECURSIVE e AS {values(_PARENTS, 'id, parent_id')}, w AS (SELECT id, 0 AS depth, id AS root, parent_id FROM e WHERE parent_id IS NULL UNION ALL SELECT e.id, w.depth + 1, w.root, e.parent_id FROM e JOIN w ON e.parent_id = w.id)

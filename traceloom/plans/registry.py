@@ -86,12 +86,12 @@ def first_seen(spark, d):
     return temporal.first_seen(read(spark, d, "events"), "user_id", "event_type", "ts")
 
 
-@query("""SELECT p.event_id, v.event_id AS seen_event FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+@query("""SELECT p.event_id, coalesce(v.event_id, -1) AS seen_event FROM (SELECT * FROM events WHERE event_type = 'purchase') p
 ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts > v.ts""")
 def asof_parent(spark, d):
     events = read(spark, d, "events")
     left = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    return temporal.as_of(left, events.where("event_type = 'view'"), ["user_id"], "ts", "event_id", "seen_event").select("event_id", "seen_event")
+    return temporal.as_of(left, events.where("event_type = 'view'"), ["user_id"], "ts", "event_id", "seen_event").select("event_id", F.coalesce("seen_event", F.lit(-1)).alias("seen_event"))
 
 
 @query("""WITH p AS (SELECT floor(epoch(ts))::BIGINT AS s, count(*) AS n FROM events GROUP BY 1), a AS (SELECT s, sum(n) OVER (ORDER BY s RANGE BETWEEN CURRENT ROW AND 179 FOLLOWING) AS total FROM p)
