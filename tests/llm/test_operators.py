@@ -1,0 +1,357 @@
+"""Training-data operators against brute force, exact round trips and held-out accuracy; nulls, ties, repeats, empties."""
+
+import collections
+import hashlib
+import math
+import struct
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from traceloom.llm import chat, decontamination, language_model, neighbours, pii, quality, sharding, simhash, tokenization, warc
+from traceloom.llm.common import table
+
+from ..conftest import DATA
+
+DOCS = "doc_id long, text string, score string, shard string, fingerprint string, key string"
+LONG = " ".join(f"w{k % 977}" for k in range(30_000))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows, and columns whose names the operators use themselves."""
+    rows = [(1, "a b c d e"), (2, None), (3, ""), (None, "a b c d e"), (4, LONG), (4, LONG), (5, "é ß\t x  y"), (-6, "A B C d e")]
+    return spark.createDataFrame([(*r, "x", "y", "z", "k") for r in rows], DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark, DATA, "documents")
+
+
+def test_every_operator_takes_an_empty_table(spark, odd):
+    none, items = odd.limit(0), spark.createDataFrame([(1, "x y z")], "item_id long, text string")
+    assert sharding.assign_shards(none).count() == 0
+    assert simhash.near_duplicates(none).count() == 0
+    assert simhash.keep_representatives(none).count() == 0
+    assert language_model.score_texts(none).count() == 0
+    assert pii.replace_entities(none).count() == 0
+    assert decontamination.find_leaks(none, items).count() == 0
+    assert decontamination.drop_leaks(none, items.limit(0)).count() == 0
+    assert decontamination.drop_leaks(odd, items.limit(0)).count() == odd.count()
+    assert tokenization.encode(none, MODEL).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert neighbours.search(vectors, F.lit(True)).count() == 0
+    assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert chat.format_digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+# Sharding.
+
+
+def test_shards(odd, docs):
+    for df in (odd, docs):
+        got = sharding.assign_shards(df, buckets=3).toPandas()
+        assert len(got) == df.count()
+        for _, part in got.groupby("shard"):
+            assert sorted(part["slot"]) == list(range(len(part)))
+        assert set(got[got["shard"] != got["grown_shard"]]["grown_shard"]) <= {24}
+
+
+def test_jump_hash_moves_only_into_the_new_shard():
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 4000).astype(np.uint64)
+    before = sharding.jump_hash(keys, 1)
+    for n in range(2, 40):
+        after = sharding.jump_hash(keys, n)
+        assert set(after[after != before]) <= {n - 1} and abs((after != before).mean() - 1 / n) < 0.05
+        before = after
+
+
+# SimHash.
+
+
+def brute_components(rows):
+    import xxhash
+
+    prints = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        parts = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(p, 42) for p in parts]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 2:
+                root[find(a)] = find(b)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            low[find(k)] = min(low.get(find(k), i), i)
+    return collections.Counter((i, f"{p:016x}", low.get(find(k))) for k, ((i, _), p) in enumerate(zip(rows, prints, strict=True)))
+
+
+def test_simhash(odd, docs):
+    for df in (odd, docs):
+        rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+        got = simhash.near_duplicates(df).collect()
+        assert collections.Counter((r[0], r[1], r[2]) for r in got) == brute_components(rows)
+
+
+def test_long_paths_are_one_component(spark):
+    links = spark.createDataFrame([(k + 1, k) for k in range(100)], "a long, b long")
+    assert {r["root"] for r in simhash.components(links).collect()} == {0}
+
+
+def test_one_of_each_group_stays(odd):
+    kept = simhash.keep_representatives(odd)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [-6, 2, 4, 5]
+
+
+# Language model.
+
+
+def brute_scores(rows, prior=3.0):
+    tokens = lambda t: [*(t or "").encode().lower().split(), b""]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    one, two = collections.Counter(), collections.Counter()
+    for i, t in rows:
+        if not held(i):
+            one.update(tokens(t))
+            two.update(zip([b"", *tokens(t)[:-1]], tokens(t), strict=True))
+    n, kinds, out = sum(one.values()), len(one), []
+    for i, t in rows:
+        words, before, base, score = tokens(t), b"", 0.0, 0.0
+        for w in words:
+            p = (one[w] + 1) / (n + kinds + 1)
+            base += math.log10(p)
+            score += math.log10((two[before, w] + prior * p) / (one[before] + prior)) if one[before] else math.log10(p)
+            before = w
+        out.append((str(i), held(i), len(words), sum(one[w] > 0 for w in words), n, round(base, 6), round(score, 6)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [20_000, 4 << 20])
+def test_language_model(odd, docs, size):
+    for df in (odd, docs):
+        rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+        got = sorted((str(r[0]), r[1], r[2], r[3], r[4], round(r[5], 6), round(r[6], 6)) for r in language_model.score_texts(df, block_bytes=size).collect())
+        assert got == brute_scores(rows)
+
+
+def test_states_are_distributions(docs):
+    texts = [r["text"].encode() for r in docs.limit(20).collect()]
+    block = language_model._Block(texts, np.ones(len(texts), bool))
+    tokens, kinds, k = int(block.counts.sum()), len(block.words), 3.0
+    root = (block.counts + 1) / (tokens + kinds + 1)
+    machine = language_model._compile(block, block.counts, block.key_counts, tokens, kinds, k)
+    for context in range(0, kinds, 97):
+        seen = block.key_context == context
+        p = (10.0 ** machine.arc[seen]).sum() + 10.0 ** machine.failure[machine.state_after[context]] * (1 - root[block.key_word[seen]].sum())
+        assert p == pytest.approx(1)
+
+
+def test_keys_survive_packing():
+    for keys in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.unique(np.random.default_rng(2).integers(0, 1 << 56, 999).astype(np.uint64))):
+        assert (language_model.unpack_keys(language_model.pack_keys(keys)) == keys).all()
+
+
+# WARC.
+
+
+def test_archives_round_trip(spark, tmp_path):
+    big = "é" * 70_000
+    rows = [(1, "http://a", "x" * 2000), (3, None, "x" * 2000), (2, "u", "x" * 2000), (4, "u", "x" * 999), (5, "u", "x" * 999), (6, "u", None), (7, "u", "\r\n\r\nWARC/1.1\r\n0\r\n\r\n"), (8, "u", big), (None, "u", "q" * 5000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write_archives(pages, path, segment_bytes=30_000)
+    got = {r["page_id"]: r for r in warc.read_pages(spark, path).collect()}
+    assert all(r["valid"] for r in got.values()) and got[8]["segments"] == 5 and bytes(got[8]["payload"]).decode() == big
+    for i, _, html in rows:
+        raw = (html or "").encode()
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(raw), hashlib.sha1(raw).hexdigest())
+    assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items() if i in (1, 2, 3, 4, 5)} == {1: ("revisit", 3), 2: ("revisit", 3), 3: ("response", None), 4: ("response", None), 5: ("response", None)}
+
+
+def test_lost_segments_are_invalid(spark):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + b"z" * 40
+    records = spark.createDataFrame([("r", "response", "urn:page:1", "", None, None, 1, None, block[:20]), ("c", "continuation", "urn:page:1", None, None, "r", 3, len(block), block[40:])], warc._PARSED)
+    assert [r["valid"] for r in warc.reassemble(records).collect()] == [False]
+    with pytest.raises(ValueError):
+        warc.dechunk(b"5\r\nab\r\n0\r\n\r\n")
+
+
+# Chat.
+
+
+def test_events_are_folded(spark):
+    log = [(1, 1, 1, "open", "user", None), (1, 3, 1, "delta", None, "lo"), (1, 2, 1, "delta", None, "hel"), (1, 4, 2, "open", "assistant", None), (1, 5, 2, "delta", None, "bad"), (1, 6, 2, "regen", None, None), (1, 7, 2, "delta", None, "good"), (1, 8, 1, "edit", None, "hi "), (1, 9, 1, "delta", None, "you")]
+    out = chat.reconstruct(spark.createDataFrame(log, "conv_id long, seq long, turn int, kind string, role string, text string")).orderBy("turn").collect()
+    assert [(r["role"], r["text"]) for r in out] == [("user", "hi you"), ("assistant", "good")]
+
+
+def test_chat_round_trip(spark):
+    texts = ["<|turn|>x<|end|>\n", "\\l\\\\<[", "</s>[INST] ok [/INST]", "", None, "a" * 1000, "\\n\n\\"]
+    rows = [(9, k, "assistant" if k % 2 else "us\ner", t) for k, t in enumerate(texts)] + [(None, None, None, None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.render(chat.reconstruct(chat.events_of(frame, 7)))
+    row = out.where("conv_id = 9").select(chat.parse(F.col("formatted")).alias("t"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("l"), "formatted").first()
+    assert [(t["role"], t["text"]) for t in row["t"]] == [(r, t or "") for _, _, r, t in rows[:-1]]
+    assert row["l"] == "".join(t or "" for _, _, r, t in rows[:-1] if r == "assistant") and row["formatted"].count("<") == 2 * len(texts)
+
+
+# PII.
+
+
+def test_surrogates(spark):
+    text = "Mrs. Anna Smith wrote to Mr Bob Jones, a.b@c.org, A.B@c.org, 4111 1111 1111 1111, 10.20.30.40, +1 (743) 555-3824 and 123-45-6789."
+    rows = [(1, text), (2, "again a.b@c.org and Mrs. Anna Smith"), (3, None), (4, ""), (None, "clean text 12345 v1.2.3 at 10:30"), (1, text)]
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, row string, list string")
+    got = pii.replace_entities(frame, count_col="n").collect()
+    assert frame.columns + ["n"] == pii.replace_entities(frame, count_col="n").columns
+    by = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    assert len(got) == 6 and by[1]["n"] == 8 and by[3]["text"] is None and by[4]["text"] == ""
+    assert [r["text"] for r in got if r["doc_id"] is None] == [rows[4][1]]
+    for secret in ("Anna", "Smith", "Bob", "a.b@c", "4111 1111", "10.20.30.40", "555-3824", "123-45"):
+        assert secret not in by[1]["text"]
+    mails = [w.strip(",") for w in by[1]["text"].split() if "@" in w]
+    assert mails[0].lower() == mails[1].lower() and mails[0] in by[2]["text"]
+    assert by[1]["text"].startswith("Mrs. ") and any(by[1]["text"].startswith("Mrs. " + n) for n in pii.GIVEN["female", "latin"])
+
+
+def test_surrogates_stay_distinct(spark):
+    rows = [(k, f"Mr A{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}x") for k in range(400)]
+    got = pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r["text"] for r in got}) == 400 and not {r["text"] for r in got} & {t for _, t in rows}
+
+
+# Quality.
+
+
+def test_quality_held_out(spark, docs):
+    rows = quality.classify(table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")).toPandas()
+    both = rows.merge(table(spark, "/root/testdata/sf0.01", "labels").toPandas(), on="doc_id")
+    held = both[both["held_out"]]
+    assert (held["predicted"] == held["quality"]).mean() > 0.97 and rows["score"].between(0, 1).all()
+
+
+def test_quality_edges(spark, odd, docs):
+    labels = table(spark, DATA, "labels")
+    model = quality.fit(quality.featurize(docs), labels)
+    assert 0 <= model.score(np.array([quality.statistics(None), quality.statistics("")]))[0] <= 1
+    assert quality.keep_good(docs, labels).columns == docs.columns
+    with pytest.raises(ValueError):
+        quality.fit(quality.featurize(odd), labels.limit(0))
+
+
+# Decontamination.
+
+
+def test_leaks(spark, docs):
+    items = table(spark, DATA, "benchmark")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, items).collect()}
+    padded = {r["doc_id"]: b" " + b" ".join(decontamination.words_of(r["text"])) + b" " for r in docs.collect()}
+    want = {(i, r["item_id"]) for r in items.collect() for i, t in padded.items() if b" " + b" ".join(decontamination.words_of(r["text"])) + b" " in t}
+    assert want and want <= got
+    left = decontamination.drop_leaks(docs, items)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == set(padded) - {i for i, _ in got}
+
+
+def test_wand_finds_what_brute_force_finds(spark, docs):
+    index = next(decontamination.build_indexes(table(spark, DATA, "benchmark")))
+    for row in docs.limit(60).collect():
+        terms = sorted({index.number[w] for w in decontamination.words_of(row["text"])[:120] if w in index.number})
+        score = collections.Counter()
+        for t in terms:
+            for item, x in index.postings[t]:
+                score[item] += x
+        for least in (0.1, 0.3, 0.5):
+            want = {i for i, x in score.items() if x >= least - 1e-9}
+            assert {i for i, _ in index.search(terms, least)} == want
+            if terms:
+                reached = index.reached(np.array(terms), np.array([0]), least)[0]
+                assert reached or not want
+
+
+def test_short_items_and_odd_texts(spark, odd):
+    items = spark.createDataFrame([(1, "b C."), (2, None), (3, " ")], "item_id long, text string")
+    assert {r["doc_id"] for r in decontamination.find_leaks(odd, items).collect()} == {1, None, -6}
+
+
+# Neighbours.
+
+
+def test_neighbours(spark):
+    vectors = table(spark, DATA, "embeddings")
+    got = neighbours.search(vectors, F.col("vec_id") % 20 == 0, block_rows=200, shortlist=60).toPandas()
+    want = neighbours.exact_search(vectors, F.col("vec_id") % 20 == 0)
+    both = got.merge(want, on=["query_id", "vec_id"])
+    assert len(both) / len(want) >= 0.9 and (both["score_x"] - both["score_y"]).abs().max() < 1e-12
+
+
+def test_neighbour_ties_and_bad_vectors(spark):
+    rows = [(k, [1.0, 0.0]) for k in range(40)] + [(100, [0.0, 1.0]), (101, None), (102, [0.0, 0.0]), (103, [float("nan"), 1.0]), (104, [1.0, None]), (105, [1.0, 2.0, 3.0]), (106, [])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id").isin(0, 5, 100, 101, 103), k=3).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, 1), (0, 2), (0, 3), (5, 0), (5, 1), (5, 2), (100, 0), (100, 1), (100, 2)]
+
+
+# Tokenisation.
+
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def test_all_ids_agree_with_the_reference_library(odd, docs):
+    for df in (odd, docs):
+        got = tokenization.encode(df, MODEL, parity_every=1).collect()
+        assert len(got) == df.count() and all(r["decoded_ok"] and r["n_tokens"] == len(r["ids"]) for r in got)
+
+
+def field(number, value):
+    if isinstance(value, float):
+        return bytes([number << 3 | 5]) + struct.pack("<f", value)
+    if isinstance(value, int):
+        tag = number << 3
+        return (bytes([tag]) if tag < 128 else bytes([tag & 127 | 128, tag >> 7])) + bytes([value])
+    return bytes([number << 3 | 2, len(value)]) + value
+
+
+def test_unigram_models():
+    import sentencepiece
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("\u2581", -3.0, 1), ("\u2581ab", -1.0, 1), ("a", -4.0, 1), ("b", -4.0, 1), ("ab", -2.0, 1), ("c", -5.0, 1)] + [(f"<0x{k:02X}>", -9.0, 6) for k in range(256)]
+    data = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, t)) for p, s, t in pieces) + field(2, field(3, 1) + field(35, 1)) + field(3, field(3, 1) + field(4, 0) + field(5, 1))
+    model = tokenization.Model.parse(data)
+    assert model.unigram and model.byte_fallback
+    codec, own = model.tokenizer(), sentencepiece.SentencePieceProcessor(model_proto=data)
+    for text in ("ab abc", "cab", "", "a\u00e9b", "b  a"):
+        assert codec.encode(text, add_special_tokens=False).ids == own.encode(text)
+
+
+# Pipeline.
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    from traceloom.llm.common import materialize
+
+    docs, labels, items = table(spark, DATA, "documents"), table(spark, DATA, "labels"), table(spark, DATA, "benchmark")
+    rows, model = {r["doc_id"]: r["text"] for r in docs.collect()}, quality.fit(materialize(quality.featurize(docs), "f"), labels)
+    good = {i: t for i, t in rows.items() if model.score(np.array([quality.statistics(t)]))[0] >= 0.3}
+    kept = {i for i, _, root in brute_components(list(good.items())) if i == root}
+    leaked = {r["doc_id"] for r in decontamination.find_leaks(docs, items).collect()}
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "SimHash near-dedup", "benchmark decontamination", "PII surrogates", "SentencePiece encoding"]
+    out = corpus_pipeline.run(spark, DATA).collect()
+    assert {r["doc_id"] for r in out} == kept - leaked and all(r["decoded_ok"] for r in out)
+    part = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        part = stage(spark, part, DATA)
+        assert part.columns == docs.columns

@@ -199,7 +199,8 @@ def build_indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "te
             for at in range(0, len(words), longest):
                 rows.append((r["id"], words[at : at + longest], min(max(cut - at, 0), longest)))
         rows.sort(key=lambda x: len(x[1]))
-        yield Index([x[0] for x in rows], [x[1] for x in rows], [x[2] for x in rows])
+        if rows:
+            yield Index([x[0] for x in rows], [x[1] for x in rows], [x[2] for x in rows])
 
 
 def _matches(index: Index, words: list[bytes], windows: list[int], terms: np.ndarray, threshold: float) -> list[tuple[int, int, float, float, float, float]]:
@@ -268,6 +269,8 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 
         part = rows.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = df.sparkSession.createDataFrame([], schema)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
