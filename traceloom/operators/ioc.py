@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -20,29 +21,43 @@ def prepare(iocs: DataFrame, name: str = "ioc") -> DataFrame:
     return kept.select("ioc", classify_ioc(F.col("ioc")).alias("category"))
 
 
-def match(df: DataFrame, iocs: DataFrame, columns: Sequence[str], id_col: str, batch: int = 200) -> DataFrame:
+_CUT = "[^a-z0-9]+"
+
+
+def _inner_word(low: str) -> str:
+    """The longest word that stands whole inside an indicator, so wherever the indicator stands; '' if there is none."""
+    return max(re.split(_CUT, low)[1:-1], key=lambda w: (len(w), w), default="")
+
+
+def match(df: DataFrame, iocs: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame:
     """(ioc, row) of each indicator that stands, in any case, somewhere in a row's columns.
 
-    Indicators go in batches: a batch's alternation decides which rows are looked at closer, and only those are compared
-    with each of its indicators. Lists of over MAX_BROADCAST indicators are not sent in the plan; they meet the rows by
-    the words that both hold, so single-word indicators are an equi-join.
+    An indicator of three words or more has an inner word that any row with the indicator must have as a whole word:
+    those meet the rows by an equi-join on that word, and the few pairs are verified. The others are looked for in every
+    row. Up to MAX_BROADCAST indicators the inner words are in the plan and rows without one go no further; beyond it all
+    words of the rows are joined.
     """
     names = [r["ioc"] for r in iocs.select("ioc").limit(MAX_BROADCAST + 1).collect()]
     blob = F.lower(F.concat_ws("\x01", *[text_of(c) for c in columns]))
     rows = df.select(F.col(id_col).alias("row"), blob.alias("blob"))
+    listed = iocs.select("ioc", F.lower("ioc").alias("low"))
+    parts = F.split("low", _CUT)
+    inner = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    keyed = listed.withColumn("word", F.coalesce(F.array_max(inner)["w"], F.lit("")))
+    words = F.array_distinct(F.split("blob", _CUT))
+    if len(names) <= MAX_BROADCAST:
+        keys = sorted({w for n in names if len(w := _inner_word(n.lower())) > 2})
+        words = F.array_intersect(F.split("blob", _CUT), F.array(*map(F.lit, keys)).cast("array<string>"))
+    pairs = rows.select("row", "blob", F.explode(words).alias("word")).join(keyed.where(F.length("word") > 2), "word")
+    out = pairs.where(F.col("blob").contains(F.col("low"))).select("ioc", "row").distinct()
+    plain = [n for n in names if len(_inner_word(n.lower())) <= 2] if len(names) <= MAX_BROADCAST else []
     if len(names) > MAX_BROADCAST:
-        token = r"[^a-z0-9.@:\\/_-]+"
-        parts = rows.select("row", "blob", F.explode(F.array_distinct(F.split("blob", token))).alias("t")).where("t <> ''")
-        keys = iocs.select("ioc", F.lower("ioc").alias("low")).withColumn("t", F.element_at(F.array_sort(F.split("low", token)), -1))
-        return parts.join(keys, "t").where(F.col("blob").contains(F.col("low"))).select("ioc", "row").distinct()
-    out = None
-    for at in range(0, len(names), batch):
-        part = names[at : at + batch]
-        pattern = "|".join("\\Q" + n.lower() + "\\E" for n in sorted(part, key=len, reverse=True))
-        hit = F.filter(F.array(*[F.when(F.col("blob").contains(n.lower()), F.lit(n)) for n in part]), lambda x: x.isNotNull())
-        found = rows.where(F.col("blob").rlike(pattern)).select(F.explode(hit).alias("ioc"), "row")
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else rows.select(F.lit("").alias("ioc"), "row").limit(0)
+        rest = keyed.where(F.length("word") <= 2).select("ioc", "low")
+        return out.unionByName(rows.join(rest, F.col("blob").contains(F.col("low"))).select("ioc", "row"))
+    for at in range(0, len(plain), 200):
+        found = F.array_compact(F.array(*[F.when(F.col("blob").contains(n.lower()), F.lit(n)) for n in plain[at : at + 200]]))
+        out = out.unionByName(rows.select(F.explode(found).alias("ioc"), "row"))
+    return out
 
 
 def hit_counts(iocs: DataFrame, hits: DataFrame) -> DataFrame:
