@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -16,10 +17,7 @@ def with_row_ids(df: DataFrame, order: Sequence[str], name: str = "_rowid") -> D
     spark = df.sparkSession
     ranged = df.repartitionByRange(*[col(c) for c in order]).sortWithinPartitions(*[col(c) for c in order])
     rows = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-rowids"
-    shared = spark.conf.get("spark.checkpoint.dir", None) or path
-    import uuid
-
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/traceloom-shared"
     target = f"{shared}/rows-{uuid.uuid4().hex}"
     rows.write.parquet(target)
     rows = spark.read.parquet(target)
