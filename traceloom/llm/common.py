@@ -13,9 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset (tests), one below the warehouse."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset (tests), a folder in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
+    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/traceloom-shared"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
