@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from traceloom.sources import artifacts, delimited, sinks
+from traceloom.sources import artifacts, delimited, layouts, sinks
 
 
 def collected(df):
@@ -80,7 +80,7 @@ def test_event_xml(spark):
     assert text == "u A  from B "
 
 
-def mft_record(entry, parent, name, si=10**17 * 1, is_dir=False, zone=b""):
+def mft_record(entry, parent, name, si=10**17 * 1, is_dir=False, zone=b"", namespace=1, base=0, extra=()):
     attrs = b""
 
     def resident(kind, body, label=""):
@@ -90,12 +90,14 @@ def mft_record(entry, parent, name, si=10**17 * 1, is_dir=False, zone=b""):
         head = struct.pack("<IIBBHHHIHH", kind, size, 0, len(label), 24, 0, 0, len(body), at, 0)
         return (head + raw).ljust(at, b"\0") + body.ljust(size - at, b"\0")
 
-    attrs += resident(0x10, struct.pack("<QQQQI", si, si, si, si, 32).ljust(48, b"\0"))
-    attrs += resident(0x30, parent.to_bytes(6, "little") + struct.pack("<H", 1) + struct.pack("<QQQQ", si + 1, si, si, si).ljust(56, b"\0") + bytes([len(name), 1]) + name.encode("utf-16-le"))
+    attrs += resident(0x10, struct.pack("<QQQQI", si, si, si, si, 32).ljust(52, b"\0") + struct.pack("<IQQ", 77, 0, 4096))
+    attrs += resident(0x30, parent.to_bytes(6, "little") + struct.pack("<H", 1) + struct.pack("<QQQQ", si + 1, si, si, si).ljust(56, b"\0") + bytes([len(name), namespace]) + name.encode("utf-16-le"))
     attrs += resident(0x80, b"hello")
     if zone:
         attrs += resident(0x80, zone, "Zone.Identifier")
-    head = struct.pack("<4sHHQHHHHIIQHHI", b"FILE", 48, 3, 0, 1, 1, 56, 1 | 2 * is_dir, 0, 1024, 0, 0, 0, entry)
+    for kind, body, label in extra:
+        attrs += resident(kind, body, label)
+    head = struct.pack("<4sHHQHHHHIIQHHI", b"FILE", 48, 3, 12345, 1, 1, 56, 1 | 2 * is_dir, 0, 1024, base, 0, 0, entry)
     data = bytearray((head + b"\x07\x00" + b"\0" * 6 + attrs + b"\xff" * 4).ljust(1024, b"\0"))
     for k in (1, 2):
         data[48 + 2 * k : 50 + 2 * k] = data[k * 512 - 2 : k * 512]
@@ -117,6 +119,47 @@ def test_file_table(spark, tmp_path):
     assert files["7-1_a.txt"] == b"hello" and "7-1_a.txt_Zone.Identifier" in files
 
 
+def test_file_table_columns_and_extension_names(spark, tmp_path):
+    from traceloom.operators.ntfs import parent_paths
+
+    extra = [(0x40, bytes(range(16)), ""), (0xC0, b"x", "$EFS")]
+    raw = mft_record(6, 5, "LONGNA~1", is_dir=True, namespace=2) + mft_record(9, 5, "long name", namespace=1, base=6) + mft_record(10, 5, "posix", namespace=0, base=6)
+    raw += mft_record(7, 6, "a.txt", extra=extra) + mft_record(11, 5, "other", namespace=3, base=7)
+    (tmp_path / "g.mft").write_bytes(raw)
+    mft = artifacts.merge_extension_names(artifacts.load(spark, str(tmp_path / "g.mft")))
+    names = mft.where("base = 0").select("entry", "parent", "name")
+    rows = {r["EntryNumber"]: r for r in artifacts.mft_table(mft, parent_paths(names)).collect()}
+    assert set(rows) == {"6", "7"} and len(rows["6"]) == 33
+    assert rows["6"]["FileName"] == "long name" and rows["6"]["NameType"] == "Windows" and rows["6"]["ReferenceCount"] == "1"
+    want = {"FileName": "a.txt", "ParentPath": ".\\long name", "SecurityId": "77", "UpdateSequenceNumber": "4096", "LogfileSequenceNumber": "12345", "ObjectIdFileDroid": "03020100-0504-0706-0809-0a0b0c0d0e0f", "LoggedUtilStream": "$EFS", "IsAds": "False", "ReparseTarget": "", "HasAds": "False", "FileSize": "5"}
+    assert {k: rows["7"][k] for k in want} == want
+
+
+def test_layouts():
+    assert len(layouts.LAYOUTS) == 28 and len({x.name for x in layouts.LAYOUTS}) == 28
+    found = lambda *columns: getattr(layouts.detect_layout(columns), "name", None)
+    assert found("EntryNumber", "ParentEntryNumber", "InUse", "z") == "MFTECmd"
+    assert found("Timestamp", "RuleTitle", "Level", "Computer") == "Hayabusa (Standard)"
+    assert found("Timestamp", "RuleTitle", "Level", "Computer", "Details", "ExtraFieldInfo") == "Hayabusa (Verbose)"
+    assert found("Date", "Size", "Type", "Mode", "File Name") == "MacTime (Bodyfile)" and found("a") is None and found() is None
+    journal = layouts.detect_layout(["EventId", "Provider", "Channel", "PayloadData1", "Keywords", "TimeCreated"])
+    assert journal.color == "Channel" and journal.order(["Keywords", "x", "EventId", "PayloadData1"]) == ["EventId", "PayloadData1", "x"]
+    assert all(x.order(x.required) for x in layouts.LAYOUTS)
+
+
+def test_report_pdf(tmp_path):
+    page = "<html><head><title>t</title></head><body><p>1 rows (a\\b)</p><table><tr><th>x</th><th>y</th></tr><tr><td>&lt;1&gt;</td><td>2</td></tr></table></body></html>"
+    path = tmp_path / "r.pdf"
+    assert sinks.report_pdf(page, str(path)) == 1
+    data = path.read_bytes()
+    assert data.startswith(b"%PDF-") and data.endswith(b"%%EOF\n") and b"(x | y) Tj" in data and b"(<1> | 2) Tj" in data and rb"(1 rows \(a\\b\)) Tj" in data
+    start = int(data.rsplit(b"startxref\n", 1)[1].split()[0])
+    assert data[start : start + 4] == b"xref"
+    for k, line in enumerate(data[start:].splitlines()[3:8], 1):
+        assert data[int(line[:10]) :].startswith(b"%d 0 obj" % k)
+    assert sinks.report_pdf("<p>" + "<p>".join(map(str, range(100))), str(path)) == 2 and sinks.report_pdf("", str(path)) == 1
+
+
 def test_journal(spark, tmp_path):
     name = "a.txt".encode("utf-16-le")
     body = struct.pack("<IHHQQQQIIIIHH", 72, 2, 0, (1 << 48) | 40, (2 << 48) | 5, 100, 133498026000000000, 0x80000100, 0, 0, 32, len(name), 60) + name
@@ -146,7 +189,7 @@ def test_report_session_layout(spark, tmp_path):
     session = sinks.Session([sinks.Tab("t", "p", tags=[[1, "x"]])])
     session.save(str(tmp_path / "s.tle"))
     assert sinks.Session.load(str(tmp_path / "s.tle")) == session
-    assert sinks.detect_layout(["datetime", "timestamp_desc", "data_type", "z"]).name == "Timeline database"
+    assert layouts.detect_layout(["datetime", "timestamp_desc", "source", "sourcetype", "z"]).name == "ForensicTimeline"
     assert sinks.load_json(str(tmp_path / "none"), []) == []
 
 

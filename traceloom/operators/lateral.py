@@ -92,21 +92,36 @@ def remote_tool(text: Column) -> Column:
 
 
 def rdp_sessions(events: DataFrame) -> DataFrame:
-    """Sessions of (target, user): a new one at a logon or reconnect that is over 30 s after the last such event.
+    """Sessions of (target, user): a logon or reconnect opens a new one if it is over 30 s after the last such event, if
+    its source or session id is known and another one than the last known, or if the session was closed.
 
-    events: (event_id, ts, source, target, user). The key, target and user, splits the work; one window pass numbers the
-    sessions and one aggregation gives first and last time, events and status.
+    events: (event_id, ts, source, target, user) and, if there is one, session_id. Events without a source or session id
+    belong to the session they fall in. A privilege event (4672) marks a session only within 5 s of its last opening
+    event. The key, target and user, splits the work: window passes over one shuffle number the sessions (ids are compared
+    inside the runs that times and sources give) and one aggregation gives source, session id, times, events and status.
     """
     order = Window.partitionBy("target", "user").orderBy("ts", "event_id")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    known = lambda c: F.when(~F.coalesce(F.upper(F.trim(c)), F.lit("")).isin("", "-", "LOCAL"), c)
+    session_id = F.col("session_id").cast("string") if "session_id" in events.columns else F.lit(None).cast("string")
+    rows = events.withColumn("source", known(F.col("source"))).withColumn("session_id", known(session_id))
+    last = lambda c: F.last(c, ignorenulls=True).over(before)
     opens = F.col("event_id").isin(1149, 21, 25, 4624, 4778)
-    last_open = F.last(F.when(opens, F.col("ts")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = opens & (last_open.isNull() | (seconds(F.col("ts")) - seconds(last_open) > 30))
-    closed = F.last(F.when(F.col("event_id").isin(23, 24, 39, 40, 4634, 4647, 4779), F.col("ts")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = fresh | (opens & closed.isNotNull() & (closed >= last_open))
-    numbered = events.withColumn("session", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    closes = F.col("event_id").isin(23, 24, 39, 40, 4634, 4647, 4779)
+    marked = rows.select("*", opens.alias("opens"), last(F.when(opens, F.col("ts"))).alias("opened"), last(F.when(closes, F.col("ts"))).alias("closed"), last(F.when(opens, F.col("source"))).alias("last_source"))
+    late = F.col("opened").isNull() | (seconds(F.col("ts")) - seconds(F.col("opened")) > 30)
+    fresh = F.col("opens") & (late | F.coalesce(F.col("closed") >= F.col("opened"), F.lit(False)) | F.coalesce(F.col("last_source") != F.col("source"), F.lit(False)))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    runs = marked.withColumn("fresh", fresh).withColumn("run", F.sum(fresh.cast("int")).over(upto))
+    inside = Window.partitionBy("target", "user", "run").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    last_id = F.last(F.when(F.col("opens"), F.col("session_id")), ignorenulls=True).over(inside)
+    split = runs.withColumn("split", F.col("fresh") | (F.col("opens") & F.coalesce(last_id != F.col("session_id"), F.lit(False))))
+    numbered = split.withColumn("session", F.sum(F.col("split").cast("int")).over(upto))
     has = lambda *ids: F.max(F.col("event_id").isin(*ids).cast("int")) == 1
+    admin = F.max(((F.col("event_id") == 4672) & F.coalesce(seconds(F.col("ts")) - seconds(F.col("opened")) <= 5, F.lit(False))).cast("int")) == 1
     status = (
         F.when(has(23, 4634, 4647), "ENDED").when(has(24, 39, 40, 4779), "DISCONNECTED").when(has(4625) & ~has(21, 22, 25, 4624, 4778), "FAILED")
         .when(has(21, 22, 25, 4778), F.when(has(22), "ACTIVE").otherwise("NO LOGOFF")).when(F.count(F.lit(1)) == 1, "INCOMPLETE").otherwise("CONNECTING")
     )
-    return numbered.groupBy("target", "user", "session").agg(F.first(F.col("source"), ignorenulls=True).alias("source"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"), status.alias("status"), has(4672).alias("admin"), has(25, 4778).alias("reconnect"))
+    one = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", "event_id"))).alias(c)
+    return numbered.groupBy("target", "user", "session").agg(one("source"), one("session_id"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"), status.alias("status"), admin.alias("admin"), has(25, 4778).alias("reconnect"))

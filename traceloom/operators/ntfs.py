@@ -114,3 +114,29 @@ def near(records: DataFrame, ts_col: str, first: Column, last: Column, minutes:
     """Records from minutes before the first to minutes after the last instant."""
     step = F.make_interval(mins=F.lit(minutes))
     return records.where(F.col(ts_col).between(first - step, last + step))
+
+
+# Weight of each category of journal records in a finding's score.
+WEIGHTS = {"persistence": 5, "exfiltration": 4, "execution": 4, "suspicious paths": 3, "security changes": 3, "stream changes": 3, "deletions": 2, "data overwrite": 2, "renames": 2, "creations": 1, "close patterns": 0}
+
+
+def journal_findings(categorised: DataFrame) -> DataFrame:
+    """(category, n, folders, first_ts, last_ts, top_folder, score, rank), the best score first.
+
+    categorised: rows of journal_categories with (parent_path, ts, category). Records are counted per folder before they
+    are counted per category. score: the category's weight times log2(1 + n); ties go by name.
+    """
+    per = categorised.groupBy("category", "parent_path").agg(F.count(F.lit(1)).alias("k"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    top = F.max_by(F.coalesce("parent_path", F.lit("")), F.struct("k", F.coalesce("parent_path", F.lit(""))))
+    found = per.groupBy("category").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("folders"), F.min("a").alias("first_ts"), F.max("b").alias("last_ts"), top.alias("top_folder"))
+    weight = F.coalesce(F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])[F.col("category")], F.lit(1))
+    scored = found.withColumn("score", F.round(weight * F.log2(1 + F.col("n")), 3))
+    # At most one row a category is left, so the window is over a dozen rows.
+    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "category")))
+
+
+def journal_narrative(findings: DataFrame) -> DataFrame:
+    """One row (narrative): a sentence for each finding that scores above 0, in order of rank."""
+    said = F.format_string("%d %s records in %d folders from %s to %s, most of them in %s.", "n", "category", "folders", F.col("first_ts").cast("string"), F.col("last_ts").cast("string"), F.when(F.col("top_folder") == "", "an unknown folder").otherwise(F.col("top_folder")))
+    told = F.array_sort(F.collect_list(F.struct("rank", said.alias("said"))))
+    return findings.where("score > 0").agg(F.array_join(F.transform(told, lambda x: x["said"]), " ").alias("narrative"))

@@ -183,6 +183,16 @@ def rdp_sessions(spark, d):
     return lateral.rdp_sessions(rows).select("target", "user", "session", "n", "status", "admin", "reconnect")
 
 
+_RDP_KEYS = [(4624, 0, "A", "B", "u", None), (21, 1, "LOCAL", "B", "u", "2"), (4624, 10, "C", "B", "u", None), (21, 11, "C", "B", "u", "3"), (4672, 20, "C", "B", "u", None), (23, 60, "", "B", "u", "3"), (25, 70, "A", "B", "u", "2")]
+_RDP_KEYS_OUT = [(1, "A", "2", 2, "NO LOGOFF", False), (2, "C", "3", 4, "ENDED", False), (3, "A", "2", 1, "NO LOGOFF", False)]
+
+
+@query(f"SELECT CAST(session AS BIGINT) AS session, source, session_id, n, status, admin FROM {values(_RDP_KEYS_OUT, 'session, source, session_id, n, status, admin')}")
+def rdp_session_keys(spark, d):
+    rows = frame(spark, _RDP_KEYS, "event_id int, at int, source string, target string, user string, session_id string").withColumn("ts", F.timestamp_seconds(F.col("at") + 1_700_000_000))
+    return lateral.rdp_sessions(rows).select("session", "source", "session_id", "n", "status", "admin")
+
+
 # Persistence.
 
 _PERSIST = [
@@ -292,3 +302,14 @@ def ransomware_rollup(spark, d):
 @query("SELECT event_type AS parent_path, to_timestamp(floor(epoch(ts) / 3600) * 3600)::TIMESTAMP AS slot, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) >= 5")
 def directory_incidents(spark, d):
     return ntfs.directory_incidents(read(spark, d, "events").select(F.col("event_type").alias("parent_path"), "ts"), 60, 5)
+
+
+@query("""WITH c AS (SELECT CASE event_type WHEN 'click' THEN 'renames' WHEN 'error' THEN 'deletions' ELSE 'execution' END AS category, 'd' || (user_id % 7) AS parent_path, ts FROM events),
+p AS (SELECT category, parent_path, count(*) AS k, min(ts) AS a, max(ts) AS b FROM c GROUP BY 1, 2),
+f AS (SELECT category, CAST(sum(k) AS BIGINT) AS n, count(*) AS folders, min(a) AS first_ts, max(b) AS last_ts, arg_max(parent_path, struct_pack(k := k, p := parent_path)) AS top_folder FROM p GROUP BY 1),
+s AS (SELECT *, round(CASE category WHEN 'execution' THEN 4 ELSE 2 END * log2(1 + n), 3) AS score FROM f)
+SELECT *, row_number() OVER (ORDER BY score DESC, category) AS rank FROM s""")
+def journal_findings(spark, d):
+    kind = F.when(F.col("event_type") == "click", "renames").when(F.col("event_type") == "error", "deletions").otherwise("execution")
+    rows = read(spark, d, "events").select(kind.alias("category"), F.concat(F.lit("d"), (F.col("user_id") % 7).cast("string")).alias("parent_path"), "ts")
+    return ntfs.journal_findings(rows)

@@ -1,9 +1,11 @@
-"""Exports, reports, sessions, presets and layouts."""
+"""Exports, reports, sessions and presets."""
 
 from __future__ import annotations
 
 import html
 import json
+import re
+import textwrap
 import zipfile
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
@@ -65,6 +67,34 @@ def report_html(df: DataFrame, bookmarks: DataFrame, tags: DataFrame, ts_col: st
     return "<!DOCTYPE html><html><head><meta charset='utf-8'><title>Timeline report</title></head><body>" + "".join(parts) + "</body></html>"
 
 
+def report_pdf(page: str, path: str, width: int = 100, lines_a_page: int = 60) -> int:
+    """An HTML report (report_html) as a PDF of plain text; returns the pages. Characters outside Latin-1 become "?".
+
+    Rows of tables become lines with " | " between cells; longer lines are wrapped at `width` characters.
+    """
+    text = re.sub(r"</t[dh]><t[dh][^>]*>", " | ", page)
+    text = re.sub(r"(?s)<head>.*?</head>", "", text)
+    text = html.unescape(re.sub(r"<[^>]+>", "", re.sub(r"</?(?:h\d|p|li|tr|table|ul)[^>]*>", "\n", text)))
+    lines = [piece for line in text.split("\n") if line.strip() for piece in textwrap.wrap(line.strip(), width)] or [""]
+    shown = lambda x: x.encode("latin-1", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
+    pages = [lines[k : k + lines_a_page] for k in range(0, len(lines), lines_a_page)]
+    kids = " ".join(f"{4 + 2 * k} 0 R" for k in range(len(pages)))
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} >>".encode(), b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>"]
+    for k, part in enumerate(pages):
+        drawn = b"BT /F1 8 Tf 36 800 Td 12 TL\n" + b"".join(b"(" + shown(x) + b") Tj T*\n" for x in part) + b"ET"
+        objects.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents {5 + 2 * k} 0 R >>".encode())
+        objects.append(b"<< /Length %d >>\nstream\n" % len(drawn) + drawn + b"\nendstream")
+    out, places = bytearray(b"%PDF-1.4\n"), []
+    for k, body in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n" % k + body + b"\nendobj\n"
+    table = b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % at for at in places)
+    tail = b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, len(out))
+    with open(path, "wb") as f:
+        f.write(bytes(out) + table + tail)
+    return len(pages)
+
+
 @dataclass
 class Tab:
     name: str
@@ -109,27 +139,3 @@ def load_json(path: str, default):
             return json.load(f)
     except FileNotFoundError:
         return default
-
-
-@dataclass(frozen=True)
-class Layout:
-    """A known tool's table: recognised by its headers."""
-
-    name: str
-    required: frozenset[str]
-    pinned: tuple[str, ...] = ()
-
-
-LAYOUTS = (
-    Layout("Event log CSV", frozenset({"TimeCreated", "EventId", "Channel", "Provider", "Computer", "PayloadData1"}), ("TimeCreated", "EventId")),
-    Layout("Native event log", frozenset({"datetime", "RecordId", "EventID", "Provider", "Level", "Channel"}), ("datetime", "EventID")),
-    Layout("File table", frozenset({"EntryNumber", "SequenceNumber", "ParentPath", "FileName", "Created0x10"}), ("EntryNumber", "FileName")),
-    Layout("Change journal", frozenset({"Name", "EntryNumber", "UpdateSequenceNumber", "UpdateReasons"}), ("UpdateTimestamp", "Name")),
-    Layout("Registry", frozenset({"HivePath", "ValueName", "ValueData", "LastWriteTimestamp"}), ("LastWriteTimestamp",)),
-    Layout("Timeline database", frozenset({"datetime", "timestamp_desc", "data_type"}), ("datetime",)),
-)
-
-
-def detect_layout(columns: Sequence[str], layouts: Sequence[Layout] = LAYOUTS) -> Layout | None:
-    """The first layout whose headers are all there."""
-    return next((x for x in layouts if x.required <= set(columns)), None)
