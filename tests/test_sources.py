@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from traceloom.sources import artifacts, delimited, layouts, sinks
+from traceloom.sources import artifacts, delimited, eventlog, layouts, sinks
 
 
 def collected(df):
@@ -80,6 +80,98 @@ def test_event_xml(spark):
     assert text == "u A  from B "
 
 
+def event_log(users):
+    """A log with a record per (id, user): the first holds the template, the others refer to it; the last is damaged."""
+    chunk, utf = bytearray(b"ElfChnk\0".ljust(512, b"\0")), lambda x: x.encode("utf-16-le")
+    template, known = 0, {}
+
+    def named(at, text):
+        if text in known:
+            return struct.pack("<I", known[text])
+        known[text] = at + 4
+        return struct.pack("<IIHH", at + 4, 0, 0, len(text)) + utf(text) + b"\0\0"
+
+    def body(base):
+        out = b"\x0f\x01\x01\x00"
+
+        def start(tag, more=False):
+            nonlocal out
+            out += bytes([0x41 if more else 0x01]) + b"\0\0" + b"\0" * 4
+            out += named(base + len(out), tag) + (b"\0" * 4 if more else b"")
+
+        def attribute(name, value):
+            nonlocal out
+            out += b"\x06"
+            out += named(base + len(out), name) + value
+
+        def text(x):
+            return b"\x05\x01" + struct.pack("<H", len(x)) + utf(x)
+
+        start("Event")
+        out += b"\x02"
+        start("System")
+        out += b"\x02"
+        start("Provider", True)
+        attribute("Name", text("P&Q"))
+        out += b"\x03"
+        start("EventID")
+        out += b"\x02" + b"\x0d\x00\x00\x06" + b"\x04"
+        start("TimeCreated", True)
+        attribute("SystemTime", b"\x0d\x01\x00\x11")
+        out += b"\x03"
+        start("EventRecordID")
+        out += b"\x02" + b"\x0d\x02\x00\x0a" + b"\x04" + b"\x04"
+        start("EventData")
+        out += b"\x02"
+        start("Data", True)
+        attribute("Name", text("User"))
+        out += b"\x02" + b"\x0e\x03\x00\x01" + b"\x04"
+        start("Data", True)
+        attribute("Name", text("Sid"))
+        out += b"\x02" + b"\x0e\x04\x00\x13" + b"\x04"
+        return out + b"\x04\x04\x00"
+
+    for k, user in enumerate(users):
+        at = len(chunk) + 24
+        head, sid = b"\x0f\x01\x01\x00", bytes([1, 2, 0, 0, 0, 0, 0, 5]) + struct.pack("<II", 32, 544)
+        if not template:
+            template = at + 14
+            inside = body(template + 24)
+            define = b"\0" * 20 + struct.pack("<I", len(inside)) + inside
+        else:
+            define = b""
+        values = [(6, struct.pack("<H", 4624)), (0x11, struct.pack("<Q", 133498026000000000 + k)), (10, struct.pack("<Q", k)), (1, utf(user)), (0x13, sid)]
+        xml = head + b"\x0c\x01" + struct.pack("<II", 0, template) + define + struct.pack("<I", len(values))
+        xml += b"".join(struct.pack("<HBB", len(v), t, 0) for t, v in values) + b"".join(v for _, v in values) + b"\0"
+        size = 28 + len(xml)
+        chunk += b"**\0\0" + struct.pack("<IQQ", size, k, 0) + xml + struct.pack("<I", size)
+    chunk += b"**\0\0" + struct.pack("<IQQ", 40, 99, 0) + b"\x3f" * 12 + struct.pack("<I", 40)
+    return b"ElfFile\0".ljust(4096, b"\0") + bytes(chunk).ljust(65536, b"\0") + b"junk".ljust(65536, b"\0")
+
+
+def test_event_log(spark, tmp_path):
+    (tmp_path / "a.evtx").write_bytes(event_log(["u<1>", "", "v"]))
+    rows = sorted(artifacts.load(spark, str(tmp_path / "a.evtx")).collect(), key=lambda r: r["RecordId"])
+    assert [(r["RecordId"], r["EventID"], r["Provider"], r["datetime"]) for r in rows] == [(str(k), "4624", "P&amp;Q", f"2024-01-15 14:30:00.000000{k}") for k in range(3)]
+    assert [r["data"] for r in rows] == [{"User": u, "Sid": "S-1-5-32-544"} for u in ("u<1>", "", "v")]
+    (tmp_path / "b.evtx").write_bytes(b"other")
+    with pytest.raises(Exception, match="signature"):
+        artifacts.load(spark, str(tmp_path / "b.evtx")).collect()
+
+
+def test_event_values():
+    show = eventlog.value_text
+    assert show(0x0F, bytes(range(16))) == "{03020100-0504-0706-0809-0A0B0C0D0E0F}" and show(0x14, b"\x2c\x1a\0\0") == "0x1a2c"
+    assert show(0x81, "a\0b\0".encode("utf-16-le")) == "a\nb" and show(0x88, struct.pack("<II", 1, 2)) == "1\n2" and show(0x07, struct.pack("<i", -3)) == "-3"
+    assert show(0x12, struct.pack("<8H", 2024, 1, 1, 15, 14, 30, 5, 7)) == "2024-01-15T14:30:05.007Z" and show(0x0D, b"\1\0\0\0") == "true" and show(0, b"") == ""
+
+
+def test_event_user_data(spark):
+    xml = "<Event><System><EventID>1149</EventID></System><UserData><E xmlns='x'><Param1>u&amp;v</Param1><Param2></Param2><Param1>w</Param1></E></UserData></Event>"
+    row = artifacts.event_xml(spark.createDataFrame([(xml,)], "xml string")).first()
+    assert row["EventID"] == "1149" and row["data"] == {"Param1": "u&v", "Param2": ""}
+
+
 def mft_record(entry, parent, name, si=10**17 * 1, is_dir=False, zone=b"", namespace=1, base=0, extra=()):
     attrs = b""
 
@@ -195,4 +287,4 @@ def test_report_session_layout(spark, tmp_path):
 
 def test_unsupported(spark, tmp_path):
     with pytest.raises(ValueError):
-        artifacts.load(spark, str(tmp_path / "a.evtx"))
+        artifacts.load(spark, str(tmp_path / "a.xls"))
