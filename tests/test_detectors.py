@@ -88,3 +88,13 @@ def test_stream(spark, tmp_path):
         assert sorted(r["n"] for r in spark.sql("SELECT n FROM hist").collect()) == [1, 2]
     finally:
         q.stop()
+
+
+def test_full_text_words(spark):
+    from traceloom.operators.filters import search
+
+    rows = spark.createDataFrame([(1, "Token, example"), (2, "tokens exam"), (3, "a token's end"), (4, None), (5, "pre_token-Über"), (6, "")], "id int, t string")
+    found = lambda term: sorted(r["id"] for r in rows.where(search(["t"], term, "fts")).select("id").collect())
+    assert found("token") == [1, 3, 5] and found("tok*") == [1, 2, 3, 5] and found("token exa*") == [1]
+    assert found('"token example"') == [1] and found('"token s end"') == [3] and found("über") == [5]
+    assert found("c++") == [] and found('""') == [] and found("a.*") == []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -11,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fuzzy_match, words
+from ..functions.text import fuzzy_match
 
 
 def col(name: str) -> Column:
@@ -75,19 +76,25 @@ def search(columns: Sequence[str], term: str, mode: str = "mixed", threshold: fl
     raise ValueError(f"search mode {mode}")
 
 
-def _any_prefix(tokens: Column, prefix: str) -> Column:
-    return F.exists(tokens, lambda x: x.startswith(prefix))
+_LETTER = r"[\p{L}\p{N}]"
+
+
+def _whole_words(text: Column, found: Sequence[str], prefix: bool = False) -> Column:
+    """Whether these words stand one after the other in a lower-case text; the last one may go on if it is a prefix.
+
+    Each word is looked for as plain text first, so the pattern only sees texts that hold them all.
+    """
+    if not found or not all(re.fullmatch(r"[^\W_]+", w) for w in found):
+        return F.lit(False)
+    pattern = f"(?<!{_LETTER})" + r"[^\p{L}\p{N}]+".join(found) + ("" if prefix else f"(?!{_LETTER})")
+    return functools.reduce(operator.and_, [*[text.contains(w) for w in found], text.rlike(pattern)])
 
 
 def _full_text(name: str, term: str) -> Column:
-    tokens = words(text_of(name))
-    padded = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+    text = F.lower(text_of(name))
     if term.startswith('"'):
-        return padded.contains(" " + " ".join(term.strip('"').lower().split()) + " ")
-    parts = []
-    for t in term.lower().split():
-        parts.append(_any_prefix(tokens, t[:-1]) if t.endswith("*") else F.array_contains(tokens, t))
-    return functools.reduce(operator.and_, parts)
+        return _whole_words(text, term.strip('"').lower().split())
+    return functools.reduce(operator.and_, [_whole_words(text, [t.rstrip("*")], t.endswith("*")) for t in term.lower().split()])
 
 
 @dataclass

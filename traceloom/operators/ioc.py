@@ -47,7 +47,8 @@ def match(df: DataFrame, iocs: DataFrame, columns: Sequence[str], id_col: str) -
     words = F.array_distinct(F.split("blob", _CUT))
     if len(names) <= MAX_BROADCAST:
         keys = sorted({w for n in names if len(w := _inner_word(n.lower())) > 2})
-        words = F.array_intersect(F.split("blob", _CUT), F.array(*map(F.lit, keys)).cast("array<string>"))
+        keyed = F.broadcast(keyed)  # at most MAX_BROADCAST rows
+        words = F.array_distinct(F.filter(F.split("blob", _CUT), lambda w: w.isin(keys)))
     pairs = rows.select("row", "blob", F.explode(words).alias("word")).join(keyed.where(F.length("word") > 2), "word")
     out = pairs.where(F.col("blob").contains(F.col("low"))).select("ioc", "row").distinct()
     plain = [n for n in names if len(_inner_word(n.lower())) <= 2] if len(names) <= MAX_BROADCAST else []
