@@ -98,3 +98,14 @@ def test_full_text_words(spark):
     assert found("token") == [1, 3, 5] and found("tok*") == [1, 2, 3, 5] and found("token exa*") == [1]
     assert found('"token example"') == [1] and found('"token s end"') == [3] and found("über") == [5]
     assert found("c++") == [] and found('""') == [] and found("a.*") == []
+
+
+def test_journal_narrative(spark):
+    from traceloom.operators import ntfs
+
+    rows = spark.createDataFrame([("deletions", ".\\a", T0), ("deletions", ".\\a", T0), ("deletions", None, T0), ("close patterns", ".\\b", T0)], "category string, parent_path string, ts timestamp")
+    findings = ntfs.journal_findings(rows)
+    assert [(r["category"], r["n"], r["folders"], r["top_folder"], r["rank"]) for r in findings.orderBy("rank").collect()] == [("deletions", 3, 2, ".\\a", 1), ("close patterns", 1, 1, ".\\b", 2)]
+    told = ntfs.journal_narrative(findings).first()["narrative"]
+    assert told == "3 deletions records in 2 folders from 2024-01-01 00:00:00 to 2024-01-01 00:00:00, most of them in .\\a."
+    assert ntfs.journal_narrative(ntfs.journal_findings(rows.limit(0))).first()["narrative"] == ""
