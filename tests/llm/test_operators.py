@@ -233,6 +233,22 @@ def test_surrogates_stay_distinct(spark):
     assert len({r["text"] for r in got}) == 400 and not {r["text"] for r in got} & {t for _, t in rows}
 
 
+def test_surrogates_of_any_script_and_of_small_shapes(spark):
+    mails = ["用户@例子.中国", "사용자@예시.한국", "مثال@موقع.com", "דוגמה@אתר.com", "ผม@ไทย.com", "ხელი@საიტი.com", "٣٤@٥.com"] + [f"-@{c}.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    texts = mails + [f"+123{k:02}" for k in range(100)] + ["sk-" + "-" * 16]
+    got = [r["text"] for r in pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), count_col="n").where("n = 1").collect()]
+    assert len(got) == len(set(got)) == len(texts) and not set(got) & set(texts)
+    assert any(m.endswith(".中国") and not set(m) & set("用户例") for m in got)
+
+
+def test_more_names_than_the_shortest_surnames(spark):
+    alphabet = pii.SCRIPTS["cyrillic"][:16]
+    rows = [(k, "Mr Я" + "".join(alphabet[k >> s & 15] for s in (0, 4, 8, 12))) for k in range(25_000)]
+    assert len(rows) > len(pii.SYLLABLES["cyrillic"]) ** 4
+    got = {r["text"] for r in pii.replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 25_000 and not got & {t for _, t in rows}
+
+
 # Quality.
 
 

@@ -5,14 +5,15 @@ secrets (long hexadecimal strings and key-like tokens) and names after a title.
 
 Surrogates: an entity is a type and the mention in lower case, so its spellings in any document corefer. A keyed hash
 (SHA-256 of key, type, entity and attempt) gives a stream from which each character is replaced by one of its own kind:
-digits by digits, letters by letters of the same script (Latin, accented Latin, Greek, Cyrillic) and case, hexadecimal
-strings by hexadecimal digits; separators, lengths, a phone's country code, an IBAN's country, an e-mail's last label and
-a title stay. Addresses keep octets in range; a card keeps its Luhn validity. Names are made of given names that match
+digits by digits, letters by letters of the same script (those of SCRIPTS; any other script's letters by Latin ones) and
+case, hexadecimal strings by hexadecimal digits; separators, lengths, a phone's country code, an IBAN's country, an
+e-mail's last label and a title stay. Addresses keep octets in range; a card keeps its Luhn validity. Names are made of given names that match
 the title's gender and script and of surnames made from syllables, with the mention's case.
 
 Collision checks: all entities are gathered once (distinct, partially aggregated); where two get one surrogate, or a
 surrogate is itself some entity, all but one of them take their next attempt until no collision is left, so distinct
-entities stay distinct and no surrogate names anyone who is in the data. The table of entities is written to the shared
+entities stay distinct and no surrogate names anyone who is in the data. From attempt GROWS on each attempt makes the
+surrogate one syllable or character longer, so there are always enough of them, however few the shape itself has. The table of entities is written to the shared
 folder between attempts and is never on the driver.
 
 Rewriting: texts without a mention pass through untouched. For the others the list of mentions is the key of a table of
@@ -59,6 +60,19 @@ SYLLABLES = {
     "cyrillic": "бел вар гор дан зим кол лев мор нов пет рам сав".split(),
 }
 SCRIPTS = {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": "abcdefghijklmnopqrstuvwxyz", "accented": "àáâäçèéêëíîïñóôöùúûü", "Accented": "ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "Greek": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "cyrillic": "абвгдежзийклмнопрстуфхцчшщ", "Cyrillic": "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩ"}
+# The same for scripts without case, by their names in patterns.
+UNCASED = {
+    "Han": "安白北成大东方高国海华建江金开李林明南平青仁山石天文西新阳永玉元月云中子", "Hiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねの", "Katakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノ", "Hangul": "가나다라마바사아자차카타파하고노도로모보소오조호",
+    "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "Hebrew": "אבגדהוזחטיכלמנסעפצקרשת", "Thai": "กขคงจชซดตถทธนบปผพฟมยรลวสหอ", "Devanagari": "कखगघचछजझटठडढतथदधनपफबभमयरलवशसह",
+}
+DIGITS = "0123456789"
+# Kinds of characters: pattern and letters, the first that fits. Letters of other scripts count as Latin ones.
+KINDS = (
+    (r"[0-9]", DIGITS), (r"[A-Z]", SCRIPTS["upper"]), (r"[a-z]", SCRIPTS["lower"]), (r"(?=\p{IsGreek})\p{Lu}", SCRIPTS["Greek"]), (r"(?=\p{IsGreek})\p{L}", SCRIPTS["greek"]), (r"(?=\p{IsCyrillic})\p{Lu}", SCRIPTS["Cyrillic"]), (r"(?=\p{IsCyrillic})\p{L}", SCRIPTS["cyrillic"]), (r"(?=\p{IsLatin})\p{Lu}", SCRIPTS["Accented"]), (r"(?=\p{IsLatin})\p{L}", SCRIPTS["accented"]),
+    *((rf"(?=\p{{Is{name}}})\p{{L}}", letters) for name, letters in UNCASED.items()), (r"\p{Lu}", SCRIPTS["upper"]), (r"\p{L}", SCRIPTS["lower"]), (r"\p{N}", DIGITS),
+)
+HEXADECIMAL = ((r"[0-9a-f]", DIGITS + "abcdef"), (r"[A-F]", DIGITS + "ABCDEF"))
+GROWS = 3  # the first attempt that makes surrogates longer
 
 
 def type_of(mention: Column) -> Column:
@@ -79,44 +93,58 @@ def _number(stream: Column, at: Column) -> Column:
     return F.conv(piece, 16, 10).cast("int") + at * 7 + F.floor(at * 4 / 61).cast("int") * 131
 
 
-def _pick(letters: str, number: Column) -> Column:
-    return F.substring(F.lit(letters), F.pmod(number, F.lit(len(letters))).cast("int") + 1, F.lit(1))
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _replaced(text: Column, stream: Column, keep: Column, hexadecimal: bool = False) -> Column:
+def _pick(letters: Column, number: Column) -> Column:
+    return F.substring(letters, F.pmod(number, F.length(letters)).cast("int") + 1, F.lit(1))
+
+
+def _first(kinds, c: Column) -> Column:
+    """The letters of the first kind whose pattern fits a character; empty if none does."""
+    out = F
+    for pattern, letters in kinds:
+        out = out.when(c.rlike(pattern), F.lit(letters))
+    return out.otherwise(F.lit(""))
+
+
+def _replaced(text: Column, stream: Column, keep: Column, hexadecimal: Column) -> Column:
     """text with every character after the first `keep` replaced by one of its own kind."""
-    digits = "0123456789"
 
     def one(c: Column, i: Column) -> Column:
-        n = _number(stream, i)
-        if hexadecimal:
-            kinds = ((r"[0-9a-f]", digits + "abcdef"), (r"[A-F]", digits + "ABCDEF"))
-        else:
-            kinds = ((r"[0-9]", digits), (r"[A-Z]", SCRIPTS["upper"]), (r"[a-z]", SCRIPTS["lower"]), (r"(?=\p{IsGreek})\p{Lu}", SCRIPTS["Greek"]), (r"(?=\p{IsGreek})\p{L}", SCRIPTS["greek"]), (r"(?=\p{IsCyrillic})\p{Lu}", SCRIPTS["Cyrillic"]), (r"(?=\p{IsCyrillic})\p{L}", SCRIPTS["cyrillic"]), (r"(?=\p{IsLatin})\p{Lu}", SCRIPTS["Accented"]), (r"(?=\p{IsLatin})\p{L}", SCRIPTS["accented"]))
-        out = c
-        for pattern, letters in reversed(kinds):
-            out = F.when(c.rlike(pattern), _pick(letters, n)).otherwise(out)
-        return F.when(i < keep, c).otherwise(out)
+        letters = F.when(i < keep, F.lit("")).when(hexadecimal, _first(HEXADECIMAL, c)).otherwise(_first(KINDS, c))
+        return _let(letters, lambda x: F.when(x == "", c).otherwise(_pick(x, _number(stream, i))))
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
 def surrogate(mention: Column, kind: Column, entity: Column, attempt: Column, key: str) -> Column:
     """The replacement of a mention of an entity at its attempt."""
-    stream = F.sha2(F.concat_ws("\0", F.lit(key), kind, entity, attempt.cast("string")), 256)
+    return _let(F.sha2(F.concat_ws("\0", F.lit(key), kind, entity, attempt.cast("string")), 256), lambda stream: _made(mention, kind, attempt, stream))
+
+
+def _made(mention: Column, kind: Column, attempt: Column, stream: Column) -> Column:
     none = F.lit(0)
+    longer = F.greatest(attempt - (GROWS - 1), none)
+    grown = lambda unit: F.array_join(F.transform(F.sequence(none, longer), lambda k: F.when(k > 0, unit(_number(stream, k * 2 + 9))).otherwise("")), "")
     octet = lambda k: F.pmod(F.conv(F.substring(stream, 8 * k + 1, 4), 16, 10).cast("int"), F.lit(254)) + 1
-    ipv4 = F.concat_ws(".", *[octet(k).cast("string") for k in range(4)])
-    # The last digit of a card is the first of ten, from a keyed start, that gives the mention's Luhn validity.
-    body = _replaced(mention, stream, none)
-    head, start = F.left(body, F.length(body) - 1), _number(stream, F.lit(17))
+    # An address has no room for digits within its octets, so they follow it as a port does.
+    digits = grown(lambda n: _pick(F.lit(DIGITS), n))
+    ipv4 = F.concat(F.concat_ws(".", *[octet(k).cast("string") for k in range(4)]), F.when(longer > 0, ":").otherwise(""), digits)
     valid = lambda x: F.call_function("luhn_check", F.regexp_replace(x, "[ -]", ""))
-    ends = F.transform(F.array(*map(F.lit, range(10))), lambda d: F.concat(head, F.pmod(start + d, F.lit(10)).cast("string")))
-    card = F.element_at(F.filter(ends, lambda x: valid(x) == valid(mention)), 1)
-    secret = F.when(mention.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), _replaced(mention, stream, none, True)).otherwise(_replaced(mention, stream, F.greatest(F.length(F.regexp_extract(mention, "^(?:AKIA|ASIA|[a-z]+[_-])", 0)), none)))
-    tail = F.regexp_extract(mention, r"\.[^.]+$", 0)
-    email = F.concat(_replaced(F.left(mention, F.length(mention) - F.length(tail)), stream, none), tail)
-    phone = _replaced(mention, stream, F.length(F.regexp_extract(mention, r"^\+\d{1,3}", 0)))
+
+    def card(body: Column) -> Column:
+        # The last digit of a card is the first of ten, from a keyed start, that gives the mention's Luhn validity.
+        ends = F.transform(F.array(*map(F.lit, range(10))), lambda d: F.concat(F.left(body, F.length(body) - 1), F.pmod(_number(stream, F.lit(17)) + d, F.lit(10)).cast("string")))
+        return F.element_at(F.filter(ends, lambda x: valid(x) == valid(mention)), 1)
+
+    hexadecimal = F.coalesce(kind == "secret", F.lit(False)) & mention.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+    tail = F.when(kind == "email", F.regexp_extract(mention, r"\.[^.]+$", 0)).otherwise("")
+    start = lambda shape: F.length(F.regexp_extract(mention, shape, 0))
+    keep = F.when(kind == "iban", 2).when(kind == "phone", start(r"^\+\d{1,3}")).when((kind == "secret") & ~hexadecimal, start("^(?:AKIA|ASIA|[a-z]+[_-])")).otherwise(none)
+    replaced = _let(keep, lambda k: _let(hexadecimal, lambda h: _replaced(F.left(mention, F.length(mention) - F.length(tail)), stream, k, h)))
     title = F.regexp_extract(mention, r"^[^ ]+ ", 0)
     gender = F.when(mention.rlike(FEMALE), "female").when(mention.rlike(MALE), "male").otherwise("any")
     cyrillic = F.substring(mention, F.length(title) + 1, F.length(mention)).rlike(r"\p{IsCyrillic}")
@@ -125,12 +153,13 @@ def surrogate(mention: Column, kind: Column, entity: Column, attempt: Column, ke
         at = lambda k: _number(stream, F.lit(k))
         pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), F.pmod(n, F.lit(len(words))).cast("int") + 1)
         first = F.when(gender == "female", pick(GIVEN["female", script], at(1))).when(gender == "male", pick(GIVEN["male", script], at(1))).otherwise(pick(GIVEN["any", script], at(1)))
-        last = F.initcap(F.concat(*[pick(SYLLABLES[script], at(k)) for k in (3, 5, 7, 9)]))
+        last = F.initcap(F.concat(*[pick(SYLLABLES[script], at(k)) for k in (3, 5, 7, 9)], grown(lambda n: pick(SYLLABLES[script], n))))
         return F.concat(title, F.when(F.substring(mention, F.length(title) + 1, F.length(mention)).contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last))
 
     name = F.when(cyrillic, named("cyrillic")).otherwise(named("latin"))
-    plain = F.when(kind == "iban", _replaced(mention, stream, F.lit(2))).otherwise(body)
-    return F.when(kind == "email", email).when(kind == "card", card).when(kind == "ipv4", ipv4).when(kind == "phone", phone).when(kind == "secret", secret).when(kind == "name", name).otherwise(plain)
+    email = lambda body: F.concat(grown(lambda n: _pick(F.lit(SCRIPTS["lower"]), n)), body, tail)
+    other = _let(replaced, lambda body: F.when(kind == "email", email(body)).otherwise(F.concat(F.when(kind == "card", card(body)).otherwise(body), digits)))
+    return F.when(kind == "ipv4", ipv4).when(kind == "name", name).otherwise(other)
 
 
 def resolve(entities: DataFrame, key: str) -> DataFrame:
