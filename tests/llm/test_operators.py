@@ -302,6 +302,29 @@ def test_short_items_and_odd_texts(spark, odd):
     assert {r["doc_id"] for r in decontamination.find_leaks(odd, items).collect()} == {1, None, -6}
 
 
+def test_long_items_stay_whole(spark):
+    words = [f"w{k}" for k in range(513)]
+    passage, answer = [f"p{k}" for k in range(560)], [f"a{k}" for k in range(40)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(passage) + "? " + " ".join(answer)), (3, "one short item of words")], "item_id long, text string")
+    rows = [(1, "x w512 y"), (2, " ".join(passage)), (3, "z " * 700 + " ".join(words)), (4, " ".join(passage + answer)), (5, "one short item of words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, items).collect()) == [(3, 1), (4, 2), (5, 3)]
+    assert sorted(r["doc_id"] for r in decontamination.drop_leaks(docs, items).collect()) == [1, 2]
+    assert [x.longest for x in decontamination.build_indexes(items)] == [5, 600]
+
+
+def test_in_order_is_the_longest_common_subsequence():
+    draw = np.random.default_rng(3)
+    for _ in range(200):
+        part, window = ([b"abcd"[k : k + 1] for k in draw.integers(0, 4, n)] for n in draw.integers(0, 90, 2))
+        row = [0] * (len(part) + 1)
+        for w in window:
+            last = 0
+            for k, p in enumerate(part, 1):
+                last, row[k] = row[k], last + 1 if p == w else max(row[k], row[k - 1])
+        assert decontamination.in_order(part, window) == (row[-1] / len(part) if part else 1.0)
+
+
 # Neighbours.
 
 

@@ -14,8 +14,8 @@ The index is broadcast inside the task closures in shards of at most `shard_item
 bounded whatever the size of the benchmark; texts are read once per shard.
 
 Defined results: null and empty texts match nothing; null and wordless items are left out, and items of under five
-words count as one shingle; items of over `longest` words are cut into pieces of that many, which count on their own;
-a null id is carried along; repeated rows and repeated items match each; empty tables match nothing; other columns are
+words count as one shingle; items of over `longest` words stay whole, in indexes of their own for every doubling of
+the length, so they widen no other item's windows; a null id is carried along; repeated rows and repeated items match each; empty tables match nothing; other columns are
 not read.
 """
 
@@ -172,12 +172,17 @@ def in_order(part: list[bytes], window: list[bytes]) -> float:
     """Length of the longest common subsequence as a share of the part; 1 for an empty part."""
     if not part:
         return 1.0
-    row = [0] * (len(part) + 1)
+    # Bit-parallel: a zero in `row` is a word of the part by which the subsequence grows.
+    at: dict[bytes, int] = {}
+    for k, p in enumerate(part):
+        at[p] = at.get(p, 0) | 1 << k
+    full = (1 << len(part)) - 1
+    row = full
     for w in window:
-        last = 0
-        for k, p in enumerate(part, 1):
-            last, row[k] = row[k], last + 1 if p == w else max(row[k], row[k - 1])
-    return row[-1] / len(part)
+        if w in at:
+            both = row & at[w]
+            row = (row + both | row - both) & full
+    return (len(part) - row.bit_count()) / len(part)
 
 
 def answer_start(text: str, words: list[bytes]) -> int:
@@ -187,19 +192,18 @@ def answer_start(text: str, words: list[bytes]) -> int:
 
 
 def build_indexes(items: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_items: int = 20_000, longest: int = 512) -> Iterator[Index]:
-    """Indexes over bounded shards of the items; one shard's items at a time are on the driver."""
+    """Indexes over bounded shards of the items, by class of length; one shard's items at a time are on the driver."""
     count = items.where(F.col(text_col).isNotNull()).count()
     shards = max(1, -(-count // shard_items))
     spread = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     for shard in range(shards):
-        rows = []
+        groups: dict[int, list] = {}
         for r in spread.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == shard).collect():
             words = words_of(r["text"])
-            cut = answer_start(r["text"], words)
-            for at in range(0, len(words), longest):
-                rows.append((r["id"], words[at : at + longest], min(max(cut - at, 0), longest)))
-        rows.sort(key=lambda x: len(x[1]))
-        if rows:
+            if words:
+                groups.setdefault(((len(words) - 1) // longest).bit_length(), []).append((r["id"], words, answer_start(r["text"], words)))
+        for _, rows in sorted(groups.items()):
+            rows.sort(key=lambda x: len(x[1]))
             yield Index([x[0] for x in rows], [x[1] for x in rows], [x[2] for x in rows])
 
 
