@@ -65,6 +65,18 @@ def test_cycles_end(spark):
     assert process.ancestors(edges).count() == 3
 
 
+def test_deep_trees_and_tails_of_cycles(spark):
+    from traceloom.operators import ntfs
+
+    deep = {r["id"]: (r["depth"], r["root"]) for r in process.ancestors(spark.createDataFrame([(k, k - 1 if k else None) for k in range(151)], "id int, parent_id int")).collect()}
+    assert deep == {k: (k, 0) for k in range(151)}
+    tail = {r["id"]: r["ancestors"] for r in process.ancestors(spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 1)], "id int, parent_id int")).collect()}
+    assert tail == {0: [1, 2, 3], 1: [2, 3], 2: [3, 1], 3: [1, 2]}
+    folders = spark.createDataFrame([(k, k - 1, f"d{k}") for k in range(6, 156)], "entry long, parent long, name string")
+    paths = {r["entry"]: r["path"] for r in ntfs.parent_paths(folders).collect()}
+    assert paths[155] == ".\\" + "\\".join(f"d{k}" for k in range(6, 156))
+
+
 def test_empty_tables(spark):
     none = at(spark, [0]).limit(0)
     for df in (temporal.sessions(none, "ts"), temporal.gaps(none, "ts"), temporal.bursts(none, "ts"), aggregate.histogram(none, "ts")):

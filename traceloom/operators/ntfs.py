@@ -13,7 +13,7 @@ ROOT = 5
 EXECUTABLE = (".exe", ".dll", ".sys", ".ps1", ".bat", ".vbs", ".js", ".scr")
 
 
-def parent_paths(entries: DataFrame, max_depth: int = 64) -> DataFrame:
+def parent_paths(entries: DataFrame) -> DataFrame:
     """(entry, path): `.\\a\\b` from the root, entry 5; a missing ancestor or a cycle gives `.\\[ORPHAN]\\...`.
 
     entries: (entry, parent, name). Ancestors by pointer doubling, then one join for the names.
@@ -23,7 +23,7 @@ def parent_paths(entries: DataFrame, max_depth: int = 64) -> DataFrame:
     nodes = asked.join(tree, "entry", "left")
     # The root has no parent, so every ancestor list ends there, at a missing entry or before a repetition.
     up = nodes.select(F.col("entry").alias("id"), F.when(F.col("entry") != ROOT, F.col("parent")).alias("parent_id"))
-    lines = ancestors(up, max_depth).select("id", F.concat(F.array("id"), F.col("ancestors")).alias("line"))
+    lines = ancestors(up).select("id", F.concat(F.array("id"), F.col("ancestors")).alias("line"))
     each = lines.select("id", F.size("line").alias("n"), F.element_at("line", -1).alias("last"), F.posexplode("line").alias("at", "entry")).where(F.col("entry") != ROOT)
     named = each.join(tree.select("entry", "name"), "entry", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("at")).alias("k"), "name"))).alias("parts"), F.first("last").alias("last"))
     names = F.filter(F.transform("parts", lambda p: p["name"]), lambda n: n.isNotNull())
