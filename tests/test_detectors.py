@@ -77,6 +77,16 @@ def test_deep_trees_and_tails_of_cycles(spark):
     assert paths[155] == ".\\" + "\\".join(f"d{k}" for k in range(6, 156))
 
 
+def test_chains_round_a_cycle_and_repeated_pairs(spark):
+    from traceloom.operators import lateral
+
+    run = lambda hops: lateral.chains(spark.createDataFrame(hops, "source string, target string, first_ts int"))
+    round_trip = run([("X", "S", 1), ("S", "T", 2), ("T", "U", 3), ("U", "X", 4)])
+    assert sorted(r["path"] for r in round_trip.collect()) == ["S>T>U>X", "X>S>T>U"]
+    assert {r["host"]: r["chains"] for r in lateral.pivots(round_trip).collect()} == {"S": 1, "T": 2, "U": 1}
+    assert [tuple(r) for r in run([("A", "B", 10), ("B", "C", 9), ("B", "C", 11)]).collect()] == [("A>B>C", 2, 10, 11)]
+
+
 def test_empty_tables(spark):
     none = at(spark, [0]).limit(0)
     for df in (temporal.sessions(none, "ts"), temporal.gaps(none, "ts"), temporal.bursts(none, "ts"), aggregate.histogram(none, "ts")):

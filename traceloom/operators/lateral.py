@@ -47,19 +47,26 @@ def logon_edges(logons: DataFrame) -> DataFrame:
 def chains(edges: DataFrame, max_hops: int = 8) -> DataFrame:
     """Maximal simple paths of hops in time order: (path, hops, first_ts, last_ts); edges: (source, target, first_ts).
 
-    Each round joins the paths that can still grow with the next hops; the number of rounds is bounded by max_hops.
+    Times of a host pair are all kept: a path takes the earliest time of its first pair and then each pair's earliest one
+    that is not before the last, so it is found if any times fit. Paths begin at every pair, and those that are the
+    beginning or the end of a longer one are dropped. Each round joins the paths with the next pairs; the number of rounds
+    is bounded by max_hops, and of longer chains every part of max_hops hops is given.
     """
-    hops = edges.where("source <> target").groupBy("source", "target").agg(F.min("first_ts").alias("at"))
-    into = hops.select(F.col("target").alias("h"), F.col("source").alias("from"), F.col("at").alias("before"))
-    starts = hops.alias("e").join(into.alias("i"), (F.col("e.source") == F.col("i.h")) & (F.col("i.before") <= F.col("e.at")) & (F.col("i.from") != F.col("e.target")), "left_anti")
-    paths, out = starts.select(F.array("source", "target").alias("path"), F.col("at").alias("first_ts"), F.col("at").alias("last_ts"), F.col("target").alias("end")), None
-    step = hops.select(F.col("source").alias("end"), F.col("target").alias("to"), F.col("at").alias("next_at"))
+    hops = edges.where("source <> target").groupBy("source", "target").agg(F.array_sort(F.collect_set("first_ts")).alias("times")).where(F.size("times") > 0)
+    paths, out = hops.select(F.array("source", "target").alias("path"), F.col("times")[0].alias("first_ts"), F.col("times")[0].alias("last_ts"), F.col("target").alias("end")), None
+    step = hops.select(F.col("source").alias("end"), F.col("target").alias("to"), "times")
     for k in range(1, max_hops + 1):
-        grown = paths.join(step, "end").where((F.col("next_at") >= F.col("last_ts")) & ~F.array_contains("path", F.col("to")))
-        done = paths.join(grown.select("path").distinct(), "path", "left_anti") if k < max_hops else paths
+        done = paths
+        if k < max_hops:
+            later = F.array_min(F.filter("times", lambda t: t >= F.col("last_ts")))
+            grown = paths.join(step, "end").where(~F.array_contains("path", F.col("to"))).withColumn("next_at", later).where("next_at IS NOT NULL")
+            longer = grown.select(F.concat("path", F.array("to")).alias("path"), "first_ts", F.col("next_at").alias("last_ts"), F.col("to").alias("end"))
+            parts = longer.select(F.explode(F.array(F.slice("path", 1, k + 1), F.slice("path", 2, k + 1))).alias("path")).distinct()
+            done = paths.join(parts, "path", "left_anti")
         done = done.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"), "first_ts", "last_ts")
         out = done if out is None else out.unionByName(done)
-        paths = grown.select(F.concat("path", F.array("to")).alias("path"), "first_ts", F.col("next_at").alias("last_ts"), F.col("to").alias("end"))
+        if k < max_hops:
+            paths = longer
     return out
 
 
