@@ -268,6 +268,19 @@ def test_quality_edges(spark, odd, docs):
         quality.fit(quality.featurize(odd), labels.limit(0))
 
 
+def test_quality_of_no_documents(spark, docs):
+    import corpus_pipeline
+
+    labels = table(spark, DATA, "labels")
+    none = quality.classify(docs.limit(0), labels)
+    assert none.count() == 0 and none.dtypes == quality.classify(docs, labels).dtypes
+    assert quality.keep_good(docs.limit(0), labels).columns == docs.columns
+    part = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        part = stage(spark, part, DATA)
+    assert part.count() == 0
+
+
 # Decontamination.
 
 

@@ -142,13 +142,18 @@ def _scorer(model: Discriminant):
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """Rows (id, held_out, score, predicted) of every row of df; score is the probability of label 1."""
     features = materialize(featurize(df, id_col, text_col), "features")
+    if features.isEmpty():
+        return features.select(F.col("id").alias(id_col), F.lit(False).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     scored = features.select("id", in_held_out(F.col("id")).alias("held_out"), _scorer(fit(features, labels))("x").alias("score"))
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of df, with all their columns, whose text scores at least the threshold."""
-    model = fit(materialize(featurize(df), "features"), labels)
+    features = materialize(featurize(df), "features")
+    if features.isEmpty():
+        return df
+    model = fit(features, labels)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
