@@ -12,7 +12,7 @@ import time
 
 from traceloom.session import local_session
 
-HEADLINE = ("search_like", "search_regex", "search_fuzzy", "search_fts", "sort_page_ts", "filter_layers", "histogram_hour", "stack_event_type", "stack_part_brand", "gap_sessions", "burst_windows", "coverage_by_source", "group_drilldown", "merge_timelines", "ioc_match_counts", "chain_rules", "lateral_edges", "persistence_events")
+HEADLINE = ("search_like", "search_regex", "search_fuzzy", "search_fts", "sort_page_ts", "filter_layers", "histogram_hour", "stack_event_type", "stack_part_brand", "gap_sessions", "burst_windows", "coverage_by_source", "group_drilldown", "merge_timelines", "ioc_match_counts")
 
 
 def main() -> None:
