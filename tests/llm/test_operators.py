@@ -360,10 +360,30 @@ def test_neighbour_ties_and_bad_vectors(spark):
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def test_all_ids_agree_with_the_reference_library(odd, docs):
-    for df in (odd, docs):
-        got = tokenization.encode(df, MODEL, parity_every=1).collect()
-        assert len(got) == df.count() and all(r["decoded_ok"] and r["n_tokens"] == len(r["ids"]) for r in got)
+def test_all_ids_agree_with_the_reference_library(spark, odd, docs):
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    with open(MODEL, "rb") as f:
+        library = tokenization.Model.parse(f.read()).tokenizer()
+    spaces = ["", " ", "  ", "a", "a ", " a", "a  b", "a b  ", "\u2581a\u2581\u2581b", "\n\n x\ty", "<s> </s> <unk> <0x41>", "\U0001f600 word\U0001f600 ", "a" * 5000, "\0x", " \u3000 z"]
+    for df in (odd, docs, spark.createDataFrame(list(enumerate(spaces)), "doc_id long, text string")):
+        got = tokenization.encode(df, MODEL).collect()
+        texts = collections.Counter((r["doc_id"], tuple(own.encode(r["text"] or ""))) for r in df.collect())
+        assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in got) == texts
+        assert all(r["decoded_ok"] and r["parity_ok"] and r["n_tokens"] == len(r["ids"]) for r in got)
+        assert all(library.decode(r["ids"], skip_special_tokens=False) == own.decode(r["ids"]) for r in got[:200])
+
+
+def test_a_table_of_words_that_is_emptied(docs):
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    with open(MODEL, "rb") as f:
+        words = tokenization._Words(tokenization.Model.parse(f.read()).tokenizer(prefix=False), own, most=50)
+    for r in docs.limit(40).collect():
+        flat, sizes, same = words.encode([r["text"], "", r["text"]])
+        assert sizes[1] == 0 and same.all() and flat[: sizes[0]].tolist() == flat[sizes[0] :].tolist() == own.encode(r["text"])
 
 
 def field(number, value):
@@ -383,7 +403,10 @@ def test_unigram_models():
     model = tokenization.Model.parse(data)
     assert model.unigram and model.byte_fallback
     codec, own = model.tokenizer(), sentencepiece.SentencePieceProcessor(model_proto=data)
-    for text in ("ab abc", "cab", "", "a\u00e9b", "b  a"):
+    texts = ["ab abc", "cab", "", "a\u00e9b", "b  a"]
+    flat, sizes, same = tokenization._Texts(codec, own).encode(texts)
+    assert same.all() and flat.tolist() == [i for t in texts for i in own.encode(t)] and model.by_words()
+    for text in texts:
         assert codec.encode(text, add_special_tokens=False).ids == own.encode(text)
 
 

@@ -6,18 +6,27 @@ several threads. BPE merges are not in the file: they are every split of a piece
 score. No piece of a supported model has another character before the marker, so texts are cut before each run of
 markers, which changes no segmentation and lets the library cache words.
 
-Parity: every text whose hash falls in 1 of `parity_every` is also encoded with the sentencepiece library; a text whose
-ids differ fails the task with ValueError, and so does one whose decoding by the library differs from the join of its
-pieces. With `parity_every` 1 all texts are compared. Every text is decoded again, by that join, and compared.
+Words repeat, so a task keeps the ids of the distinct words it has met (bounded: the table is emptied when it is full)
+and only new words go through the library. This is for models with a dummy prefix and without a character map in which no
+piece has a marker after another character: no merge crosses a word's start, so a text's ids are its words' ids. Others
+are encoded text by text.
+
+Parity: everything that goes through the library is also encoded with the sentencepiece library: every word of every text,
+or whole texts for other models; `parity_ok` says whether all ids of a row agree. Every text's ids are decoded again, as
+the join of their pieces, and `decoded_ok` says whether that is the text.
 
 Defined results: null and empty texts have no ids and decode to the empty text; a marker character in a text decodes to
-a space, as in the model's own library, and `decoded_ok` compares with that; repeated rows are encoded each; an empty
-table gives no rows; other columns are not read. Models with user-defined symbols raise ValueError.
+a space, as in the model's own library, and `decoded_ok` compares with that; repeated rows are encoded each; a text that
+the libraries disagree on keeps its row; an empty table gives no rows; other columns are not read. Models with
+user-defined symbols raise ValueError.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -108,8 +117,13 @@ class Model:
         made = {CONTROL: lambda p: b"", UNKNOWN: lambda p: " \u2047 ".encode(), BYTE: lambda p: bytes([int(p[1:-1], 16)])}
         return [made.get(kind, lambda p: p.replace(MARK, " ").encode())(piece) for piece, _, kind in self.pieces]
 
-    def tokenizer(self):
-        """The rebuilt tokenizers.Tokenizer."""
+    def by_words(self) -> bool:
+        """Whether a text's ids are those of its words, each with the markers before it, one after the other."""
+        cut = not any(MARK in p.lstrip(MARK) for p, _, t in self.pieces if t == NORMAL)
+        return cut and self.dummy_prefix and self.escape and not self.charsmap and not self.trim
+
+    def tokenizer(self, prefix: bool = True):
+        """The rebuilt tokenizers.Tokenizer; without prefix, one that adds no dummy prefix."""
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
         unknown = next((k for k, p in enumerate(self.pieces) if p[2] == UNKNOWN), None)
@@ -121,7 +135,7 @@ class Model:
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.trim:
             steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
-        if self.dummy_prefix:
+        if self.dummy_prefix and prefix:
             steps.append(normalizers.Prepend(MARK if self.escape else " "))
         if self.escape:
             steps.append(normalizers.Replace(" ", MARK))
@@ -129,7 +143,7 @@ class Model:
         if not any(MARK in p.lstrip(MARK) for p, _, t in self.pieces if t == NORMAL):
             made.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
         back = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-        made.decoder = decoders.Sequence([*back, decoders.Strip(" ", 1, 0)] if self.dummy_prefix else back)
+        made.decoder = decoders.Sequence([*back, decoders.Strip(" ", 1, 0)] if self.dummy_prefix and prefix else back)
         made.encode_special_tokens = True
         return made
 
@@ -139,7 +153,86 @@ def _expected(model: Model, text: str) -> bytes | None:
     return None if model.charsmap or model.trim else text.replace(MARK, " ").encode()
 
 
-def _parts(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+_SPACED = re.compile(" *[^ ]+| +")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text under a dummy prefix, each without one space of the run before it; joined by spaces they are the text."""
+    text = text.replace(MARK, " ")
+    if "  " in text or text.startswith(" ") or text.endswith(" "):
+        return [w[1:] for w in _SPACED.findall(" " + text)]
+    return text.split(" ") if text else []
+
+
+def _flat(lists: list[list[int]], sizes: np.ndarray) -> np.ndarray:
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(sizes.sum()))
+
+
+class _Words(dict):
+    """Numbers of words, with the ids of each as a slice of one array; a word that is missing gets a number and waits."""
+
+    def __init__(self, codec, own, most: int = 500_000, most_chars: int = 1 << 23):
+        super().__init__()
+        self.codec, self.own, self.most, self.most_chars = codec, own, most, most_chars
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.waiting, self.chars, self.filled = [], 0, 0
+        self.ids, self.starts, self.sizes, self.same = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, bool)
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.waiting.append(word)
+        self.chars += len(word)
+        return number
+
+    def _learn(self) -> None:
+        found = [e.ids for e in self.codec.encode_batch_fast([" " + w for w in self.waiting], add_special_tokens=False)]
+        wanted = self.own.encode(self.waiting, num_threads=1)
+        empty = self.waiting.index("") if "" in self.waiting else -1
+        new = np.fromiter(map(len, found), np.int64, len(found))
+        size, first, full = len(self), len(self) - len(found), self.filled + int(new.sum())
+        for name, least in (("starts", size), ("sizes", size), ("same", size), ("ids", full)):
+            array = getattr(self, name)
+            if least > len(array):
+                setattr(self, name, np.concatenate((array, np.zeros(max(least - len(array), len(array)), array.dtype))))
+        self.starts[first:size], self.sizes[first:size] = self.filled + np.cumsum(new) - new, new
+        # A word that is one marker alone only stands beside others, so the own library is asked for it after a letter.
+        self.same[first:size] = [a == b or k == empty and self.own.encode("a ") == [*self.own.encode("a"), *a] for k, (a, b) in enumerate(zip(found, wanted, strict=True))]
+        self.ids[self.filled : full] = _flat(found, new)
+        self.filled, self.waiting = full, []
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the texts end to end, the number of each text's ids, and whether the libraries agree on all its words."""
+        if len(self) > self.most or self.chars > self.most_chars:
+            self.reset()
+        cut = [words_of(t) for t in texts]
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        number = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        if self.waiting:
+            self._learn()
+        sizes = self.sizes[number]
+        upto, bad = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(([0], np.cumsum(~self.same[number])))
+        flat = self.ids[np.repeat(self.starts[number] - upto[:-1], sizes) + np.arange(upto[-1])]
+        last = np.cumsum(counts)
+        return flat, upto[last] - upto[last - counts], bad[last] == bad[last - counts]
+
+
+class _Texts:
+    """The same for models that have to see a text as a whole."""
+
+    def __init__(self, codec, own):
+        self.codec, self.own = codec, own
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.codec.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        same = [a == b for a, b in zip(found, self.own.encode(texts, num_threads=1), strict=True)]
+        return _flat(found, sizes), sizes, np.array(same, bool)
+
+
+def _parts(batch: pa.RecordBatch, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `limit` bytes of text each (one text at least), which bounds the encodings held."""
     ends, first = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)), 0
     while first < batch.num_rows:
@@ -148,48 +241,42 @@ def _parts(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[pa.RecordBat
         first = stop
 
 
-def _codec(path: str, parity_every: int, threads: int):
-    kept: dict[str, tuple] = {}
+@functools.lru_cache(maxsize=1)
+def _load(path: str, threads: int) -> tuple:
+    """Model, codec and surfaces of a model file, kept by a Python worker for its later tasks."""
+    import sentencepiece
+
+    os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+    with open(path, "rb") as file:
+        data = file.read()
+    model = Model.parse(data)
+    own = sentencepiece.SentencePieceProcessor(model_proto=data)
+    codec = _Words(model.tokenizer(prefix=False), own) if model.by_words() else _Texts(model.tokenizer(), own)
+    return model, codec, model.surfaces()
+
 
+def _codec(path: str, threads: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in kept:
-            os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-            with open(path, "rb") as file:
-                data = file.read()
-            model = Model.parse(data)
-            kept[path] = data, model, model.tokenizer(), model.surfaces()
-        data, model, codec, surfaces = kept[path]
-        checker = None
+        model, codec, surfaces = _load(path, threads)
         for whole in batches:
             for batch in _parts(whole):
                 texts = batch.column(1).to_pylist()
-                found = [e.ids for e in codec.encode_batch_fast(texts, add_special_tokens=False)]
-                back = [b"".join([surfaces[i] for i in ids])[model.dummy_prefix :] for ids in found]
-                for text, ids, joined, mark in zip(texts, found, back, batch.column(2).to_pylist(), strict=True):
-                    if mark % parity_every == 0:
-                        if checker is None:
-                            import sentencepiece
-
-                            checker = sentencepiece.SentencePieceProcessor(model_proto=data)
-                        if checker.encode(text) != ids:
-                            raise ValueError(f"ids differ from the reference encoding for {text[:80]!r}")
-                        if codec.decode(ids, skip_special_tokens=False) != joined.decode("utf-8", "replace"):
-                            raise ValueError(f"decodings differ for {text[:80]!r}")
+                flat, sizes, same = codec.encode(texts)
+                ends = np.cumsum(sizes)
+                ids = flat.tolist()
+                back = (b"".join([surfaces[i] for i in ids[a:b]])[model.dummy_prefix :] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True))
                 good = [(want := _expected(model, t)) is None or want == b for t, b in zip(texts, back, strict=True)]
-                sizes = [len(x) for x in found]
-                flat = np.fromiter((i for ids in found for i in ids), np.int32, sum(sizes))
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), ids, pa.array(good, pa.bool_())], names=["id", "n_tokens", "ids", "decoded_ok"])
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), ids, pa.array(good, pa.bool_()), pa.array(same, pa.bool_())], names=["id", "n_tokens", "ids", "decoded_ok", "parity_ok"])
 
     return run
 
 
-def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", parity_every: int = 16, threads: int = 2) -> DataFrame:
-    """Rows (id, n_tokens, ids, decoded_ok) of every row of df. model_path is a local file on every machine.
+def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", threads: int = 2) -> DataFrame:
+    """Rows (id, n_tokens, ids, decoded_ok, parity_ok) of every row of df. model_path is a local file on every machine.
 
     threads: of the library's own pool in a Python worker.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("id"), text.alias("text"), F.crc32(text.cast("binary")).alias("mark"))
-    return rows.mapInArrow(_codec(model_path, parity_every, threads), f"id {kind}, n_tokens long, ids array<int>, decoded_ok boolean").withColumnRenamed("id", id_col)
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(_codec(model_path, threads), f"id {kind}, n_tokens long, ids array<int>, decoded_ok boolean, parity_ok boolean").withColumnRenamed("id", id_col)
