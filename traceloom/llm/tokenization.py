@@ -11,9 +11,8 @@ and only new words go through the library. This is for models with a dummy prefi
 piece has a marker after another character: no merge crosses a word's start, so a text's ids are its words' ids. Others
 are encoded text by text.
 
-Parity: everything that goes through the library is also encoded with the sentencepiece library: every word of every text,
-or whole texts for other models; `parity_ok` says whether all ids of a row agree. Every text's ids are decoded again, as
-the join of their pieces, and `decoded_ok` says whether that is the text.
+Parity: every text is also encoded, whole, with the sentencepiece library, and `parity_ok` says whether the ids agree. Every
+text's ids are decoded again, as the join of their pieces, and `decoded_ok` says whether that is the text.
 
 Defined results: null and empty texts have no ids and decode to the empty text; a marker character in a text decodes to
 a space, as in the model's own library, and `decoded_ok` compares with that; repeated rows are encoded each; a text that
@@ -171,15 +170,15 @@ def _flat(lists: list[list[int]], sizes: np.ndarray) -> np.ndarray:
 class _Words(dict):
     """Numbers of words, with the ids of each as a slice of one array; a word that is missing gets a number and waits."""
 
-    def __init__(self, codec, own, most: int = 500_000, most_chars: int = 1 << 23):
+    def __init__(self, codec, most: int = 500_000, most_chars: int = 1 << 23):
         super().__init__()
-        self.codec, self.own, self.most, self.most_chars = codec, own, most, most_chars
+        self.codec, self.most, self.most_chars = codec, most, most_chars
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.waiting, self.chars, self.filled = [], 0, 0
-        self.ids, self.starts, self.sizes, self.same = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, bool)
+        self.ids, self.starts, self.sizes = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
 
     def __missing__(self, word: str) -> int:
         number = self[word] = len(self)
@@ -189,22 +188,18 @@ class _Words(dict):
 
     def _learn(self) -> None:
         found = [e.ids for e in self.codec.encode_batch_fast([" " + w for w in self.waiting], add_special_tokens=False)]
-        wanted = self.own.encode(self.waiting, num_threads=1)
-        empty = self.waiting.index("") if "" in self.waiting else -1
         new = np.fromiter(map(len, found), np.int64, len(found))
         size, first, full = len(self), len(self) - len(found), self.filled + int(new.sum())
-        for name, least in (("starts", size), ("sizes", size), ("same", size), ("ids", full)):
+        for name, least in (("starts", size), ("sizes", size), ("ids", full)):
             array = getattr(self, name)
             if least > len(array):
                 setattr(self, name, np.concatenate((array, np.zeros(max(least - len(array), len(array)), array.dtype))))
         self.starts[first:size], self.sizes[first:size] = self.filled + np.cumsum(new) - new, new
-        # A word that is one marker alone only stands beside others, so the own library is asked for it after a letter.
-        self.same[first:size] = [a == b or k == empty and self.own.encode("a ") == [*self.own.encode("a"), *a] for k, (a, b) in enumerate(zip(found, wanted, strict=True))]
         self.ids[self.filled : full] = _flat(found, new)
         self.filled, self.waiting = full, []
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of the texts end to end, the number of each text's ids, and whether the libraries agree on all its words."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts end to end, and the number of each text's ids."""
         if len(self) > self.most or self.chars > self.most_chars:
             self.reset()
         cut = [words_of(t) for t in texts]
@@ -213,23 +208,22 @@ class _Words(dict):
         if self.waiting:
             self._learn()
         sizes = self.sizes[number]
-        upto, bad = np.concatenate(([0], np.cumsum(sizes))), np.concatenate(([0], np.cumsum(~self.same[number])))
+        upto = np.concatenate(([0], np.cumsum(sizes)))
         flat = self.ids[np.repeat(self.starts[number] - upto[:-1], sizes) + np.arange(upto[-1])]
         last = np.cumsum(counts)
-        return flat, upto[last] - upto[last - counts], bad[last] == bad[last - counts]
+        return flat, upto[last] - upto[last - counts]
 
 
 class _Texts:
     """The same for models that have to see a text as a whole."""
 
-    def __init__(self, codec, own):
-        self.codec, self.own = codec, own
+    def __init__(self, codec):
+        self.codec = codec
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.codec.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        same = [a == b for a, b in zip(found, self.own.encode(texts, num_threads=1), strict=True)]
-        return _flat(found, sizes), sizes, np.array(same, bool)
+        return _flat(found, sizes), sizes
 
 
 def _parts(batch: pa.RecordBatch, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
@@ -243,7 +237,7 @@ def _parts(batch: pa.RecordBatch, limit: int = 1 << 19) -> Iterator[pa.RecordBat
 
 @functools.lru_cache(maxsize=1)
 def _load(path: str, threads: int) -> tuple:
-    """Model, codec and surfaces of a model file, kept by a Python worker for its later tasks."""
+    """Model, codec, surfaces and own library of a model file, kept by a Python worker for its later tasks."""
     import sentencepiece
 
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
@@ -251,20 +245,21 @@ def _load(path: str, threads: int) -> tuple:
         data = file.read()
     model = Model.parse(data)
     own = sentencepiece.SentencePieceProcessor(model_proto=data)
-    codec = _Words(model.tokenizer(prefix=False), own) if model.by_words() else _Texts(model.tokenizer(), own)
-    return model, codec, model.surfaces()
+    codec = _Words(model.tokenizer(prefix=False)) if model.by_words() else _Texts(model.tokenizer())
+    return model, codec, model.surfaces(), own
 
 
 def _codec(path: str, threads: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, codec, surfaces = _load(path, threads)
+        model, codec, surfaces, own = _load(path, threads)
         for whole in batches:
             for batch in _parts(whole):
                 texts = batch.column(1).to_pylist()
-                flat, sizes, same = codec.encode(texts)
+                flat, sizes = codec.encode(texts)
                 ends = np.cumsum(sizes)
-                ids = flat.tolist()
-                back = (b"".join([surfaces[i] for i in ids[a:b]])[model.dummy_prefix :] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True))
+                each = [flat[a:b].tolist() for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+                same = [a == b for a, b in zip(each, own.encode(texts, num_threads=1), strict=True)]
+                back = (b"".join([surfaces[i] for i in ids])[model.dummy_prefix :] for ids in each)
                 good = [(want := _expected(model, t)) is None or want == b for t, b in zip(texts, back, strict=True)]
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), ids, pa.array(good, pa.bool_()), pa.array(same, pa.bool_())], names=["id", "n_tokens", "ids", "decoded_ok", "parity_ok"])
