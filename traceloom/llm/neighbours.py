@@ -4,23 +4,25 @@ Training: on a sample of at most `sample` vectors (the one bounded step; the sma
 k-means gives `books` full-dimensional codebooks of `size` words, refined by alternating beam-search encoding and a
 least-squares update of all codebooks together.
 Encoding: every vector is coded by beam search over the codebooks; the squared norm of its reconstruction is stored with
-the code. Search: queries are held in blocks and meet every block of codes (a stated query set against all rows, in
-blocks); a lookup table of inner products of query and codewords scores all codes of a block, the best `shortlist` of
-each block (so a fixed share of all rows) are reranked exactly in double precision on the original vectors, which stand
-beside their codes, and a block passes on its k + 1 best; those are merged per query. Scores of codes are accumulated
-in float32 from the tables; `measure` may be "ip" or "l2" (which uses the stored norms).
+the code. Search: codes are held in blocks of about `block_rows` and queries in groups of about `query_rows`, and each
+pair of a block and a group is one cogroup, so a task holds one of each however many queries the table has. A lookup
+table of inner products of query and codewords scores all codes of a block, the best `shortlist` of each block (so a
+fixed share of all rows) are reranked exactly in double precision on the original vectors, which stand beside their
+codes, and a block passes on its k + 1 best; those are merged per query. Scores of codes are accumulated in float32 from
+the tables; `measure` may be "ip" or "l2" (which uses the stored norms).
 
 Equal vectors are one entry: a class keeps its smallest `k + 1` ids (gathered over salted partial groups), which is all
 that the k nearest and the tie rule (smaller id first) can need, so copies cannot crowd a shortlist out.
 
 Defined results: vectors that are null, empty, zero, of another dimension than the most frequent one, or that hold null
 or non-finite components take no part, as query or candidate; a query's own row is left out (repeated rows with its id
-too); ties go to the smaller id; fewer candidates than k give fewer rows; empty tables give no rows; other columns are not read.
+too); rows that repeat an id with another vector are candidates of their own, so an id may have a rank for each of its
+vectors, and as a query it stands for the smallest of them in the order of arrays; ties go to the smaller id; fewer
+candidates than k give fewer rows; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,27 +40,32 @@ class Quantiser:
     books: np.ndarray
     beam: int = 8
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and squared norms of reconstruction: beam search for the smallest squared error."""
+    def encode(self, x: np.ndarray, rows_at_once: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and squared norms of reconstruction: beam search for the smallest squared error, some rows at a time."""
         m, size, _ = self.books.shape
-        n, flat = len(x), self.books.reshape(m * size, -1)
-        dots, norms = x @ flat.T, (flat**2).sum(1)
-        gram = (flat @ flat.T).reshape(m, size, m, size)
-        codes, cost = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1))
-        rows = np.arange(n)[:, None]
+        flat = self.books.reshape(m * size, -1)
+        norms, gram = (flat**2).sum(1), (flat @ flat.T).reshape(m, size, m, size)
+        parts = [self._beam(x[at : at + rows_at_once] @ flat.T, norms, gram) for at in range(0, len(x), rows_at_once)]
+        codes = np.concatenate([*parts, np.zeros((0, m), np.uint8)])
+        return codes, (self.decode(codes) ** 2).sum(1)
+
+    def _beam(self, dots: np.ndarray, norms: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        m, size, n = len(self.books), self.books.shape[1], len(dots)
+        codes, cost, rows = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1)), np.arange(n)[:, None]
         for k in range(m):
             own = slice(k * size, (k + 1) * size)
-            step = norms[own] - 2 * dots[:, own]
-            cross = np.zeros((n, codes.shape[1], size))
+            total = np.zeros((n, codes.shape[1], size))
             for j in range(k):
-                cross += np.ascontiguousarray(gram[j, :, k])[codes[:, :, j]]
-            total = (cost[:, :, None] + step[:, None, :] + 2 * cross).reshape(n, -1)
+                total += np.ascontiguousarray(gram[j, :, k])[codes[:, :, j]]
+            total *= 2
+            total += cost[:, :, None]
+            total += (norms[own] - 2 * dots[:, own])[:, None, :]
+            total = total.reshape(n, -1)
             width = min(self.beam, total.shape[1])
             best = np.argpartition(total, width - 1, axis=1)[:, :width]
             cost = total[rows, best]
             codes = np.concatenate((codes[rows, best // size], (best % size)[:, :, None]), axis=2)
-        best = codes[np.arange(n), cost.argmin(1)]
-        return best.astype(np.uint8), (self.decode(best) ** 2).sum(1)
+        return codes[np.arange(n), cost.argmin(1)].astype(np.uint8)
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return sum(book[codes[:, k]] for k, book in enumerate(self.books))
@@ -108,6 +115,14 @@ def _tables(model: Quantiser, queries: np.ndarray) -> np.ndarray:
     return np.einsum("qd,msd->qms", queries, model.books).astype(np.float32)
 
 
+_NONE = np.iinfo(np.int64).min  # the second id of a class that has one id only
+
+
+def _packed(pdf: pd.DataFrame) -> dict[str, bytes]:
+    """The columns of a block of vectors as bytes."""
+    return {c: pdf[c].to_numpy(np.int64).tobytes() for c in ("name", "id", "second") if c in pdf} | {"v": _stack(pdf["v"]).tobytes()}
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
     """Positions of the best scores of a row, ties to the smaller id."""
     if len(scores) > keep:
@@ -117,30 +132,36 @@ def _best(scores: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
     return np.arange(len(scores))
 
 
-def _shortlister(model: Quantiser, shortlist: int, keep: int, measure: str):
+def _shortlister(model: Quantiser, shortlist: int, keep: int, measure: str, queries_at_once: int = 256):
     books, _, dim = model.books.shape
 
     def run(queries: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(queries) and len(codes):
-            ids, code, norm, vectors = (
-                np.concatenate([np.frombuffer(x, kind).reshape(shape) for x in codes[c]]) for c, kind, shape in (("ids", np.int64, (-1,)), ("codes", np.uint8, (-1, books)), ("norms", np.float32, (-1,)), ("originals", np.float64, (-1, dim)))
-            )
-            flat = np.ascontiguousarray(code.T).astype(np.int64)
-            for qids, packed in zip(queries["qids"], queries["vectors"], strict=True):
-                numbers = np.frombuffer(qids, np.int64)
-                asked = np.frombuffer(packed, np.float64).reshape(len(numbers), dim)
-                for q, v, lut in zip(numbers.tolist(), asked, _tables(model, asked), strict=True):
-                    score = lut[0][flat[0]]
-                    for k in range(1, books):
-                        score += lut[k][flat[k]]
-                    if measure == "l2":
-                        score = 2 * score - norm
-                    at = _best(score, ids, shortlist)
-                    exact = (vectors[at] * v).sum(1) if measure == "ip" else -((vectors[at] - v) ** 2).sum(1)
-                    best = _best(exact, ids[at], keep)
-                    out.append((q, ids[at][best].tolist(), exact[best].tolist()))
-        return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
+        for qids, packed in zip(queries["id"], queries["v"], strict=True):
+            numbers = np.frombuffer(qids, np.int64)
+            asked = np.frombuffer(packed, np.float64).reshape(len(numbers), dim)
+            for block in codes.itertuples(index=False):
+                name, first, second = (np.frombuffer(x, np.int64) for x in (block.name, block.id, block.second))
+                norm, vectors = np.frombuffer(block.norms, np.float32), np.frombuffer(block.v, np.float64).reshape(-1, dim)
+                flat = np.ascontiguousarray(np.frombuffer(block.codes, np.uint8).reshape(-1, books).T).astype(np.int64)
+                for at in range(0, len(asked), queries_at_once):
+                    part = asked[at : at + queries_at_once]
+                    for q, v, lut in zip(numbers[at : at + queries_at_once].tolist(), part, _tables(model, part), strict=True):
+                        score = lut[0][flat[0]]
+                        for k in range(1, books):
+                            score += lut[k][flat[k]]
+                        if measure == "l2":
+                            score = 2 * score - norm
+                        # A class that is the query's own row alone takes no part; another one's first id may be its own.
+                        own = first == q
+                        score[own & (second == _NONE)] = -np.inf
+                        ids = np.where(own, second, first)
+                        near = _best(score, ids, shortlist)
+                        near = near[score[near] > -np.inf]
+                        exact = (vectors[near] * v).sum(1) if measure == "ip" else -((vectors[near] - v) ** 2).sum(1)
+                        best = _best(exact, ids[near], keep)
+                        out.append((q, name[near][best].tolist(), ids[near][best].tolist(), exact[best].tolist()))
+        return pd.DataFrame(out, columns=["query_id", "names", "ids", "scores"])
 
     return run
 
@@ -152,7 +173,7 @@ def _trained(reps: DataFrame, sample: int, books: int, size: int, beam: int) ->
 
 
 def search(
-    df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, measure: str = "ip", shortlist: int = 768, sample: int = 8192, books: int = 16, size: int = 128, beam: int = 4, block_rows: int = 8192, query_rows: int = 512
+    df: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, measure: str = "ip", shortlist: int = 768, sample: int = 8192, books: int = 16, size: int = 128, beam: int = 4, block_rows: int = 16_384, query_rows: int = 2048
 ) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each row of df that is_query holds for, its k nearest other rows.
 
@@ -160,47 +181,42 @@ def search(
     reranked for a query in each block of about block_rows classes.
     """
     spark = df.sparkSession
-    rows = usable(df.withColumn("__is_query", F.coalesce(is_query, F.lit(False))), id_col, vector_col)
+    rows = usable(df, id_col, vector_col)
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if sizes is None:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
     dim = sizes["n"]
     rows = rows.where(F.size("v") == dim)
     asked = df.where(F.coalesce(is_query, F.lit(False)))
-    queries = usable(asked, id_col, vector_col).where(F.size("v") == dim).dropDuplicates(["id"])
+    queries = usable(asked, id_col, vector_col).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
     # Classes of equal vectors, each with its smallest k + 1 ids and named by the smallest.
     smallest = lambda c: F.slice(F.array_sort(F.array_distinct(c)), 1, k + 1)
     salted = rows.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(256)).alias("salt")).agg(smallest(F.collect_list("id")).alias("ids"))
     classes = salted.groupBy("v").agg(smallest(F.flatten(F.collect_list("ids"))).alias("ids"))
-    classes = materialize(classes.select(F.col("ids")[0].alias("id"), "v", "ids"), "classes")
+    second = F.coalesce(F.try_element_at("ids", F.lit(2)), F.lit(int(_NONE))).alias("second")
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("name"), F.col("ids")[0].alias("id"), second, "v", "ids"), "classes")
     model = _trained(classes, sample, books, size, beam)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for at in range(0, len(pdf), 1024):
-                part = pdf.iloc[at : at + 1024]
-                codes, norms = model.encode(_stack(part["v"]))
-                out.append((int(part["block"].iloc[0]), part["id"].to_numpy(np.int64).tobytes(), codes.tobytes(), norms.astype(np.float32).tobytes(), _stack(part["v"]).tobytes()))
-            yield pd.DataFrame(out, columns=["block", "ids", "codes", "norms", "originals"])
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = [pdf.iloc[at : at + query_rows] for at in range(0, len(pdf), query_rows)]
-            yield pd.DataFrame([(p["id"].to_numpy(np.int64).tobytes(), _stack(p["v"]).tobytes()) for p in parts if len(p)], columns=["qids", "vectors"])
-
-    blocks = max(1, -(-classes.count() // block_rows))
-    per_block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    codes = classes.select("id", "v", per_block.alias("block")).groupBy("block").applyInPandas(lambda pdf: next(encode(iter([pdf]))), "block int, ids binary, codes binary, norms binary, originals binary")
-    packed = queries.mapInPandas(pack, "qids binary, vectors binary")
-    asked_blocks = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    short = asked_blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInPandas(_shortlister(model, shortlist, k + 1, measure), "query_id long, ids array<long>, scores array<double>")
-    found = short.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("c")).select("query_id", F.col("c.ids").alias("id"), F.col("c.scores").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    near = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
-    # A class may hold the query's own row and k others, so k + 1 classes with k + 1 ids each are enough.
-    ranked = near.join(classes.select("id", "ids"), "id").select("query_id", F.explode("ids").alias("id"), "score").where("id != query_id")
-    rank = F.row_number().over(order)
+    def code(pdf: pd.DataFrame) -> pd.DataFrame:
+        codes, norms = model.encode(_stack(pdf["v"]))
+        return pd.DataFrame([_packed(pdf) | {"block": int(pdf["block"].iloc[0]), "codes": codes.tobytes(), "norms": norms.astype(np.float32).tobytes()}])
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([_packed(pdf) | {"part": int(pdf["part"].iloc[0])}])
+
+    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = materialize(queries, "queries")
+    blocks, parts = max(1, -(-classes.count() // block_rows)), max(1, -(-queries.count() // query_rows))
+    codes = classes.select("name", "id", "second", "v", of(blocks).alias("block")).groupBy("block").applyInPandas(code, "block int, name binary, id binary, second binary, codes binary, norms binary, v binary")
+    packed = queries.select("id", "v", of(parts).alias("part")).groupBy("part").applyInPandas(pack, "part int, id binary, v binary")
+    tiles = packed.withColumn("block", every(blocks)).groupBy("block", "part").cogroup(codes.withColumn("part", every(parts)).groupBy("block", "part"))
+    short = tiles.applyInPandas(_shortlister(model, shortlist, k, measure), "query_id long, names array<long>, ids array<long>, scores array<double>")
+    found = short.select("query_id", F.explode(F.arrays_zip("names", "ids", "scores")).alias("c")).select("query_id", F.col("c.names").alias("name"), F.col("c.ids").alias("id"), F.col("c.scores").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    # Every class that is left holds another id than the query's, so k classes with k + 1 ids each are enough.
+    near = found.withColumn("place", rank).where(F.col("place") <= k).select("query_id", "name", "score")
+    ranked = near.join(classes.select("name", "ids"), "name").select("query_id", F.explode("ids").alias("id"), "score").where("id != query_id")
     return ranked.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
