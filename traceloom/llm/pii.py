@@ -1,26 +1,35 @@
 """PII surrogates, in DataFrame operations only.
 
 Detection: one pattern finds e-mail addresses, payment cards, IBANs, IPv4 addresses, social-security and phone numbers,
-secrets (long hexadecimal strings and key-like tokens) and names after a title. A mention's type is the first that fits.
+secrets (long hexadecimal strings and key-like tokens), names after a title and runs of capitalised words. A mention's
+type is the first that fits. A pair of words in a run counts as a name if some text has it after a title.
 
-Surrogates: an entity is a type and the mention in lower case, so its spellings in any document corefer. A keyed hash
-(SHA-256 of key, type, entity and attempt) gives a stream from which each character is replaced by one of its own kind:
-digits by digits, letters by letters of the same script (those of SCRIPTS; any other script's letters by Latin ones) and
-case, hexadecimal strings by hexadecimal digits; separators, lengths, a phone's country code, an IBAN's country, an
-e-mail's last label and a title stay. Addresses keep octets in range; a card keeps its Luhn validity. Names are made of given names that match
-the title's gender and script and of surnames made from syllables, with the mention's case.
+Entities: a type and the mention in its canonical form, so spellings corefer over all documents: e-mails in lower case,
+IBANs without blanks, cards, social-security and phone numbers as digits (ten digits without `+` get country code 1),
+hexadecimal strings in lower case, names without title in lower case. A surname alone is an entity of its own.
+
+Surrogates: a keyed hash (SHA-256 of key, type, entity and attempt) gives a stream from which each character of the
+canonical form is replaced by one of its own kind: digits by digits, letters by letters of the same script (those of
+SCRIPTS and UNCASED; any other script's letters by Latin ones), hexadecimal digits by hexadecimal digits; a phone's
+country code (1, 7, or two digits), an IBAN's country, an e-mail's last label and a token's prefix stay. Addresses keep
+octets in range; a card keeps its Luhn validity. Names are made of given names that match the gender of the entity's
+titles and its script, and of surnames made from syllables. The surrogate is then written into each mention's own format:
+its separators, upper case and title.
 
 Collision checks: all entities are gathered once (distinct, partially aggregated); where two get one surrogate, or a
 surrogate is itself some entity, all but one of them take their next attempt until no collision is left, so distinct
 entities stay distinct and no surrogate names anyone who is in the data. From attempt GROWS on each attempt makes the
-surrogate one syllable or character longer, so there are always enough of them, however few the shape itself has. The table of entities is written to the shared
-folder between attempts and is never on the driver.
+surrogate one syllable or character longer, so there are always enough of them, however few the shape itself has; after
+ATTEMPTS attempts RuntimeError names the types. The entities are written to the shared folder between attempts and are
+never on the driver.
 
-Rewriting: texts without a mention pass through untouched. For the others the list of mentions is the key of a table of
-surrogate lists, joined once; a hot list (many copies of one text) has one row there, so its join can be split.
+Rewriting: the pattern runs once over all texts; rows are written with their mentions, and texts without any pass through
+from there. For the others the list of mentions is the key of a table of surrogates, joined once; a hot list (many copies
+of one text) has one row there, so its join can be split. Only texts with something to replace are cut at the pattern.
 
 Defined results: null and empty texts are returned as they are with 0 replacements; rows keep their other columns and
-order of columns, whatever their names; null ids and repeated rows are carried along; an empty table gives no rows.
+order of columns, whatever their names; null ids and repeated rows are carried along; an empty table gives no rows. The
+key has no default: who knows it can look for the surrogates of guessed entities.
 """
 
 from __future__ import annotations
@@ -31,22 +40,27 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize
 
 # Shapes of the entities. A mention's type is the first of these that matches it whole.
-_LOCAL = r"[\p{L}\p{N}._%+-]{1,64}"
-_LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62})"
+_LOCAL = r"[\p{L}\p{M}\p{N}._%+-]{1,64}"
+_LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}-]{0,62})"
+_TITLE = r"(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Señor|Señora|Monsieur|Madame|Mme|Dr|Prof|Господин|Госпожа|г-н|г-жа)\.? "
+_TOKEN = r"(?:AKIA|ASIA)[A-Z0-9]{16}"
+# A capitalised word that is no title, token or part of an address.
+_WORD = rf"(?!{_TITLE})(?!{_TOKEN})\p{{Lu}}[\p{{L}}'-]{{1,30}}+(?![\p{{L}}\p{{N}}]|[\p{{L}}\p{{N}}._%+-]*@)"
 SHAPES = {
-    "email": rf"(?<![\p{{L}}\p{{N}}._%+-]){_LOCAL}@{_LABEL}(?:\.{_LABEL}){{1,6}}",
+    "email": rf"(?<![\p{{L}}\p{{M}}\p{{N}}._%+-]){_LOCAL}@{_LABEL}(?:\.{_LABEL}){{1,6}}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?![\p{L}\p{N}])",
     "ipv4": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{L}\p{N}]|\.\d)",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
     "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[A-Z0-9]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,128})(?![\p{L}\p{N}])",
-    "name": r"(?<![\p{L}\p{N}])(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Señor|Señora|Monsieur|Madame|Mme|Dr|Prof)\.? \p{Lu}[\p{L}'-]{1,30}(?: \p{Lu}[\p{L}'-]{1,30})?",
+    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|" + _TOKEN + r"|(?:sk|pk|ghp|gho|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,128})(?![\p{L}\p{N}])",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\p{{Lu}}[\p{{L}}'-]{{1,30}}(?: \p{{Lu}}[\p{{L}}'-]{{1,30}})?",
+    "run": rf"(?<![\p{{L}}\p{{N}}'-]){_WORD}(?: {_WORD})+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in SHAPES.values())
 # Titles by gender, and given names and syllables by gender and script.
-FEMALE = "^(?:Mrs|Ms|Miss|Frau|Señora|Madame|Mme)"
-MALE = "^(?:Mr|Mister|Herr|Señor|Monsieur)(?!\\p{L})"
+FEMALE = "^(?:Mrs|Ms|Miss|Frau|Señora|Madame|Mme|Госпожа|г-жа)(?!\\p{L})"
+MALE = "^(?:Mr|Mister|Herr|Señor|Monsieur|Господин|г-н)(?!\\p{L})"
 GIVEN = {
     ("female", "latin"): "Alma Berta Clara Dora Edith Flora Greta Hilda Irma Julia Klara Laura Marta Nora Olga Paula Rosa Silvia Tilda Vera".split(),
     ("male", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Nils Oskar Paul Robert Simon Tomas Viktor".split(),
@@ -71,8 +85,9 @@ KINDS = (
     (r"[0-9]", DIGITS), (r"[A-Z]", SCRIPTS["upper"]), (r"[a-z]", SCRIPTS["lower"]), (r"(?=\p{IsGreek})\p{Lu}", SCRIPTS["Greek"]), (r"(?=\p{IsGreek})\p{L}", SCRIPTS["greek"]), (r"(?=\p{IsCyrillic})\p{Lu}", SCRIPTS["Cyrillic"]), (r"(?=\p{IsCyrillic})\p{L}", SCRIPTS["cyrillic"]), (r"(?=\p{IsLatin})\p{Lu}", SCRIPTS["Accented"]), (r"(?=\p{IsLatin})\p{L}", SCRIPTS["accented"]),
     *((rf"(?=\p{{Is{name}}})\p{{L}}", letters) for name, letters in UNCASED.items()), (r"\p{Lu}", SCRIPTS["upper"]), (r"\p{L}", SCRIPTS["lower"]), (r"\p{N}", DIGITS),
 )
-HEXADECIMAL = ((r"[0-9a-f]", DIGITS + "abcdef"), (r"[A-F]", DIGITS + "ABCDEF"))
+HEXADECIMAL = ((r"[0-9a-f]", DIGITS + "abcdef"),)
 GROWS = 3  # the first attempt that makes surrogates longer
+ATTEMPTS = 64
 
 
 def type_of(mention: Column) -> Column:
@@ -120,85 +135,156 @@ def _replaced(text: Column, stream: Column, keep: Column, hexadecimal: Column) -
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def surrogate(mention: Column, kind: Column, entity: Column, attempt: Column, key: str) -> Column:
-    """The replacement of a mention of an entity at its attempt."""
-    return _let(F.sha2(F.concat_ws("\0", F.lit(key), kind, entity, attempt.cast("string")), 256), lambda stream: _made(mention, kind, attempt, stream))
+def entity_of(mention: Column, kind: Column) -> Column:
+    """The canonical form of a mention."""
+    digits = F.regexp_replace(mention, r"[^0-9]", "")
+    return (
+        F.when(kind == "email", F.lower(mention)).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind.isin("card", "ssn"), digits)
+        .when(kind == "phone", F.when(mention.startswith("+"), digits).otherwise(F.concat(F.lit("1"), digits)))
+        .when(kind == "secret", F.when(_hexadecimal(mention), F.lower(mention)).otherwise(mention))
+        .when(kind == "name", F.lower(F.regexp_replace(mention, f"^{_TITLE}", ""))).otherwise(mention)
+    )
+
+
+def _hexadecimal(secret: Column) -> Column:
+    return secret.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+
 
+def surrogate(kind: Column, entity: Column, gender: Column, attempt: Column, key: str) -> Column:
+    """(base, extra) of an entity at its attempt: its canonical surrogate and what a later attempt adds to it."""
+    stream = F.sha2(F.concat_ws("\0", F.lit(key), kind, entity, attempt.cast("string")), 256)
+    return _let(stream, lambda x: _made(kind, entity, gender, attempt, x))
 
-def _made(mention: Column, kind: Column, attempt: Column, stream: Column) -> Column:
+
+def _made(kind: Column, entity: Column, gender: Column, attempt: Column, stream: Column) -> Column:
     none = F.lit(0)
     longer = F.greatest(attempt - (GROWS - 1), none)
     grown = lambda unit: F.array_join(F.transform(F.sequence(none, longer), lambda k: F.when(k > 0, unit(_number(stream, k * 2 + 9))).otherwise("")), "")
     octet = lambda k: F.pmod(F.conv(F.substring(stream, 8 * k + 1, 4), 16, 10).cast("int"), F.lit(254)) + 1
     # An address has no room for digits within its octets, so they follow it as a port does.
     digits = grown(lambda n: _pick(F.lit(DIGITS), n))
-    ipv4 = F.concat(F.concat_ws(".", *[octet(k).cast("string") for k in range(4)]), F.when(longer > 0, ":").otherwise(""), digits)
-    valid = lambda x: F.call_function("luhn_check", F.regexp_replace(x, "[ -]", ""))
+    ipv4 = F.concat_ws(".", *[octet(k).cast("string") for k in range(4)])
 
     def card(body: Column) -> Column:
-        # The last digit of a card is the first of ten, from a keyed start, that gives the mention's Luhn validity.
+        # The last digit of a card is the first of ten, from a keyed start, that gives the entity's Luhn validity.
         ends = F.transform(F.array(*map(F.lit, range(10))), lambda d: F.concat(F.left(body, F.length(body) - 1), F.pmod(_number(stream, F.lit(17)) + d, F.lit(10)).cast("string")))
-        return F.element_at(F.filter(ends, lambda x: valid(x) == valid(mention)), 1)
+        return F.element_at(F.filter(ends, lambda x: F.call_function("luhn_check", x) == F.call_function("luhn_check", entity)), 1)
 
-    hexadecimal = F.coalesce(kind == "secret", F.lit(False)) & mention.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-    tail = F.when(kind == "email", F.regexp_extract(mention, r"\.[^.]+$", 0)).otherwise("")
-    start = lambda shape: F.length(F.regexp_extract(mention, shape, 0))
-    keep = F.when(kind == "iban", 2).when(kind == "phone", start(r"^\+\d{1,3}")).when((kind == "secret") & ~hexadecimal, start("^(?:AKIA|ASIA|[a-z]+[_-])")).otherwise(none)
-    replaced = _let(keep, lambda k: _let(hexadecimal, lambda h: _replaced(F.left(mention, F.length(mention) - F.length(tail)), stream, k, h)))
-    title = F.regexp_extract(mention, r"^[^ ]+ ", 0)
-    gender = F.when(mention.rlike(FEMALE), "female").when(mention.rlike(MALE), "male").otherwise("any")
-    cyrillic = F.substring(mention, F.length(title) + 1, F.length(mention)).rlike(r"\p{IsCyrillic}")
+    hexadecimal = (kind == "secret") & _hexadecimal(entity)
+    tail = F.when(kind == "email", F.regexp_extract(entity, r"\.[^.]+$", 0)).otherwise("")
+    prefix = F.length(F.regexp_extract(entity, "^(?:AKIA|ASIA|[a-z]+[_-])", 0))
+    keep = F.when(kind == "iban", 2).when(kind == "phone", F.when(entity.rlike("^[17]"), 1).otherwise(2)).when((kind == "secret") & ~hexadecimal, prefix).otherwise(none)
+    replaced = _let(keep, lambda k: _let(hexadecimal, lambda h: _replaced(F.left(entity, F.length(entity) - F.length(tail)), stream, k, h)))
 
     def named(script: str) -> Column:
         at = lambda k: _number(stream, F.lit(k))
-        pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), F.pmod(n, F.lit(len(words))).cast("int") + 1)
+        pick = lambda words, n: F.element_at(F.array(*[F.lit(w.lower()) for w in words]), F.pmod(n, F.lit(len(words))).cast("int") + 1)
         first = F.when(gender == "female", pick(GIVEN["female", script], at(1))).when(gender == "male", pick(GIVEN["male", script], at(1))).otherwise(pick(GIVEN["any", script], at(1)))
-        last = F.initcap(F.concat(*[pick(SYLLABLES[script], at(k)) for k in (3, 5, 7, 9)], grown(lambda n: pick(SYLLABLES[script], n))))
-        return F.concat(title, F.when(F.substring(mention, F.length(title) + 1, F.length(mention)).contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last))
+        last = F.concat(*[pick(SYLLABLES[script], at(k)) for k in (3, 5, 7, 9)], grown(lambda n: pick(SYLLABLES[script], n)))
+        return F.when(entity.contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last)
+
+    name = F.when(entity.rlike(r"\p{IsCyrillic}"), named("cyrillic")).otherwise(named("latin"))
+    other = _let(replaced, lambda body: F.when(kind == "card", card(body)).otherwise(F.concat(body, tail)))
+    base = F.when(kind == "ipv4", ipv4).when(kind == "name", name).otherwise(other)
+    extra = F.when(kind == "email", grown(lambda n: _pick(F.lit(SCRIPTS["lower"]), n))).when(kind == "name", "").when((kind == "ipv4") & (longer > 0), F.concat(F.lit(":"), digits)).otherwise(digits)
+    return F.struct(base.alias("base"), extra.alias("extra"))
+
+
+def _whole(kind: Column, made: Column) -> Column:
+    """The canonical surrogate with its addition, which stands before an e-mail and after anything else."""
+    return F.when(kind == "email", F.concat(made["extra"], made["base"])).otherwise(F.concat(made["base"], made["extra"]))
 
-    name = F.when(cyrillic, named("cyrillic")).otherwise(named("latin"))
-    email = lambda body: F.concat(grown(lambda n: _pick(F.lit(SCRIPTS["lower"]), n)), body, tail)
-    other = _let(replaced, lambda body: F.when(kind == "email", email(body)).otherwise(F.concat(F.when(kind == "card", card(body)).otherwise(body), digits)))
-    return F.when(kind == "ipv4", ipv4).when(kind == "name", name).otherwise(other)
+
+def render(mention: Column, kind: Column, made: Column) -> Column:
+    """A surrogate (base, extra) in the format of a mention."""
+    base = made["base"]
+    upper = lambda c: (F.upper(c) == c) & (F.lower(c) != c)
+    cased = lambda m, c: F.when(upper(m), F.upper(c)).otherwise(c)
+    aligned = F.array_join(F.zip_with(F.split(mention, ""), F.split(base, ""), lambda m, c: F.coalesce(cased(m, c), F.lit(""))), "")
+
+    def spaced(chars: Column) -> Column:
+        # The mention's letters and digits are the last ones of the canonical form.
+        places = F.filter(F.transform(chars, lambda c, i: F.when(c.rlike(r"[\p{L}\p{N}]"), i)), lambda i: i.isNotNull())
+        at = lambda i: F.length(base) - F.size(places) + F.array_position(places, i).cast("int")
+        return F.array_join(F.transform(chars, lambda c, i: F.when(F.array_contains(places, i), F.substring(base, at(i), F.lit(1))).otherwise(c)), "")
+
+    title = F.regexp_extract(mention, f"^{_TITLE}", 0)
+    bare = F.regexp_replace(mention, f"^{_TITLE}", "")
+    name = F.concat(title, F.when(bare == F.upper(bare), F.upper(base)).otherwise(F.initcap(base)))
+    body = F.when(kind == "name", name).when(kind == "ipv4", base).when(kind.isin("email", "secret"), aligned).otherwise(_let(F.split(mention, ""), spaced))
+    return _whole(kind, F.struct(body.alias("base"), made["extra"].alias("extra")))
 
 
 def resolve(entities: DataFrame, key: str) -> DataFrame:
-    """Rows (kind, entity, attempt) from rows (kind, entity, sample): attempts at which no two surrogates collide.
+    """Rows (kind, entity, base, extra) from rows (kind, entity, gender): canonical surrogates that do not collide.
 
-    sample is the entity's smallest spelling; surrogates are compared in lower case over all kinds.
+    They are compared in lower case over all kinds.
     """
-    now = materialize(entities.withColumn("attempt", F.lit(0)), "entities")
-    while True:
-        made = F.lower(surrogate(F.col("sample"), F.col("kind"), F.col("entity"), F.col("attempt"), key))
-        shown = now.withColumn("made", made)
-        held = shown.groupBy("made").agg(F.min(F.struct("kind", "entity")).alias("keeper"), F.count(F.lit(1)).alias("n"))
-        taken = now.select(F.col("entity").alias("made")).distinct().withColumn("taken", F.lit(True))
-        bad = held.join(taken, "made", "left").where("n > 1 OR taken")
-        moved = shown.join(bad, "made").where(F.coalesce("taken", F.lit(False)) | (F.struct("kind", "entity") != F.col("keeper"))).select("kind", "entity").withColumn("more", F.lit(1))
-        after = materialize(now.join(moved, ["kind", "entity"], "left").select("kind", "entity", "sample", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt")), "entities")
-        same = after.agg(F.sum("attempt")).first()[0] == now.agg(F.sum("attempt")).first()[0]
+    made = lambda df: df.withColumn("made", surrogate(F.col("kind"), F.col("entity"), F.col("gender"), F.col("attempt"), key))
+    now = materialize(made(entities.withColumn("attempt", F.lit(0))), "entities")
+    for _ in range(ATTEMPTS):
+        shown = now.withColumn("whole", F.lower(_whole(F.col("kind"), F.col("made"))))
+        held = shown.groupBy("whole").agg(F.min(F.struct("kind", "entity")).alias("keeper"), F.count(F.lit(1)).alias("n"))
+        taken = now.select(F.lower("entity").alias("whole")).distinct().withColumn("taken", F.lit(True))
+        bad = held.join(taken, "whole", "left").where("n > 1 OR taken")
+        moved = shown.join(bad, "whole").where(F.coalesce("taken", F.lit(False)) | (F.struct("kind", "entity") != F.col("keeper"))).select("kind", "entity").withColumn("moves", F.lit(True))
+        moved = materialize(moved, "moved")
+        if moved.isEmpty():
+            drop_table(moved)
+            return now.select("kind", "entity", "made")
+        both = now.join(moved, ["kind", "entity"], "left")
+        stay = both.where("moves IS NULL").drop("moves")
+        after = materialize(stay.unionByName(made(both.where("moves").drop("moves", "made").withColumn("attempt", F.col("attempt") + 1))), "entities")
         drop_table(now)
+        drop_table(moved)
         now = after
-        if same:
-            return now.select("kind", "entity", "attempt")
+    raise RuntimeError(f"no free surrogates after {ATTEMPTS} attempts for {[r[0] for r in now.where(F.col('attempt') == ATTEMPTS).select('kind').distinct().collect()]}")
+
+
+def _rewritten(run: Column, names: Column) -> Column:
+    """(made, n) of a run of words with the pairs that start at the keys of a map replaced, from left to right."""
+    words = F.split(run, " ")
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip"), F.lit(0).alias("n"))
+
+    def step(a: Column, i: Column) -> Column:
+        name = F.try_element_at(names, i)
+        more = F.concat(a["out"], F.array(F.coalesce(name, F.get(words, i))))
+        fresh = F.struct(more.alias("out"), name.isNotNull().alias("skip"), (a["n"] + name.isNotNull().cast("int")).alias("n"))
+        return F.when(a["skip"], F.struct(a["out"].alias("out"), F.lit(False).alias("skip"), a["n"].alias("n"))).otherwise(fresh)
+
+    done = F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), start, step)
+    return _let(done, lambda x: F.struct(F.array_join(x["out"], " ").alias("made"), x["n"].alias("n")))
 
 
-def replace_entities(df: DataFrame, text_col: str = "text", key: str = "traceloom", count_col: str | None = None) -> DataFrame:
+def replace_entities(df: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """df with surrogates in its texts; count_col, if given, is a further column with the number of replacements."""
+    if not key:
+        raise ValueError("a secret key is needed")
     text, columns = F.col(f"`{text_col}`"), df.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col]).alias("row") if len(columns) > 1 else F.lit(None).alias("row")
-    found = F.coalesce(text.rlike(PATTERN), F.lit(False))
-    name = F.sha2(F.to_json(mentions_of(text)), 256).alias("list")
-    hits = df.where(found).select(row, text.alias("text"), name)
-    lists = materialize(df.where(found).select(name, mentions_of(text).alias("mentions")).dropDuplicates(["list"]), "mentions")
-    each = lists.select("list", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", type_of(F.col("mention"))).withColumn("entity", F.lower("mention"))
-    attempts = resolve(each.groupBy("kind", "entity").agg(F.min("mention").alias("sample")), key)
-    made = each.join(attempts, ["kind", "entity"]).select("list", "at", surrogate(F.col("mention"), F.col("kind"), F.col("entity"), F.col("attempt"), key).alias("made"))
-    swaps = made.groupBy("list").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "made"))), lambda x: x["made"]).alias("swaps"))
-    swaps = materialize(swaps, "swaps")
-    pieces = F.zip_with(F.split(F.col("text"), PATTERN, -1), F.col("swaps"), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
-    changed = hits.join(swaps, "list").select("row", F.array_join(pieces, "").alias("text"), F.size("swaps").alias("n"))
-    rest = df.where(~found).select(row, text.alias("text"), F.lit(0).alias("n"))
-    both = changed.unionByName(rest)
+    row = F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col]).alias("row") if len(columns) > 1 else F.lit(True).alias("row")
+    rows = materialize(df.select(row, text.alias("text"), mentions_of(text).alias("mentions")), "mentions")
+    found = F.coalesce(F.size("mentions") > 0, F.lit(False))
+    hits = rows.where(found).withColumn("list", F.sha2(F.to_json("mentions"), 256))
+    lists = hits.select("list", "mentions").dropDuplicates(["list"])
+    each = materialize(lists.select("list", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", type_of(F.col("mention"))), "each")
+    whole = each.where("kind <> 'run'").select("list", "at", F.lit(-1).alias("i"), F.lit(None).cast("string").alias("run"), "mention", "kind")
+    whole = whole.withColumn("entity", entity_of(F.col("mention"), F.col("kind")))
+    is_name = F.col("kind") == "name"
+    female, male = (F.coalesce(F.max(is_name & F.col("mention").rlike(p)), F.lit(False)) for p in (FEMALE, MALE))
+    gender = F.when(female & ~male, "female").when(male & ~female, "male").otherwise("any")
+    made = resolve(whole.groupBy("kind", "entity").agg(gender.alias("gender")), key)
+    words = F.split("mention", " ")
+    pair = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))
+    pairs = each.where("kind = 'run'").select("list", "at", F.col("mention").alias("run"), F.posexplode(pair).alias("i", "mention"))
+    pairs = pairs.select("list", "at", "i", "run", "mention", F.lit("name").alias("kind"), F.lower("mention").alias("entity"))
+    shown = whole.unionByName(pairs).join(made, ["kind", "entity"]).select("list", "at", "i", "run", render(F.col("mention"), F.col("kind"), F.col("made")).alias("shown"))
+    names = F.map_from_entries(F.collect_list(F.struct("i", "shown")))
+    swap = F.when(F.first("run").isNull(), F.struct(F.first("shown").alias("made"), F.lit(1).alias("n"))).otherwise(_rewritten(F.first("run"), names))
+    swaps = shown.groupBy("list", "at").agg(swap.alias("swap")).groupBy("list").agg(F.map_from_entries(F.collect_list(F.struct("at", "swap"))).alias("swaps"))
+    joined = hits.join(materialize(swaps, "swaps"), "list", "left")
+    pieces = F.zip_with(F.split("text", PATTERN, -1), F.sequence(F.lit(0), F.size("mentions")), lambda p, k: F.concat(p, F.coalesce(F.try_element_at("swaps", k)["made"], F.get("mentions", k), F.lit(""))))
+    count = F.aggregate(F.map_values("swaps"), F.lit(0), lambda a, x: a + x["n"])
+    changed = joined.select("row", F.when(F.col("swaps").isNull(), F.col("text")).otherwise(F.array_join(pieces, "")).alias("text"), F.coalesce(count, F.lit(0)).alias("n"))
+    both = changed.unionByName(rows.where(~found).select("row", "text", F.lit(0).alias("n")))
     out = [F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns]
     return both.select(*out, *([F.col("n").alias(count_col)] if count_col else []))
