@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from traceloom.llm import decontamination, pii, quality, simhash, tokenization
 from traceloom.llm.common import materialize, table
-from traceloom.llm.registry import SENTENCEPIECE_MODEL
+from traceloom.llm.registry import SENTENCEPIECE_MODEL, surrogate_key
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +32,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by surrogates; n_chars, where there is such a column, follows the new text."""
-    out = pii.replace_entities(docs)
+    out = pii.replace_entities(docs, surrogate_key(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids, decoded_ok) of the texts that are left."""
+    """Rows (doc_id, n_tokens, ids, decoded_ok, parity_ok) of the texts that are left."""
     return tokenization.encode(docs, SENTENCEPIECE_MODEL)
 
 
