@@ -119,49 +119,85 @@ def test_one_of_each_group_stays(odd):
 # Language model.
 
 
-def brute_scores(rows, prior=3.0):
+def brute_scores(rows, order, prior=3.0):
+    """Counts and scores by the formula of the model, word by word."""
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-    one, two = collections.Counter(), collections.Counter()
+
+    def steps(text):
+        line = [b"", *tokens(text)]
+        return [(tuple(line[max(0, k - order + 1) : k]), line[k]) for k in range(1, len(line))]
+
+    one, many, contexts = collections.Counter(), collections.Counter(), collections.Counter()
     for i, t in rows:
         if not held(i):
             one.update(tokens(t))
-            two.update(zip([b"", *tokens(t)[:-1]], tokens(t), strict=True))
+            for h, w in steps(t):
+                for k in range(len(h)):
+                    many[h[k:], w] += 1
+                    contexts[h[k:]] += 1
     n, kinds, out = sum(one.values()), len(one), []
+
+    def p(h, w):
+        if not h:
+            return (one[w] + 1) / (n + kinds + 1)
+        return (many[h, w] + prior * p(h[1:], w)) / (contexts[h] + prior)
+
     for i, t in rows:
-        words, before, base, score = tokens(t), b"", 0.0, 0.0
-        for w in words:
-            p = (one[w] + 1) / (n + kinds + 1)
-            base += math.log10(p)
-            score += math.log10((two[before, w] + prior * p) / (one[before] + prior)) if one[before] else math.log10(p)
-            before = w
+        words = tokens(t)
+        base, score = sum(math.log10(p((), w)) for w in words), sum(math.log10(p(h, w)) for h, w in steps(t))
         out.append((str(i), held(i), len(words), sum(one[w] > 0 for w in words), n, round(base, 6), round(score, 6)))
     return sorted(out)
 
 
-@pytest.mark.parametrize("size", [20_000, 4 << 20])
-def test_language_model(odd, docs, size):
+@pytest.mark.parametrize(("order", "size"), [(1, 20_000), (2, 20_000), (3, 20_000), (3, 8 << 20), (4, 50_000)])
+def test_language_model(odd, docs, order, size):
     for df in (odd, docs):
         rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
-        got = sorted((str(r[0]), r[1], r[2], r[3], r[4], round(r[5], 6), round(r[6], 6)) for r in language_model.score_texts(df, block_bytes=size).collect())
-        assert got == brute_scores(rows)
+        got = sorted((str(r[0]), r[1], r[2], r[3], r[4], round(r[5], 6), round(r[6], 6)) for r in language_model.score_texts(df, order=order, block_bytes=size, bucket_bytes=2 * size).collect())
+        assert got == brute_scores(rows, order)
+
+
+def test_messages_grow_in_proportion(docs):
+    """Blocks send no more rows than a hundredth of their bytes for each order, whatever the number of blocks."""
+    sizes = {}
+    for copies in (1, 2, 4):
+        many = docs.crossJoin(docs.sparkSession.range(copies)).select((F.col("doc_id") * 10 + F.col("id")).alias("doc_id"), F.concat("text", F.lit(" "), F.col("id").cast("string")).alias("text"))
+        stages = language_model._stages(many, "doc_id", "text", 7, 2, 3.0, 3, 2000, 100, 8)
+        sizes[copies] = {k: stages[k].count() for k in ("words", "grams")}
+    for k in ("words", "grams"):
+        assert 1.8 < sizes[2][k] / sizes[1][k] < 2.2 and 1.8 < sizes[4][k] / sizes[2][k] < 2.2
 
 
 def test_states_are_distributions(docs):
     texts = [r["text"].encode() for r in docs.limit(20).collect()]
-    block = language_model._Block(texts, np.ones(len(texts), bool))
-    tokens, kinds, k = int(block.counts.sum()), len(block.words), 3.0
-    root = (block.counts + 1) / (tokens + kinds + 1)
-    machine = language_model._compile(block, block.counts, block.key_counts, tokens, kinds, k)
-    for context in range(0, kinds, 97):
-        seen = block.key_context == context
-        p = (10.0 ** machine.arc[seen]).sum() + 10.0 ** machine.failure[machine.state_after[context]] * (1 - root[block.key_word[seen]].sum())
-        assert p == pytest.approx(1)
-
-
-def test_keys_survive_packing():
-    for keys in (np.zeros(0, np.uint64), np.array([7], np.uint64), np.unique(np.random.default_rng(2).integers(0, 1 << 56, 999).astype(np.uint64))):
-        assert (language_model.unpack_keys(language_model.pack_keys(keys)) == keys).all()
+    block = language_model._Block(texts, np.ones(len(texts), bool), 1)
+    tokens, kinds = int(block.counts.sum()), len(block.words)
+    grams = language_model._Grams(block, np.arange(kinds), 3)
+    machine = language_model.build(grams, grams.counts, tokens, kinds, 3.0)
+    lower = (grams.counts[0] + 1) / (tokens + kinds + 1)
+    for n in (1, 2):
+        for context in range(0, len(grams.counts[n - 1]), 97):
+            if n == 2 and grams.keys[1][1][context] == 0:
+                continue  # nothing follows the end of a text
+            seen = grams.contexts[n] == context
+            below = 10.0 ** machine.arcs[0][grams.suffixes[1][seen]] if n == 1 else 10.0 ** machine.arcs[1][grams.suffixes[2][seen]]
+            p = (10.0 ** machine.arcs[n][seen]).sum() + 10.0 ** machine.failures[n - 1][context] * (1 - below.sum())
+            assert p == pytest.approx(1)
+    assert lower.sum() == pytest.approx((tokens + kinds) / (tokens + kinds + 1))
+
+
+def test_numbers_survive_packing_and_equal_hashes_are_told_apart():
+    draw = np.random.default_rng(2)
+    for values in (np.zeros(0, np.int64), np.array([7]), draw.integers(0, 1 << 62, 999), np.zeros(5, np.int64)):
+        assert (language_model.unpack(language_model.pack(values)) == values).all()
+    columns = [np.sort(draw.integers(0, 30, 500)), draw.integers(0, 4, 500), draw.integers(0, 4, 500)]
+    assert all((a == b).all() for a, b in zip(language_model._unpack_columns(language_model._pack_columns(columns)), columns, strict=True))
+    counts, want = draw.integers(0, 9, 500), collections.Counter()
+    for row, c in zip(zip(*columns, strict=True), counts, strict=True):
+        want[row] += c
+    for hashes in (None, np.zeros(500, np.uint64)):
+        assert language_model.add_up(columns, counts, hashes).tolist() == [want[row] for row in zip(*columns, strict=True)]
 
 
 # WARC.
