@@ -4,9 +4,11 @@ Writing: one record per page, an HTTP response with chunked transfer framing. Of
 `min_revisit` bytes the one with the largest id is the response and the others are revisit records that name it. Blocks
 over `segment_bytes` are cut into a first segment and continuation records. Archives are files of WARC records
 (gzip'd as a whole), written by Spark's text writer into the shared folder, so any Hadoop store serves and task retries
-are safe.
+are safe. Payloads under `min_revisit` bytes meet no join; the others meet the table of repeated payloads, in which each
+is there once for each of `salts` salts, so a payload that a third of all rows have is dealt to several tasks.
 
-Reading: a file is parsed record by record. Records without segments are complete; segments are grouped by their origin
+Reading: a file is decompressed and parsed record by record, so a task holds the compressed file and some records; a file
+has at most `file_records` records of at most about `segment_bytes`. Records without segments are complete; segments are grouped by their origin
 id (a group is one record's block, whatever the number of records), ordered by segment number, and are valid if the
 numbers run from 1 without a gap and the length is the total that the last one states. Chunked framing is then decoded
 and the payload's digest compared with the header's.
@@ -18,8 +20,11 @@ are not read. Ids must be integers.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -80,13 +85,16 @@ def page_records(number: str, page_id: int | None, url: str | None, payload: byt
         yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:record:{number}:{k}>"), *head[1:3], *origin], part)
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = 1000, segment_bytes: int = 1 << 16) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = 1000, segment_bytes: int = 1 << 16, file_records: int = 4000, salts: int = 16) -> None:
     """Writes a record per row of pages under path."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload")).withColumn("same", F.when(F.col("size") >= min_revisit, F.sha2("payload", 256)))
-    groups = rows.where("same is not null").groupBy("same", "size").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    marked = rows.join(groups, ["same", "size"], "left").select("id", "url", "payload", F.when(F.col("first") != F.col("id"), F.col("first")).alias("refers_to"))
+    groups = rows.where("same is not null").groupBy("same", "size").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    salted = groups.select("same", "size", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    large = rows.where("same is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+    repeats = large.join(salted, ["same", "size", "salt"], "left").select("id", "url", "payload", F.when(F.col("first") != F.col("id"), F.col("first")).alias("refers_to"))
+    marked = repeats.unionByName(rows.where("same is null").select("id", "url", "payload", F.lit(None).cast("long").alias("refers_to")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, row = TaskContext.get().partitionId(), 0
@@ -103,21 +111,23 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = marked.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", RECORD_END.decode()).option("maxRecordsPerFile", 20_000).option("compression", "gzip").text(path)
+    records.write.option("lineSep", RECORD_END.decode()).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-case names) and block of each record of an archive."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        end = data.index(RECORD_END, at)
-        head = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:])
-        head = {k.lower(): v for k, v in head.items()}
-        stop = end + 4 + int(head["content-length"])
-        yield head, data[end + 4 : stop]
-        at = stop + len(RECORD_END)
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record where {line[:40]!r} is")
+        head = {}
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode().rstrip("\r\n").partition(": ")
+            head[name.lower()] = value
+        size = int(head["content-length"])
+        block = stream.read(size)
+        if len(block) != size or stream.read(len(RECORD_END)) != RECORD_END:
+            raise ValueError(f"record {head.get('warc-record-id')} is cut short")
+        yield head, block
 
 
 _PARSED = "record_id string, type string, target string, digest string, refers_to string, origin string, number int, total long, block binary"
@@ -125,15 +135,15 @@ _PARSED = "record_id string, type string, target string, digest string, refers_t
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A row per WARC record under path."""
-    import gzip
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("target", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary())])
         whole = lambda x: None if x is None else int(x)
         for batch in batches:
             for content in batch.column(0):
-                raw, rows, held = content.as_buffer().to_pybytes(), [], 0
-                for h, block in parse_records(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                raw, rows, held = pa.BufferReader(content.as_buffer()), [], 0
+                packed = raw.read(2) == b"\x1f\x8b"
+                raw.seek(0)
+                for h, block in parse_records(io.BufferedReader(gzip.GzipFile(fileobj=raw) if packed else raw, 1 << 20)):
                     rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-payload-digest"), h.get("warc-refers-to-target-uri"), h.get("warc-segment-origin-id"), whole(h.get("warc-segment-number")), whole(h.get("warc-segment-total-length")), block))
                     held += len(block)
                     if held > 16 << 20:
@@ -157,11 +167,18 @@ def reassemble(records: DataFrame) -> DataFrame:
     grouped = pieces.groupBy("record_id").agg(
         *map(first, ("type", "target", "digest", "refers_to")), F.max("total").alias("total"), F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts")
     )
-    block = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["block"]))
-    joined = grouped.withColumn("block", block).withColumn("segments", F.size("parts"))
-    numbers = F.transform("parts", lambda p: p["number"]) == F.sequence(F.lit(1), F.col("segments"))
-    valid = F.coalesce(numbers & (F.octet_length("block") == F.col("total")), F.lit(False))
-    return whole.unionByName(joined.select("record_id", "type", "target", "digest", "refers_to", "segments", valid.alias("valid"), "block"))
+    numbers = F.transform("parts", lambda p: p["number"]) == F.sequence(F.lit(1), F.size("parts"))
+    sized = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p["block"])) == F.col("total")
+    valid = F.coalesce(numbers & sized, F.lit(False)).alias("valid")
+    named = grouped.select("record_id", "type", "target", "digest", "refers_to", F.size("parts").alias("segments"), valid, F.transform("parts", lambda p: p["block"]).alias("blocks"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = pa.array([b"".join(x.as_py() for x in parts.values) for parts in batch.column(7)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], blocks], names=[*batch.schema.names[:7], "block"])
+
+    schema = "record_id string, type string, target string, digest string, refers_to string, segments int, valid boolean, block binary"
+    return whole.unionByName(named.mapInArrow(joined, schema))
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, segments int, valid boolean, payload binary"
