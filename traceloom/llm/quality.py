@@ -7,19 +7,21 @@ pooled one and toward its diagonal; its Cholesky factor is cached and a score is
 Mahalanobis log densities plus the log prior odds.
 
 Defined results: null and empty texts have the statistics of an empty text and are scored; a null id counts as the
-empty text for the fold; repeated label rows count each; labels without both classes raise ValueError; an empty
-documents table gives no rows; other columns are not read.
+empty text for the fold; repeated rows are scored each, repeated label rows count each; where either class has fewer than
+two labelled rows outside the fold there is nothing to tell texts apart by, and every score is the smoothed share of label
+1 among those rows, (n1 + 1) / (n + 2); an empty documents table gives no rows; other columns, whatever their names, are
+not read, and keep_good returns them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_of_id, materialize
 
@@ -66,15 +68,21 @@ def statistics(text: str | None) -> list[float]:
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Means and inverse Cholesky factors of the two classes, with the constant of the log density difference."""
+    """Means and inverse Cholesky factors of the two classes, with the constant of the log density difference.
+
+    always: the score of every text, where the classes could not be told apart.
+    """
 
     center: np.ndarray
     scale: np.ndarray
     means: np.ndarray
     inverse: np.ndarray
     offset: float
+    always: float | None = None
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        if self.always is not None:
+            return np.full(len(x), self.always)
         z = np.clip((x - self.center) / self.scale, -8, 8)
         away = [((z - m) @ inv.T) ** 2 for m, inv in zip(self.means, self.inverse, strict=True)]
         return 1 / (1 + np.exp(np.clip(0.5 * (away[1].sum(1) - away[0].sum(1)) - self.offset, -700, 700)))
@@ -82,9 +90,10 @@ class Discriminant:
 
 def solve(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, shrink: float, diagonal: float) -> Discriminant:
     """The discriminant from each class's row count, sums and sums of products."""
-    if (counts < 2).any():
-        raise ValueError("labelled rows of both classes are needed")
     total, d = counts.sum(), sums.shape[1]
+    if (counts < 2).any():
+        none = np.zeros((2, d))
+        return Discriminant(none[0], none[0] + 1, none, np.zeros((2, d, d)), 0.0, float((counts[1] + 1) / (total + 2)))
     center = sums.sum(0) / total
     scale = np.sqrt(np.maximum(np.diag(products.sum(0)) / total - center**2, 1e-6))
     means = (sums / counts[:, None] - center) / scale
@@ -100,15 +109,14 @@ def solve(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, shrink: fl
     return Discriminant(center, scale, means, np.stack([np.linalg.inv(f) for f in factors]), float(offset))
 
 
-def featurize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, x): x is the array of statistics."""
-    kind = df.schema[id_col].dataType.simpleString()
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _statistics(texts: pd.Series) -> pd.Series:
+    return pd.Series([statistics(t) for t in texts])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "x": [statistics(t) for t in pdf["text"]]})
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, x array<double>")
+def featurize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, x): x is the array of statistics."""
+    return df.select(F.col(f"`{id_col}`").alias("id"), _statistics(F.col(f"`{text_col}`")).alias("x"))
 
 
 def in_held_out(column, folds: int = 5, fold: int = 0):
@@ -123,11 +131,10 @@ def fit(features: DataFrame, labels: DataFrame, label_col: str = "quality", shri
     sums = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(d)]
     products = [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}_{j}") for i in range(d) for j in range(i + 1)]
     found = {r["y"]: r for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n"), *sums, *products).collect()}
-    if set(found) != {0, 1}:
-        raise ValueError("labelled rows of both classes are needed")
-    counts = np.array([found[k]["n"] for k in (0, 1)], float)
-    s = np.array([[found[k][f"s{i}"] for i in range(d)] for k in (0, 1)])
-    p = np.array([[[found[k][f"p{max(i, j)}_{min(i, j)}"] for j in range(d)] for i in range(d)] for k in (0, 1)])
+    value = lambda k, name: found[k][name] if k in found else 0
+    counts = np.array([value(k, "n") for k in (0, 1)], float)
+    s = np.array([[value(k, f"s{i}") for i in range(d)] for k in (0, 1)], float)
+    p = np.array([[[value(k, f"p{max(i, j)}_{min(i, j)}") for j in range(d)] for i in range(d)] for k in (0, 1)], float)
     return solve(counts, s, p, shrink, diagonal)
 
 
@@ -149,14 +156,12 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_good(df: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of df, with all their columns, whose text scores at least the threshold."""
-    features = materialize(featurize(df), "features")
-    if features.isEmpty():
-        return df
-    model = fit(features, labels)
+    """The rows of df, with all their columns, whose text scores at least the threshold.
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics(t) for t in texts])) if len(texts) else np.zeros(0))
-
-    return df.where(score(df["text"]) >= threshold)
+    Rows are written once with their statistics, which both the fit and the decision read.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    rows = materialize(df.select(row, F.col("doc_id").alias("id"), _statistics(F.col("text")).alias("x")), "features")
+    if rows.isEmpty():
+        return df
+    return rows.where(_scorer(fit(rows.select("id", "x"), labels))("x") >= threshold).select("row.*")
