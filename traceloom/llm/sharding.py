@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialize
+
 _STEP = np.uint64(2862933555777941757)  # multiplier of the published generator
 
 
@@ -55,6 +57,7 @@ def assign_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = same.withColumn("key", key).select(
         "*", _placer(shards)("key").alias("shard"), _placer(shards + 1)("key").alias("grown_shard"), F.pmod(F.xxhash64("id", "text_crc32", "size"), F.lit(buckets)).cast("int").alias("bucket")
     )
+    placed = materialize(placed, "placed")  # narrow: the texts are read once
     cells = placed.groupBy("shard", "bucket").agg(F.sum("copies").alias("n"))
     starts = cells.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("start"))
     in_cell = Window.partitionBy("shard", "bucket").orderBy("id", "text_crc32", "size")
