@@ -86,14 +86,16 @@ def train(x: np.ndarray, books: int, size: int, beam: int, rounds: int = 4, seed
         rest = rest - center[(((center**2).sum(1)) - 2 * rest @ center.T).argmin(1)]
     model = Quantiser(np.stack(found), beam)
     for _ in range(rounds):
-        codes = model.encode(x)[0].astype(np.int64) + np.arange(books) * size
+        codes = model.encode(x, 256)[0].astype(np.int64) + np.arange(books) * size
         counts = np.zeros((books * size, books * size))
         sums = np.zeros((books * size, x.shape[1]))
         for a in range(books):
             np.add.at(sums, codes[:, a], x)
             for b in range(books):
                 np.add.at(counts, (codes[:, a], codes[:, b]), 1)
-        flat = np.linalg.solve(counts + 1e-3 * np.eye(books * size), sums + 1e-3 * model.books.reshape(books * size, -1))
+        counts.flat[:: books * size + 1] += 1e-3
+        flat = np.linalg.solve(counts, sums + 1e-3 * model.books.reshape(books * size, -1))
+        del counts, sums
         model = Quantiser(flat.reshape(books, size, -1), beam)
     return model
 
