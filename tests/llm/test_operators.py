@@ -34,6 +34,7 @@ def docs(spark):
 def test_every_operator_takes_an_empty_table(spark, odd):
     none, items = odd.limit(0), spark.createDataFrame([(1, "x y z")], "item_id long, text string")
     assert sharding.assign_shards(none).count() == 0
+    assert quality.classify(none, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == 0
     assert simhash.near_duplicates(none).count() == 0
     assert simhash.keep_representatives(none).count() == 0
     assert language_model.score_texts(none).count() == 0
@@ -60,6 +61,29 @@ def test_shards(odd, docs):
         assert set(got[got["shard"] != got["grown_shard"]]["grown_shard"]) <= {24}
 
 
+def scalar_jump(key, shards):
+    """The published loop, one key at a time."""
+    at, jump = -1, 0
+    while jump < shards:
+        at = jump
+        key = (key * 2862933555777941757 + 1) & (1 << 64) - 1
+        jump = int((at + 1) * ((1 << 31) / ((key >> 33) + 1)))
+    return at
+
+
+def test_shards_by_brute_force(spark, odd, docs):
+    import xxhash
+
+    for df in (odd, docs.withColumns({"size": F.lit(1), "law": F.lit(2), "bucket": F.lit(3), "copies": F.lit(4)})):
+        want = collections.Counter()
+        for r in df.select("doc_id", "text").collect():
+            key = xxhash.xxh64_intdigest("\0null" if r["doc_id"] is None else str(r["doc_id"]), 42)
+            raw = (r["text"] or "").encode()
+            want[r["doc_id"], len(raw) + 8, zlib.crc32(raw), "key", scalar_jump(key, 24), scalar_jump(key, 25)] += 1
+        got = sharding.assign_shards(df).collect()
+        assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"], r["law"], r["shard"], r["grown_shard"]) for r in got) == want
+
+
 def test_jump_hash_moves_only_into_the_new_shard():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 4000).astype(np.uint64)
     before = sharding.jump_hash(keys, 1)
@@ -113,7 +137,15 @@ def test_long_paths_are_one_component(spark):
 
 def test_one_of_each_group_stays(odd):
     kept = simhash.keep_representatives(odd)
-    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [-6, 2, 4, 5]
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [-6, 2, 4, 5]
+
+
+def test_rows_are_kept_not_ids(spark):
+    other, third = "q r s t u v w x", "k l m n o p"
+    run = lambda rows: sorted(simhash.keep_representatives(spark.createDataFrame([(*r, "f") for r in rows], "doc_id long, text string, fp string")).select("doc_id", "text").collect(), key=str)
+    assert run([(4, LONG), (4, other)]) == sorted([(4, LONG), (4, other)], key=str)
+    assert run([(2, LONG), (4, LONG), (4, other)]) == sorted([(2, LONG), (4, other)], key=str)
+    assert run([(None, LONG), (None, LONG), (None, other), (7, third), (None, third)]) == sorted([(None, LONG), (None, other), (7, third)], key=str)
 
 
 # Language model.
@@ -205,8 +237,8 @@ def test_numbers_survive_packing_and_equal_hashes_are_told_apart():
 
 def test_archives_round_trip(spark, tmp_path):
     big = "é" * 70_000
-    rows = [(1, "http://a", "x" * 2000), (3, None, "x" * 2000), (2, "u", "x" * 2000), (4, "u", "x" * 999), (5, "u", "x" * 999), (6, "u", None), (7, "u", "\r\n\r\nWARC/1.1\r\n0\r\n\r\n"), (8, "u", big), (None, "u", "q" * 5000)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows = [(20 + k, "u", "s" * 1500) for k in range(40)] + [(1, "http://a", "x" * 2000), (3, None, "x" * 2000), (2, "u", "x" * 2000), (4, "u", "x" * 999), (5, "u", "x" * 999), (6, "u", None), (7, "u", "\r\n\r\nWARC/1.1\r\n0\r\n\r\n"), (8, "u", big), (None, "u", "q" * 5000)]
+    pages = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, id string").withColumns({"size": F.lit(1), "same": F.lit(2), "salt": F.lit(3), "first": F.lit(4)})
     path = str(tmp_path / "w")
     warc.write_archives(pages, path, segment_bytes=30_000)
     got = {r["page_id"]: r for r in warc.read_pages(spark, path).collect()}
@@ -215,6 +247,7 @@ def test_archives_round_trip(spark, tmp_path):
         raw = (html or "").encode()
         assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(raw), hashlib.sha1(raw).hexdigest())
     assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items() if i in (1, 2, 3, 4, 5)} == {1: ("revisit", 3), 2: ("revisit", 3), 3: ("response", None), 4: ("response", None), 5: ("response", None)}
+    assert {(r["record_type"], r["refers_to"]) for i, r in got.items() if i and 20 <= i < 59} == {("revisit", 59)} and got[59]["record_type"] == "response"
 
 
 def test_lost_segments_are_invalid(spark):
@@ -338,8 +371,39 @@ def test_quality_edges(spark, odd, docs):
     model = quality.fit(quality.featurize(docs), labels)
     assert 0 <= model.score(np.array([quality.statistics(None), quality.statistics("")]))[0] <= 1
     assert quality.keep_good(docs, labels).columns == docs.columns
-    with pytest.raises(ValueError):
-        quality.fit(quality.featurize(odd), labels.limit(0))
+    good = spark.createDataFrame([(4, 1), (4, 1), (5, 1), (99, 0), (None, 0)], "doc_id long, quality int")
+    wide = odd.withColumns({"x": F.lit(1), "y": F.lit(2), "row": F.lit(3), "id": F.lit(4)})
+    trained = sum(2 if i == 4 else 1 for i in (4, 4, 5) if zlib.crc32(str(i).encode()) % 5)
+    for part, want in ((good, (trained + 1) / (trained + 2)), (good.limit(0), 0.5)):
+        rows = quality.classify(wide, part).collect()
+        assert len(rows) == 8 and {r["score"] for r in rows} == {want}
+    kept = quality.keep_good(wide, good)
+    assert kept.columns == wide.columns and kept.count() == 8
+
+
+def test_quality_by_brute_force(spark, odd, docs):
+    """Scores from covariances, inverses and determinants written out, row by row."""
+    labels = table(spark, DATA, "labels")
+    frame = docs.unionByName(odd.select("doc_id", "text", F.lit("x").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("long").alias("n_chars")))
+    rows = [(r["doc_id"], quality.statistics(r["text"])) for r in frame.collect()]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 0
+    mark = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    x = {k: np.array([f for i, f in rows if i in mark and mark[i] == k and not held(i)]) for k in (0, 1)}
+    both = np.concatenate([x[0], x[1]])
+    center, scale = both.mean(0), both.std(0)
+    z = {k: (v - center) / scale for k, v in x.items()}
+    cov = {k: np.cov(v.T, bias=True) for k, v in z.items()}
+    pooled = sum(len(z[k]) * cov[k] for k in (0, 1)) / len(both)
+
+    def density(v, k):
+        c = 0.7 * cov[k] + 0.3 * pooled
+        c = 0.95 * c + 0.05 * np.eye(len(c)) * np.trace(c) / len(c)
+        d = np.clip((v - center) / scale, -8, 8) - z[k].mean(0)
+        return -0.5 * d @ np.linalg.inv(c) @ d - 0.5 * np.linalg.slogdet(c)[1] + np.log(len(z[k]))
+
+    want = sorted((str(i), held(i), round(1 / (1 + np.exp(-(density(np.array(f), 1) - density(np.array(f), 0)))), 6)) for i, f in rows)
+    got = sorted((str(r["doc_id"]), r["held_out"], round(r["score"], 6)) for r in quality.classify(frame, labels).collect())
+    assert len(got) == len(want) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5 for a, b in zip(got, want, strict=True))
 
 
 def test_quality_of_no_documents(spark, docs):
@@ -384,6 +448,15 @@ def test_wand_finds_what_brute_force_finds(spark, docs):
                 assert reached or not want
 
 
+def test_question_and_answer_are_both_verified(spark):
+    question, answer = " ".join(f"q{k}" for k in range(30)) + "?", " ".join(f"a{k}" for k in range(10))
+    half = " ".join(f"a{k}" if k % 2 else f"z{k}" for k in range(10))
+    items = spark.createDataFrame([(1, f"{question} {answer}"), (1, f"{question} {answer}"), (2, f"{question} {answer}")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, question), (2, f"x {question} {answer} y"), (3, f"{question} {half}"), (4, answer), (5, f"{answer} {question}"), (6, f"{question} z1 z2 z3 z4 a5 z5")], "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, items).collect())
+    assert got == {(d, i): 2 if i == 1 else 1 for d in (2, 3, 5) for i in (1, 2)}
+
+
 def test_short_items_and_odd_texts(spark, odd):
     items = spark.createDataFrame([(1, "b C."), (2, None), (3, " ")], "item_id long, text string")
     assert {r["doc_id"] for r in decontamination.find_leaks(odd, items).collect()} == {1, None, -6}
