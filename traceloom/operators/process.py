@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import drop_table, materialize
 from .chain_rules import SURVEYED_RULES
 
 # Patterns on command lines, paths and process names.
@@ -75,26 +76,22 @@ def link_parents(processes: DataFrame, id_col: str = "id") -> DataFrame:
     return out.withColumn("parent_id", F.when(parent != F.col(id_col), parent)).drop("guid_parent", "pid_parent")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df computed once: in the checkpoint folder, or on the executors where none is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def ancestors(edges: DataFrame) -> DataFrame:
     """(id, depth, root, ancestors) of every node of (id, parent_id): pointer doubling, so log2(depth) joins.
 
-    The rounds are computed one by one until no node has an ancestor left to add, however deep the tree is. A node whose
+    The rounds are written one by one until no node has an ancestor left to add, however deep the tree is. A node whose
     ancestors form a cycle stops before the first repeated id.
     """
     none = F.array().cast(f"array<{edges.schema['id'].dataType.simpleString()}>")
-    state = _kept(edges.select("id", F.col("parent_id").alias("next"), F.when(F.col("parent_id").isNotNull(), F.array("parent_id")).otherwise(none).alias("path")))
+    state = materialize(edges.select("id", F.col("parent_id").alias("next"), F.when(F.col("parent_id").isNotNull(), F.array("parent_id")).otherwise(none).alias("path")), "ancestors")
     while not state.where("next IS NOT NULL").isEmpty():
         up = state.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("path").alias("more"))
         joined = state.join(up, "next", "left").withColumn("more", F.coalesce("more", none))
         again = F.array_intersect("more", F.concat("path", F.array("id")))
         first = F.array_min(F.transform(again, lambda x: F.array_position("more", x))).cast("int")
         fresh = F.when(F.size(again) > 0, F.slice("more", F.lit(1), first - 1)).otherwise(F.col("more"))
-        state = _kept(joined.select("id", F.when(F.size(again) == 0, F.col("after")).alias("next"), F.concat("path", fresh).alias("path")))
+        before, state = state, materialize(joined.select("id", F.when(F.size(again) == 0, F.col("after")).alias("next"), F.concat("path", fresh).alias("path")), "ancestors")
+        drop_table(before)
     depth = F.size("path")
     return state.select("id", depth.alias("depth"), F.when(depth > 0, F.element_at("path", -1)).otherwise(F.col("id")).alias("root"), F.col("path").alias("ancestors"))
 

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .filters import Condition, col, search
 
 
 def with_row_ids(df: DataFrame, order: Sequence[str], name: str = "_rowid") -> DataFrame:
     """Gapless ids from 0 in the given total order, without one task for all rows: a range sort, then partition offsets."""
-    spark = df.sparkSession
     ranged = df.repartitionByRange(*[col(c) for c in order]).sortWithinPartitions(*[col(c) for c in order])
     rows = ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/traceloom-shared"
-    target = f"{shared}/rows-{uuid.uuid4().hex}"
-    rows.write.parquet(target)
-    rows = spark.read.parquet(target)
+    rows = materialize(rows, "rows")
     sizes = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     starts = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__start"))
     return rows.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
