@@ -1,46 +1,17 @@
-"""What the training-data operators share: tables in the shared folder, block counts and small expressions."""
+"""What the training-data operators share: tables, block counts and small expressions."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import delete_at_exit, drop_table, materialize, new_path  # noqa: F401  used by the operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; where it is unset (tests), a folder in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/traceloom-shared"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, keep_layout: bool = False) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Deletes the files of a table that materialize() made and that no plan needs any more."""
-    spark = df.sparkSession
-    jvm, seen = spark.sparkContext._jvm, set()
-    for name in df.inputFiles():
-        folder = name.rsplit("/", 1)[0]
-        if folder not in seen and folder.startswith(("file:", "hdfs:", "s3", "gs:", "abfs", "/", "viewfs:")):
-            seen.add(folder)
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def utf8_bytes(column: Column) -> Column:
     """Bytes of a text, 0 for null."""
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import delete_at_exit, new_path
 
 RECORD_END = b"\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -216,6 +216,8 @@ def read_pages(spark: SparkSession, path: str, payloads: bool = True) -> DataFra
 def archive_round_trip(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Writes pages as archives and reads them back, without the payloads."""
     spark = pages.sparkSession
-    path = path or new_path(spark, "warc")
+    kept, path = bool(path), path or new_path(spark, "warc")
     write_archives(pages, path, **options)
+    if not kept:
+        delete_at_exit(spark, path)
     return read_pages(spark, path, payloads=False).drop("payload")
