@@ -59,6 +59,11 @@ def test_spreadsheet_round_trip(spark, tmp_path):
     path = str(tmp_path / "x.xlsx")
     assert sinks.export_xlsx(df, path) == 2 and artifacts.sheet_names(path) == ["Export"]
     assert sorted(collected(artifacts.load(spark, path))) == [("1", "a<b"), ("2", "")]
+    many = spark.range(25).select(F.col("id").cast("string").alias("n"))
+    assert sinks.export_xlsx(many, path, sheet_rows=10) == 25 and artifacts.sheets(path) == [("Export", "1", 11), ("Export 2", "2", 11), ("Export 3", "3", 6)]
+    assert sorted(int(r[0]) for k in ("Export", "Export 2", "Export 3") for r in collected(artifacts.read_xlsx(spark, path, k))) == list(range(25))
+    sinks.export_xlsx(spark.createDataFrame([("n", "x.org")], "note string, IOC string"), path)
+    assert collected(delimited.read_ioc_list(spark, path)) == [("x.org",)]
 
 
 def test_plaso(spark, tmp_path):
@@ -278,6 +283,10 @@ def test_report_session_layout(spark, tmp_path):
     df = spark.createDataFrame([(1, "2024", "a<"), (2, "2025", "")], "_rowid long, ts string, note string")
     out = sinks.report_html(df, spark.createDataFrame([(1,)], "rowid long"), spark.createDataFrame([(2, "T")], "rowid long, tag string"), "ts")
     assert "a&lt;" in out and "T: 1" in out
+    none, both = spark.createDataFrame([], "rowid long, tag string"), spark.createDataFrame([(1,), (2,)], "rowid long")
+    assert "Bookmarked (first 1 of 2)" in sinks.report_html(df, both, none, "ts", limit=1)
+    more = sinks.report_html(df, both, none, "ts", verdicts=spark.createDataFrame([("b", "clean", 0.0), ("a", "malicious", 0.5)], "ioc string, verdict string, score double"))
+    assert "Bookmarked (2)" in more and more.index("malicious") < more.index("clean")
     session = sinks.Session([sinks.Tab("t", "p", tags=[[1, "x"]])])
     session.save(str(tmp_path / "s.tle"))
     assert sinks.Session.load(str(tmp_path / "s.tle")) == session

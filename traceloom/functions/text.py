@@ -110,6 +110,27 @@ def remote_host(value: Column) -> Column:
     return F.struct(F.trim(F.regexp_extract(value, r"^([^(]*)", 1)).alias("workstation"), F.regexp_extract(value, r"\(([^)]*)\)", 1).alias("ip"))
 
 
+def payload_field(value: Column, label: str) -> Column:
+    """What follows `label:` in a payload column, up to a comma or the end; '' if the label is not there."""
+    return F.trim(F.regexp_extract(F.coalesce(value, F.lit("")), rf"(?i)(?:^|[,;])\s*{label}\s*:\s*([^,;]*)", 1))
+
+
+def account(value: Column) -> Column:
+    """(domain, user) of `DOMAIN\\user`, `user@domain` or a bare name."""
+    slash, mail = value.contains("\\"), value.contains("@")
+    domain = F.when(slash, F.substring_index(value, "\\", 1)).when(mail, F.substring_index(value, "@", -1)).otherwise("")
+    user = F.when(slash, F.substring_index(value, "\\", -1)).when(mail, F.substring_index(value, "@", 1)).otherwise(value)
+    return F.struct(domain.alias("domain"), user.alias("user"))
+
+
+def session_payload(one: Column, two: Column, three: Column) -> Column:
+    """(domain, user, session_id, source) of the three payload columns of terminal-service events."""
+    who = account(payload_field(one, "User"))
+    digits = F.regexp_extract(F.coalesce(two, F.lit("")), r"(\d+)\s*$", 1)
+    source = F.coalesce(F.nullif(payload_field(three, "Source Network Address"), F.lit("")), F.nullif(payload_field(three, "Address"), F.lit("")), F.trim(F.coalesce(three, F.lit(""))))
+    return F.struct(who["domain"].alias("domain"), who["user"].alias("user"), digits.alias("session_id"), source.alias("source"))
+
+
 def xml_unescape(text: Column) -> Column:
     for name, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(c))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import col, text_of
@@ -12,12 +12,26 @@ from .filters import col, text_of
 STACK_LIMIT = 10_000
 
 
-def stack_values(df: DataFrame, name: str, limit: int = STACK_LIMIT) -> DataFrame:
-    """(value, n, share, rare) of the most frequent values; shares are of all rows, which one window over the groups gives."""
-    groups = df.groupBy(text_of(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    shared = groups.withColumn("share", F.col("n").cast("double") / total.cast("double")).withColumn("rare", F.col("share") < 0.01)
-    return shared.orderBy(F.desc("n"), "value").limit(limit)
+def _stacks(df: DataFrame, name: str) -> DataFrame:
+    return df.groupBy(text_of(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stack_values(df: DataFrame, name: str, limit: int = STACK_LIMIT, by: str = "n") -> DataFrame:
+    """(value, n, share, rare) of the most frequent values (by = "n") or the first ones (by = "value").
+
+    Shares are of all rows: the sum over the groups is one row, and the groups are dealt once for both.
+    """
+    groups = _stacks(df, name)
+    total = groups.agg(F.sum("n").cast("double").alias("total"))
+    shared = groups.crossJoin(F.broadcast(total)).select("value", "n", (F.col("n").cast("double") / F.col("total")).alias("share"))
+    order = [F.desc("n"), F.col("value")] if by == "n" else [F.col("value")]
+    return shared.withColumn("rare", F.col("share") < 0.01).orderBy(*order).limit(limit)
+
+
+def stack_summary(df: DataFrame, name: str, limit: int = STACK_LIMIT) -> DataFrame:
+    """One row: the number of values and of rows, and whether stack_values() leaves values out."""
+    found = _stacks(df, name).agg(F.count(F.lit(1)).alias("unique_values"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    return found.withColumn("truncated", F.col("unique_values") > limit)
 
 
 def unique_values(df: DataFrame, name: str, contains: str = "", limit: int = 25) -> DataFrame:
@@ -62,9 +76,10 @@ def histogram(df: DataFrame, ts_col: str, grain: str = "day", source_col: str |
 def source_coverage(df: DataFrame, source_col: str, ts_col: str) -> DataFrame:
     """Per source its first and last time, rows and span, beside the span of all sources."""
     each = df.where(col(ts_col).isNotNull()).groupBy(col(source_col).alias("source")).agg(F.min(col(ts_col)).alias("first_ts"), F.max(col(ts_col)).alias("last_ts"), F.count(F.lit(1)).alias("n"))
-    all_rows = Window.partitionBy(F.lit(1))
+    whole = each.agg(F.min("first_ts").alias("lo"), F.max("last_ts").alias("hi"))
     seconds = lambda a, b: (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 1e6
-    return each.withColumn("span_seconds", seconds(F.col("first_ts"), F.col("last_ts"))).withColumn("total_seconds", seconds(F.min("first_ts").over(all_rows), F.max("last_ts").over(all_rows)))
+    spans = each.withColumn("span_seconds", seconds(F.col("first_ts"), F.col("last_ts")))
+    return spans.crossJoin(F.broadcast(whole)).withColumn("total_seconds", seconds(F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
 def activity_heatmap(df: DataFrame, ts_col: str) -> DataFrame:
@@ -75,6 +90,12 @@ def activity_heatmap(df: DataFrame, ts_col: str) -> DataFrame:
     return cells.join(seen, ["dow", "hour"], "left").select("dow", "hour", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def activity_series(df: DataFrame, times: dict[str, str], grain: str = "hour") -> DataFrame:
+    """(kind, bucket, n): rows per hour or day by each of several times, as created and modified, in one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.date_trunc(grain, col(c)).alias("bucket")) for kind, c in times.items()]))
+    return df.select(each.alias("x")).select("x.*").where("bucket IS NOT NULL").groupBy("kind", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
 def edges(df: DataFrame, source: str, target: str, ts_col: str, extra: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*[col(c) for c in (source, target, *extra)]).agg(F.count(F.lit(1)).alias("n"), F.min(col(ts_col)).alias("first_ts"), F.max(col(ts_col)).alias("last_ts"))
 

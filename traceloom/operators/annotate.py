@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,11 +55,51 @@ def merge_timelines(sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     return both.fillna("", texts)
 
 
-def suppress(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """Findings that no profile rule matches; a rule's filled fields must all match (lower case), empty ones do not count."""
-    names = [c for c in rules.columns if c in findings.columns]
-    match = F.lit(False)
-    filled = functools.reduce(lambda a, b: a | b, [F.coalesce(F.col(f"r.{c}"), F.lit("")) != "" for c in names])
-    each = [(F.coalesce(F.col(f"r.{c}"), F.lit("")) == "") | (F.lower(F.col(f"f.{c}")) == F.lower(F.col(f"r.{c}"))) for c in names]
-    match = functools.reduce(lambda a, b: a & b, each, filled)
-    return findings.alias("f").join(rules.alias("r"), match, "left_anti")
+PROFILE_FIELDS = ("process", "parent", "host", "user", "image_path", "command_contains")
+MOST_RULES = 10_000
+
+
+def profile_match(rules: Sequence[dict], image: str = "image", parent: str = "parent_image", host: str = "host", user: str = "user", command: str = "command") -> Column:
+    """Whether some profile rule matches a finding: all fields that a rule fills, in any case; the command by a part of it.
+
+    A rule's reason is its justification and is not compared; a rule without fields matches nothing.
+    """
+    from .process import base_name
+
+    low = lambda c: F.lower(F.coalesce(col(c).cast("string"), F.lit("")))
+    found = {"process": lambda: base_name(col(image)), "parent": lambda: base_name(col(parent)), "host": lambda: low(host), "user": lambda: low(user), "image_path": lambda: low(image)}
+    out = F.lit(False)
+    for rule in rules:
+        filled = {k: str(v).lower() for k, v in rule.items() if k in PROFILE_FIELDS and v not in (None, "")}
+        each = [low(command).contains(v) if k == "command_contains" else found[k]() == v for k, v in filled.items()]
+        if each:
+            out = out | functools.reduce(lambda a, b: a & b, each)
+    return out
+
+
+def suppress(findings: DataFrame, rules: DataFrame, **columns: str) -> DataFrame:
+    """Findings that no rule of a profile (a table of some of PROFILE_FIELDS, at most MOST_RULES rows) matches."""
+    rows = [r.asDict() for r in rules.limit(MOST_RULES + 1).collect()]
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"a profile has at most {MOST_RULES} rules")
+    return findings.where(~profile_match(rows, **columns))
+
+
+def having_tag_like(df: DataFrame, tags: DataFrame, part: str, id_col: str = "_rowid") -> DataFrame:
+    """Rows with a tag that holds a text, in any case."""
+    ids = tags.where(F.lower("tag").contains(part.lower())).select(F.col("rowid").alias(id_col)).distinct()
+    return df.join(ids, id_col, "left_semi")
+
+
+AUTO_TAGS = {"timestomped": "Timestomp Indicator", "downloaded": "Downloaded", "encrypted": "Encrypted", "notes": "Ransom Note", "payload": "Payload", "modified_burst": "Modified Burst", "created_burst": "Created Burst"}
+
+
+def auto_tags(iocs: DataFrame | None = None, verdicts: DataFrame | None = None, **found: DataFrame) -> DataFrame:
+    """(rowid, tag) of analysis results: tables (rowid) by the names in AUTO_TAGS, iocs (rowid, ioc), verdicts (rowid, verdict)."""
+    parts = [df.select("rowid", F.lit(AUTO_TAGS[name]).alias("tag")) for name, df in found.items()]
+    if iocs is not None:
+        parts.append(iocs.select("rowid", F.concat(F.lit("IOC: "), F.col("ioc")).alias("tag")))
+    if verdicts is not None:
+        named = verdicts.where(F.col("verdict").isin("malicious", "suspicious", "clean"))
+        parts.append(named.select("rowid", F.concat(F.lit("VT: "), F.initcap("verdict")).alias("tag")))
+    return functools.reduce(DataFrame.unionByName, parts).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import functools
 import operator
 import re
@@ -70,7 +71,7 @@ def search(columns: Sequence[str], term: str, mode: str = "mixed", threshold: fl
     if mode == "fuzzy":
         return functools.reduce(operator.or_, [fuzzy_match(text_of(c), term, threshold) for c in columns])
     if mode == "fts":
-        return functools.reduce(operator.or_, [_full_text(c, term) for c in columns])
+        return full_text(columns, term)
     if mode == "mixed":
         return search(columns, term, "fts") | search(columns, term.replace('"', "").rstrip("*"), "like")
     raise ValueError(f"search mode {mode}")
@@ -79,22 +80,33 @@ def search(columns: Sequence[str], term: str, mode: str = "mixed", threshold: fl
 _LETTER = r"[\p{L}\p{N}]"
 
 
-def _whole_words(text: Column, found: Sequence[str], prefix: bool = False) -> Column:
+def full_text_terms(term: str) -> list[tuple[list[str], bool]]:
+    """(words, prefix) of each term: "quoted" ones and the others, cut into words as texts are; prefix: it ends in `*`."""
+    found = []
+    for quoted, plain in re.findall(r'"([^"]*)"?|([^\s"]+)', term.lower()):
+        words = re.findall(r"[^\W_]+", quoted or plain)
+        if words:
+            found.append((words, plain.endswith("*")))
+    return found
+
+
+def _words_in(text: Column, words: Sequence[str], prefix: bool) -> Column:
     """Whether these words stand one after the other in a lower-case text; the last one may go on if it is a prefix.
 
     Each word is looked for as plain text first, so the pattern only sees texts that hold them all.
     """
-    if not found or not all(re.fullmatch(r"[^\W_]+", w) for w in found):
-        return F.lit(False)
-    pattern = f"(?<!{_LETTER})" + r"[^\p{L}\p{N}]+".join(found) + ("" if prefix else f"(?!{_LETTER})")
-    return functools.reduce(operator.and_, [*[text.contains(w) for w in found], text.rlike(pattern)])
+    pattern = f"(?<!{_LETTER})" + r"[^\p{L}\p{N}]+".join(words) + ("" if prefix else f"(?!{_LETTER})")
+    return functools.reduce(operator.and_, [*[text.contains(w) for w in words], text.rlike(pattern)])
 
 
-def _full_text(name: str, term: str) -> Column:
-    text = F.lower(text_of(name))
-    if term.startswith('"'):
-        return _whole_words(text, term.strip('"').lower().split())
-    return functools.reduce(operator.and_, [_whole_words(text, [t.rstrip("*")], t.endswith("*")) for t in term.lower().split()])
+def full_text(columns: Sequence[str], term: str) -> Column:
+    """Rows in which every term stands in some column; a term with punctuation (cmd.exe) is a phrase of its words."""
+    terms = full_text_terms(term)
+    if not terms:
+        return F.lit(False)
+    texts = [F.lower(text_of(c)) for c in columns]
+    each = [functools.reduce(operator.or_, [_words_in(t, words, prefix) for t in texts]) for words, prefix in terms]
+    return functools.reduce(operator.and_, each)
 
 
 @dataclass
@@ -109,6 +121,7 @@ class QuerySpec:
     mode: str = "mixed"
     search_columns: Sequence[str] | None = None
     disabled: Sequence[str] = ()
+    search_off: bool = False
 
     def predicate(self, df: DataFrame) -> Column:
         parts = [contains_text(c, v) for c, v in self.text.items() if c not in self.disabled]
@@ -116,13 +129,54 @@ class QuerySpec:
         parts += [col(c).between(a, b) for c, (a, b) in self.ranges.items() if c not in self.disabled]
         if self.conditions:
             parts.append(advanced([c for c in self.conditions if c.column not in self.disabled]))
-        if self.term:
+        if self.term and not self.search_off:
             parts.append(search(self.search_columns or [c for c, t in df.dtypes if t == "string"], self.term, self.mode))
         return functools.reduce(operator.and_, parts, F.lit(True))
 
     def apply(self, df: DataFrame) -> DataFrame:
         return df.where(self.predicate(df))
 
+    def with_value(self, column: str, value: Any, keep: bool = True) -> QuerySpec:
+        """The view filtered in (keep) or out by one cell's value."""
+        if keep:
+            return dataclasses.replace(self, checked={**self.checked, column: [value]})
+        return dataclasses.replace(self, conditions=[*self.conditions, Condition(column, "not equals", value)])
+
+    def signature(self) -> str:
+        return repr(self)
+
+
+class View:
+    """A timeline with the totals of its filters and its last searches kept.
+
+    A search's rows are persisted for the next pages and counts; the least recently used of more than `searches` go.
+    """
+
+    def __init__(self, df: DataFrame, searches: int = 4):
+        self.df, self.searches = df, searches
+        self._rows: dict[str, DataFrame] = {}
+        self._totals: dict[str, int] = {}
+
+    def rows(self, spec: QuerySpec) -> DataFrame:
+        key = spec.signature()
+        found = self._rows.pop(key, None)
+        if found is None:
+            found = spec.apply(self.df)
+            if spec.term and not spec.search_off:
+                found = found.persist()
+        if found.is_cached:
+            self._rows[key] = found
+            while len(self._rows) > self.searches:
+                self._rows.pop(next(iter(self._rows))).unpersist()
+        return found
+
+    def total(self, spec: QuerySpec) -> int:
+        """The number of rows of a view, counted once for each set of filters."""
+        key = spec.signature()
+        if key not in self._totals:
+            self._totals[key] = self.rows(spec).count()
+        return self._totals[key]
+
 
 def pivot_window(df: DataFrame, ts_col: str, at: Column, minutes: int) -> DataFrame:
     """Rows within minutes of an instant, both ends included."""

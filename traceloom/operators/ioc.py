@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import classify_ioc, defang, verdict, verdict_key
 from .filters import text_of
 
-MAX_BROADCAST = 20_000
+AT_ONCE = 50_000  # indicators in an automaton
 
 
 def prepare(iocs: DataFrame, name: str = "ioc") -> DataFrame:
@@ -21,44 +21,62 @@ def prepare(iocs: DataFrame, name: str = "ioc") -> DataFrame:
     return kept.select("ioc", classify_ioc(F.col("ioc")).alias("category"))
 
 
-_CUT = "[^a-z0-9]+"
+def _blob(columns: Sequence[str]) -> Column:
+    return F.concat_ws("\x01", *[text_of(c) for c in columns])
 
 
-def _inner_word(low: str) -> str:
-    """The longest word that stands whole inside an indicator, so wherever the indicator stands; '' if there is none."""
-    return max(re.split(_CUT, low)[1:-1], key=lambda w: (len(w), w), default="")
-
-
-def match(df: DataFrame, iocs: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame:
+def match(df: DataFrame, iocs: DataFrame, columns: Sequence[str], id_col: str, at_once: int = AT_ONCE) -> DataFrame:
     """(ioc, row) of each indicator that stands, in any case, somewhere in a row's columns.
 
-    An indicator of three words or more has an inner word that any row with the indicator must have as a whole word:
-    those meet the rows by an equi-join on that word, and the few pairs are verified. The others are looked for in every
-    row. Up to MAX_BROADCAST indicators the inner words are in the plan and rows without one go no further; beyond it all
-    words of the rows are joined.
+    A row's texts go once through an automaton of all indicators (Aho and Corasick 1975), whatever their number; of more
+    than `at_once` indicators every further such part is one more pass, so an automaton's size is bounded.
+    """
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.col(id_col).alias("row"), F.lower(_blob(columns)).alias("blob"))
+    out, part = df.sparkSession.createDataFrame([], f"ioc string, row {kind}"), []
+
+    def scanned(names: list[tuple[str, str]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for name, low in names:
+                machine.add_word(low, [*machine.get(low, []), name])
+            machine.make_automaton()
+            for batch in batches:
+                found, at = [], []
+                for k, text in enumerate(batch.column(1).to_pylist()):
+                    hits = {name for _, same in machine.iter(text) for name in same}
+                    found.extend(hits)
+                    at.extend([k] * len(hits))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column(0).take(pa.array(at, pa.int64()))], names=["ioc", "row"])
+
+        return rows.mapInArrow(run, f"ioc string, row {kind}")
+
+    for r in iocs.select("ioc", F.lower("ioc").alias("low")).where("low <> ''").distinct().toLocalIterator():
+        part.append((r["ioc"], r["low"]))
+        if len(part) == at_once:
+            out, part = out.unionByName(scanned(part)), []
+    return out.unionByName(scanned(part)) if part else out
+
+
+def match_patterns(df: DataFrame, patterns: Sequence[str], columns: Sequence[str], id_col: str, batch: int = 200) -> DataFrame:
+    """(ioc, row) of each regular expression that fits, in any case, somewhere in a row's columns, in one pass.
+
+    Patterns are tried one by one only where the alternation of their batch fits.
     """
-    names = [r["ioc"] for r in iocs.select("ioc").limit(MAX_BROADCAST + 1).collect()]
-    blob = F.lower(F.concat_ws("\x01", *[text_of(c) for c in columns]))
-    rows = df.select(F.col(id_col).alias("row"), blob.alias("blob"))
-    listed = iocs.select("ioc", F.lower("ioc").alias("low"))
-    parts = F.split("low", _CUT)
-    inner = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
-    keyed = listed.withColumn("word", F.coalesce(F.array_max(inner)["w"], F.lit("")))
-    words = F.array_distinct(F.split("blob", _CUT))
-    if len(names) <= MAX_BROADCAST:
-        keys = sorted({w for n in names if len(w := _inner_word(n.lower())) > 2})
-        keyed = F.broadcast(keyed)  # at most MAX_BROADCAST rows
-        words = F.array_distinct(F.filter(F.split("blob", _CUT), lambda w: w.isin(keys)))
-    pairs = rows.select("row", "blob", F.explode(words).alias("word")).join(keyed.where(F.length("word") > 2), "word")
-    out = pairs.where(F.col("blob").contains(F.col("low"))).select("ioc", "row").distinct()
-    plain = [n for n in names if len(_inner_word(n.lower())) <= 2] if len(names) <= MAX_BROADCAST else []
-    if len(names) > MAX_BROADCAST:
-        rest = keyed.where(F.length("word") <= 2).select("ioc", "low")
-        return out.unionByName(rows.join(rest, F.col("blob").contains(F.col("low"))).select("ioc", "row"))
-    for at in range(0, len(plain), 200):
-        found = F.array_compact(F.array(*[F.when(F.col("blob").contains(n.lower()), F.lit(n)) for n in plain[at : at + 200]]))
-        out = out.unionByName(rows.select(F.explode(found).alias("ioc"), "row"))
-    return out
+    blob, each = F.col("blob"), []
+    for at in range(0, len(patterns), batch):
+        some = patterns[at : at + batch]
+        one = F.array_compact(F.array(*[F.when(blob.rlike("(?i)" + p), F.lit(p)) for p in some]))
+        each.append(F.when(blob.rlike("(?i)" + "|".join(f"(?:{p})" for p in some)), one).otherwise(F.array().cast("array<string>")))
+    found = F.flatten(F.array(*each)) if each else F.array().cast("array<string>")
+    return df.select(F.col(id_col).alias("row"), _blob(columns).alias("blob")).select(F.explode(found).alias("ioc"), "row")
+
+
+def row_map(hits: DataFrame) -> DataFrame:
+    """(row, iocs) of every row with a hit: its indicators, sorted."""
+    return hits.groupBy("row").agg(F.array_sort(F.collect_set("ioc")).alias("iocs"))
 
 
 def hit_counts(iocs: DataFrame, hits: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .temporal import seconds
 
 # Fixed values: (event id, rule, severity, whether it makes an edge).
@@ -44,30 +48,47 @@ def logon_edges(logons: DataFrame) -> DataFrame:
     return out.withColumn("clear_text", F.col("logon_type") == 8)
 
 
-def chains(edges: DataFrame, max_hops: int = 8) -> DataFrame:
-    """Maximal simple paths of hops in time order: (path, hops, first_ts, last_ts); edges: (source, target, first_ts).
+def chains(edges: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Maximal simple paths of hops in time order: (path, hops, first_ts, last_ts, cut); edges: (source, target, first_ts).
 
     Times of a host pair are all kept: a path takes the earliest time of its first pair and then each pair's earliest one
     that is not before the last, so it is found if any times fit. Paths begin at every pair, and those that are the
-    beginning or the end of a longer one are dropped. Each round joins the paths with the next pairs; the number of rounds
-    is bounded by max_hops, and of longer chains every part of max_hops hops is given.
+    beginning or the end of a longer one are dropped. Each round joins the paths with the next pairs and is written;
+    rounds end when no path grows, or after max_hops hops: then paths that would go on are given as far as they are, with
+    cut true.
     """
     hops = edges.where("source <> target").groupBy("source", "target").agg(F.array_sort(F.collect_set("first_ts")).alias("times")).where(F.size("times") > 0)
+    hops = materialize(hops, "hops")
     paths, out = hops.select(F.array("source", "target").alias("path"), F.col("times")[0].alias("first_ts"), F.col("times")[0].alias("last_ts"), F.col("target").alias("end")), None
     step = hops.select(F.col("source").alias("end"), F.col("target").alias("to"), "times")
-    for k in range(1, max_hops + 1):
-        done = paths
-        if k < max_hops:
-            later = F.array_min(F.filter("times", lambda t: t >= F.col("last_ts")))
-            grown = paths.join(step, "end").where(~F.array_contains("path", F.col("to"))).withColumn("next_at", later).where("next_at IS NOT NULL")
-            longer = grown.select(F.concat("path", F.array("to")).alias("path"), "first_ts", F.col("next_at").alias("last_ts"), F.col("to").alias("end"))
+    for k in itertools.count(1):
+        later = F.array_min(F.filter("times", lambda t: t >= F.col("last_ts")))
+        grown = paths.join(step, "end").where(~F.array_contains("path", F.col("to"))).withColumn("next_at", later).where("next_at IS NOT NULL")
+        longer = materialize(grown.select(F.concat("path", F.array("to")).alias("path"), "first_ts", F.col("next_at").alias("last_ts"), F.col("to").alias("end")), "paths")
+        last = k == max_hops or longer.isEmpty()
+        if k == max_hops:
+            more = longer.select(F.slice("path", 1, k + 1).alias("path")).distinct().withColumn("goes_on", F.lit(True))
+            done = paths.join(more, "path", "left").withColumn("cut", F.coalesce("goes_on", F.lit(False)))
+        else:
             parts = longer.select(F.explode(F.array(F.slice("path", 1, k + 1), F.slice("path", 2, k + 1))).alias("path")).distinct()
-            done = paths.join(parts, "path", "left_anti")
-        done = done.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"), "first_ts", "last_ts")
+            done = paths.join(parts, "path", "left_anti").withColumn("cut", F.lit(False))
+        done = done.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"), "first_ts", "last_ts", "cut")
         out = done if out is None else out.unionByName(done)
-        if k < max_hops:
-            paths = longer
-    return out
+        if last:
+            return out
+        paths = longer
+
+
+def stats_cards(edges: DataFrame, findings: DataFrame, sessions: DataFrame, paths: DataFrame, events: DataFrame) -> DataFrame:
+    """One row: findings, hosts, connections, users, sessions, the longest chain, outlier hosts and analysed events."""
+    hosts = edges.select(F.explode(F.array("source", "target")).alias("host")).groupBy("host").agg(F.lit(1).alias("one"))
+    counted = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    parts = [
+        counted(findings, "findings"), hosts.agg(F.count(F.lit(1)).alias("hosts"), F.count_if(host_tier(F.col("host")) > 0).alias("outliers")),
+        edges.agg(F.count_distinct("source", "target").alias("connections"), F.count_distinct("user").alias("users")), counted(sessions, "sessions"),
+        paths.agg(F.coalesce(F.max("hops"), F.lit(0)).alias("longest_chain")), counted(events, "events"),
+    ]
+    return functools.reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)  # one row each
 
 
 def pivots(paths: DataFrame) -> DataFrame:

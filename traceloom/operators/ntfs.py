@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import entropy, extension
 from ..functions.timestamps import zero_subsecond
+from ..storage import materialize
 from .process import ancestors
 
 ROOT = 5
@@ -32,34 +35,83 @@ def parent_paths(entries: DataFrame) -> DataFrame:
     return whole.unionByName(asked.where(F.col("entry") == ROOT).select("entry", F.lit(".").alias("path")))
 
 
+def _linked(records: DataFrame) -> DataFrame:
+    """records with parent_usn and parent_name: the directory record that names each record's parent.
+
+    That is the latest one of the parent's entry and sequence at or before the record, else the first one after it.
+    """
+    dirs = records.where("is_dir").select(F.col("entry").alias("k"), F.col("seq").alias("s"), "usn", F.struct(F.col("usn").alias("u"), F.col("name").alias("n")).alias("found"), F.lit(0).alias("kind"))
+    asks = records.select(F.col("parent_entry").alias("k"), F.col("parent_seq").alias("s"), "usn", F.lit(None).cast(dirs.schema["found"].dataType).alias("found"), F.lit(1).alias("kind"))
+    order = Window.partitionBy("k", "s").orderBy("usn", "kind")
+    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    link = F.coalesce(F.last("found", ignorenulls=True).over(back), F.first("found", ignorenulls=True).over(ahead))
+    found = dirs.unionByName(asks).withColumn("link", link).where("kind = 1").select("usn", F.col("link.u").alias("parent_usn"), F.col("link.n").alias("parent_name"))
+    return records.join(found, "usn", "left")
+
+
 def journal_parents(records: DataFrame) -> DataFrame:
-    """records with parent_usn: the latest directory record of the parent's entry and sequence at or before each record.
+    """records with parent_name: the name of each record's folder as the journal has it.
 
     records: (usn, entry, seq, parent_entry, parent_seq, name, is_dir). Reallocated entries have another sequence, so a
     deleted folder still resolves; a union and one window replace the walk through the journal in reverse order.
     """
-    dirs = records.where("is_dir").select(F.col("entry").alias("k"), F.col("seq").alias("s"), "usn", F.col("name").alias("dir_name"), F.lit(0).alias("kind"))
-    asks = records.select(F.col("parent_entry").alias("k"), F.col("parent_seq").alias("s"), "usn", F.lit(None).cast("string").alias("dir_name"), F.lit(1).alias("kind"))
-    both = dirs.unionByName(asks)
-    back = Window.partitionBy("k", "s").orderBy("usn", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("k", "s").orderBy("usn", "kind").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("parent_name", F.coalesce(F.last("dir_name", ignorenulls=True).over(back), F.first("dir_name", ignorenulls=True).over(ahead))).where("kind = 1").select("usn", "parent_name")
-    return records.join(found, "usn", "left")
+    return _linked(records).drop("parent_usn")
+
+
+def journal_paths(records: DataFrame, mft: DataFrame | None = None) -> DataFrame:
+    """records with parent_path: the whole path of each record's folder, from the journal's directory records.
+
+    Where those end below the root, the path of the folder that is left is taken from mft, the file table's (entry,
+    parent, name), if there is one; else it is `.\\[ORPHAN]`. The chain of folders comes from pointer doubling.
+    """
+    linked = materialize(_linked(records), "linked")
+    dirs = linked.where("is_dir").select("usn", "parent_usn", "parent_entry", "name")
+    lines = ancestors(dirs.select(F.col("usn").alias("id"), F.when(F.col("parent_usn") != F.col("usn"), F.col("parent_usn")).alias("parent_id")))
+    lines = lines.select(F.col("id").alias("dir_usn"), F.concat(F.array("id"), F.col("ancestors")).alias("line"))
+    each = lines.select("dir_usn", F.element_at("line", -1).alias("top_usn"), F.posexplode("line").alias("at", "usn")).join(dirs.select("usn", "name"), "usn")
+    named = each.groupBy("dir_usn").agg(F.first("top_usn").alias("top_usn"), F.transform(F.array_sort(F.collect_list(F.struct((-F.col("at")).alias("k"), "name"))), lambda p: p["name"]).alias("names"))
+    folders = named.join(dirs.select(F.col("usn").alias("top_usn"), F.col("parent_entry").alias("above")), "top_usn").select("dir_usn", "names", "above")
+    out = linked.join(folders, linked["parent_usn"] == folders["dir_usn"], "left").withColumn("above", F.coalesce("above", "parent_entry"))
+    if mft is not None:
+        paths = parent_paths(mft).select(F.col("entry").alias("above"), F.col("path").alias("table_path"))
+        out = out.join(paths, "above", "left")
+    else:
+        out = out.withColumn("table_path", F.lit(None).cast("string"))
+    start = F.when(F.col("above") == ROOT, F.lit(".")).otherwise(F.coalesce("table_path", F.lit(".\\[ORPHAN]")))
+    path = F.array_join(F.concat(F.array(start), F.coalesce("names", F.array().cast("array<string>"))), "\\")
+    return out.withColumn("parent_path", path).select(*records.columns, "parent_path")
+
+
+TIMES = ("created", "modified", "changed", "accessed")
+SAFE_PATHS = r"(?i)^\.?\\?(windows\\(winsxs|servicing|assembly|installer|softwaredistribution)|program files( \(x86\))?\\(windowsapps|common files))(\\|$)"
 
 
 def timestomping(mft: DataFrame) -> DataFrame:
-    """Entries whose $SI times (ticks si_created, si_modified) look set, against $FN times (fn_created, fn_modified).
+    """Entries whose $SI times look set against their $FN times, with flags and a severity.
 
-    si_before_fn, zero_subsecond and copied (created after modified; no finding of its own) with a severity by the
-    difference, one step higher for executables.
+    mft: (name, ticks si_K and fn_K for those of TIMES that there are, and path if it is known). si_before_fn: some $SI time
+    lies before its $FN time; zero_subsecond: some $SI time has no fraction of a second; copied: created after modified,
+    which copying does too, so callers may set those findings apart; suppressed: in a folder of SAFE_PATHS. severity: by
+    the largest difference (over a day, over an hour), one step higher for executables.
     """
-    behind = (F.col("si_created") < F.col("fn_created")) | (F.col("si_modified") < F.col("fn_modified"))
-    zero = zero_subsecond(F.col("si_created")) | zero_subsecond(F.col("si_modified"))
-    delta = F.greatest(F.col("fn_created") - F.col("si_created"), F.lit(0)) / 1e7
+    pairs = [(F.col(f"si_{k}"), F.col(f"fn_{k}")) for k in TIMES if f"si_{k}" in mft.columns and f"fn_{k}" in mft.columns]
+    either = lambda each: F.coalesce(functools.reduce(lambda a, b: a | b, each), F.lit(False))
+    behind, zero = either([F.coalesce(si < fn, F.lit(False)) for si, fn in pairs]), either([F.coalesce(zero_subsecond(si), F.lit(False)) for si, _ in pairs])
+    delta = F.greatest(F.lit(0), *[fn - si for si, fn in pairs]) / 1e7
     step = F.when(delta > 86_400, 3).when(delta > 3_600, 2).otherwise(1) + F.when(F.lower(extension(F.col("name"))).isin(*EXECUTABLE), 1).otherwise(0)
-    copied = F.col("si_created") > F.col("si_modified")
     severity = F.when(step >= 4, "critical").when(step == 3, "high").when(step == 2, "medium").otherwise("low")
-    return mft.withColumn("si_before_fn", behind).withColumn("zero_subsecond", zero).withColumn("copied", copied).where((behind | zero) & ~copied).withColumn("severity", severity)
+    copied = F.coalesce(F.col("si_created") > F.col("si_modified"), F.lit(False))
+    safe = F.coalesce(F.col("path").rlike(SAFE_PATHS), F.lit(False)) if "path" in mft.columns else F.lit(False)
+    flags = {"si_before_fn": behind, "zero_subsecond": zero, "copied": copied, "delta_seconds": delta, "severity": severity, "suppressed": safe}
+    return mft.withColumns(flags).where("si_before_fn OR zero_subsecond")
+
+
+def timestomp_summary(findings: DataFrame) -> DataFrame:
+    """One row: raw $SI-before-$FN findings, suppressed ones, copied ones, and the confirmed rest."""
+    return findings.agg(
+        F.count_if("si_before_fn").alias("raw"), F.count_if("suppressed").alias("suppressed"), F.count_if(F.col("copied") & ~F.col("suppressed")).alias("copied"),
+        F.count_if(~F.col("copied") & ~F.col("suppressed")).alias("confirmed"),
+    )
 
 
 def streams(mft: DataFrame) -> DataFrame:
@@ -68,6 +120,18 @@ def streams(mft: DataFrame) -> DataFrame:
     return mft.where("zone_contents <> ''").select("entry", part("ZoneId").try_cast("int").alias("zone"), part("ReferrerUrl").alias("referrer"), part("HostUrl").alias("host_url"))
 
 
+KNOWN_STREAMS = r"(?i)^(zone\.identifier|smartscreen|favicon|encryptable|\{[0-9a-f-]{36}\}|oecustomproperty|wofcompresseddata|com\.dropbox\.attributes|ms-properties|\u0005.*)$"
+
+
+def stream_findings(streams: DataFrame) -> DataFrame:
+    """streams (stream, perhaps content) with kind: zone, executable (by its name or its first bytes), suspicious or known."""
+    name, zone = F.coalesce("stream", F.lit("")), F.lower(F.coalesce("stream", F.lit(""))) == "zone.identifier"
+    code = F.lower(extension(name)).isin(*EXECUTABLE)
+    if "content" in streams.columns:
+        code = code | F.coalesce(F.substring(F.col("content").cast("binary"), 1, 2) == F.lit(b"MZ"), F.lit(False))
+    return streams.withColumn("kind", F.when(zone, "zone").when(code, "executable").when(name.rlike(KNOWN_STREAMS), "known").otherwise("suspicious"))
+
+
 def extension_scan(files: DataFrame) -> DataFrame:
     """(extension, n, entropy): counts with the Shannon entropy of the extension, highest first."""
     found = files.select(F.lower(extension(F.col("name"))).alias("extension")).where("extension <> ''").groupBy("extension").agg(F.count(F.lit(1)).alias("n"))
@@ -82,9 +146,24 @@ def ransomware(files: DataFrame, encrypted_ext: str, note: str, note_mode: str =
     when = lambda c: F.when(hit, F.col(c))
     found = files.agg(F.count_if(hit).alias("files"), F.sum(when("size")).alias("bytes"), F.min(when("ts")).alias("first_ts"), F.max(when("ts")).alias("last_ts"), F.count_if(is_note).alias("notes"))
     minutes = (F.unix_micros(F.col("last_ts").cast("timestamp")) - F.unix_micros(F.col("first_ts").cast("timestamp"))) / 6e7
+    found = found.withColumn("duration_minutes", minutes)
     return found.withColumn("files_per_minute", F.when(minutes > 0, F.col("files") / minutes).otherwise(F.col("files").cast("double")))
 
 
+def ransomware_folders(files: DataFrame, encrypted_ext: str, limit: int = 25) -> DataFrame:
+    """(path, files) of the folders with most encrypted files. files: (name, path)."""
+    hit = files.where(F.lower("name").endswith(encrypted_ext.lower()))
+    return hit.groupBy("path").agg(F.count(F.lit(1)).alias("files")).orderBy(F.desc("files"), "path").limit(limit)
+
+
+def ransomware_journal(records: DataFrame, rollup: DataFrame, minutes: int = 5) -> DataFrame:
+    """Rename, overwrite and delete records from minutes before to minutes after the encryption of a ransomware() row."""
+    step = F.make_interval(mins=F.lit(minutes))
+    span = rollup.select((F.col("first_ts") - step).alias("__lo"), (F.col("last_ts") + step).alias("__hi"))
+    kinds = records.where(F.col("reasons").rlike("Rename|DataOverwrite|FileDelete"))
+    return kinds.crossJoin(F.broadcast(span)).where(F.col("ts").between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")  # one row
+
+
 # Categories of journal records by reason names and paths.
 JOURNAL = (
     ("renames", r"Rename(Old|New)Name", None), ("deletions", r"FileDelete", None), ("creations", r"FileCreate", None), ("exfiltration", r"FileCreate|DataExtend", r"(?i)\.(zip|7z|rar|tar|gz)$"), ("execution", r"FileCreate|DataExtend", r"(?i)\.(exe|dll|ps1|bat|cmd|vbs|js|scr|pf)$"), ("persistence", r".", r"(?i)\\(startup|tasks|start menu)\\"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +55,7 @@ def event_findings(events: DataFrame, rules: DataFrame | None = None) -> DataFra
 
     Services of protection vendors in their own folders are left out; browser updaters in Program Files are low.
     """
-    spark = events.sparkSession
-    rules = rules if rules is not None else spark.createDataFrame([(*r, BASE.get(r[2], 2)) for r in EVENT_RULES], "event_id int, channel_part string, category string, description string, base int")
+    rules = rules if rules is not None else event_rules(events.sparkSession)
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     joined = events.join(rules, "event_id").where(F.contains(F.replace(F.lower(text("channel")), F.lit("-"), F.lit("")), F.replace(F.col("channel_part"), F.lit("-"), F.lit(""))))
     service = F.col("category") == "Services"
@@ -64,11 +65,54 @@ def event_findings(events: DataFrame, rules: DataFrame | None = None) -> DataFra
     return kept.select(*events.columns, "category", "description", score.alias("risk"), band(score).alias("severity"), badges(F.col("event_id"), text("name"), text("command")).alias("badges"), (service & text("name").rlike(RMM_SERVICE)).alias("rmm"))
 
 
-def registry_findings(values: DataFrame) -> DataFrame:
-    """Findings of (key, value_name, value_data) rows at the known locations; the first location that fits counts."""
+def input_mode(columns: Sequence[str]) -> str:
+    """registry or events, by the headers of a table; events where neither kind is there."""
+    names = {c.lower() for c in columns}
+    registry = sum(bool(names & group) for group in ({"keypath", "key"}, {"valuename", "value_name"}, {"valuedata", "value_data"}))
+    events = sum(bool(names & group) for group in ({"eventid", "event_id"}, {"channel"}, {"provider"}))
+    return "registry" if registry > events else "events"
+
+
+SEVERITY_BASE = {"critical": 9, "high": 6, "medium": 3, "low": 1}
+
+
+def with_custom_events(rules: DataFrame, custom: Sequence[dict], off: Sequence[str] = ()) -> DataFrame:
+    """A table of event rules without the descriptions that are switched off and with an analyst's own rules.
+
+    custom: category, name, event_ids, channels (perhaps none) and severity; a payload pattern is for custom_payload().
+    """
+    rows = [(int(e), (ch or "").lower(), c["category"], c["name"], SEVERITY_BASE[c["severity"].lower()]) for c in custom for e in c["event_ids"] for ch in (c.get("channels") or [""])]
+    kept = rules.where(~F.col("description").isin(*off)) if off else rules
+    return kept.unionByName(rules.sparkSession.createDataFrame(rows, rules.schema)) if rows else kept
+
+
+def custom_payload(findings: DataFrame, custom: Sequence[dict], payload: str = "command") -> DataFrame:
+    """Findings without those of an own rule whose payload pattern does not fit."""
+    for c in custom:
+        if c.get("payload"):
+            findings = findings.where((F.col("description") != c["name"]) | F.coalesce(F.col(payload).rlike("(?i)" + c["payload"]), F.lit(False)))
+    return findings
+
+
+def event_rules(spark) -> DataFrame:
+    """The built-in event rules as a table."""
+    return spark.createDataFrame([(*r, BASE.get(r[2], 2)) for r in EVENT_RULES], "event_id int, channel_part string, category string, description string, base int")
+
+
+def registry_findings(values: DataFrame, custom: Sequence[dict] = (), off: Sequence[str] = ()) -> DataFrame:
+    """Findings of (key, value_name, value_data) rows at the known locations; the first location that fits counts.
+
+    custom: an analyst's own rules (name, key pattern, value_name pattern or none, severity), tried after the built-in ones;
+    off: names of built-in rules that are switched off.
+    """
     where = F.concat_ws("\\", F.coalesce("key", F.lit("")), F.coalesce("value_name", F.lit("")))
     found = F.lit(None).cast("struct<location:string,base:int>")
-    for name, pattern, base in reversed(REGISTRY_RULES):
+    for c in reversed(custom):
+        hit = F.col("key").rlike("(?i)" + c["key"])
+        if c.get("value_name"):
+            hit = hit & F.col("value_name").rlike("(?i)" + c["value_name"])
+        found = F.when(hit, F.struct(F.lit(c["name"]).alias("location"), F.lit(SEVERITY_BASE[c["severity"].lower()]).alias("base"))).otherwise(found)
+    for name, pattern, base in reversed([r for r in REGISTRY_RULES if r[0] not in off]):
         found = F.when(F.col("key").rlike(pattern) | where.rlike(pattern), F.struct(F.lit(name).alias("location"), F.lit(base).alias("base"))).otherwise(found)
     rows = values.withColumn("__f", found).where("__f IS NOT NULL")
     score = risk(F.col("__f.base"), F.coalesce("value_data", F.lit("")))
@@ -80,6 +124,17 @@ def task_command(xml: Column) -> Column:
     return F.trim(F.concat_ws(" ", F.regexp_extract(xml, r"(?s)<Command>(.*?)</Command>", 1), F.regexp_extract(xml, r"(?s)<Arguments>(.*?)</Arguments>", 1)))
 
 
+def correlate(findings: DataFrame, definitions: DataFrame) -> DataFrame:
+    """findings with binary: a task's command from its definition (4698), a service's image path (7045, 4697), else ''.
+
+    definitions: (name, xml) of tasks.
+    """
+    known = definitions.groupBy("name").agg(task_command(F.min("xml")).alias("__task"))
+    service = F.col("event_id").isin(7045, 4697)
+    binary = F.when(service, F.coalesce("command", F.lit(""))).otherwise(F.coalesce("__task", F.lit("")))
+    return findings.join(known, "name", "left").withColumn("binary", binary).drop("__task")
+
+
 def link_wmi(filters: DataFrame, consumers: DataFrame, bindings: DataFrame) -> DataFrame:
     """One finding per binding: (filter_name, consumer_name) with the filter's query and the consumer's command."""
     return bindings.join(filters, "filter_name", "left").join(consumers, "consumer_name", "left").select("filter_name", "consumer_name", "query", "command")

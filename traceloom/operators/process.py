@@ -138,6 +138,13 @@ def assess(processes: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.select(*processes.columns, F.greatest(chain, F.col("alone.level")).alias("level"), F.when(wins, F.col("chain_reason")).otherwise(F.col("alone.reason")).alias("reason"), F.when(wins, F.col("techniques")).otherwise("").alias("techniques"))
 
 
+def capped(processes: DataFrame, order: list[str], most: int = 200_000) -> DataFrame:
+    """The first processes in an order, with truncated: whether there are more of them than `most`."""
+    top = processes.orderBy(*order).limit(most + 1)
+    numbered = top.withColumn("__k", F.row_number().over(Window.orderBy(*order)))  # over at most most + 1 rows
+    return numbered.withColumn("truncated", F.max("__k").over(Window.partitionBy(F.lit(1))) > most).where(F.col("__k") <= most).drop("__k")
+
+
 def view(assessed: DataFrame, mode: str = "triage") -> DataFrame:
     """raw: all; hunt: medium and up; triage: suspicious, one row per (host, image, command)."""
     if mode == "raw":

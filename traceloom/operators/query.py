@@ -62,7 +62,7 @@ def color_column(df: DataFrame, rules: Sequence[ColorRule]) -> Column:
 
 def palette(df: DataFrame, name: str, colors: Sequence[str]) -> DataFrame:
     """A colour for each distinct value, in the order of the values."""
-    numbered = df.select(col(name).alias("value")).distinct().withColumn("k", F.row_number().over(Window.orderBy("value")) - 1)
+    numbered = with_row_ids(df.select(col(name).alias("value")).distinct(), ["value"], "k")
     return numbered.select("value", F.element_at(F.array(*map(F.lit, colors)), (F.col("k") % len(colors)).cast("int") + 1).alias("color"))
 
 

@@ -77,9 +77,20 @@ def brute_force(failures: DataFrame, keys: list[str], ts_col: str, at_least: int
 
 
 def password_spray(failures: DataFrame, source: str, target: str, ts_col: str, at_least: int = 3, window_seconds: int = 1800) -> DataFrame:
-    """Failures of a source against at least so many targets in the trailing window; column n_targets."""
-    seen = F.size(F.collect_set(col(target)).over(_span([source], ts_col, window_seconds)))
-    return failures.withColumn("n_targets", seen).where(F.col("n_targets") >= at_least)
+    """Failures of a source against at least so many targets in the trailing window, both ends included; column n_targets.
+
+    A failure counts its target from its time until the target's next failure takes over or the window has passed. Those
+    spans open and close as +1 and -1 in the order of time, so one running sum a source counts them, however many
+    failures a window holds.
+    """
+    at = F.unix_micros(col(ts_col).cast("timestamp"))
+    following = F.lead(at).over(Window.partitionBy(col(source), col(target)).orderBy(at))
+    closes = F.least(2 * following, 2 * (at + window_seconds * 1_000_000) + 1)
+    named = col(target).isNotNull().cast("int")
+    marked = failures.withColumn("__moves", F.array(F.struct((2 * at).alias("at"), named.alias("step"), F.lit(True).alias("row")), F.struct(closes.alias("at"), (-named).alias("step"), F.lit(False).alias("row"))))
+    moves = marked.select("*", F.explode("__moves").alias("__m")).drop("__moves")
+    open_now = F.sum("__m.step").over(Window.partitionBy(col(source)).orderBy("__m.at").rangeBetween(Window.unboundedPreceding, 0))
+    return moves.withColumn("n_targets", open_now.cast("int")).where(F.col("__m.row") & (F.col("n_targets") >= at_least)).drop("__m")
 
 
 def success_after_failure(df: DataFrame, keys: list[str], ts_col: str, failed: Column, succeeded: Column, within_seconds: int = 600) -> DataFrame:

@@ -275,7 +275,7 @@ def journal_chains(spark, d):
     return ntfs.file_chains(frame(spark, _JOURNAL, _J_SCHEMA)).where("entry = 11").select("entry", "story")
 
 
-_STAMPS = [(1, "a.exe", 100_000_000_003, 100_000_000_004, 10**15, 10**15, "critical"), (2, "b.txt", 10**15 - 10**10 * 4 + 1, 10**15 + 1, 10**15, 10**15, "medium"), (3, "c.txt", 10**15 + 7, 10**15 + 8, 10**15, 10**15, None), (4, "d.txt", 10**15 + 9, 10**14 + 1, 10**15, 10**15, None)]
+_STAMPS = [(1, "a.exe", 100_000_000_003, 100_000_000_004, 10**15, 10**15, "critical"), (2, "b.txt", 10**15 - 10**10 * 4 + 1, 10**15 + 1, 10**15, 10**15, "medium"), (3, "c.txt", 10**15 + 7, 10**15 + 8, 10**15, 10**15, None), (4, "d.txt", 10**15 + 9, 10**14 + 1, 10**15, 10**15, "high")]
 
 
 @query(f"SELECT entry, severity FROM {values(_STAMPS, 'entry, name, a, b, c, e, severity')} WHERE severity IS NOT NULL")
@@ -293,10 +293,10 @@ def alternate_streams(spark, d):
 
 
 @query("""SELECT count(*) FILTER (WHERE ends_with(lower(event_type || '.k'), 'or.k')) AS files, CAST(sum(event_id) FILTER (WHERE event_type = 'error') AS BIGINT) AS bytes, min(ts) FILTER (WHERE event_type = 'error') AS first_ts, max(ts) FILTER (WHERE event_type = 'error') AS last_ts,
-count(*) FILTER (WHERE contains(event_type, 'sign')) AS notes, round(count(*) FILTER (WHERE event_type = 'error') / ((epoch_us(max(ts) FILTER (WHERE event_type = 'error')) - epoch_us(min(ts) FILTER (WHERE event_type = 'error'))) / 6e7), 9) AS files_per_minute FROM events""")
+count(*) FILTER (WHERE contains(event_type, 'sign')) AS notes, round(count(*) FILTER (WHERE event_type = 'error') / ((epoch_us(max(ts) FILTER (WHERE event_type = 'error')) - epoch_us(min(ts) FILTER (WHERE event_type = 'error'))) / 6e7), 9) AS files_per_minute, round((epoch_us(max(ts) FILTER (WHERE event_type = 'error')) - epoch_us(min(ts) FILTER (WHERE event_type = 'error'))) / 6e7, 6) AS duration_minutes FROM events""")
 def ransomware_rollup(spark, d):
     files = read(spark, d, "events").select(F.concat("event_type", F.lit(".k")).alias("name"), F.col("event_id").alias("size"), "ts")
-    return ntfs.ransomware(files, "or.k", "sign").withColumn("files_per_minute", F.round("files_per_minute", 9))
+    return ntfs.ransomware(files, "or.k", "sign").withColumn("files_per_minute", F.round("files_per_minute", 9)).withColumn("duration_minutes", F.round("duration_minutes", 6))
 
 
 @query("SELECT event_type AS parent_path, to_timestamp(floor(epoch(ts) / 3600) * 3600)::TIMESTAMP AS slot, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) >= 5")

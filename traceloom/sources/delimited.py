@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +69,11 @@ def split_quoted(line: str) -> list[str]:
     return [*fields, "".join(field)]
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _split_lines(lines: pa.Array) -> pa.Array:
+    return pa.array([split_quoted(x) for x in lines.to_pylist()], pa.list_(pa.string()))
+
+
 def read_delimited(spark: SparkSession, path: str, exact_quotes: bool = False) -> DataFrame:
     """A table of texts: missing values are '', surplus comma fields are dropped, surplus tab or pipe fields stay in the last.
 
@@ -90,7 +96,7 @@ def read_delimited(spark: SparkSession, path: str, exact_quotes: bool = False) -
         return rows.select(*[F.regexp_replace(f"c{k}", "\r$", "").alias(n) for k, n in enumerate(names)])
     body = lines.select(F.regexp_replace("value", "\r$", "").alias("value")).where((F.trim("value") != "") & (F.regexp_replace("value", "^﻿", "") != header))
     if sep == ",":
-        fields = F.udf(lambda line: split_quoted(line), T.ArrayType(T.StringType()))(F.col("value"))
+        fields = _split_lines(F.col("value"))
     else:
         fields = F.split("value", "\t" if sep == "\t" else r"\|", len(names))
     cells = body.select(fields.alias("f"))
@@ -111,10 +117,12 @@ IOC_HEADERS = ("ioc", "indicator", "value", "hash", "md5", "sha1", "sha256", "ip
 
 
 def read_ioc_list(spark: SparkSession, path: str) -> DataFrame:
-    """(ioc) of a text list, or of a table: the column with a known header, else every cell."""
+    """(ioc) of a text list, or of a table, spreadsheets too: the column with a known header, else every cell."""
     if path.lower().endswith((".txt", ".ioc")):
         return spark.read.text(path).select(F.trim("value").alias("ioc")).where("ioc <> '' AND NOT startswith(ioc, '#')")
-    table = read_delimited(spark, path)
+    from .artifacts import load
+
+    table = load(spark, path)
     named = [c for c in table.columns if c.lower() in IOC_HEADERS]
     cells = table.select(F.explode(F.array(*[F.col(f"`{c}`") for c in named[:1] or table.columns])).alias("ioc"))
     if not named:

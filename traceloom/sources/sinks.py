@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import itertools
 import json
 import re
 import textwrap
@@ -20,50 +21,76 @@ def export_text(df: DataFrame, path: str, sep: str = ",", columns: Sequence[str]
     shown = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns or df.columns])
     if sep == "\t":
         shown = shown.select(*[F.regexp_replace(F.col(f"`{c}`"), r"[\t\r\n]+", " ").alias(c) for c in shown.columns])
-    writer = (shown.coalesce(1) if one_file else shown).write.mode("overwrite").option("header", True).option("sep", sep).option("emptyValue", "").option("nullValue", "")
+    writer = (shown.coalesce(1) if one_file else shown).write.mode("overwrite").option("header", True).option("sep", sep).option("emptyValue", "").option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     (writer.option("quote", "\u0000") if sep == "\t" else writer.option("quote", '"').option("escape", '"')).csv(path)
 
 
-def export_xlsx(df: DataFrame, path: str, limit: int = 1_048_575) -> int:
-    """One sheet "Export" with a bold header and fitted widths, streamed from a row iterator; returns the rows."""
-    names, count, widths = df.columns, 0, [len(c) for c in df.columns]
+SHEET_ROWS = 1_048_575  # of a sheet, beside its header
+
+
+def export_xlsx(df: DataFrame, path: str, sheet_rows: int = SHEET_ROWS) -> int:
+    """Sheets "Export", "Export 2", ... with a bold header and fitted widths; returns the rows, all of which are written.
+
+    Widths come from one aggregation; rows stream from an iterator into the file.
+    """
+    names = df.columns
+    shown = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{k}") for k, c in enumerate(names)])
+    widest = shown.agg(F.count(F.lit(1)), *[F.coalesce(F.max(F.length(f"c{k}")), F.lit(0)) for k in range(len(names))]).first()
+    count, widths = widest[0], [max(len(c), w) for c, w in zip(names, widest[1:], strict=True)]
     cell = lambda v, s=0: f'<c t="inlineStr" s="{s}"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' if v is not None else "<c/>"
-    body = ["<row>" + "".join(cell(n, 1) for n in names) + "</row>"]
-    for row in df.limit(limit).toLocalIterator():
-        body.append("<row>" + "".join(cell(v) for v in row) + "</row>")
-        widths = [max(w, len(str(v)) if v is not None else 0) for w, v in zip(widths, row, strict=True)]
-        count += 1
     cols = "".join(f'<col min="{k}" max="{k}" width="{min(60, max(8, w + 2))}" customWidth="1"/>' for k, w in enumerate(widths, 1))
     main, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    package = "http://schemas.openxmlformats.org/package/2006"
+    package, sheets = "http://schemas.openxmlformats.org/package/2006", range(1, max(1, -(-count // sheet_rows)) + 1)
+    types = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in sheets)
+    listed = "".join(f'<sheet name="Export{"" if k == 1 else f" {k}"}" sheetId="{k}" r:id="rId{k}"/>' for k in sheets)
+    linked = "".join(f'<Relationship Id="rId{k}" Type="{office}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in sheets)
     parts = {
-        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>',
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{types}<Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/></Types>',
         "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="Export" sheetId="1" r:id="rId1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="rId1" Type="{office}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="{office}/styles" Target="styles.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets>{listed}</sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships">{linked}<Relationship Id="rId{len(sheets) + 1}" Type="{office}/styles" Target="styles.xml"/></Relationships>',
         "xl/styles.xml": f'<styleSheet xmlns="{main}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><cols>{cols}</cols><sheetData>{"".join(body)}</sheetData></worksheet>',
     }
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    rows, written = shown.toLocalIterator(), 0
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in parts.items():
-            z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
-    return count
+            z.writestr(name, head + text)
+        for k in sheets:
+            with z.open(f"xl/worksheets/sheet{k}.xml", "w", force_zip64=True) as f:
+                f.write(f'{head}<worksheet xmlns="{main}"><cols>{cols}</cols><sheetData><row>{"".join(cell(n, 1) for n in names)}</row>'.encode())
+                for row in rows if k == len(sheets) else itertools.islice(rows, sheet_rows):
+                    f.write(("<row>" + "".join(cell(v) for v in row) + "</row>").encode())
+                    written += 1
+                f.write(b"</sheetData></worksheet>")
+    return written
 
 
-def report_html(df: DataFrame, bookmarks: DataFrame, tags: DataFrame, ts_col: str, id_col: str = "_rowid", limit: int = 5000) -> str:
-    """Totals, span, tag counts, the bookmarked rows and the rows of each tag, without columns that are empty there."""
+def report_html(df: DataFrame, bookmarks: DataFrame, tags: DataFrame, ts_col: str, id_col: str = "_rowid", limit: int = 5000, verdicts: DataFrame | None = None) -> str:
+    """Totals, span, tag counts, the bookmarked rows and the rows of each tag, without columns that are empty there.
+
+    A section shows its first `limit` rows and says how many it has. verdicts: (ioc, verdict, score), the worst first.
+    """
     totals = df.agg(F.count(F.lit(1)).alias("n"), F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi")).first()
     counts = [(r["tag"], r["count"]) for r in tags.groupBy("tag").count().orderBy("tag").collect()]
     esc = lambda v: html.escape("" if v is None else str(v))
 
     def section(title: str, ids: DataFrame) -> str:
-        rows = df.join(ids.select(F.col("rowid").alias(id_col)).distinct(), id_col, "left_semi").orderBy(ts_col, id_col).limit(limit).collect()
+        found = df.join(ids.select(F.col("rowid").alias(id_col)).distinct(), id_col, "left_semi")
+        rows = found.orderBy(ts_col, id_col).limit(limit + 1).collect()
+        count = found.count() if len(rows) > limit else len(rows)
+        rows = rows[:limit]
         names = [c for c in df.columns if any(r[c] not in (None, "") for r in rows)]
         body = "".join("<tr>" + "".join(f"<td>{esc(r[c])}</td>" for c in names) + "</tr>" for r in rows)
-        return f"<h2>{esc(title)} ({len(rows)})</h2><table><tr>{''.join(f'<th>{esc(c)}</th>' for c in names)}</tr>{body}</table>"
+        shown = f"{count}" if count == len(rows) else f"first {len(rows)} of {count}"
+        return f"<h2>{esc(title)} ({shown})</h2><table><tr>{''.join(f'<th>{esc(c)}</th>' for c in names)}</tr>{body}</table>"
 
     parts = [f"<p>{totals['n']} rows, {bookmarks.count()} bookmarked, {esc(totals['lo'])} to {esc(totals['hi'])}</p>", "<ul>" + "".join(f"<li>{esc(t)}: {n}</li>" for t, n in counts) + "</ul>", section("Bookmarked", bookmarks)]
     parts += [section(t, tags.where(F.col("tag") == t)) for t, _ in counts]
+    if verdicts is not None:
+        rank = F.expr("array_position(array('malicious', 'suspicious', 'clean'), verdict)")
+        listed = verdicts.orderBy(F.when(rank == 0, 4).otherwise(rank), F.desc("score"), "ioc").limit(limit).collect()
+        parts.append("<h2>Verdicts</h2><table><tr><th>Indicator</th><th>Verdict</th><th>Score</th></tr>" + "".join(f"<tr><td>{esc(r['ioc'])}</td><td>{esc(r['verdict'])}</td><td>{esc(r['score'])}</td></tr>" for r in listed) + "</table>")
     return "<!DOCTYPE html><html><head><meta charset='utf-8'><title>Timeline report</title></head><body>" + "".join(parts) + "</body></html>"
 
 
@@ -127,6 +154,11 @@ class Session:
         return cls([Tab(**t) for t in raw["tabs"]], raw["active"], raw["version"])
 
 
+def save_text(path: str, content: str) -> None:
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.write(content)
+
+
 def save_json(path: str, value) -> None:
     """Filter presets (a list) and analyst profiles (version, suppressions, baselines, updatedAt)."""
     with open(path, "w", encoding="utf-8") as f:
