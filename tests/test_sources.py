@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from traceloom.plans import fixtures
 from traceloom.sources import artifacts, delimited, eventlog, layouts, legacy_xls, sinks
 
 
@@ -85,77 +86,8 @@ def test_event_xml(spark):
     assert text == "u A  from B "
 
 
-def event_log(users):
-    """A log with a record per (id, user): the first holds the template, the others refer to it; the last is damaged."""
-    chunk, utf = bytearray(b"ElfChnk\0".ljust(512, b"\0")), lambda x: x.encode("utf-16-le")
-    template, known = 0, {}
-
-    def named(at, text):
-        if text in known:
-            return struct.pack("<I", known[text])
-        known[text] = at + 4
-        return struct.pack("<IIHH", at + 4, 0, 0, len(text)) + utf(text) + b"\0\0"
-
-    def body(base):
-        out = b"\x0f\x01\x01\x00"
-
-        def start(tag, more=False):
-            nonlocal out
-            out += bytes([0x41 if more else 0x01]) + b"\0\0" + b"\0" * 4
-            out += named(base + len(out), tag) + (b"\0" * 4 if more else b"")
-
-        def attribute(name, value):
-            nonlocal out
-            out += b"\x06"
-            out += named(base + len(out), name) + value
-
-        def text(x):
-            return b"\x05\x01" + struct.pack("<H", len(x)) + utf(x)
-
-        start("Event")
-        out += b"\x02"
-        start("System")
-        out += b"\x02"
-        start("Provider", True)
-        attribute("Name", text("P&Q"))
-        out += b"\x03"
-        start("EventID")
-        out += b"\x02" + b"\x0d\x00\x00\x06" + b"\x04"
-        start("TimeCreated", True)
-        attribute("SystemTime", b"\x0d\x01\x00\x11")
-        out += b"\x03"
-        start("EventRecordID")
-        out += b"\x02" + b"\x0d\x02\x00\x0a" + b"\x04" + b"\x04"
-        start("EventData")
-        out += b"\x02"
-        start("Data", True)
-        attribute("Name", text("User"))
-        out += b"\x02" + b"\x0e\x03\x00\x01" + b"\x04"
-        start("Data", True)
-        attribute("Name", text("Sid"))
-        out += b"\x02" + b"\x0e\x04\x00\x13" + b"\x04"
-        return out + b"\x04\x04\x00"
-
-    for k, user in enumerate(users):
-        at = len(chunk) + 24
-        head, sid = b"\x0f\x01\x01\x00", bytes([1, 2, 0, 0, 0, 0, 0, 5]) + struct.pack("<II", 32, 544)
-        if not template:
-            template = at + 14
-            inside = body(template + 24)
-            define = b"\0" * 20 + struct.pack("<I", len(inside)) + inside
-        else:
-            define = b""
-        values = [(6, struct.pack("<H", 4624)), (0x11, struct.pack("<Q", 133498026000000000 + k)), (10, struct.pack("<Q", k)), (1, utf(user)), (0x13, sid)]
-        xml = head + b"\x0c\x01" + struct.pack("<II", 0, template) + define + struct.pack("<I", len(values))
-        xml += b"".join(struct.pack("<HBB", len(v), t, 0) for t, v in values) + b"".join(v for _, v in values) + b"\0"
-        size = 28 + len(xml)
-        chunk += b"**\0\0" + struct.pack("<IQQ", size, k, 0) + xml + struct.pack("<I", size)
-    chunk += b"**\0\0" + struct.pack("<IQQ", 40, 99, 0) + b"\x3f" * 12 + struct.pack("<I", 40)
-    return b"ElfFile\0".ljust(4096, b"\0") + bytes(chunk).ljust(65536, b"\0") + b"junk".ljust(65536, b"\0")
-
-
 def test_event_log(spark, tmp_path):
-    (tmp_path / "a.evtx").write_bytes(event_log(["u<1>", "", "v"]))
+    (tmp_path / "a.evtx").write_bytes(fixtures.event_log(["u<1>", "", "v"]))
     rows = sorted(artifacts.load(spark, str(tmp_path / "a.evtx")).collect(), key=lambda r: r["RecordId"])
     assert [(r["RecordId"], r["EventID"], r["Provider"], r["datetime"]) for r in rows] == [(str(k), "4624", "P&amp;Q", f"2024-01-15 14:30:00.000000{k}") for k in range(3)]
     assert [r["data"] for r in rows] == [{"User": u, "Sid": "S-1-5-32-544"} for u in ("u<1>", "", "v")]
@@ -294,48 +226,9 @@ def test_report_session_layout(spark, tmp_path):
     assert sinks.load_json(str(tmp_path / "none"), []) == []
 
 
-def compound(stream, large):
-    """A compound file that holds one stream, as sectors (large) or in the short-sector stream."""
-    header = bytearray(b"\xff" * 512)
-    header[:8] = bytes.fromhex("D0CF11E0A1B11AE1")
-    size = max(len(stream), 4096) if large else len(stream)
-    body = stream.ljust(-(-size // 512) * 512, b"\0")
-    n, end = len(body) // 512, 0xFFFFFFFE
-    fat = [0xFFFFFFFD, end, end] + [k + 1 for k in range(3, 2 + n)] + [end]
-    short = [k + 1 for k in range(len(body) // 64 - 1)] + [end]
-    header[24:76] = struct.pack("<HHHHH6xIIIIIIIII", 62, 3, 0xFFFE, 9, 6, 0, 1, 1, 0, 4096, end if large else 2, 0 if large else 1, end, 0)
-    header[76:80] = struct.pack("<I", 0)
-
-    def entry(name, kind, start, length):
-        raw = (name + "\0").encode("utf-16-le")
-        return (raw.ljust(64, b"\0") + struct.pack("<HB", len(raw), kind)).ljust(116, b"\0") + struct.pack("<IQ", start, length)
-
-    folder = entry("Root Entry", 5, end if large else 3, 0 if large else len(body)) + entry("Workbook", 2, 3 if large else 0, size)
-    table = struct.pack(f"<{len(fat)}I", *fat).ljust(512, b"\xff")
-    return bytes(header) + table + folder.ljust(512, b"\0") + struct.pack(f"<{len(short)}I", *short).ljust(512, b"\xff")[:512] + body
-
-
-def workbook():
-    rec = lambda kind, body=b"": struct.pack("<HH", kind, len(body)) + body
-    cell = lambda r, c, xf=0: struct.pack("<HHH", r, c, xf)
-    label = lambda x: struct.pack("<HB", len(x), 0) + x.encode("latin-1")
-    # Shared strings: the second goes on in a further part with wide letters; the third has a run of formats.
-    first = struct.pack("<II", 3, 3) + label("name") + struct.pack("<HB", 4, 0) + b"ab"
-    more = b"\x01" + "cд".encode("utf-16-le") + struct.pack("<HBH", 1, 8, 1) + b"z" + b"\0" * 4
-    glob = rec(0x809, b"\0" * 16) + rec(0x41E, struct.pack("<H", 164) + label("yyyy\\-mm")) + rec(0xE0, b"\0" * 20) + rec(0xE0, struct.pack("<HH", 0, 14).ljust(20, b"\0")) + rec(0xE0, struct.pack("<HH", 0, 164).ljust(20, b"\0"))
-    tail = rec(0xFC, first) + rec(0x3C, more) + rec(0x0A)
-    at = len(glob) + len(rec(0x85, struct.pack("<IBBBB", 0, 0, 0, 2, 0) + b"S1")) + len(tail)
-    glob += rec(0x85, struct.pack("<IBBBB", at, 0, 0, 2, 0) + b"S1") + tail
-    rows = rec(0xFD, cell(0, 0) + struct.pack("<I", 0)) + rec(0x204, cell(0, 1) + label("when")) + rec(0x204, cell(0, 3) + label("name"))
-    rows += rec(0xFD, cell(1, 0) + struct.pack("<I", 1)) + rec(0x203, cell(1, 1, 1) + struct.pack("<d", 45566.5)) + rec(0x27E, cell(1, 2) + struct.pack("<I", (1234 << 2) | 3))
-    rows += rec(0x06, cell(2, 0) + b"\0" * 6 + b"\xff\xff" + b"\0" * 8) + rec(0x207, label("made")) + rec(0x203, cell(2, 1, 2) + struct.pack("<d", 45566.0)) + rec(0x205, cell(2, 2) + b"\x01\x00") + rec(0x205, cell(2, 3) + b"\x07\x01")
-    rows += rec(0xBD, struct.pack("<HH", 3, 1) + struct.pack("<HI", 0, (7 << 2) | 2) + struct.pack("<HI", 0, 0xFFFFFFF8 | 2) + struct.pack("<H", 2)) + rec(0xFD, cell(3, 0) + struct.pack("<I", 2))
-    return glob + rec(0x809, b"\0" * 16) + rows + rec(0x0A)
-
-
 @pytest.mark.parametrize("large", [True, False])
 def test_legacy_spreadsheet(spark, tmp_path, large):
-    (tmp_path / "a.xls").write_bytes(compound(workbook(), large))
+    (tmp_path / "a.xls").write_bytes(fixtures.compound(fixtures.workbook(), large))
     df = artifacts.load(spark, str(tmp_path / "a.xls"))
     assert df.columns == ["name", "when", "Column_3", "name_1"]
     assert collected(df) == [("abcд", "2024-10-01 12:00:00", "12.34", ""), ("made", "2024-10-01 00:00:00", "TRUE", "#DIV/0!"), ("z", "7", "-2", "")]

@@ -70,7 +70,10 @@ def link_parents(processes: DataFrame, id_col: str = "id") -> DataFrame:
     starts = p.select("host", F.col("pid").alias("key"), "ts", F.lit(0).alias("kind"), F.col(id_col).alias("parent"), F.lit(None).cast(p.schema[id_col].dataType).alias("child"))
     asks = p.select("host", F.col("ppid").alias("key"), "ts", F.lit(1).alias("kind"), F.lit(None).cast(p.schema[id_col].dataType).alias("parent"), F.col(id_col).alias("child"))
     before = Window.partitionBy("host", "key").orderBy("ts", "kind", "parent").rowsBetween(Window.unboundedPreceding, -1)
-    found = starts.unionByName(asks).withColumn("pid_parent", F.last("parent", ignorenulls=True).over(before)).where("kind = 1").select(F.col("child").alias(id_col), "pid_parent")
+    # Where the last start is the process itself, whose parent had the same PID, the start before it is the parent.
+    both = starts.unionByName(asks).withColumn("previous", F.last("parent", ignorenulls=True).over(before))
+    last = F.last(F.when(F.col("kind") == 0, F.struct("parent", "previous")), ignorenulls=True).over(before)
+    found = both.withColumn("last", last).where("kind = 1").select(F.col("child").alias(id_col), F.when(F.col("last.parent") == F.col("child"), F.col("last.previous")).otherwise(F.col("last.parent")).alias("pid_parent"))
     out = linked.join(found, id_col, "left")
     parent = F.coalesce("guid_parent", F.when(F.col("pid_parent") != F.col(id_col), F.col("pid_parent")))
     return out.withColumn("parent_id", F.when(parent != F.col(id_col), parent)).drop("guid_parent", "pid_parent")

@@ -13,12 +13,14 @@ MAGIC_MFT = b"FILE"
 
 
 def detect_format(path: str) -> str:
-    """xls, xlsx, evtx, plaso, mft, usn or csv, by extension, name and magic."""
+    """xls, xlsx, evtx, plaso, mft, usn or csv, by extension, name and magic; a folder holds text files."""
     name = os.path.basename(path).lower()
     ext = os.path.splitext(name)[1]
     known = {".xls": "xls", ".xlsx": "xlsx", ".xlsm": "xlsx", ".evtx": "evtx", ".plaso": "plaso", ".mft": "mft", ".timeline": "plaso?"}
     if ext in known and known[ext] != "plaso?":
         return known[ext]
+    if os.path.isdir(path):
+        return "csv"
     if ext == ".timeline":
         with open(path, "rb") as f:
             return "plaso" if f.read(16).startswith(b"SQLite format 3") else "csv"
