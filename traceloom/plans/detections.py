@@ -215,12 +215,10 @@ def persistence_registry(spark, d):
     return persistence.registry_findings(frame(spark, _REG, "key string, value_name string, value_data string, want string, want_risk int")).select("key", "location", "risk")
 
 
-@query("SELECT conv_id AS block_id, string_agg(text, '' ORDER BY turn) AS script, count(*) >= 4 AS complete FROM conversations GROUP BY 1")
+@query("SELECT conv_id AS block_id, string_agg(text, '' ORDER BY turn) AS script, count(*) = 4 AS complete FROM conversations GROUP BY 1")
 def script_blocks(spark, d):
-    pieces = read(spark, d, "conversations").select(F.col("conv_id").alias("block_id"), F.col("turn").alias("number"), "text", F.lit(4).alias("wanted"))
-    whole = persistence.script_blocks(pieces.withColumn("total", F.lit(0)))
-    counted = pieces.groupBy("block_id").agg((F.count(F.lit(1)) >= 4).alias("complete"))
-    return whole.select("block_id", "script").join(counted, "block_id")
+    pieces = read(spark, d, "conversations").select(F.col("conv_id").alias("block_id"), F.col("turn").alias("number"), "text", F.lit(4).alias("total"))
+    return persistence.script_blocks(pieces)
 
 
 # Indicators.

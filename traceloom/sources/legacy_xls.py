@@ -203,7 +203,7 @@ def sheet_rows(data: bytes, sheet: str | None = None) -> list[list[str]]:
 
 
 def read_xls(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """One sheet as a table of texts, named by its first row."""
+    """One sheet as a table of texts, named by its first row; a sheet of this format has at most 65,536 rows of 256 cells."""
     with open(path, "rb") as f:
         rows = sheet_rows(f.read(), sheet)
     if not rows:
