@@ -277,6 +277,15 @@ def test_chat_round_trip(spark):
     assert row["l"] == "".join(t or "" for _, _, r, t in rows[:-1] if r == "assistant") and row["formatted"].count("<") == 2 * len(texts)
 
 
+def test_chat_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, 2, "user", "b"), (1, 2, "user", "b"), (1, 2, "assistant", "a"), (1, None, "system", "s"), (2, 0, "assistant", None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"at": F.lit(1), "seq": F.lit(2), "kind": F.lit("k"), "formatted": F.lit("f"), "loss": F.lit(0)})
+    got = {r["conv_id"]: r for r in chat.format_digests(frame.repartition(3)).collect()}
+    whole = "system\ns\nassistant\na\nuser\nb\nuser\nb\n"
+    assert got[1]["n_turns"] == 4 and got[1]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest() and got[1]["loss_chars"] == 1
+    assert got[2]["n_turns"] == 1 and got[2]["loss_chars"] == 0
+
+
 # PII.
 
 KEY = "key of the tests"
@@ -595,3 +604,26 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         part = stage(spark, part, DATA)
         assert part.columns == docs.columns
+
+
+def test_stages_take_nulls_repeats_and_clashing_columns(spark, odd):
+    """Each stage on its own, with columns that are named as the operators name theirs."""
+    import corpus_pipeline
+
+    clash = ["row", "list", "mentions", "fp", "x", "id", "n", "crc", "size", "block", "kind", "entity"]
+    wide = odd.withColumns({c: F.lit(k) for k, c in enumerate(clash)}).withColumn("n_chars", F.length("text"))
+    texts = collections.Counter((r["doc_id"], r["text"]) for r in odd.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, DATA)
+        none = stage(spark, wide.limit(0), DATA)
+        assert none.count() == 0 and none.columns == out.columns
+        if name == "SentencePiece encoding":
+            assert out.count() == odd.count()
+            continue
+        assert out.columns == wide.columns
+        got = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
+        if name == "SimHash near-dedup":
+            assert sorted(i for i, _ in got) == [-6, 2, 4, 5]
+        elif name != "quality classifier":
+            assert got == texts
+        assert got <= texts
