@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import materialize
+
 MAGIC_MFT = b"FILE"
 
 
@@ -51,13 +54,15 @@ def header_names(cells: list[str]) -> list[str]:
     return out
 
 
-def split_quoted(line: str) -> list[str]:
-    """Fields of a comma line; quotes toggle anywhere and are doubled to stand for themselves."""
+def split_quoted(record: str) -> list[str]:
+    """Fields of a comma record; quotes toggle anywhere and are doubled to stand for themselves."""
+    if '"' not in record:
+        return record.split(",")
     fields, field, quoted, k = [], [], False, 0
-    while k < len(line):
-        c = line[k]
+    while k < len(record):
+        c = record[k]
         if c == '"':
-            if quoted and line[k + 1 : k + 2] == '"':
+            if quoted and record[k + 1 : k + 2] == '"':
                 field.append('"')
                 k += 1
             else:
@@ -71,37 +76,87 @@ def split_quoted(line: str) -> list[str]:
     return [*fields, "".join(field)]
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _split_lines(lines: pa.Array) -> pa.Array:
-    return pa.array([split_quoted(x) for x in lines.to_pylist()], pa.list_(pa.string()))
+MOST_BLOCKS = 1_000_000  # blocks whose parities are broadcast: 64 TB in blocks of 64 MB
+
 
+def _comma_records(lines: DataFrame, header: str, width: int) -> DataFrame:
+    """(f): the fields of every comma record; a record ends with the line that leaves no quote open.
 
-def read_delimited(spark: SparkSession, path: str, exact_quotes: bool = False) -> DataFrame:
+    A line's state depends on all quotes before it in its file. So quotes are counted per block of a file first, the sums
+    give each block's state at its start, and then every task splits its blocks by itself. Only the pieces of records that
+    cross the end of a block are put together afterwards; there are at most two a block, and none if no block has an odd
+    number of quotes.
+    """
+    spark = lines.sparkSession
+    at = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    quotes = at.groupBy("file", "block").agg((F.sum(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2).alias("odd"))
+    quotes = materialize(quotes, "quotes")
+    before = F.sum("odd").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = quotes.select("file", "block", (F.coalesce(before, F.lit(0)) % 2 == 1).alias("inside"))
+    marked = at.join(F.broadcast(starts) if quotes.count() <= MOST_BLOCKS else starts, ["file", "block"]).select("value", "file", "block", "inside")
+    schema = pa.schema([("f", pa.list_(pa.string())), ("file", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("piece", pa.string())])
+
+    def fields_of(record: str) -> list[str] | None:
+        record = record.removesuffix("\r")
+        return (split_quoted(record) + [""] * width)[:width] if record.strip() and record.removeprefix("\ufeff") != header else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, inside, head = None, [], False, False
+
+        def piece(part: int) -> tuple:
+            return None, *now, part, "\n".join(held)
+
+        for batch in batches:
+            out: list[tuple] = []
+            for value, file, block, starts_inside in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, block) != now:
+                    if held:
+                        out.append(piece(1 if head else 2))
+                    now, held, inside, head = (file, block), [], starts_inside, starts_inside
+                held.append(value)
+                inside ^= value.count('"') % 2 == 1
+                if not inside:
+                    if head:
+                        out.append(piece(0))
+                    elif found := fields_of("\n".join(held)):
+                        out.append((found, None, None, None, None))
+                    held, head = [], False
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t.type) for k, t in enumerate(schema)], schema=schema)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(piece(1 if head else 2), schema, strict=True)], schema=schema)
+
+    found = marked.mapInArrow(run, "f array<string>, file string, block long, part int, piece string")
+    whole = found.where("f IS NOT NULL").select("f")
+    if quotes.where("odd = 1").isEmpty():
+        return whole
+    # Of a record over several blocks: its start (2), whole blocks inside it (1), its end (0), in the order of the file.
+    order = Window.partitionBy("file").orderBy("block", "part")
+    numbered = found.where("f IS NULL").withColumn("record", F.sum((F.col("part") == 2).cast("int")).over(order))
+    joined = numbered.groupBy("file", "record").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "part", "piece"))), lambda x: x["piece"]), "\n").alias("r"))
+    split = F.arrow_udf(lambda r: pa.array([fields_of(x) for x in r.to_pylist()], pa.list_(pa.string())), T.ArrayType(T.StringType()))
+    return whole.unionByName(joined.select(split("r").alias("f")).where("f IS NOT NULL"))
+
+
+def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """A table of texts: missing values are '', surplus comma fields are dropped, surplus tab or pipe fields stay in the last.
 
-    Comma files go through Spark's multi-line reader; exact_quotes splits each line here instead, for files in which
-    quotes open inside a field (records of one line only).
+    Comma records follow split_quoted() and may hold line breaks in quotes; large files are split between tasks. Blank
+    records, and lines that repeat the header (each file of a folder has one), are left out.
     """
-    lines = spark.read.text(path)
+    lines = spark.read.option("lineSep", "\n").text(path)
     first = lines.where(F.trim("value") != "").head(1)
     if not first:
         return spark.createDataFrame([], T.StructType([T.StructField("Column", T.StringType())]))
-    header = first[0]["value"].rstrip("\r").lstrip("﻿")
+    header = first[0]["value"].rstrip("\r").lstrip("\ufeff")
     if "\0" in header:
         raise ValueError(f"{path} is not a text file")
     sep = delimiter_of(header)
     names = header_names(split_quoted(header) if sep == "," else header.split(sep))
-    if sep == "," and not exact_quotes:
-        schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))])
-        rows = spark.read.schema(schema).csv(path, sep=",", header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True)
-        rows = rows.na.fill("").where(F.concat(*[F.trim(f"c{k}") for k in range(len(names))]) != "")
-        return rows.select(*[F.regexp_replace(f"c{k}", "\r$", "").alias(n) for k, n in enumerate(names)])
-    body = lines.select(F.regexp_replace("value", "\r$", "").alias("value")).where((F.trim("value") != "") & (F.regexp_replace("value", "^﻿", "") != header))
     if sep == ",":
-        fields = _split_lines(F.col("value"))
+        cells = _comma_records(lines, header, len(names))
     else:
-        fields = F.split("value", "\t" if sep == "\t" else r"\|", len(names))
-    cells = body.select(fields.alias("f"))
+        body = lines.select(F.regexp_replace("value", "\r$", "").alias("value")).where((F.trim("value") != "") & (F.regexp_replace("value", "^\ufeff", "") != header))
+        cells = body.select(F.split("value", "\t" if sep == "\t" else r"\|", len(names)).alias("f"))
     return cells.select(*[F.coalesce(F.try_element_at("f", F.lit(k + 1)), F.lit("")).alias(n) for k, n in enumerate(names)])
 
 
