@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aggregate as A
-from ..operators import annotate, ioc, lateral, ntfs, persistence, process, temporal
+from ..operators import annotate, ioc, lateral, ntfs, persistence, process
 from ..operators import query as Q
 from ..operators.filters import QuerySpec, View, search
 from .detections import values
