@@ -395,3 +395,137 @@ def deep_paths(spark, d):
     key = F.col("c_custkey")
     rows = read(spark, d, "customer").select((key + 100).alias("entry"), F.when(key % 100 == 0, F.lit(5)).otherwise(key + 99).cast("long").alias("parent"), F.concat(F.lit("d"), key.cast("string")).alias("name"))
     return ntfs.parent_paths(rows)
+
+
+# Scalar functions and small detectors, each on a value derived from every event.
+
+
+def _choice(of, *texts):
+    return F.get(F.array(*map(F.lit, texts)), (of % len(texts)).cast("int"))
+
+
+def _sql_choice(of: str, *texts: str) -> str:
+    shown = ", ".join("'" + t.replace("'", "''") + "'" for t in texts)
+    return f"([{shown}])[1 + {of} % {len(texts)}]"
+
+
+@query("SELECT event_id, CASE WHEN event_id % 6 = 5 THEN NULL WHEN event_id % 6 IN (1, 3) THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END AS ts FROM events")
+def timestamp_spellings(spark, d):
+    """Times written in six ways and read back."""
+    e = read(spark, d, "events")
+    ways = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "M/d/yyyy", "MM/dd/yyyy h:mm:ss a", "MMMM d, yyyy"]
+    each = [F.date_format("ts", w) for w in ways] + [F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string"), F.lit("not a time")]
+    raw = F.get(F.array(*each), (F.col("event_id") % 6).cast("int"))
+    from ..functions.timestamps import normalize_timestamp
+
+    return e.select("event_id", normalize_timestamp(raw).cast("timestamp_ntz").alias("ts"))
+
+
+_BITS = sorted(T.USN_REASONS.items())
+
+
+@query("SELECT event_id, coalesce(nullif(concat_ws('|', " + ", ".join(f"CASE WHEN event_id * 2654435761 % 4294967296 & {b} <> 0 THEN '{n}' END" for b, n in _BITS) + "), ''), (event_id * 2654435761 % 4294967296)::VARCHAR) AS names FROM events")
+def reason_flags(spark, d):
+    bits = F.col("event_id") * F.lit(2_654_435_761).cast("long") % F.lit(4_294_967_296).cast("long")
+    return read(spark, d, "events").select("event_id", T.flag_names(bits, T.USN_REASONS, bits.cast("string")).alias("names"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '.t' || user_id WHEN 3 THEN '.gz' ELSE '' END AS ext, (event_id % 70000)::VARCHAR AS pid, CASE WHEN event_id < 60 THEN event_id || 'm' WHEN event_id < 1440 THEN (event_id // 60) || 'h ' || (event_id % 60) || 'm' ELSE (event_id // 1440) || 'd ' || (event_id % 1440 // 60) || 'h' END AS span FROM events")
+def small_functions_events(spark, d):
+    k = F.col("event_id")
+    name = F.get(F.array(F.concat(F.lit("f.t"), F.col("user_id").cast("string")), F.lit(".hidden"), F.lit("ends."), F.lit("a.tar.gz")), (k % 4).cast("int"))
+    return read(spark, d, "events").select("event_id", T.extension(name).alias("ext"), T.hex_to_decimal(F.concat(F.lit("0x"), F.hex(k % 70000))).alias("pid"), T.duration_text(k).alias("span"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^(?i)[a-z]+://', ''), '[/?#].*$', ''), '\\.$', '') AS ioc FROM pages WHERE regexp_matches(url, '^(?i)(https?|ftp)://') AND NOT regexp_matches(url, '[ \\[\\]()]')")
+def defanged_urls(spark, d):
+    """Addresses that are defanged and come back without scheme, path and defanging."""
+    url = F.col("url")
+    masked = F.replace(F.replace(F.regexp_replace(url, "^(?i)http", "hxxp"), F.lit("."), F.lit("[.]")), F.lit("@"), F.lit("[@]"))
+    return read(spark, d, "pages").where(url.rlike("^(?i)(https?|ftp)://") & ~url.rlike(r"[ \[\]()]")).select("page_id", T.defang(masked).alias("ioc"))
+
+
+@query("SELECT event_id, (['MD5', 'IPv4:Port', 'Email', 'Domain', 'Filename', 'Registry', 'Path', 'Other'])[1 + event_id % 8] AS kind, CASE WHEN event_id % 8 = 1 THEN '10.' || user_id % 250 || '.0.1' ELSE NULL END AS bare FROM events")
+def indicator_kinds(spark, d):
+    n, k = F.col("user_id").cast("string"), F.col("event_id") % 8
+    each = F.array(F.md5(n), F.concat(F.lit("10."), (F.col("user_id") % 250).cast("string"), F.lit(".0.1:443")), F.concat(F.lit("u"), n, F.lit("@x.org")), F.concat(F.lit("h"), n, F.lit(".example.com")), F.concat(F.lit("f"), n, F.lit(".exe")), F.concat(F.lit("HKLM\\k"), n), F.concat(F.lit("C:\\d\\"), n), F.lit("???"))
+    value = F.get(each, k.cast("int"))
+    return read(spark, d, "events").select("event_id", T.classify_ioc(value).alias("kind"), F.when(k == 1, T.verdict_key(value)).alias("bare"))
+
+
+@query("SELECT event_id, regexp_matches(ip, '^(10\\.|127\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)') AS private FROM (SELECT event_id, (['10.1', '172.' || user_id % 64, '192.168', '8.8', '127.0'])[1 + event_id % 5] || '.0.' || user_id % 250 AS ip FROM events)")
+def private_addresses(spark, d):
+    number = lambda c: c.cast("string")
+    first = F.get(F.array(F.lit("10.1"), F.concat(F.lit("172."), number(F.col("user_id") % 64)), F.lit("192.168"), F.lit("8.8"), F.lit("127.0")), (F.col("event_id") % 5).cast("int"))
+    return read(spark, d, "events").select("event_id", T.is_private_ip(F.concat(first, F.lit(".0."), number(F.col("user_id") % 250), F.lit(":80"))).alias("private"))
+
+
+@query("""WITH v AS (SELECT lower(p_brand) AS key, min(p_size) AS low, max(p_size) AS high FROM part GROUP BY 1), j AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'none' ELSE p_brand END AS ioc FROM part)
+SELECT p_partkey || ':' || j.ioc AS ioc, CASE WHEN key IS NULL THEN 'not_found' WHEN low % 2 = 1 THEN 'malicious' WHEN high % 2 = 1 THEN 'suspicious' ELSE 'clean' END AS verdict, CASE WHEN key IS NULL THEN 0.0::DOUBLE ELSE (low % 2 + high % 2)::DOUBLE / 70 END AS score FROM j LEFT JOIN v ON key = lower(j.ioc)""")
+def verdict_joins(spark, d):
+    parts = read(spark, d, "part")
+    grouped = parts.groupBy(F.lower("p_brand").alias("key")).agg((F.min("p_size") % 2).alias("malicious"), (F.max("p_size") % 2).alias("suspicious"), F.lit(70).alias("total"))
+    each = parts.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, "none").otherwise(F.col("p_brand")).alias("ioc"))
+    found = ioc.enrich(each.select("ioc").distinct(), grouped)
+    return each.join(found, "ioc").select(F.concat(F.col("p_partkey").cast("string"), F.lit(":"), "ioc").alias("ioc"), "verdict", "score")
+
+
+@query("""WITH r AS (SELECT event_id AS usn, """ + _sql_choice("event_id", "RenameNewName", "FileDelete|Close", "FileCreate", "DataExtend", "SecurityChange", "Close") + """ AS reasons, """ + _sql_choice("user_id", ".\\a\\x.zip", ".\\Temp\\y.exe", ".\\Startup\\z.txt", ".\\b\\w") + """ AS path FROM events),
+c AS (SELECT usn, 'renames' AS category FROM r WHERE contains(reasons, 'Rename') UNION ALL SELECT usn, 'deletions' FROM r WHERE contains(reasons, 'FileDelete') UNION ALL SELECT usn, 'creations' FROM r WHERE contains(reasons, 'FileCreate')
+UNION ALL SELECT usn, 'exfiltration' FROM r WHERE reasons IN ('FileCreate', 'DataExtend') AND path LIKE '%.zip' UNION ALL SELECT usn, 'execution' FROM r WHERE reasons IN ('FileCreate', 'DataExtend') AND path LIKE '%.exe' UNION ALL SELECT usn, 'persistence' FROM r WHERE contains(path, 'Startup')
+UNION ALL SELECT usn, 'suspicious paths' FROM r WHERE contains(path, 'Temp') UNION ALL SELECT usn, 'security changes' FROM r WHERE reasons = 'SecurityChange' UNION ALL SELECT usn, 'close patterns' FROM r WHERE ends_with(reasons, 'Close')) SELECT * FROM c""")
+def journal_categories_events(spark, d):
+    reasons = _choice(F.col("event_id"), "RenameNewName", "FileDelete|Close", "FileCreate", "DataExtend", "SecurityChange", "Close")
+    path = _choice(F.col("user_id"), ".\\a\\x.zip", ".\\Temp\\y.exe", ".\\Startup\\z.txt", ".\\b\\w")
+    return ntfs.journal_categories(read(spark, d, "events").select(F.col("event_id").alias("usn"), reasons.alias("reasons"), path.alias("path"))).select("usn", "category")
+
+
+@query("SELECT user_id AS entry, CAST(1 AS INTEGER) AS seq, string_agg('f' || user_id || ': ' || event_type, ' > ' ORDER BY event_id) AS story FROM events GROUP BY 1")
+def file_stories(spark, d):
+    rows = read(spark, d, "events").select(F.col("event_id").alias("usn"), F.col("user_id").alias("entry"), F.lit(1).alias("seq"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("name"), F.col("event_type").alias("reasons"))
+    return ntfs.file_chains(rows)
+
+
+@query("SELECT event_id AS entry, CAST(event_id % 5 AS INTEGER) AS zone, 'http://r' || user_id || '/' AS referrer, 'http://h' || user_id || '/' || event_type AS host_url FROM events WHERE event_id % 2 = 0")
+def zone_records(spark, d):
+    n = F.col("user_id").cast("string")
+    text = F.concat(F.lit("[ZoneTransfer]\r\nZoneId="), (F.col("event_id") % 5).cast("string"), F.lit("\r\nReferrerUrl=http://r"), n, F.lit("/\r\nHostUrl=http://h"), n, F.lit("/"), "event_type", F.lit("\r\n"))
+    return ntfs.streams(read(spark, d, "events").select(F.col("event_id").alias("entry"), F.when(F.col("event_id") % 2 == 0, text).otherwise("").alias("zone_contents")))
+
+
+_HOST_NAMES = ("DESKTOP-AB12CD3", "WIN-12345678", "kali", "myvps01", "DC01", "winvm7", "SRV-FILES")
+
+
+@query(f"SELECT event_id, CASE WHEN regexp_matches(host, '{lateral.OUTLIER_HOST}') OR regexp_matches(host, '[^\\x00-\\x7F]') THEN 1 WHEN regexp_matches(host, '{lateral.SUSPICIOUS_HOST}') THEN 2 ELSE 0 END AS tier FROM (SELECT event_id, {_sql_choice('event_id', *_HOST_NAMES)} || CASE WHEN user_id % 20 = 0 THEN 'ö' ELSE '' END AS host FROM events)")
+def host_tiers_events(spark, d):
+    host = F.concat(_choice(F.col("event_id"), *_HOST_NAMES), F.when(F.col("user_id") % 20 == 0, "ö").otherwise(""))
+    return read(spark, d, "events").select("event_id", lateral.host_tier(host).alias("tier"))
+
+
+_COMMANDS = ("cmd.exe /Q /c cd 1> \\\\127.0.0.1\\ADMIN$\\__1 2>&1", "x __output y", "mmc.exe -Embedding", "\\\\.\\pipe\\RemCom_communicat", "C:\\Windows\\Temp\\ab12.tmp 2>&1", "notepad")
+
+
+@query(f"SELECT event_id, {_sql_choice('event_id', 'wmiexec', 'smbexec', 'dcomexec', 'psexec', 'atexec', '-')} AS variant FROM events")
+def remote_execution_events(spark, d):
+    return read(spark, d, "events").select("event_id", F.coalesce(lateral.remote_execution(_choice(F.col("event_id"), *_COMMANDS)), F.lit("-")).alias("variant"))
+
+
+@query("SELECT 'T' || s.k AS target, 'u' AS \"user\", CAST(1 AS BIGINT) AS session, CAST(4 AS BIGINT) AS n, 'ENDED' AS status, true AS admin, false AS reconnect FROM (SELECT DISTINCT user_id AS k FROM events) s")
+def rdp_sessions_events(spark, d):
+    """A remote session for each user: authentication, logon, privileges and logoff."""
+    users = read(spark, d, "events").select("user_id").distinct()
+    steps = F.array(*[F.struct(F.lit(e).alias("event_id"), F.lit(s).alias("s")) for e, s in ((1149, 0), (21, 5), (4672, 8), (23, 900))])
+    rows = users.select(F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("target"), F.explode(steps).alias("x"))
+    rows = rows.select(F.col("x.event_id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("x.s")).alias("ts"), F.lit("A").alias("source"), "target", F.lit("u").alias("user"))
+    return lateral.rdp_sessions(rows).select("target", "user", "session", "n", "status", "admin", "reconnect")
+
+
+@query("SELECT event_id, event_type || ' by ' || user_id AS message FROM events WHERE event_type <> 'view' UNION ALL SELECT event_id, '' FROM events WHERE event_type = 'view'")
+def event_messages(spark, d):
+    """Messages from a table of templates by provider and event id; events without a template have none."""
+    from ..sources.artifacts import with_messages
+
+    e = read(spark, d, "events")
+    data = F.create_map(F.lit("User"), F.col("user_id").cast("string"), F.lit("Kind"), F.col("event_type"))
+    rows = e.select("event_id", F.lit("P").alias("Provider"), F.when(F.col("event_type") == "view", "2").otherwise("1").alias("EventID"), data.alias("data"))
+    return with_messages(rows, spark.createDataFrame([("P", "1", "%2 by %1"), ("Q", "2", "no")], "Provider string, EventID string, template string")).select("event_id", F.col("Message").alias("message"))
