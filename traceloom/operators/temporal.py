@@ -67,13 +67,29 @@ def tag_ranges(df: DataFrame, ts_col: str, ranges: DataFrame, id_col: str, bucke
     return rows.join(spread, "__bucket").where(F.col("__ts").between(F.col("from_ts"), F.col("to_ts"))).select(id_col, "tag").distinct()
 
 
-def _span(keys: list[str], ts_col: str, window_seconds: int):
-    return Window.partitionBy(*[col(k) for k in keys]).orderBy(F.unix_micros(col(ts_col).cast("timestamp"))).rangeBetween(-window_seconds * 1_000_000, 0)
+DAY = 86_400
+
+
+def _in_time(df: DataFrame, ts_col: str, window_seconds: int) -> DataFrame:
+    """df dealt to slots of time (__slot), a day or the window long: a row is in its own slot and, if a window that begins
+    in the next one can reach back to it, in that one too; __own tells them apart. Rows without a time are in no window.
+
+    So a key with very many rows is worked on a slot at a time, by several tasks.
+    """
+    at, size = F.unix_micros(col(ts_col).cast("timestamp")), max(window_seconds, DAY) * 1_000_000
+    slot = lambda x: F.floor(x / size)
+    both = df.withColumn("__at", at).withColumn("__slot", F.explode(F.sequence(slot(F.col("__at")), slot(F.col("__at") + window_seconds * 1_000_000))))
+    return both.withColumn("__own", F.col("__slot") == slot(F.col("__at")))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    return df.where("__own").drop("__at", "__slot", "__own")
 
 
 def brute_force(failures: DataFrame, keys: list[str], ts_col: str, at_least: int = 5, window_seconds: int = 300) -> DataFrame:
     """Failures with at least so many of the same keys in the trailing window, both ends included; column n_window."""
-    return failures.withColumn("n_window", F.count(F.lit(1)).over(_span(keys, ts_col, window_seconds))).where(F.col("n_window") >= at_least)
+    span = Window.partitionBy(*[col(k) for k in keys], "__slot").orderBy("__at").rangeBetween(-window_seconds * 1_000_000, 0)
+    return _kept(_in_time(failures, ts_col, window_seconds).withColumn("n_window", F.count(F.lit(1)).over(span))).where(F.col("n_window") >= at_least)
 
 
 def password_spray(failures: DataFrame, source: str, target: str, ts_col: str, at_least: int = 3, window_seconds: int = 1800) -> DataFrame:
@@ -83,21 +99,21 @@ def password_spray(failures: DataFrame, source: str, target: str, ts_col: str, a
     spans open and close as +1 and -1 in the order of time, so one running sum a source counts them, however many
     failures a window holds.
     """
-    at = F.unix_micros(col(ts_col).cast("timestamp"))
-    following = F.lead(at).over(Window.partitionBy(col(source), col(target)).orderBy(at))
-    closes = F.least(2 * following, 2 * (at + window_seconds * 1_000_000) + 1)
+    timed = _in_time(failures, ts_col, window_seconds)
+    following = F.lead("__at").over(Window.partitionBy(col(source), col(target), "__slot").orderBy("__at"))
+    closes = F.least(2 * following, 2 * (F.col("__at") + window_seconds * 1_000_000) + 1)
     named = col(target).isNotNull().cast("int")
-    marked = failures.withColumn("__moves", F.array(F.struct((2 * at).alias("at"), named.alias("step"), F.lit(True).alias("row")), F.struct(closes.alias("at"), (-named).alias("step"), F.lit(False).alias("row"))))
+    marked = timed.withColumn("__moves", F.array(F.struct((2 * F.col("__at")).alias("at"), named.alias("step"), F.lit(True).alias("row")), F.struct(closes.alias("at"), (-named).alias("step"), F.lit(False).alias("row"))))
     moves = marked.select("*", F.explode("__moves").alias("__m")).drop("__moves")
-    open_now = F.sum("__m.step").over(Window.partitionBy(col(source)).orderBy("__m.at").rangeBetween(Window.unboundedPreceding, 0))
-    return moves.withColumn("n_targets", open_now.cast("int")).where(F.col("__m.row") & (F.col("n_targets") >= at_least)).drop("__m")
+    open_now = F.sum("__m.step").over(Window.partitionBy(col(source), "__slot").orderBy("__m.at").rangeBetween(Window.unboundedPreceding, 0))
+    return _kept(moves.withColumn("n_targets", open_now.cast("int")).where(F.col("__m.row") & (F.col("n_targets") >= at_least)).drop("__m"))
 
 
 def success_after_failure(df: DataFrame, keys: list[str], ts_col: str, failed: Column, succeeded: Column, within_seconds: int = 600) -> DataFrame:
     """Successes within so many seconds after a failure of the same keys; column fail_ts is the last failure's time."""
-    before = Window.partitionBy(*[col(k) for k in keys]).orderBy(col(ts_col)).rowsBetween(Window.unboundedPreceding, -1)
-    marked = df.withColumn("fail_ts", F.last(F.when(failed, col(ts_col)), ignorenulls=True).over(before))
-    return marked.where(succeeded & (seconds(col(ts_col)) - seconds(F.col("fail_ts")) <= within_seconds))
+    before = Window.partitionBy(*[col(k) for k in keys], "__slot").orderBy(col(ts_col)).rowsBetween(Window.unboundedPreceding, -1)
+    marked = _in_time(df, ts_col, within_seconds).withColumn("fail_ts", F.last(F.when(failed, col(ts_col)), ignorenulls=True).over(before))
+    return _kept(marked).where(succeeded & (seconds(col(ts_col)) - seconds(F.col("fail_ts")) <= within_seconds))
 
 
 def first_seen(df: DataFrame, source: str, target: str, ts_col: str, share: float = 0.01) -> DataFrame:
