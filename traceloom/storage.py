@@ -34,14 +34,29 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     files.deleteOnExit(there)
 
 
+_MADE: list[str] = []  # folders of the tables made so far
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, goes with the application."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
     delete_at_exit(spark, path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_made() -> int:
+    return len(_MADE)
+
+
+def drop_between(spark: SparkSession, first: int, last: int) -> None:
+    """Deletes the tables made from the first on and before the last (numbers of tables_made()), which no plan needs any more."""
+    for path in _MADE[first:last]:
+        files, there = _file_system(spark, path)
+        files.delete(there, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a table that materialize() made and that no plan needs any more."""
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
