@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import delete_at_exit, drop_table, materialize, new_path  # noqa: F401  used by the operators
+from ..storage import delete_at_exit, drop_between, drop_table, materialize, new_path, tables_made  # noqa: F401  used by the operators
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

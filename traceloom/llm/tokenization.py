@@ -170,7 +170,7 @@ def _flat(lists: list[list[int]], sizes: np.ndarray) -> np.ndarray:
 class _Words(dict):
     """Numbers of words, with the ids of each as a slice of one array; a word that is missing gets a number and waits."""
 
-    def __init__(self, codec, most: int = 500_000, most_chars: int = 1 << 23):
+    def __init__(self, codec, most: int = 250_000, most_chars: int = 1 << 22):
         super().__init__()
         self.codec, self.most, self.most_chars = codec, most, most_chars
         self.reset()
