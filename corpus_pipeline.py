@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceloom.llm import decontamination, pii, quality, simhash, tokenization
-from traceloom.llm.common import materialize, table
+from traceloom.llm.common import drop_between, materialize, table, tables_made
 from traceloom.llm.registry import SENTENCEPIECE_MODEL, surrogate_key
 
 
@@ -74,9 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, name.replace(" ", "-"))
-    return docs
+    """The stages in sequence; what a stage read and its own tables go when its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), tables_made()
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_between(spark, before, tables_made() - 1)
+        before = tables_made() - 1
+    return STAGES[-1][1](spark, docs, sf_dir)
