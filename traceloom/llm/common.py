@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +31,27 @@ def blocks_of(df: DataFrame, column: str, block_bytes: int) -> int:
 def crc_of_id(column: Column) -> Column:
     """crc32 of an id written as text; of the empty text for null."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
+
+
+def summed_counts(df: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], size: int, slices: int = 16, tasks_at_once: int = 256) -> np.ndarray:
+    """The sum over all batches of df of the `size` counts that count(batch) gives; of fixed size, whatever the input.
+
+    A task adds its batches and sends its sum in slices; a slice is added over tasks_at_once tasks, then over those sums.
+    """
+    schema = "slice int, level long, counts binary"
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = sum(map(count, batches), np.zeros(size, np.int64))
+        parts = [p.tobytes() for p in np.array_split(total, slices)]
+        level = TaskContext.get().partitionId() // tasks_at_once
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([level] * slices, pa.int64()), pa.array(parts, pa.binary())], ["slice", "level", "counts"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(c, np.int64) for c in pdf["counts"])
+        return pd.DataFrame([(int(pdf["slice"].iloc[0]), int(pdf["level"].iloc[0]), total.tobytes())], columns=["slice", "level", "counts"])
+
+    some = df.mapInArrow(each, schema).groupBy("slice", "level").applyInPandas(add, schema)
+    rows = some.withColumn("level", F.lit(0).cast("long")).groupBy("slice").applyInPandas(add, schema).orderBy("slice").collect()
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows]) if rows else np.zeros(size, np.int64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, language_model, neighbours, pii, quality, sharding, simhash, tokenization, warc
+from . import chat, decontamination, importance, language_model, neighbours, pii, quality, sharding, simhash, tokenization, warc
 from .common import table
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -59,13 +59,17 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_chat, op3_pii, op4_quality, op5_sharding, op6_simhash, op7_decontamination, op8_neighbours, op9_sentencepiece, op10_lm, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_chat, op3_pii, op4_quality, op5_sharding, op6_simhash, op7_decontamination, op8_neighbours, op9_sentencepiece, op10_lm, op11_importance, pipeline)}
 
 ORACLES = {
     "op1_warc": """
@@ -85,5 +89,24 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS under,
   sum(length(role) + length(shown) + 17) AS formatted_chars FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(under) AS BIGINT) AS loss_chars, sha256(under) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
+""",
+    # crc32 by its table, which a rule makes, over the bytes of each distinct feature.
+    "op11_importance": r"""
+WITH t0 AS (SELECT list(c ORDER BY i) AS crcs FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT row_number() OVER () AS rid, side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+f AS (SELECT rid, side, unnest(flatten([words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]), list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])])) AS feature FROM w),
+n AS (SELECT rid, side, feature, count(*) AS n FROM f GROUP BY ALL),
+d AS (SELECT feature, hex(encode(feature)) AS x FROM (SELECT DISTINCT feature FROM n)),
+h AS (SELECT feature, xor(list_reduce(list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1 : 2 * i + 2] AS BIGINT)), lambda c, b: xor(c >> 8, crcs[xor(c & 255, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM d, t0),
+b AS (SELECT rid, side, bucket, sum(n) AS n FROM n JOIN h USING (feature) GROUP BY ALL),
+c AS (SELECT bucket, coalesce(sum(n) FILTER (WHERE side = 0), 0) AS s, coalesce(sum(n) FILTER (WHERE side = 1), 0) AS t FROM b GROUP BY bucket),
+a AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM c),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM c, a),
+v AS (SELECT rid, sum(n) AS n_features, sum(n * gain) AS weight FROM b JOIN g USING (bucket) WHERE side = 0 GROUP BY rid),
+z AS (SELECT w.id AS doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, len(words) >= 20 AS fit,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(w.id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM w LEFT JOIN v USING (rid) WHERE side = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) FILTER (WHERE fit) OVER () AS n_fit FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 5 * n_fit // 100 THEN place END AS rank FROM r
 """,
 }
