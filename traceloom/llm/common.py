@@ -33,6 +33,42 @@ def crc_of_id(column: Column) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
 
 
+def matched(rows: DataFrame, per_key: DataFrame, keys: list[str], n_col: str, hot_share: int = 1000, most: int | None = None) -> DataFrame:
+    """rows joined (inner) with per_key, a written table of one row a key, on keys; n_col is not returned.
+
+    n_col: how many of the rows a key has, about. Keys with more than one of hot_share of all rows are fewer than hot_share
+    (most, if given, is the number of the largest that count, where their rows are wide): they are broadcast and their
+    rows stay where they are. The other keys are joined by a shuffle.
+    """
+    total = per_key.agg(F.sum(n_col)).first()[0] or 0
+    large = per_key.where(F.col(n_col) > F.lit(total / min(hot_share, most or hot_share)))
+    hot, rest = F.broadcast(large.drop(n_col)), per_key.where(F.col(n_col) <= F.lit(total / min(hot_share, most or hot_share))).drop(n_col)
+    cold = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(rest, keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Rows (node, root) of every node in a link (a, b); root is the smallest node reachable. Rounds of large and small stars.
+
+    A round costs two shuffles of the links and its result is written to the shared folder; the number of rounds grows
+    with the logarithm of the longest path. Nodes with very many links are matched with their minima where they are.
+    """
+    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    while True:
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        large = materialize(matched(both, low, ["u"], "n").where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        small = matched(large, least, ["u"], "n").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        after = materialize(small, "links")
+        sums = [e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for e in (edges, after)]
+        for done in (edges, low, large, least):
+            drop_table(done)
+        edges = after
+        if tuple(sums[0]) == tuple(sums[1]):
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
 def summed_counts(df: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], size: int, slices: int = 16, tasks_at_once: int = 256) -> np.ndarray:
     """The sum over all batches of df of the `size` counts that count(batch) gives; of fixed size, whatever the input.
 

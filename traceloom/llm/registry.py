@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, importance, language_model, neighbours, pii, quality, sharding, simhash, tokenization, warc
+from . import chat, decontamination, importance, jaccard, language_model, neighbours, pii, quality, sharding, simhash, tokenization, warc
 from .common import table
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -63,13 +63,17 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_copies(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_chat, op3_pii, op4_quality, op5_sharding, op6_simhash, op7_decontamination, op8_neighbours, op9_sentencepiece, op10_lm, op11_importance, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_chat, op3_pii, op4_quality, op5_sharding, op6_simhash, op7_decontamination, op8_neighbours, op9_sentencepiece, op10_lm, op11_importance, op12_jaccard, pipeline)}
 
 ORACLES = {
     "op1_warc": """
@@ -108,5 +112,16 @@ z AS (SELECT w.id AS doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_featur
   CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(w.id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM w LEFT JOIN v USING (rid) WHERE side = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) FILTER (WHERE fit) OVER () AS n_fit FROM z)
 SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 5 * n_fit // 100 THEN place END AS rank FROM r
+""",
+    "op12_jaccard": r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT rid, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [words] ELSE list_transform(range(1, len(words) - 1), lambda i: words[i : i + 2]) END) AS shingle FROM w),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+i AS (SELECT a.rid AS a, b.rid AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.rid < b.rid GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT rid AS start, rid AS at FROM n UNION SELECT c.start, e.b FROM c JOIN e ON e.a = c.at)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN w.doc_id ELSE m.component_id END AS component_id
+FROM w LEFT JOIN n USING (rid) LEFT JOIN (SELECT c.start AS rid, min(o.doc_id) AS component_id FROM c JOIN w o ON o.rid = c.at GROUP BY c.start) m USING (rid)
 """,
 }
