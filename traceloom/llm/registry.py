@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, importance, jaccard, language_model, neighbours, pii, quality, sharding, simhash, tokenization, warc
+from . import chat, decontamination, importance, jaccard, language_model, neighbours, pii, quality, sharding, simhash, tokenization, voronoi, warc
 from .common import table
 
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -67,13 +67,18 @@ def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return voronoi.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_chat, op3_pii, op4_quality, op5_sharding, op6_simhash, op7_decontamination, op8_neighbours, op9_sentencepiece, op10_lm, op11_importance, op12_jaccard, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_chat, op3_pii, op4_quality, op5_sharding, op6_simhash, op7_decontamination, op8_neighbours, op9_sentencepiece, op10_lm, op11_importance, op12_jaccard, op13_hard_negatives, pipeline)}
 
 ORACLES = {
     "op1_warc": """
@@ -123,5 +128,14 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 c AS (SELECT rid AS start, rid AS at FROM n UNION SELECT c.start, e.b FROM c JOIN e ON e.a = c.at)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, CASE WHEN n.n IS NULL THEN w.doc_id ELSE m.component_id END AS component_id
 FROM w LEFT JOIN n USING (rid) LEFT JOIN (SELECT c.start AS rid, min(o.doc_id) AS component_id FROM c JOIN w o ON o.rid = c.at GROUP BY c.start) m USING (rid)
+""",
+    "op13_hard_negatives": """
+WITH q AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM q a JOIN q b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 10
 """,
 }
