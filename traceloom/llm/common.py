@@ -69,25 +69,31 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def summed_counts(df: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], size: int, slices: int = 16, tasks_at_once: int = 256) -> np.ndarray:
-    """The sum over all batches of df of the `size` counts that count(batch) gives; of fixed size, whatever the input.
+def sliced_counts(total: np.ndarray, slices: int = 16, tasks_at_once: int = 256) -> list[pa.Array]:
+    """A task's counts as columns (slice, level, counts), one row a slice, for added_counts()."""
+    from pyspark import TaskContext
 
-    A task adds its batches and sends its sum in slices; a slice is added over tasks_at_once tasks, then over those sums.
-    """
-    schema = "slice int, level long, counts binary"
+    level = TaskContext.get().partitionId() // tasks_at_once
+    return [pa.array(range(slices), pa.int32()), pa.array([level] * slices, pa.int64()), pa.array([p.tobytes() for p in np.array_split(total, slices)], pa.binary())]
 
-    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        total = sum(map(count, batches), np.zeros(size, np.int64))
-        parts = [p.tobytes() for p in np.array_split(total, slices)]
-        level = TaskContext.get().partitionId() // tasks_at_once
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([level] * slices, pa.int64()), pa.array(parts, pa.binary())], ["slice", "level", "counts"])
+def added_counts(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of all tasks' counts; a slice is added over tasks_at_once tasks, then over those sums. rows: a written table."""
+    schema = "slice int, level long, counts binary"
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(c, np.int64) for c in pdf["counts"])
         return pd.DataFrame([(int(pdf["slice"].iloc[0]), int(pdf["level"].iloc[0]), total.tobytes())], columns=["slice", "level", "counts"])
 
-    some = df.mapInArrow(each, schema).groupBy("slice", "level").applyInPandas(add, schema)
-    rows = some.withColumn("level", F.lit(0).cast("long")).groupBy("slice").applyInPandas(add, schema).orderBy("slice").collect()
-    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows]) if rows else np.zeros(size, np.int64)
+    some = rows.groupBy("slice", "level").applyInPandas(add, schema)
+    found = some.withColumn("level", F.lit(0).cast("long")).groupBy("slice").applyInPandas(add, schema).orderBy("slice").collect()
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in found]) if found else np.zeros(size, np.int64)
+
+
+def summed_counts(df: DataFrame, count: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all batches of df of the `size` counts that count(batch) gives; of fixed size, whatever the input."""
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays(sliced_counts(sum(map(count, batches), np.zeros(size, np.int64))), ["slice", "level", "counts"])
+
+    return added_counts(df.mapInArrow(each, "slice int, level long, counts binary"), size)

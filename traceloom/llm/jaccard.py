@@ -18,7 +18,7 @@ Lists are scanned in two rounds, so the near copies of one text are not paired w
 compared with its list's pivot (its smallest member) only, and components of the links found so far are made. Then only
 members that are in another component than most of their list are compared, with those of other components: two sets that
 are connected already cannot change a component. Candidates pass the bounds of size and of position in the list and a
-parity bitmap of 512 bits (bits that differ are at most the symmetric difference); what is left is verified by the whole
+parity bitmap of 256 bits (bits that differ are at most the symmetric difference); what is left is verified by the whole
 sets. No candidate is dropped without such a bound, so no link between different components is lost.
 
 Hot keys: lists, pivots and classes that hold more than one of 1,000 of all rows are fewer than 1,000; their side is
@@ -40,9 +40,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_table, matched, materialize, summed_counts
+from .common import added_counts, components, drop_table, matched, materialize, sliced_counts
 
-WORDS = 8  # 64-bit words of a parity bitmap
+WORDS = 4  # 64-bit words of a parity bitmap
 LIGHT, HEAVY = 0, 1  # kinds of lists
 
 
@@ -107,31 +107,33 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
     return (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text"))
 
 
-def _sets(rows: DataFrame, width: int, salt: int) -> DataFrame:
-    """Rows (id, n, key, check, bits) from rows (id, text)."""
+def _sets(rows: DataFrame, width: int, salt: int, table: int) -> DataFrame:
+    """Rows (id, hash, n, key, check, bits) from rows (id, hash, text), and each task's counts as rows (slice, level, counts)."""
+    names = ["id", "hash", "n", "key", "check", "bits", "slice", "level", "counts"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes, total, kind = _Hashes(), np.zeros(table, np.int64), None
         for batch in batches:
-            found = [(len(s), _set_key(s, salt), _set_key(s, salt + 1), _parity(s)) for s in (shingles(t, width, hashes) for t in _texts(batch))]
-            n, key, check, bits = zip(*found, strict=True) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], ["id", "n", "key", "check", "bits"])
+            out, kind = [], batch.column("id").type
+            for text in _texts(batch):
+                found = shingles(text, width, hashes)
+                np.add.at(total, (found % np.uint64(table)).astype(np.int64), 1)
+                out.append((len(found), _set_key(found, salt), _set_key(found, salt + 1), _parity(found)))
+            n, key, check, bits = zip(*out, strict=True) if out else ((), (), (), ())
+            own = [batch.column("id"), batch.column("hash"), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(out), t) for t in (pa.int32(), pa.int64(), pa.binary()))], names)
+        if kind is not None:
+            counts = sliced_counts(total)
+            none = (kind, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(counts[0]), t) for t in none), *counts], names)
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n int, key long, check long, bits array<long>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash long, n int, key long, check long, bits array<long>, slice int, level long, counts binary")
 
 
-def _rarity(rows: DataFrame, width: int, table: int) -> np.ndarray:
+def _rarity(counts: np.ndarray) -> np.ndarray:
     """The place of each cell of the table of counts, the rarest first."""
-    hashes = _Hashes()
-
-    def count(batch: pa.RecordBatch) -> np.ndarray:
-        total = np.zeros(table, np.int64)
-        for text in _texts(batch):
-            np.add.at(total, (shingles(text, width, hashes) % np.uint64(table)).astype(np.int64), 1)
-        return total
-
-    counts, place = summed_counts(rows.select("text"), count, table), np.empty(table, np.int32)
-    place[np.argsort(counts, kind="stable")] = np.arange(table)
+    place = np.empty(len(counts), np.uint64)
+    place[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.uint64)
     return place
 
 
@@ -172,7 +174,10 @@ def _postings(rows: DataFrame, width: int, salt: int, place: np.ndarray, boundar
             for small, large, size, side in signatures[n]:
                 yield LIGHT, _mixed(_subset_sums(mixed, size), small * 1000 + large), np.zeros(0), side
         if partners(n, percent)[-1] > boundary:
-            order = np.lexsort((found, place[(found % table).astype(np.int64)]))[: prefix(n, percent)]
+            # By place, then by the hash: one number, whose ties keep the order of the hashes.
+            rank, size = place[(found % table).astype(np.int64)] << np.uint64(32) | found >> np.uint64(32), prefix(n, percent)
+            near = np.flatnonzero(rank <= np.partition(rank, size - 1)[size - 1])
+            order = near[np.argsort(rank[near], kind="stable")][:size]
             yield HEAVY, found[order], np.arange(len(order)), 0
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,42 +214,38 @@ def _may_link(percent: int, boundary: int) -> str:
     return f"(p.kind = {LIGHT} OR {heavy}) AND least(p.n, q.n) >= {c} AND {differ} <= p.n + q.n - 2 * {c}"
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, salt: int, percent: int) -> DataFrame:
-    """Links (a, b) of the candidate pairs (a, b), by the intersection of the whole sets, which are made for these only."""
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    chosen = classes.join(keys, "key").select("key", F.col("rep").alias("of"))
-    texts = rows.join(chosen, F.col("id").eqNullSafe(F.col("of"))).select("key", "text")
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int, table: str) -> DataFrame:
+    """Links (a, b) of the candidate pairs (a, b), by the intersection of the whole sets of their two texts."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            found = [(k, s.view(np.int64)) for k, s in zip(batch.column("key").to_pylist(), (shingles(t, width, hashes) for t in _texts(batch)), strict=True) if _set_key(s, salt) == k]
-            for at in range(0, len(found), 512):
-                some = found[at : at + 512]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array([s for _, s in some], pa.list_(pa.int64()))], ["key", "items"])
-
-    # Rows that repeat id and text give a set more than once.
-    whole = materialize(texts.mapInArrow(run, "key long, items array<long>").groupBy("key").agg(F.first("items").alias("items")), "sets")
-    degree = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("degree")).join(whole.select(F.col("key").alias("a"), F.col("items").alias("left")), "a"), "sides")
-    both = matched(materialize(pairs.join(whole.select(F.col("key").alias("b"), F.col("items").alias("right")), "b"), "pairs"), degree, ["a"], "degree", most=64)
-    common = F.size(F.array_intersect("left", "right"))
-    links = materialize(both.where(100 * common >= percent * (F.size("left") + F.size("right") - common)).select("a", "b"), "verified")
-    drop_table(whole)
-    return links
-
-
-def linked_sets(rows: DataFrame, classes: DataFrame, width: int, salt: int, percent: int, table: int, most_light: int, posting_cost: int) -> DataFrame:
-    """Rows (node, root): components of the classes that have a link; rows (id, text), classes (key, n, rep, bits)."""
+    @F.arrow_udf("boolean")
+    def linked(left: pa.Array, right: pa.Array) -> pa.Array:
+        hashes, out = _Hashes(), []
+        for x, y in zip(left, right, strict=True):
+            a, b = (shingles(t.as_buffer().to_pybytes(), width, hashes) for t in (x, y))
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            out.append(100 * common >= percent * (len(a) + len(b) - common))
+        return pa.array(out, pa.bool_())
+
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("key"))
+    degrees = materialize(sides.groupBy("key").agg(F.count(F.lit(1)).alias("degree")).join(classes.select("key", "handle"), "key"), "degrees")
+    # A written table, so it is broadcast where it is small and else the texts are dealt by their ids.
+    asked = materialize(matched(sides, degrees, ["key"], "degree").select(F.col("handle.id").alias("of"), F.col("handle.hash").alias("hash"), "key", "a", "b"), "sides")
+    texts = rows.join(asked, (rows["hash"] == asked["hash"]) & rows["id"].eqNullSafe(asked["of"])).select("a", "b", "key", "text")
+    both = texts.groupBy("a", "b").agg(*[F.max(F.when(F.col("key") == F.col(c), F.col("text"))).alias(f"text_{c}") for c in "ab"])
+    return materialize(both.where(linked("text_a", "text_b")).select("a", "b"), table)
+
+
+def linked_sets(rows: DataFrame, classes: DataFrame, place: np.ndarray, width: int, salt: int, percent: int, most_light: int, posting_cost: int) -> DataFrame:
+    """Rows (node, root): components of the classes that have a link; rows (id, hash, text), classes (key, n, handle, bits)."""
     small = {r["n"]: r["k"] for r in classes.where(F.col("n") <= most_light).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}  # at most most_light rows
     least_partner = F.ceil(F.col("n") * percent / 100)
     heavy_rows = classes.where(F.col("n") > most_light).agg(F.sum(F.col("n") + 1 - F.ceil((F.col("n") + least_partner) * percent / (100 + percent)))).first()[0] or 0
     boundary = boundary_of(small, int(heavy_rows), percent, most_light, posting_cost)
-    place = _rarity(rows, width, table)
     postings = materialize(_postings(rows, width, salt, place, boundary, percent), "postings")
-    first = F.min(F.struct("side", "key")).alias("first")
-    lists = postings.groupBy("kind", "token").agg(first, F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("size"))
     # A light list without a set of the smaller size is no list of links.
-    lists = materialize(lists.where("lo < hi AND first.side = 0").select("kind", "token", F.col("first.key").alias("pivot"), "size"), "lists")
+    pivot = F.min(F.when(F.col("side") == 0, F.col("key")))
+    lists = postings.groupBy("kind", "token").agg(pivot.alias("pivot"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("size"))
+    lists = materialize(lists.where("lo < hi AND pivot IS NOT NULL").select("kind", "token", "pivot", "size"), "lists")
     distinct = matched(postings, lists, ["kind", "token"], "size").dropDuplicates(["kind", "token", "key"])
     members = distinct.select("kind", "token", "key", "pos", "pivot").join(classes.select("key", "n", "bits"), "key")
     members = materialize(members, "members")
@@ -255,7 +256,7 @@ def linked_sets(rows: DataFrame, classes: DataFrame, width: int, salt: int, perc
     ordered = lambda df: df.select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b"))
     with_head = matched(members.where("key <> pivot").select("kind", "token", member), heads, ["kind", "token"], "size").where(bounds)
     pairs = materialize(ordered(with_head).distinct(), "candidates")
-    links = _verified(pairs, rows, classes, width, salt, percent)
+    links = _verified(pairs, rows, classes, width, percent, "verified")
     roots = components(links)
     # Second round: lists in which not all members are in one component.
     named = members.where(f"kind = {HEAVY}").join(roots, members["key"] == roots["node"], "left").select("kind", "token", member, F.coalesce("root", "key").alias("root"))
@@ -267,7 +268,7 @@ def linked_sets(rows: DataFrame, classes: DataFrame, width: int, salt: int, perc
     # Of two members outside the most usual component, the smaller key asks.
     second = mixed.join(others, "token").where("root <> of AND (root = usual OR q.key > p.key)").where(bounds)
     left = materialize(ordered(second).distinct().join(pairs, ["a", "b"], "left_anti"), "candidates")
-    more = _verified(left, rows, classes, width, salt, percent)
+    more = _verified(left, rows, classes, width, percent, "verified")
     return components(links.unionByName(more))
 
 
@@ -275,15 +276,19 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """Rows (id, n_shingles, component_id) of every row of df."""
     if not 0 < percent <= 100:
         raise ValueError("percent is from 1 to 100")
-    rows, salt = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), 0
+    text = F.col(f"`{text_col}`")
+    rows, salt = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")), 0
     while True:
-        sets = materialize(_sets(rows, width, salt), "sets")
-        per = sets.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits"), F.min("check").alias("check"), F.max("check").alias("other"))
+        found = materialize(_sets(rows, width, salt, table), "sets")
+        sets = found.where("slice IS NULL").select("id", "hash", "n", "key", "check", "bits")
+        handle = F.min(F.struct("id", "hash")).alias("handle")
+        per = sets.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("id").alias("rep"), handle, F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits"), F.min("check").alias("check"), F.max("check").alias("other"))
         classes = materialize(per, "classes")
         if classes.where("check <> other").isEmpty():
             break
         salt += 3  # two different sets have one key: other keys for all
-    roots = linked_sets(rows, classes, width, salt, percent, table, most_light, posting_cost)
+    place = _rarity(added_counts(found.where("slice IS NOT NULL").select("slice", "level", "counts"), table))
+    roots = linked_sets(rows, classes, place, width, salt, percent, most_light, posting_cost)
     placed = classes.join(roots, classes["key"] == roots["node"], "left").select("key", "rep", "copies", F.coalesce("root", "key").alias("root"))
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("size"))
     labels = materialize(matched(materialize(placed, "placed"), materialize(least, "least"), ["root"], "size").select("key", "component_id", "copies"), "labels")
