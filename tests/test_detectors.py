@@ -44,18 +44,12 @@ def test_chain_rule_ties_keep_the_first(spark):
     assert [(r["chain_reason"], r["techniques"]) for r in row] == [("one", "T1000")]
 
 
-def test_census_of_the_surveyed_chain_rules(spark):
+def test_census_of_the_chain_rules(spark):
     import collections
-    import re
 
-    from traceloom.operators.chain_rules import SURVEYED_RULES
-
-    assert len(SURVEYED_RULES) == 342 and collections.Counter(r[2] for r in SURVEYED_RULES) == {3: 116, 2: 122, 1: 77, 0: 27}
-    assert len({t for r in SURVEYED_RULES for t in re.findall(r"\bT\d{4}(?:\.\d{3})?\b", r[3])}) == 65
-    alone = process.chain_rule_table(spark.createDataFrame([(k, *r) for k, r in enumerate(SURVEYED_RULES)], "position int, parent string, child string, level int, reason string"))
-    want = {(r["parent_key"], r["child_key"]): r["chain_level"] for r in alone.collect()}
-    got = {(r["parent_key"], r["child_key"]): r["chain_level"] for r in process.chain_rule_table(process.default_rules(spark)).collect()}
-    assert len(want) == 327 and want.items() <= got.items()
+    table = process.chain_rule_table(process.default_rules(spark)).collect()
+    assert len(table) == 327 and collections.Counter(r["chain_level"] for r in table) == {3: 116, 2: 117, 1: 69, 0: 25}
+    assert all(r["techniques"] and r["chain_reason"] == f"{r['parent_key']} started {r['child_key']}" for r in table)
     rows = spark.createDataFrame([(1, "C:\\cmd.exe", "C:\\rclone.exe", "")], "id int, parent_image string, image string, command string")
     assert [(r["level"], r["techniques"]) for r in process.assess(rows, process.default_rules(spark)).collect()] == [(3, "T1567.002")]
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import drop_table, materialize
-from .chain_rules import SURVEYED_RULES
+from .chain_rules import rules as chain_pairs
 
 # Patterns on command lines, paths and process names.
 SUS_PATHS = r"(?i)(\\temp\\|\\tmp\\|\\appdata\\|\\downloads\\|\\public\\|\\recycle|\\perflogs\\|\\videos\\|\\music\\|\\pictures\\)"
@@ -30,12 +30,6 @@ STANDALONE = (
     (1, "Network scanner", "image", NETWORK_SCANNERS), (1, "AD recon tool", "image", AD_RECON_TOOLS), (1, "Remote management tool", "image", RMM_TOOLS), (1, "Suspicious path", "path", SUS_PATHS),
 )
 
-#: A starting set of (parent, child, level, reason [technique]) rows; where both have a pair, levels are those of the surveyed rules.
-CHAIN_RULES = [(p, c, 3, f"{p} started {c} [T1204.002]") for p in ("winword.exe", "excel.exe", "powerpnt.exe", "outlook.exe") for c in ("cmd.exe", "powershell.exe", "wscript.exe", "mshta.exe")] + [
-    ("w3wp.exe", "cmd.exe", 3, "Shell from a web server [T1505.003]"), ("w3wp.exe", "powershell.exe", 3, "Shell from a web server [T1505.003]"), ("wmiprvse.exe", "cmd.exe", 2, "Shell from WMI [T1047]"), ("wmiprvse.exe", "powershell.exe", 2, "Shell from WMI [T1047]"),
-    ("services.exe", "cmd.exe", 2, "Shell from a service [T1569.002]"), ("mshta.exe", "powershell.exe", 3, "Script host started PowerShell [T1218.005]"), ("cmd.exe", "whoami.exe", 1, "Account discovery [T1033]"), ("cmd.exe", "net.exe", 1, "Account discovery [T1087]"), ("explorer.exe", "cmd.exe", 0, "Shell from the desktop"),
-]
-
 
 def base_name(path: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(path, F.lit("")), r"([^\\/]*)$", 1))
@@ -112,12 +106,8 @@ def chain_rule_table(rules: DataFrame) -> DataFrame:
 
 
 def default_rules(spark) -> DataFrame:
-    """The starting set and all surveyed rules; of equal levels the starting set's reason comes first."""
-    surveyed = {}
-    for parent, child, level, _ in SURVEYED_RULES:
-        surveyed[parent, child] = max(level, surveyed.get((parent, child), 0))
-    rows = [r for r in CHAIN_RULES if surveyed.get(r[:2], r[2]) == r[2]] + list(SURVEYED_RULES)
-    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "position int, parent string, child string, level int, reason string")
+    """The built-in rules; other tables of the same columns do as well."""
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(chain_pairs())], "position int, parent string, child string, level int, reason string")
 
 
 def standalone(image: Column, command: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import timestamps as S
+from ..operators.chain_rules import rules as chain_pairs
 from ..operators import ioc, lateral, ntfs, persistence, process
 from .registry import query, read
 
@@ -114,12 +115,22 @@ def process_tree(spark, d):
     return process.ancestors(process.link_parents(frame(spark, _PROCESSES, _PROC_SCHEMA)).select("id", "parent_id")).select("id", "depth", "root")
 
 
-_ASSESSED = [(1, 0, "", ""), (2, 0, "", ""), (3, 3, "winword.exe started cmd.exe", "T1204.002"), (4, 3, "Encoded PowerShell", ""), (5, 1, "Suspicious path", ""), (6, 2, "Exfiltration tool", ""), (7, 0, "", "")]
+_PAIRS = [(p, c, level, *reason[:-1].split(" [")) for p, c, level, reason in chain_pairs()]
+_STARTED_BY, _STARTED = (sorted({r[k] for r in _PAIRS}) for k in (0, 1))
+_ALONE = [(name, level, pattern) for level, name, part, pattern in process.STANDALONE if part == "image"]
+_NAMED = " ".join(f"WHEN regexp_matches(child || '.exe', '{pattern}') THEN {{}}".format("{" + str(k) + "}") for k, (_, _, pattern) in enumerate(_ALONE))
+_REASON, _LEVEL = (_NAMED.format(*[repr(r[k]) for r in _ALONE]) for k in (0, 1))
 
 
-@query(f"SELECT id, level, reason, techniques FROM {values(_ASSESSED, 'id, level, reason, techniques')}")
+@query(f"""WITH t AS (SELECT {_STARTED_BY} AS parents, {_STARTED} AS children), e AS (SELECT event_id AS id, parents[1 + event_id % {len(_STARTED_BY)}] AS parent, children[1 + event_id // {len(_STARTED_BY)} % {len(_STARTED)}] AS child FROM events, t),
+a AS (SELECT *, CASE {_LEVEL} ELSE 0 END AS alone, CASE {_REASON} ELSE '' END AS alone_reason FROM e), r AS {values(_PAIRS, 'parent, child, level, reason, technique')}
+SELECT id, CAST(greatest(coalesce(level, -1), alone) AS INTEGER) AS level, CASE WHEN level >= alone THEN reason ELSE alone_reason END AS reason, CASE WHEN level >= alone THEN technique ELSE '' END AS techniques FROM a LEFT JOIN r USING (parent, child)""")
 def chain_rules(spark, d):
-    return process.assess(frame(spark, _PROCESSES, _PROC_SCHEMA), process.default_rules(spark)).select("id", "level", "reason", "techniques")
+    """Every parent with every child, an event each, against all rules."""
+    e, n = spark.read.parquet(f"{d}/events.parquet"), len(_STARTED_BY)
+    name = lambda names, k: F.concat(F.lit("C:\\Windows\\"), F.get(F.array(*map(F.lit, names)), k.cast("int")), F.lit(".exe"))
+    rows = e.select(F.col("event_id").alias("id"), name(_STARTED_BY, F.col("event_id") % n).alias("parent_image"), name(_STARTED, F.floor(F.col("event_id") / n) % len(_STARTED)).alias("image"), F.lit("").alias("command"))
+    return process.assess(rows, process.default_rules(spark)).select("id", "level", "reason", "techniques")
 
 
 @query(f"""SELECT id, CASE WHEN regexp_matches(command, '{process.ENCODED_PS}') THEN 3 WHEN regexp_matches(regexp_extract(lower(image), '([^\\/]*)$', 1), '{process.EXFIL_TOOLS}') THEN 2
