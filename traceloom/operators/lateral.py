@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .temporal import seconds
+from .temporal import carried, seconds
 
 # Fixed values: (event id, rule, severity, whether it makes an edge).
 RULES = (
@@ -35,10 +35,24 @@ def rule_table(spark) -> DataFrame:
 
 
 def relevant(logons: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Rows (event_id, ts, source, target, user, ...) with a rule, without noise; each with rule, severity and makes_edge."""
+    """Rows (event_id, ts, source, target, user, ...) with a rule, without noise; each with rule, severity and makes_edge.
+
+    A rule table with a column `pattern` has rules of its own: where it is filled, the row's `payload` must match it.
+    """
     rules = rules if rules is not None else rule_table(logons.sparkSession)
     quiet = ~F.coalesce(F.col("source"), F.lit("")).isin(*NOISE_SOURCES) & ~F.coalesce(F.col("user"), F.lit("")).rlike(NOISE_USERS)
-    return logons.where(quiet).join(rules, "event_id")
+    found = logons.where(quiet).join(rules, "event_id")
+    if "pattern" not in rules.columns:
+        return found
+    return found.where(F.coalesce(F.col("pattern") == "", F.lit(True)) | F.rlike(F.coalesce("payload", F.lit("")), F.col("pattern"))).drop("pattern")
+
+
+def edge_event_counts(logons: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Edges (source, target, user, logon_type) with counts of each event id: first by id, then as one map an edge."""
+    edge = ["source", "target", "user", "logon_type"]
+    per = relevant(logons, rules).where("makes_edge").groupBy(*edge, "event_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_id", "n"))))
+    return per.groupBy(*edge).agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), counts.alias("by_event"))
 
 
 def logon_edges(logons: DataFrame) -> DataFrame:
@@ -79,6 +93,43 @@ def chains(edges: DataFrame, max_hops: int | None = None) -> DataFrame:
         paths = longer
 
 
+def chain_labels(hops: DataFrame, keep: int = 4, max_hops: int | None = None, salt_rows: int = 1_000_000) -> DataFrame:
+    """(host, hops, arrives, path): the `keep` earliest arrivals at every host after each number of hops.
+
+    hops: (source, target, ts). Labels spread in time: round k extends the labels of k hops by every later or simultaneous
+    hop to a host that their path has not, keeps a host's earliest arrivals (ties by path) and drops the others, which
+    cannot be extended where an earlier one cannot. So a round holds at most `keep` labels a host, however many paths
+    there are, and rounds end with the longest chain (or max_hops). A label is a path that fits in time; with `keep` large
+    enough all of them are there. Sources with very many hops are dealt to several tasks, salt_rows each.
+    """
+    steps = hops.where("source <> target AND ts IS NOT NULL").select("source", "target", "ts").distinct()
+    degree = steps.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("salts"))
+    steps = materialize(steps.join(degree, "source").withColumn("salt", F.pmod(F.xxhash64("target"), F.col("salts")).cast("int")), "hops")
+    salts = materialize(degree, "salts")
+    best = Window.partitionBy("host").orderBy("arrives", "path")
+    first = steps.groupBy("source", "target").agg(F.min("ts").alias("arrives")).select(F.col("target").alias("host"), F.lit(1).alias("hops"), "arrives", F.array("source", "target").alias("path"))
+    found, count = first, 1
+    out: DataFrame | None = None
+    while True:
+        kept = materialize(found.withColumn("k", F.row_number().over(best)).where(F.col("k") <= keep).drop("k"), "labels")
+        if kept.isEmpty():
+            return kept if out is None else out
+        out = kept if out is None else out.unionByName(kept)
+        if count == max_hops:
+            return out
+        ready = kept.join(salts, kept["host"] == salts["source"]).select("path", "arrives", F.col("host").alias("source"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        meets = steps.drop("salts").join(ready, ["source", "salt"]).where((F.col("ts") >= F.col("arrives")) & ~F.array_contains("path", F.col("target")))
+        count += 1
+        found = meets.groupBy("target", "path").agg(F.min("ts").alias("arrives")).select(F.col("target").alias("host"), F.lit(count).alias("hops"), "arrives", F.concat("path", F.array("target")).alias("path"))
+
+
+def longest_chains(hops: DataFrame, keep: int = 4, max_hops: int | None = None) -> DataFrame:
+    """(host, hops, arrives, path): for each host the longest chain that ends there, the earliest of equal ones."""
+    order = F.struct((-F.col("hops")).alias("h"), "arrives", "path")
+    best = chain_labels(hops, keep, max_hops).groupBy("host").agg(F.min(order).alias("b"))
+    return best.select("host", (-F.col("b.h")).alias("hops"), "b.arrives", F.array_join("b.path", ">").alias("path"))
+
+
 def stats_cards(edges: DataFrame, findings: DataFrame, sessions: DataFrame, paths: DataFrame, events: DataFrame) -> DataFrame:
     """One row: findings, hosts, connections, users, sessions, the longest chain, outlier hosts and analysed events."""
     hosts = edges.select(F.explode(F.array("source", "target")).alias("host")).groupBy("host").agg(F.lit(1).alias("one"))
@@ -119,37 +170,50 @@ def remote_tool(text: Column) -> Column:
     return F.when(text.rlike(REMOTE_TOOLS), "rmm").when(text.rlike(TUNNELS), "tunnel")
 
 
-def rdp_sessions(events: DataFrame) -> DataFrame:
+ADMIN_WITHIN, ACTIVE_WITHIN, CLOSE_WITHIN = 5, 30, 60  # fixed values: seconds that a session's events may lie apart
+
+
+def rdp_sessions(events: DataFrame, close_within: int | None = CLOSE_WITHIN) -> DataFrame:
     """Sessions of (target, user): a logon or reconnect opens a new one if it is over 30 s after the last such event, if
     its source or session id is known and another one than the last known, or if the session was closed.
 
     events: (event_id, ts, source, target, user) and, if there is one, session_id. Events without a source or session id
     belong to the session they fall in. A privilege event (4672) marks a session only within 5 s of its last opening
-    event. The key, target and user, splits the work: window passes over one shuffle number the sessions (ids are compared
-    inside the runs that times and sources give) and one aggregation gives source, session id, times, events and status.
+    event. A disconnect or logoff belongs to the session whose id or source it names; one that names neither, or others,
+    belongs to it only within close_within seconds of its last event (None: always) and else is a session of its own.
+    Sessions are numbered by running values that are carried over slots of time, so a (target, user) with very many events
+    is several tasks; one aggregation gives source, session id, times, events and status.
     """
-    order = Window.partitionBy("target", "user").orderBy("ts", "event_id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    keys, order = ["target", "user"], ["ts", "event_id"]
     known = lambda c: F.when(~F.coalesce(F.upper(F.trim(c)), F.lit("")).isin("", "-", "LOCAL"), c)
     session_id = F.col("session_id").cast("string") if "session_id" in events.columns else F.lit(None).cast("string")
     rows = events.withColumn("source", known(F.col("source"))).withColumn("session_id", known(session_id))
-    last = lambda c: F.last(c, ignorenulls=True).over(before)
     opens = F.col("event_id").isin(1149, 21, 25, 4624, 4778)
     closes = F.col("event_id").isin(23, 24, 39, 40, 4634, 4647, 4779)
-    marked = rows.select("*", opens.alias("opens"), last(F.when(opens, F.col("ts"))).alias("opened"), last(F.when(closes, F.col("ts"))).alias("closed"), last(F.when(opens, F.col("source"))).alias("last_source"))
-    late = F.col("opened").isNull() | (seconds(F.col("ts")) - seconds(F.col("opened")) > 30)
+    before = {"opened": F.when(opens, F.col("ts")), "closed": F.when(closes, F.col("ts")), "last_source": F.when(opens, F.col("source")), "last_ts": F.col("ts")}
+    marked = carried(rows.withColumns({"opens": opens, "closes": closes}), keys, order, "ts", before)
+    apart = lambda c: seconds(F.col("ts")) - seconds(F.col(c))
+    late = F.col("opened").isNull() | (apart("opened") > ACTIVE_WITHIN)
     fresh = F.col("opens") & (late | F.coalesce(F.col("closed") >= F.col("opened"), F.lit(False)) | F.coalesce(F.col("last_source") != F.col("source"), F.lit(False)))
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    runs = marked.withColumn("fresh", fresh).withColumn("run", F.sum(fresh.cast("int")).over(upto))
-    inside = Window.partitionBy("target", "user", "run").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    last_id = F.last(F.when(F.col("opens"), F.col("session_id")), ignorenulls=True).over(inside)
-    split = runs.withColumn("split", F.col("fresh") | (F.col("opens") & F.coalesce(last_id != F.col("session_id"), F.lit(False))))
-    numbered = split.withColumn("session", F.sum(F.col("split").cast("int")).over(upto))
+    runs = carried(marked.withColumn("fresh", fresh), keys, order, "ts", sums={"run": fresh.cast("int")})
+    named = carried(runs, keys, order, "ts", {"last_id": F.when(F.col("opens") & F.col("session_id").isNotNull(), F.struct("run", "session_id"))})
+    current = F.when(F.col("last_id.run") == F.col("run"), F.col("last_id.session_id"))
+    split = F.col("fresh") | (F.col("opens") & F.coalesce(current != F.col("session_id"), F.lit(False)))
+    if close_within is not None:
+        linked = F.coalesce(current == F.col("session_id"), F.lit(False)) | F.coalesce(F.col("last_source") == F.col("source"), F.lit(False))
+        split = split | (F.col("closes") & ~linked & (F.col("last_ts").isNull() | (apart("last_ts") > close_within)))
+    numbered = carried(named, keys, order, "ts", sums={"session": split.cast("int")})
     has = lambda *ids: F.max(F.col("event_id").isin(*ids).cast("int")) == 1
-    admin = F.max(((F.col("event_id") == 4672) & F.coalesce(seconds(F.col("ts")) - seconds(F.col("opened")) <= 5, F.lit(False))).cast("int")) == 1
+    admin = F.max(((F.col("event_id") == 4672) & F.coalesce(apart("opened") <= ADMIN_WITHIN, F.lit(False))).cast("int")) == 1
     status = (
         F.when(has(23, 4634, 4647), "ENDED").when(has(24, 39, 40, 4779), "DISCONNECTED").when(has(4625) & ~has(21, 22, 25, 4624, 4778), "FAILED")
         .when(has(21, 22, 25, 4778), F.when(has(22), "ACTIVE").otherwise("NO LOGOFF")).when(F.count(F.lit(1)) == 1, "INCOMPLETE").otherwise("CONNECTING")
     )
     one = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", "event_id"))).alias(c)
     return numbered.groupBy("target", "user", "session").agg(one("source"), one("session_id"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"), status.alias("status"), admin.alias("admin"), has(25, 4778).alias("reconnect"))
+
+
+def session_groups(sessions: DataFrame, many: int = 5) -> DataFrame:
+    """The grouped view: (source, target, user, status) with sessions, events, times and whether there are over `many`."""
+    grouped = sessions.groupBy("source", "target", "user", "status").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    return grouped.withColumn("many", F.col("sessions") > many)

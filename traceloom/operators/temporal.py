@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .filters import col
 
+
 def all_rows():
     """One window over all rows, for tables of buckets."""
     return Window.partitionBy(F.lit(1))
 
 
-
 def seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1_000_000).cast("double")
 
@@ -134,8 +135,42 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts_col: str, value
     return both.withColumn(out, F.last("__value", ignorenulls=True).over(before)).where("__kind = 1").drop("__kind", "__value")
 
 
+def carried(df: DataFrame, keys: list[str], order: list[str], ts_col: str, last: dict[str, Column] | None = None, sums: dict[str, Column] | None = None, slot_seconds: int = 3600) -> DataFrame:
+    """df with running values of each key, in order: `last`, the last non-null value before a row; `sums`, the sum up to it.
+
+    A key with very many rows is several tasks: rows are dealt to slots of time, each slot leaves one row with its own last
+    values and sums, those rows give every slot what it starts with, and windows run inside slots only. order starts with
+    the time. The rows are written once.
+    """
+    last, sums = last or {}, sums or {}
+    slot = F.coalesce(F.floor(seconds(col(ts_col)) / slot_seconds), F.lit(-(1 << 62)))
+    kept = {f"__{n}": v for n, v in (last | sums).items()}
+    rows = materialize(df.withColumns({"__slot": slot} | kept), "carried")
+    place = F.struct(*[col(c) for c in order])
+    ends = [F.max_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), place)).alias(f"__{n}") for n in last] + [F.sum(f"__{n}").alias(f"__{n}") for n in sums]
+    per = rows.groupBy(*[col(k) for k in keys], "__slot").agg(*ends)
+    earlier = Window.partitionBy(*[col(k) for k in keys]).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = [F.last(f"__{n}", ignorenulls=True).over(earlier).alias(f"__from_{n}") for n in last] + [F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__from_{n}") for n in sums]
+    given = per.select(*[col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__slot").alias("__at_slot"), *starts)
+    same = F.col("__slot") == F.col("__at_slot")
+    for i, k in enumerate(keys):
+        same = same & rows[k].eqNullSafe(given[f"__key{i}"])
+    inside = Window.partitionBy(*[col(k) for k in keys], "__slot").orderBy(*[col(c) for c in order])
+    before, upto = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
+    values = {n: F.coalesce(F.last(f"__{n}", ignorenulls=True).over(before), F.col(f"__from_{n}")) for n in last}
+    values |= {n: F.coalesce(F.sum(f"__{n}").over(upto), F.lit(0)) + F.col(f"__from_{n}") for n in sums}
+    return rows.join(given, same).select(*[col(c) for c in df.columns], *[v.alias(n) for n, v in values.items()])
+
+
 def densest_window(df: DataFrame, ts_col: str, window_seconds: int = 180) -> DataFrame:
-    """The instant from which the window holds most rows, on rows counted per second first."""
+    """The instant from which the window holds most rows, on rows counted per second first.
+
+    Windows run inside slots of a day, or of the window where it is longer; a slot sees the seconds of the next one that
+    its windows reach, so each task's rows are bounded by a slot's seconds.
+    """
+    size = max(DAY, window_seconds)
     per = df.where(col(ts_col).isNotNull()).groupBy(F.floor(seconds(col(ts_col))).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    ahead = F.sum("n").over(all_rows().orderBy("s").rangeBetween(0, window_seconds - 1))
-    return per.withColumn("total", ahead).orderBy(F.desc("total"), "s").limit(1).select(F.timestamp_seconds("s").alias("from_ts"), "total")
+    spread = per.withColumn("slot", F.explode(F.sequence(F.floor((F.col("s") - (window_seconds - 1)) / size), F.floor(F.col("s") / size))))
+    ahead = F.sum("n").over(Window.partitionBy("slot").orderBy("s").rangeBetween(0, window_seconds - 1))
+    own = spread.withColumn("total", ahead).where(F.col("slot") == F.floor(F.col("s") / size))
+    return own.orderBy(F.desc("total"), "s").limit(1).select(F.timestamp_seconds("s").alias("from_ts"), "total")

@@ -191,7 +191,7 @@ _RDP_OUT = [("B", "u", 1, 5, "DISCONNECTED", True, False), ("B", "u", 2, 2, "END
 @query(f"SELECT target, \"user\", CAST(session AS BIGINT) AS session, n, status, admin, reconnect FROM {values(_RDP_OUT, 'target, \"user\", session, n, status, admin, reconnect')}")
 def rdp_sessions(spark, d):
     rows = frame(spark, _RDP, "event_id int, at int, source string, target string, user string").withColumn("ts", F.timestamp_seconds(F.col("at") + 1_700_000_000))
-    return lateral.rdp_sessions(rows).select("target", "user", "session", "n", "status", "admin", "reconnect")
+    return lateral.rdp_sessions(rows, None).select("target", "user", "session", "n", "status", "admin", "reconnect")
 
 
 _RDP_KEYS = [(4624, 0, "A", "B", "u", None), (21, 1, "LOCAL", "B", "u", "2"), (4624, 10, "C", "B", "u", None), (21, 11, "C", "B", "u", "3"), (4672, 20, "C", "B", "u", None), (23, 60, "", "B", "u", "3"), (25, 70, "A", "B", "u", "2")]
@@ -201,7 +201,7 @@ _RDP_KEYS_OUT = [(1, "A", "2", 2, "NO LOGOFF", False), (2, "C", "3", 4, "ENDED",
 @query(f"SELECT CAST(session AS BIGINT) AS session, source, session_id, n, status, admin FROM {values(_RDP_KEYS_OUT, 'session, source, session_id, n, status, admin')}")
 def rdp_session_keys(spark, d):
     rows = frame(spark, _RDP_KEYS, "event_id int, at int, source string, target string, user string, session_id string").withColumn("ts", F.timestamp_seconds(F.col("at") + 1_700_000_000))
-    return lateral.rdp_sessions(rows).select("session", "source", "session_id", "n", "status", "admin")
+    return lateral.rdp_sessions(rows, None).select("session", "source", "session_id", "n", "status", "admin")
 
 
 # Persistence.

@@ -517,7 +517,7 @@ def rdp_sessions_events(spark, d):
     steps = F.array(*[F.struct(F.lit(e).alias("event_id"), F.lit(s).alias("s")) for e, s in ((1149, 0), (21, 5), (4672, 8), (23, 900))])
     rows = users.select(F.concat(F.lit("T"), F.col("user_id").cast("string")).alias("target"), F.explode(steps).alias("x"))
     rows = rows.select(F.col("x.event_id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("x.s")).alias("ts"), F.lit("A").alias("source"), "target", F.lit("u").alias("user"))
-    return lateral.rdp_sessions(rows).select("target", "user", "session", "n", "status", "admin", "reconnect")
+    return lateral.rdp_sessions(rows, None).select("target", "user", "session", "n", "status", "admin", "reconnect")
 
 
 @query("SELECT event_id, event_type || ' by ' || user_id AS message FROM events WHERE event_type <> 'view' UNION ALL SELECT event_id, '' FROM events WHERE event_type = 'view'")
