@@ -18,8 +18,8 @@ Lists are scanned in two rounds, so the near copies of one text are not paired w
 compared with its list's pivot (its smallest member) only, and components of the links found so far are made. Then only
 members that are in another component than most of their list are compared, with those of other components: two sets that
 are connected already cannot change a component. Candidates pass the bounds of size and of position in the list and a
-parity bitmap of 256 bits (bits that differ are at most the symmetric difference); what is left is verified by the whole
-sets. No candidate is dropped without such a bound, so no link between different components is lost.
+parity bitmap of 256 bits (bits that differ are at most the symmetric difference), then, where they are pairs, one with
+two bits for every element; what is left is verified by the whole sets. No candidate is dropped without such a bound, so no link between different components is lost.
 
 Hot keys: lists, pivots and classes that hold more than one of 1,000 of all rows are fewer than 1,000; their side is
 broadcast and the rows stay where they are (`matched`).
@@ -98,18 +98,23 @@ def _set_key(found: np.ndarray, salt: int) -> int:
     return int(_mixed(found, salt).sum(dtype=np.uint64).astype(np.int64))
 
 
-def _parity(found: np.ndarray) -> list[int]:
-    odd = (np.bincount((found & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)
+def _parity(found: np.ndarray, words: int = WORDS) -> list[int]:
+    """Bit k of so many 64-bit words (a power of two): whether an odd number of elements is k modulo their bits."""
+    odd = (np.bincount((found & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64).tolist()
 
 
+def _long_words(n: int) -> int:
+    return max(WORDS, 1 << max(0, (n - 1) // 32).bit_length())
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
     return (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text"))
 
 
 def _sets(rows: DataFrame, width: int, salt: int, table: int) -> DataFrame:
-    """Rows (id, hash, n, key, check, bits) from rows (id, hash, text), and each task's counts as rows (slice, level, counts)."""
-    names = ["id", "hash", "n", "key", "check", "bits", "slice", "level", "counts"]
+    """Rows (id, hash, n, key, check, bits, long_bits) from rows (id, hash, text), and each task's counts as rows (slice, level, counts)."""
+    names = ["id", "hash", "n", "key", "check", "bits", "long_bits", "slice", "level", "counts"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, total, kind = _Hashes(), np.zeros(table, np.int64), None
@@ -118,16 +123,16 @@ def _sets(rows: DataFrame, width: int, salt: int, table: int) -> DataFrame:
             for text in _texts(batch):
                 found = shingles(text, width, hashes)
                 np.add.at(total, (found % np.uint64(table)).astype(np.int64), 1)
-                out.append((len(found), _set_key(found, salt), _set_key(found, salt + 1), _parity(found)))
-            n, key, check, bits = zip(*out, strict=True) if out else ((), (), (), ())
-            own = [batch.column("id"), batch.column("hash"), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
+                out.append((len(found), _set_key(found, salt), _set_key(found, salt + 1), _parity(found), _parity(found, _long_words(len(found)))))
+            n, key, check, bits, long_bits = zip(*out, strict=True) if out else ((), (), (), (), ())
+            own = [batch.column("id"), batch.column("hash"), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(long_bits, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(out), t) for t in (pa.int32(), pa.int64(), pa.binary()))], names)
         if kind is not None:
             counts = sliced_counts(total)
-            none = (kind, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            none = (kind, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(counts[0]), t) for t in none), *counts], names)
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash long, n int, key long, check long, bits array<long>, slice int, level long, counts binary")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash long, n int, key long, check long, bits array<long>, long_bits array<long>, slice int, level long, counts binary")
 
 
 def _rarity(counts: np.ndarray) -> np.ndarray:
@@ -214,6 +219,19 @@ def _may_link(percent: int, boundary: int) -> str:
     return f"(p.kind = {LIGHT} OR {heavy}) AND least(p.n, q.n) >= {c} AND {differ} <= p.n + q.n - 2 * {c}"
 
 
+def _screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose long parity bitmaps leave room for a link; of two lengths, the longer is folded onto the shorter."""
+    out = pairs
+    for side in "ab":
+        degree = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("degree"))
+        of = classes.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("long_bits").alias(f"bits_{side}"))
+        out = matched(out, materialize(degree.join(of, side), "bitmaps"), [side], "degree")
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2 + 1).cast("int"), (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
+    fit = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(x)
+    differ = F.aggregate(F.zip_with(fit(F.col("bits_a"), F.col("bits_b")), fit(F.col("bits_b"), F.col("bits_a")), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, x: a + x)
+    return out.where(differ <= F.expr(f"n_a + n_b - 2 * {_need('n_a', 'n_b', percent)}")).select("a", "b")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, percent: int, table: str) -> DataFrame:
     """Links (a, b) of the candidate pairs (a, b), by the intersection of the whole sets of their two texts."""
 
@@ -226,6 +244,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
             out.append(100 * common >= percent * (len(a) + len(b) - common))
         return pa.array(out, pa.bool_())
 
+    pairs = materialize(_screened(pairs, classes, percent), "screened")
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("key"))
     degrees = materialize(sides.groupBy("key").agg(F.count(F.lit(1)).alias("degree")).join(classes.select("key", "handle"), "key"), "degrees")
     # A written table, so it is broadcast where it is small and else the texts are dealt by their ids.
@@ -280,9 +299,9 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     rows, salt = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")), 0
     while True:
         found = materialize(_sets(rows, width, salt, table), "sets")
-        sets = found.where("slice IS NULL").select("id", "hash", "n", "key", "check", "bits")
+        sets = found.where("slice IS NULL").select("id", "hash", "n", "key", "check", "bits", "long_bits")
         handle = F.min(F.struct("id", "hash")).alias("handle")
-        per = sets.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("id").alias("rep"), handle, F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits"), F.min("check").alias("check"), F.max("check").alias("other"))
+        per = sets.where("n > 0").groupBy("key").agg(F.min("n").alias("n"), F.min("id").alias("rep"), handle, F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits"), F.first("long_bits").alias("long_bits"), F.min("check").alias("check"), F.max("check").alias("other"))
         classes = materialize(per, "classes")
         if classes.where("check <> other").isEmpty():
             break
