@@ -1,12 +1,19 @@
 """PII surrogates, in DataFrame operations only.
 
-Detection: one pattern finds e-mail addresses, payment cards, IBANs, IPv4 addresses, social-security and phone numbers,
-secrets (long hexadecimal strings and key-like tokens), names after a title and runs of capitalised words. A mention's
-type is the first that fits. A pair of words in a run counts as a name if some text has it after a title.
+Detection: one pattern finds e-mail addresses, payment cards, IBANs, IPv4 and IPv6 addresses, social-security and phone
+numbers, secrets (long hexadecimal strings and key-like tokens), names after titles and runs of capitalised words. A
+mention's type is the first that fits. After one to four titles (as written in TITLES or in upper case) come up to four
+capitalised words, with particles between them: the first two (or the only one) are one entity, the others are surnames of
+their own, so "Dr Anna Maria Schmidt" leaves nothing in clear and "Frau Anna Schmidt" still is one person wherever she
+stands. A pair of words in a run counts as a name if some text has it after a title. Not detected: names that never
+follow a title, names in lower case, third words of untitled names, titles that are not in TITLES, postal addresses.
+No part of the pattern recurs on a text's length (repeated groups are possessive or bounded), and what follows takes time
+in proportion to a text's words and mentions, so lists of a hundred thousand names are a text like any other.
 
 Entities: a type and the mention in its canonical form, so spellings corefer over all documents: e-mails in lower case,
 IBANs without blanks, cards, social-security and phone numbers as digits (ten digits without `+` get country code 1),
-hexadecimal strings in lower case, names without title in lower case. A surname alone is an entity of its own.
+hexadecimal strings and IPv6 addresses in lower case (of more than 128 digits: their SHA-256, and so 64 digits are put in
+their place), names without title in lower case. A surname alone is an entity of its own.
 
 Surrogates: a keyed hash (SHA-256 of key, type, entity and attempt) gives a stream from which each character of the
 canonical form is replaced by one of its own kind: digits by digits, letters by letters of the same script (those of
@@ -34,7 +41,7 @@ key has no default: who knows it can look for the surrogates of guessed entities
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_table, materialize
@@ -42,25 +49,34 @@ from .common import drop_table, materialize
 # Shapes of the entities. A mention's type is the first of these that matches it whole.
 _LOCAL = r"[\p{L}\p{M}\p{N}._%+-]{1,64}"
 _LABEL = r"[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}-]{0,62})"
-_TITLE = r"(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Señor|Señora|Monsieur|Madame|Mme|Dr|Prof|Господин|Госпожа|г-н|г-жа)\.? "
+TITLES = "Mr Mrs Ms Miss Mister Herr Frau Señor Señora Monsieur Madame Mme Dr Prof Господин Госпожа г-н г-жа".split()
+PARTICLES = "von van vom zu zur de der den del della da di do dos du la le ten ter bin ibn al el фон де".split()
+_ANY_TITLE = f"(?:{'|'.join(dict.fromkeys(x for t in TITLES for x in (t, t.upper())))})"
+_TITLE = rf"{_ANY_TITLE}\.? {{1,2}}"
+_TITLES = f"(?:{_TITLE}){{1,4}}+"
 _TOKEN = r"(?:AKIA|ASIA)[A-Z0-9]{16}"
 # A capitalised word that is no title, token or part of an address.
-_WORD = rf"(?!{_TITLE})(?!{_TOKEN})\p{{Lu}}[\p{{L}}'-]{{1,30}}+(?![\p{{L}}\p{{N}}]|[\p{{L}}\p{{N}}._%+-]*@)"
+_WORD = rf"(?!{_TITLE})(?!{_TOKEN})\p{{Lu}}[\p{{L}}'-]{{1,30}}+(?![\p{{L}}\p{{N}}]|[\p{{L}}\p{{N}}._%+-]{{0,64}}+@)"
+# A capitalised word after a title; the first or the first two of them with their particles.
+_NAME = rf"(?!{_ANY_TITLE}(?!\p{{L}}))\p{{Lu}}[\p{{L}}'-]{{1,30}}+"
+_MORE = rf"(?: (?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_NAME})"
+_FIRST = rf"{_NAME}{_MORE}?"
 SHAPES = {
     "email": rf"(?<![\p{{L}}\p{{M}}\p{{N}}._%+-]){_LOCAL}@{_LABEL}(?:\.{_LABEL}){{1,6}}",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}.-])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?![\p{L}\p{N}])",
     "ipv4": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{L}\p{N}]|\.\d)",
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,38}[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
     "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?)(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\p{L}\p{N}])",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|" + _TOKEN + r"|(?:sk|pk|ghp|gho|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,128})(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\p{{Lu}}[\p{{L}}'-]{{1,30}}(?: \p{{Lu}}[\p{{L}}'-]{{1,30}})?",
-    "run": rf"(?<![\p{{L}}\p{{N}}'-]){_WORD}(?: {_WORD})+",
+    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|" + _TOKEN + r"|(?:sk|pk|ghp|gho|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,128})(?![\p{L}\p{N}])",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLES}{_FIRST}{_MORE}{{0,2}}+",
+    "run": rf"(?<![\p{{L}}\p{{N}}'-]){_WORD}(?: {_WORD})++",
 }
 PATTERN = "|".join(f"(?:{p})" for p in SHAPES.values())
 # Titles by gender, and given names and syllables by gender and script.
-FEMALE = "^(?:Mrs|Ms|Miss|Frau|Señora|Madame|Mme|Госпожа|г-жа)(?!\\p{L})"
-MALE = "^(?:Mr|Mister|Herr|Señor|Monsieur|Господин|г-н)(?!\\p{L})"
+FEMALE = "(?i)(?:^| )(?:Mrs|Ms|Miss|Frau|Señora|Madame|Mme|Госпожа|г-жа)(?!\\p{L})"
+MALE = "(?i)(?:^| )(?:Mr|Mister|Herr|Señor|Monsieur|Господин|г-н)(?!\\p{L})"
 GIVEN = {
     ("female", "latin"): "Alma Berta Clara Dora Edith Flora Greta Hilda Irma Julia Klara Laura Marta Nora Olga Paula Rosa Silvia Tilda Vera".split(),
     ("male", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Nils Oskar Paul Robert Simon Tomas Viktor".split(),
@@ -141,13 +157,13 @@ def entity_of(mention: Column, kind: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(mention)).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind.isin("card", "ssn"), digits)
         .when(kind == "phone", F.when(mention.startswith("+"), digits).otherwise(F.concat(F.lit("1"), digits)))
-        .when(kind == "secret", F.when(_hexadecimal(mention), F.lower(mention)).otherwise(mention))
-        .when(kind == "name", F.lower(F.regexp_replace(mention, f"^{_TITLE}", ""))).otherwise(mention)
+        .when(kind == "secret", F.when(_hexadecimal(mention), F.when(F.length(mention) > 128, F.sha2(F.lower(mention), 256)).otherwise(F.lower(mention))).otherwise(mention))
+        .when(kind.isin("name", "ipv6"), F.lower(mention)).otherwise(mention)
     )
 
 
 def _hexadecimal(secret: Column) -> Column:
-    return secret.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+    return secret.rlike("^(?:[0-9a-f]++|[0-9A-F]++)$")
 
 
 def surrogate(kind: Column, entity: Column, gender: Column, attempt: Column, key: str) -> Column:
@@ -170,7 +186,7 @@ def _made(kind: Column, entity: Column, gender: Column, attempt: Column, stream:
         ends = F.transform(F.array(*map(F.lit, range(10))), lambda d: F.concat(F.left(body, F.length(body) - 1), F.pmod(_number(stream, F.lit(17)) + d, F.lit(10)).cast("string")))
         return F.element_at(F.filter(ends, lambda x: F.call_function("luhn_check", x) == F.call_function("luhn_check", entity)), 1)
 
-    hexadecimal = (kind == "secret") & _hexadecimal(entity)
+    hexadecimal = (kind == "ipv6") | (kind == "secret") & _hexadecimal(entity)
     tail = F.when(kind == "email", F.regexp_extract(entity, r"\.[^.]+$", 0)).otherwise("")
     prefix = F.length(F.regexp_extract(entity, "^(?:AKIA|ASIA|[a-z]+[_-])", 0))
     keep = F.when(kind == "iban", 2).when(kind == "phone", F.when(entity.rlike("^[17]"), 1).otherwise(2)).when((kind == "secret") & ~hexadecimal, prefix).otherwise(none)
@@ -208,10 +224,8 @@ def render(mention: Column, kind: Column, made: Column) -> Column:
         at = lambda i: F.length(base) - F.size(places) + F.array_position(places, i).cast("int")
         return F.array_join(F.transform(chars, lambda c, i: F.when(F.array_contains(places, i), F.substring(base, at(i), F.lit(1))).otherwise(c)), "")
 
-    title = F.regexp_extract(mention, f"^{_TITLE}", 0)
-    bare = F.regexp_replace(mention, f"^{_TITLE}", "")
-    name = F.concat(title, F.when(bare == F.upper(bare), F.upper(base)).otherwise(F.initcap(base)))
-    body = F.when(kind == "name", name).when(kind == "ipv4", base).when(kind.isin("email", "secret"), aligned).otherwise(_let(F.split(mention, ""), spaced))
+    name = F.when(mention == F.upper(mention), F.upper(base)).otherwise(F.initcap(base))
+    body = F.when(kind == "name", name).when(kind == "ipv4", base).when(kind.isin("email", "secret", "ipv6"), aligned).otherwise(_let(F.split(mention, ""), spaced))
     return _whole(kind, F.struct(body.alias("base"), made["extra"].alias("extra")))
 
 
@@ -241,19 +255,37 @@ def resolve(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"no free surrogates after {ATTEMPTS} attempts for {[r[0] for r in now.where(F.col('attempt') == ATTEMPTS).select('kind').distinct().collect()]}")
 
 
-def _rewritten(run: Column, names: Column) -> Column:
-    """(made, n) of a run of words with the pairs that start at the keys of a map replaced, from left to right."""
-    words = F.split(run, " ")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip"), F.lit(0).alias("n"))
+def _rewritten(mention: Column, chosen: Column) -> Column:
+    """A mention with some of its words replaced; chosen: sorted array of (first word, number of words, what to show)."""
 
-    def step(a: Column, i: Column) -> Column:
-        name = F.try_element_at(names, i)
-        more = F.concat(a["out"], F.array(F.coalesce(name, F.get(words, i))))
-        fresh = F.struct(more.alias("out"), name.isNotNull().alias("skip"), (a["n"] + name.isNotNull().cast("int")).alias("n"))
-        return F.when(a["skip"], F.struct(a["out"].alias("out"), F.lit(False).alias("skip"), a["n"].alias("n"))).otherwise(fresh)
+    def segments(w: Column, c: Column) -> Column:
+        end = lambda k: F.when(k < 0, F.lit(0)).otherwise(F.get(c, k)["i"] + F.get(c, k)["words"])
+        kept = lambda start, stop: F.slice(w, start + 1, stop - start)
+        parts = F.transform(c, lambda x, k: F.array_join(F.concat(kept(end(k - 1), x["i"]), F.array(x["shown"])), " "))
+        return F.array_join(F.concat(parts, kept(end(F.size(c) - 1), F.size(w))), " ")
 
-    done = F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), start, step)
-    return _let(done, lambda x: F.struct(F.array_join(x["out"], " ").alias("made"), x["n"].alias("n")))
+    return _let(F.split(mention, " "), lambda w: _let(chosen, lambda c: segments(w, c)))
+
+
+def _parts(each: DataFrame) -> DataFrame:
+    """Rows (list, at, i, words, mention, title, kind, entity) of what a mention may hold: itself, the parts of a name, or
+    all pairs of a run's words; i is the number of the first word."""
+    part = lambda i, words, mention, title: F.struct(i.cast("int").alias("i"), words.cast("int").alias("words"), mention.alias("mention"), title.alias("title"))
+    count = lambda c: F.size(F.split(c, " "))
+    mention, none = F.col("mention"), F.lit(None).cast("string")
+    title = F.regexp_extract(mention, f"^{_TITLES}", 0)
+    first = F.regexp_extract(F.substring(mention, F.length(title) + 1, F.length(mention)), f"^{_FIRST}", 0)
+
+    def named(t: Column, f: Column) -> Column:
+        before = count(t) - 1
+        rest = F.slice(F.split(mention, " "), before + count(f) + 1, F.lit(16))
+        others = F.filter(F.transform(rest, lambda x, k: part(before + count(f) + k, F.lit(1), x, none)), lambda x: x["mention"].rlike(r"^\p{Lu}"))
+        return F.concat(F.array(part(before, count(f), f, t)), others)
+
+    pairs = _let(F.split(mention, " "), lambda w: F.transform(F.arrays_zip(F.slice(w, F.lit(1), F.size(w) - 1).alias("a"), F.slice(w, F.lit(2), F.size(w) - 1).alias("b")), lambda x, k: part(k, F.lit(2), F.concat_ws(" ", x["a"], x["b"]), none)))
+    found = F.when(F.col("kind") == "name", _let(title, lambda t: _let(first, lambda f: named(t, f)))).when(F.col("kind") == "run", pairs).otherwise(F.array(part(F.lit(0), F.lit(1), mention, none)))
+    rows = each.select("list", "at", "kind", F.explode(found).alias("p"))
+    return rows.select("list", "at", "p.*", "kind", F.when(F.col("kind") == "run", F.lower("p.mention")).otherwise(entity_of(F.col("p.mention"), F.col("kind"))).alias("entity"))
 
 
 def replace_entities(df: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -267,24 +299,26 @@ def replace_entities(df: DataFrame, key: str, text_col: str = "text", count_col:
     hits = rows.where(found).withColumn("list", F.sha2(F.to_json("mentions"), 256))
     lists = hits.select("list", "mentions").dropDuplicates(["list"])
     each = materialize(lists.select("list", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", type_of(F.col("mention"))), "each")
-    whole = each.where("kind <> 'run'").select("list", "at", F.lit(-1).alias("i"), F.lit(None).cast("string").alias("run"), "mention", "kind")
-    whole = whole.withColumn("entity", entity_of(F.col("mention"), F.col("kind")))
-    is_name = F.col("kind") == "name"
-    female, male = (F.coalesce(F.max(is_name & F.col("mention").rlike(p)), F.lit(False)) for p in (FEMALE, MALE))
+    parts = _parts(each)
+    female, male = (F.coalesce(F.max(F.col("title").rlike(p)), F.lit(False)) for p in (FEMALE, MALE))
     gender = F.when(female & ~male, "female").when(male & ~female, "male").otherwise("any")
-    made = resolve(whole.groupBy("kind", "entity").agg(gender.alias("gender")), key)
-    words = F.split("mention", " ")
-    pair = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))
-    pairs = each.where("kind = 'run'").select("list", "at", F.col("mention").alias("run"), F.posexplode(pair).alias("i", "mention"))
-    pairs = pairs.select("list", "at", "i", "run", "mention", F.lit("name").alias("kind"), F.lower("mention").alias("entity"))
-    shown = whole.unionByName(pairs).join(made, ["kind", "entity"]).select("list", "at", "i", "run", render(F.col("mention"), F.col("kind"), F.col("made")).alias("shown"))
-    names = F.map_from_entries(F.collect_list(F.struct("i", "shown")))
-    swap = F.when(F.first("run").isNull(), F.struct(F.first("shown").alias("made"), F.lit(1).alias("n"))).otherwise(_rewritten(F.first("run"), names))
-    swaps = shown.groupBy("list", "at").agg(swap.alias("swap")).groupBy("list").agg(F.map_from_entries(F.collect_list(F.struct("at", "swap"))).alias("swaps"))
+    made = resolve(parts.where("kind <> 'run'").groupBy("kind", "entity").agg(gender.alias("gender")), key)
+    in_run = F.col("kind") == "run"
+    of = parts.withColumn("in_run", in_run).withColumn("kind", F.when(in_run, "name").otherwise(F.col("kind")))
+    shown = of.join(made, ["kind", "entity"]).select("list", "at", "i", "words", "in_run", render(F.col("mention"), F.col("kind"), F.col("made")).alias("shown"))
+    # Of pairs of a run that overlap, the first counts, then the next that does not overlap it, and so on.
+    by_run = Window.partitionBy("list", "at").orderBy("i")
+    runs = shown.where("in_run").withColumn("before", F.lag("i").over(by_run)).withColumn("chain", F.max(F.when(F.col("before").isNull() | (F.col("before") != F.col("i") - 1), F.col("i"))).over(by_run))
+    kept = shown.where("NOT in_run").unionByName(runs.where((F.col("i") - F.col("chain")) % 2 == 0).drop("before", "chain"))
+    chosen = kept.groupBy("list", "at").agg(F.array_sort(F.collect_list(F.struct("i", "words", "shown"))).alias("chosen"))
+    simple = ~F.col("kind").isin("name", "run")
+    text_of = F.when(F.col("chosen").isNull(), F.col("mention")).when(simple, F.col("chosen")[0]["shown"]).otherwise(_rewritten(F.col("mention"), F.col("chosen")))
+    swap = F.struct("at", text_of.alias("made"), F.coalesce(F.size("chosen"), F.lit(0)).alias("n"))
+    swaps = each.join(chosen, ["list", "at"], "left").groupBy("list").agg(F.array_sort(F.collect_list(swap)).alias("swaps"))
+    swaps = swaps.select("list", F.transform("swaps", lambda x: x["made"]).alias("swaps"), F.aggregate("swaps", F.lit(0), lambda a, x: a + F.greatest(x["n"], F.lit(0))).alias("n")).where("n > 0")
     joined = hits.join(materialize(swaps, "swaps"), "list", "left")
-    pieces = F.zip_with(F.split("text", PATTERN, -1), F.sequence(F.lit(0), F.size("mentions")), lambda p, k: F.concat(p, F.coalesce(F.try_element_at("swaps", k)["made"], F.get("mentions", k), F.lit(""))))
-    count = F.aggregate(F.map_values("swaps"), F.lit(0), lambda a, x: a + x["n"])
-    changed = joined.select("row", F.when(F.col("swaps").isNull(), F.col("text")).otherwise(F.array_join(pieces, "")).alias("text"), F.coalesce(count, F.lit(0)).alias("n"))
+    pieces = F.zip_with(F.split("text", PATTERN, -1), F.col("swaps"), lambda p, x: F.concat(p, F.coalesce(x, F.lit(""))))
+    changed = joined.select("row", F.when(F.col("swaps").isNull(), F.col("text")).otherwise(F.array_join(pieces, "")).alias("text"), F.coalesce("n", F.lit(0)).alias("n"))
     both = changed.unionByName(rows.where(~found).select("row", "text", F.lit(0).alias("n")))
     out = [F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns]
     return both.select(*out, *([F.col("n").alias(count_col)] if count_col else []))
