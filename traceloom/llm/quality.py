@@ -3,13 +3,14 @@
 Statistics are taken over the whole text, never over id, language or source: log sizes, word lengths, shares of
 character classes and repeated lines. Shares are log-transformed. Class means and covariances come from one aggregation
 of sums of products over every labelled training row (two rows reach the driver). Each covariance is shrunk toward the
-pooled one and toward its diagonal; its Cholesky factor is cached and a score is the logistic of the difference of the
+pooled one and toward its diagonal, whose least size keeps it definite where all texts of a class are equal; its Cholesky factor is cached and a score is the logistic of the difference of the
 Mahalanobis log densities plus the log prior odds.
 
 Defined results: null and empty texts have the statistics of an empty text and are scored; a null id counts as the
 empty text for the fold; repeated rows are scored each, repeated label rows count each; where either class has fewer than
 two labelled rows outside the fold there is nothing to tell texts apart by, and every score is the smoothed share of label
-1 among those rows, (n1 + 1) / (n + 2); an empty documents table gives no rows; other columns, whatever their names, are
+1 among those rows, (n1 + 1) / (n + 2); texts that are all equal score the share of label 1, equal texts within each class
+are told apart by their means; an empty documents table gives no rows; other columns, whatever their names, are
 not read, and keep_good returns them.
 """
 
@@ -102,7 +103,7 @@ def solve(counts: np.ndarray, sums: np.ndarray, products: np.ndarray, shrink: fl
     factors = []
     for k in (0, 1):
         mixed = (1 - shrink) * cov[k] + shrink * pooled
-        mixed = (1 - diagonal) * mixed + diagonal * np.eye(d) * np.trace(mixed) / d
+        mixed = (1 - diagonal) * mixed + diagonal * np.eye(d) * max(np.trace(mixed) / d, 0.01)
         factors.append(np.linalg.cholesky(mixed))
     logs = [np.log(np.diag(f)).sum() for f in factors]
     offset = logs[0] - logs[1] + np.log(counts[1] / counts[0])
