@@ -8,7 +8,8 @@ Turns are then put in order by conversation and rendered.
 Template: `<|turn|>role\\ntext<|end|>\\n` per turn. In roles and texts every `\\`, `<` and `[` is written `\\\\`, `\\l`
 and `\\k` (roles: line feeds as `\\n` too), so no control string of this template or of the common ones (`<|...|>`,
 `</s>`, `[INST]`) can stand in a text, and reading back is exact. The loss mask is the list of (start, length) in code
-points of the assistants' texts.
+points of the assistants' texts, with their place in bytes. Offsets are running sums over the turns and spans are read by
+bytes, so a conversation takes time in proportion to its length.
 
 Defined results: null texts and roles are empty; null turns come first; events of a turn with equal seq are ordered by
 kind and text; rows with a null conversation id form one conversation; repeated rows are turns of their own in
@@ -34,15 +35,22 @@ def unescape(text: Column) -> Column:
 
 
 def events_of(conversations: DataFrame, piece: int = 256) -> DataFrame:
-    """A log whose reconstruction is the given rows: an abandoned draft, a regeneration and streamed deltas per turn."""
+    """A log whose reconstruction is the given rows, not in order of sequence.
+
+    Each turn is opened and a draft streamed; then every other turn is regenerated and streamed anew in pieces, and the
+    others are edited to their first piece, after which the rest is streamed.
+    """
     rows = conversations.select("conv_id", F.col("turn").alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("at", "role", "text")))
-    count = F.ceil(F.length("text") / piece).cast("int")
-    event = lambda seq, kind, role, text: F.struct(seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
-    none = F.lit(None).cast("string")
-    head = F.array(event(F.lit(0), "open", F.col("role"), none), event(F.lit(1), "delta", none, F.left("text", F.lit(16))), event(F.lit(2), "regen", none, none))
-    deltas = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: event(i + 3, "delta", none, F.substring(F.col("text"), i * piece + 1, F.lit(piece))))
-    return rows.select("conv_id", "turn", F.explode(F.concat(head, deltas)).alias("e")).select("conv_id", (F.col("turn").cast("long") * (1 << 32) + F.col("e.seq")).alias("seq"), "turn", "e.kind", "e.role", "e.text")
+    event = lambda seq, kind, role, text: F.struct(F.lit(seq).cast("long").alias("seq"), kind.alias("kind"), role.alias("role"), text.alias("text"))
+    none, edits = F.lit(None).cast("string"), F.col("turn") % 2 == 0
+    kind = lambda name: F.lit(name)
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+    base = event(2, F.when(edits, "edit").otherwise("regen"), none, F.when(edits, F.coalesce(F.get("pieces", F.lit(0)), F.lit(""))))
+    head = F.array(event(0, kind("open"), F.col("role"), none), event(1, kind("delta"), none, F.left("text", F.lit(16))), base)
+    deltas = F.filter(F.transform("pieces", lambda x, i: F.struct((i + 3).cast("long").alias("seq"), kind("delta").alias("kind"), none.alias("role"), x.alias("text"))), lambda e: ~edits | (e["seq"] > 3))
+    log = rows.withColumn("pieces", pieces).select("conv_id", "turn", F.explode(F.reverse(F.concat(head, deltas))).alias("e"))
+    return log.select("conv_id", (F.col("turn").cast("long") * (1 << 32) + F.col("e.seq")).alias("seq"), "turn", "e.kind", "e.role", "e.text")
 
 
 def reconstruct(events: DataFrame) -> DataFrame:
@@ -61,20 +69,24 @@ def reconstruct(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """Rows (conv_id, formatted, loss): the rendered conversation and the spans that a loss is taken on."""
+    """Rows (conv_id, formatted, loss): the rendered conversation and the spans that a loss is taken on.
+
+    A span is (start, length) in code points and (first_byte, bytes) in UTF-8, so that reading one takes its own length.
+    """
     role = F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\n"))
-    turn = F.struct("turn", F.concat(F.lit(TURN), role, F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == loss_role).alias("loss"))
-    turns = messages.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-    size = lambda c: F.length(c).cast("long")
+    shown = messages.select("conv_id", "turn", F.concat(F.lit(TURN), role, F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == loss_role).alias("loss"))
+    ordered = Window.partitionBy("conv_id").orderBy("turn", "head", "body").rowsBetween(Window.unboundedPreceding, 0)
 
-    def step(a: Column, t: Column) -> Column:
-        body = a["at"] + size(t["head"])
-        span = F.array(F.struct(body.alias("start"), size(t["body"]).alias("length")))
-        return F.struct((body + size(t["body"]) + len(END)).alias("at"), F.when(t["loss"], F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
+    def before(size) -> Column:
+        """Where a body starts: all turns up to it, without it and its end."""
+        return (F.sum(size("head") + size("body") + len(END)).over(ordered) - size("body") - len(END)).cast("long")
 
-    return turns.select("conv_id", formatted.alias("formatted"), F.aggregate("turns", start, step)["spans"].alias("loss"))
+    chars, octets = (lambda c: F.length(c).cast("long")), (lambda c: F.octet_length(c).cast("long"))
+    placed = shown.select("*", before(chars).alias("start"), chars("body").alias("length"), before(octets).alias("first_byte"), octets("body").alias("bytes"))
+    turns = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("start", "length", "first_byte", "bytes", "loss", "head", "body"))).alias("turns"))
+    formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
+    spans = F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(*[t[c].alias(c) for c in ("start", "length", "first_byte", "bytes")]))
+    return turns.select("conv_id", formatted.alias("formatted"), spans.alias("loss"))
 
 
 def parse(formatted: Column) -> Column:
@@ -91,8 +103,8 @@ def parse(formatted: Column) -> Column:
 
 def loss_text(formatted: Column, loss: Column) -> Column:
     """The unescaped text under the loss mask."""
-    spans = F.transform(loss, lambda s: unescape(F.substring(formatted, s["start"].cast("int") + 1, s["length"].cast("int"))))
-    return F.array_join(spans, "")
+    whole = lambda raw: F.transform(loss, lambda s: unescape(F.substring(raw, s["first_byte"].cast("int") + 1, s["bytes"].cast("int")).cast("string")))
+    return F.array_join(F.transform(F.array(formatted.cast("binary")), whole)[0], "")
 
 
 def format_digests(conversations: DataFrame) -> DataFrame:
