@@ -3,13 +3,13 @@
 Training: on a sample of at most `sample` vectors (the one bounded step; the smallest hashes of the ids), residual
 k-means gives `books` full-dimensional codebooks of `size` words, refined by alternating beam-search encoding and a
 least-squares update of all codebooks together.
-Encoding: every vector is coded by beam search over the codebooks; the squared norm of its reconstruction is stored with
-the code. Search: codes are held in blocks of about `block_rows` and queries in groups of about `query_rows`, and each
+Encoding: of every vector the direction is coded by beam search over the codebooks, and its norm is stored with the code in
+double precision, so that vectors of any finite size stand beside each other. Search: codes are held in blocks of about `block_rows` and queries in groups of about `query_rows`, and each
 pair of a block and a group is one cogroup, so a task holds one of each however many queries the table has. A lookup
 table of inner products of query and codewords scores all codes of a block, the best `shortlist` of each block (so a
 fixed share of all rows) are reranked exactly in double precision on the original vectors, which stand beside their
 codes, and a block passes on its k + 1 best; those are merged per query. Scores of codes are accumulated in float32 from
-the tables; `measure` may be "ip" or "l2" (which uses the stored norms).
+the tables, then multiplied by the stored norm in double precision; `measure` may be "ip" or "l2".
 
 Equal vectors are one entry: a class keeps its smallest `k + 1` ids (gathered over salted partial groups), which is all
 that the k nearest and the tie rule (smaller id first) can need, so copies cannot crowd a shortlist out.
@@ -18,7 +18,8 @@ Defined results: vectors that are null, empty, zero, of another dimension than t
 or non-finite components take no part, as query or candidate; a query's own row is left out (repeated rows with its id
 too); rows that repeat an id with another vector are candidates of their own, so an id may have a rank for each of its
 vectors, and as a query it stands for the smallest of them in the order of arrays; ties go to the smaller id; fewer
-candidates than k give fewer rows; empty tables give no rows; other columns are not read.
+candidates than k give fewer rows; an inner product that leaves the doubles' range is infinite as it is in doubles, and one
+that is not a number there (infinities of both signs) counts as the least; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -112,6 +113,14 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of norm 1 and the norms, without leaving the range of doubles on the way."""
+    largest = np.abs(x).max(1, keepdims=True)
+    part = x / largest
+    length = np.sqrt((part**2).sum(1, keepdims=True))
+    return part / length, np.minimum(largest[:, 0], np.finfo(np.float64).max / length[:, 0]) * length[:, 0]
+
+
 def _tables(model: Quantiser, queries: np.ndarray) -> np.ndarray:
     """Inner products of queries and codewords, (queries, books, size)."""
     return np.einsum("qd,msd->qms", queries, model.books).astype(np.float32)
@@ -134,6 +143,12 @@ def _best(scores: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
     return np.arange(len(scores))
 
 
+def _nearness(cosine: np.ndarray, norm: np.ndarray, length: float) -> np.ndarray:
+    """What orders vectors as their distance to a query of the given length does, in units of the largest norm."""
+    unit = max(norm.max(), length)
+    return 2 * (length / unit) * (norm / unit) * cosine - (norm / unit) ** 2
+
+
 def _shortlister(model: Quantiser, shortlist: int, keep: int, measure: str, queries_at_once: int = 256):
     books, _, dim = model.books.shape
 
@@ -144,23 +159,23 @@ def _shortlister(model: Quantiser, shortlist: int, keep: int, measure: str, quer
             asked = np.frombuffer(packed, np.float64).reshape(len(numbers), dim)
             for block in codes.itertuples(index=False):
                 name, first, second = (np.frombuffer(x, np.int64) for x in (block.name, block.id, block.second))
-                norm, vectors = np.frombuffer(block.norms, np.float32), np.frombuffer(block.v, np.float64).reshape(-1, dim)
+                norm, vectors = np.frombuffer(block.norms, np.float64), np.frombuffer(block.v, np.float64).reshape(-1, dim)
                 flat = np.ascontiguousarray(np.frombuffer(block.codes, np.uint8).reshape(-1, books).T).astype(np.int64)
                 for at in range(0, len(asked), queries_at_once):
                     part = asked[at : at + queries_at_once]
-                    for q, v, lut in zip(numbers[at : at + queries_at_once].tolist(), part, _tables(model, part), strict=True):
+                    units, lengths = directions(part)
+                    for q, v, length, lut in zip(numbers[at : at + queries_at_once].tolist(), part, lengths, _tables(model, units), strict=True):
                         score = lut[0][flat[0]]
                         for k in range(1, books):
                             score += lut[k][flat[k]]
-                        if measure == "l2":
-                            score = 2 * score - norm
+                        score = score * norm if measure == "ip" else _nearness(score, norm, length)
                         # A class that is the query's own row alone takes no part; another one's first id may be its own.
                         own = first == q
-                        score[own & (second == _NONE)] = -np.inf
-                        ids = np.where(own, second, first)
-                        near = _best(score, ids, shortlist)
-                        near = near[score[near] > -np.inf]
-                        exact = (vectors[near] * v).sum(1) if measure == "ip" else -((vectors[near] - v) ** 2).sum(1)
+                        ids, fits = np.where(own, second, first), np.flatnonzero(~(own & (second == _NONE)))
+                        near = fits[_best(score[fits], ids[fits], shortlist)]
+                        with np.errstate(over="ignore", invalid="ignore"):
+                            exact = (vectors[near] * v).sum(1) if measure == "ip" else -((vectors[near] - v) ** 2).sum(1)
+                        exact[np.isnan(exact)] = -np.inf
                         best = _best(exact, ids[near], keep)
                         out.append((q, name[near][best].tolist(), ids[near][best].tolist(), exact[best].tolist()))
         return pd.DataFrame(out, columns=["query_id", "names", "ids", "scores"])
@@ -170,7 +185,7 @@ def _shortlister(model: Quantiser, shortlist: int, keep: int, measure: str, quer
 
 def _trained(reps: DataFrame, sample: int, books: int, size: int, beam: int) -> Quantiser:
     rows = reps.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()
-    x = _stack(rows["v"])
+    x = directions(_stack(rows["v"]))[0]
     return train(x, books, min(size, max(2, len(x))), beam)
 
 
@@ -200,8 +215,8 @@ def search(
     model = _trained(classes, sample, books, size, beam)
 
     def code(pdf: pd.DataFrame) -> pd.DataFrame:
-        codes, norms = model.encode(_stack(pdf["v"]))
-        return pd.DataFrame([_packed(pdf) | {"block": int(pdf["block"].iloc[0]), "codes": codes.tobytes(), "norms": norms.astype(np.float32).tobytes()}])
+        units, norms = directions(_stack(pdf["v"]))
+        return pd.DataFrame([_packed(pdf) | {"block": int(pdf["block"].iloc[0]), "codes": model.encode(units)[0].tobytes(), "norms": norms.tobytes()}])
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([_packed(pdf) | {"part": int(pdf["part"].iloc[0])}])
@@ -228,7 +243,9 @@ def exact_search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     asked = usable(df.where(is_query), id_col, vector_col).toPandas()
     x, ids, out = _stack(rows["v"]), rows["id"].to_numpy(), []
     for q, v in zip(asked["id"], asked["v"], strict=True):
-        score = (x * np.asarray(v, float)).sum(1)  # row by row, so equal vectors tie exactly
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = (x * np.asarray(v, float)).sum(1)  # row by row, so equal vectors tie exactly
+        score[np.isnan(score)] = -np.inf
         order = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:k]
         out += [(q, r, ids[i], score[i]) for r, i in enumerate(order, 1)]
     return pd.DataFrame(out, columns=["query_id", "rank", id_col, "score"])
