@@ -16,8 +16,10 @@ numbers (exact keys; the hash of a key only names its bucket and sorts), and is
 so keys travel once. N-grams with a word that training has not are not sent; their count is 0. (3) A block joins the
 answers with its texts, builds the automaton of the n-grams that occur in it, and scores. A frequent n-gram is one entry
 per block, so buckets are even.
-Sizes: a bucket takes what about `bucket_bytes` of text send, and there are never more buckets than a hundredth of a
-block's bytes, so a message holds a dozen keys or more on average and the rows shuffled grow in proportion to the input.
+Sizes: a bucket takes what about two blocks of text send. Up to sqrt(50 x input) bytes a block has `block_bytes`; beyond
+(1.4 TB for 8 MB) blocks grow with the square root of the input, 71 MB at 100 TB, so that there are never more buckets than a
+hundredth of a block's bytes: a message holds a dozen keys or more on average, the rows shuffled grow in proportion to the
+input, and blocks and buckets alike stay small beside a task's memory.
 
 Defined results: a null or empty text is one end token; rows with a null id are in training or held out by the crc of
 the empty text; repeated rows each count, and are spread over blocks; an empty table gives no rows; other columns are not
@@ -27,6 +29,7 @@ read.
 from __future__ import annotations
 
 import itertools
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -314,11 +317,16 @@ def _score(prior: float, buckets: int, order: int):
     return run
 
 
-def _stages(df: DataFrame, id_col: str, text_col: str, folds: int, held_out: int, prior: float, order: int, block_bytes: int, bucket_bytes: int, partitions: int) -> dict[str, DataFrame]:
+def sizes_of(total: int, block_bytes: int) -> tuple[int, int]:
+    """Numbers of blocks and of buckets for so many bytes of text."""
+    block = max(block_bytes, math.isqrt(50 * total))
+    return max(1, -(-total // block)), max(1, -(-total // (2 * block)))
+
+
+def _stages(df: DataFrame, id_col: str, text_col: str, folds: int, held_out: int, prior: float, order: int, block_bytes: int, partitions: int) -> dict[str, DataFrame]:
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).alias("id"), text.alias("text"), crc_of_id(F.col(id_col)).alias("crc"))
-    blocks = blocks_of(df, text_col, block_bytes)
-    buckets = max(1, min(-(-blocks * block_bytes // bucket_bytes), block_bytes // 100))
+    blocks, buckets = sizes_of(blocks_of(df, text_col, block_bytes) * block_bytes, block_bytes)
     # Rows that repeat id and text are dealt by the partition they are read in too.
     rows = rows.select(
         "id", "text", "crc", (F.pmod(F.col("crc"), F.lit(folds)) == held_out).alias("held_out"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("text_hash")
@@ -338,7 +346,7 @@ def _stages(df: DataFrame, id_col: str, text_col: str, folds: int, held_out: int
 
 
 def score_texts(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, prior: float = 3.0, order: int = 3, block_bytes: int = 8 << 20, bucket_bytes: int = 16 << 20, partitions: int = 20_000
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, prior: float = 3.0, order: int = 3, block_bytes: int = 8 << 20, partitions: int = 20_000
 ) -> DataFrame:
     """Rows (id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of df.
 
@@ -346,4 +354,4 @@ def score_texts(
     text with its end; base_score: the same under the root alone. partitions: of a shuffle, at most; a partition may hold
     several blocks, which are taken one after the other.
     """
-    return _stages(df, id_col, text_col, folds, held_out, prior, order, block_bytes, bucket_bytes, partitions)["scores"]
+    return _stages(df, id_col, text_col, folds, held_out, prior, order, block_bytes, partitions)["scores"]
