@@ -52,6 +52,50 @@ def column_stats(df: DataFrame, name: str) -> DataFrame:
     )
 
 
+def column_profile(df: DataFrame, columns: Sequence[str] | None = None, top: int = 10, tracked: int = 1024, parts: int = 10) -> DataFrame:
+    """One row a column, from one scan of all of them by summaries that merge: (column, n, non_empty, fill_rate,
+    distinct_estimate, numbers, min_value, max_value, mean_value, deviation, bounds, from_ts, to_ts, span_seconds, top,
+    top_exact).
+
+    top: the most frequent non-empty values as (item, count), from a sketch of frequent items that holds `tracked` of them:
+    counts are exact where top_exact says so (then the sketch has held every value), else estimates. bounds: values that cut
+    a column's numbers into `parts` parts of equal size. Times have a span instead of a mean.
+    """
+    names = list(columns or df.columns)
+    kinds = dict(df.dtypes)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    share = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    for k, c in enumerate(names):
+        x = text_of(c)
+        value = F.when(x != "", x)
+        timed = kinds[c] in ("timestamp", "timestamp_ntz", "date")
+        number = F.lit(None).cast("double") if timed else col(c).try_cast("double")
+        number = F.when(F.isnan(number), None).otherwise(number)
+        stamp = col(c).cast("timestamp") if timed else F.lit(None).cast("timestamp")
+        each = {
+            "filled": F.count(value), "distinct": F.approx_count_distinct(value), "numbers": F.count(number), "low": F.min(value), "high": F.max(value), "mean": F.avg(number), "deviation": F.stddev_samp(number),
+            "bounds": F.percentile_approx(number, share, 10_000), "least": F.min(number), "most": F.max(number), "from": F.min(stamp), "to": F.max(stamp), "top": F.call_function("approx_top_k", value, F.lit(tracked * 3 // 4), F.lit(tracked)),
+        }
+        aggs += [v.alias(f"{name}{k}") for name, v in each.items()]
+
+    def row(k: int, c: str):
+        at = lambda name: F.col(f"{name}{k}")
+        # A column of numbers only has numeric bounds.
+        numeric = (at("numbers") > 0) & (at("numbers") == at("filled"))
+        items = F.filter(at("top"), lambda x: x["item"].isNotNull())
+        held = F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x["count"])
+        order = F.array_sort(F.transform(items, lambda x: F.struct((-x["count"]).alias("k"), x["item"].alias("item"))))
+        best = F.transform(F.slice(order, 1, top), lambda x: F.struct(x["item"].alias("item"), (-x["k"]).alias("count")))
+        shown = lambda number, text: F.when(numeric, at(number).cast("string")).otherwise(at(text))
+        span = (F.unix_micros(at("to")) - F.unix_micros(at("from"))) / 1e6
+        return F.struct(
+            F.lit(c).alias("column"), F.col("n"), at("filled").alias("non_empty"), (at("filled") / F.col("n")).alias("fill_rate"), at("distinct").alias("distinct_estimate"), at("numbers").alias("numbers"), shown("least", "low").alias("min_value"), shown("most", "high").alias("max_value"),
+            at("mean").alias("mean_value"), at("deviation").alias("deviation"), at("bounds").alias("bounds"), at("from").alias("from_ts"), at("to").alias("to_ts"), span.alias("span_seconds"), best.alias("top"), (held == at("filled")).alias("top_exact"),
+        )
+
+    return df.agg(*aggs).select(F.explode(F.array(*[row(k, c) for k, c in enumerate(names)])).alias("x")).select("x.*")
+
+
 def empty_columns(df: DataFrame) -> DataFrame:
     """(column) of the columns without a value, in one scan."""
     found = df.agg(*[F.coalesce(F.max(F.trim(text_of(c)) != ""), F.lit(False)).alias(f"c{k}") for k, c in enumerate(df.columns)])

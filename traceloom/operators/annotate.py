@@ -56,33 +56,58 @@ def merge_timelines(sources: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 
 PROFILE_FIELDS = ("process", "parent", "host", "user", "image_path", "command_contains")
-MOST_RULES = 10_000
 
 
-def profile_match(rules: Sequence[dict], image: str = "image", parent: str = "parent_image", host: str = "host", user: str = "user", command: str = "command") -> Column:
-    """Whether some profile rule matches a finding: all fields that a rule fills, in any case; the command by a part of it.
+def profile_flag(findings: DataFrame, rules: DataFrame, flag: str, image: str = "image", parent: str = "parent_image", host: str = "host", user: str = "user", command: str = "command") -> DataFrame:
+    """findings with `flag`: whether some rule of a profile matches, by all fields that it fills, in any case; the command by a
+    part of it. rules: a table of some of PROFILE_FIELDS; other columns, as a rule's reason, are not compared, and a rule
+    without fields matches nothing.
 
-    A rule's reason is its justification and is not compared; a rule without fields matches nothing.
+    Rules are grouped by the set of fields they fill (at most 63 sets). A set is one join on its fields; the parts of
+    commands of rules with equal fields are one list, and those of rules with nothing else meet the distinct commands by
+    grams. So rules stay a table, however many there are.
     """
+    from .grams import containing
     from .process import base_name
 
+    given = [c for c in PROFILE_FIELDS if c in rules.columns]
     low = lambda c: F.lower(F.coalesce(col(c).cast("string"), F.lit("")))
-    found = {"process": lambda: base_name(col(image)), "parent": lambda: base_name(col(parent)), "host": lambda: low(host), "user": lambda: low(user), "image_path": lambda: low(image)}
-    out = F.lit(False)
-    for rule in rules:
-        filled = {k: str(v).lower() for k, v in rule.items() if k in PROFILE_FIELDS and v not in (None, "")}
-        each = [low(command).contains(v) if k == "command_contains" else found[k]() == v for k, v in filled.items()]
-        if each:
-            out = out | functools.reduce(lambda a, b: a & b, each)
-    return out
+    field = {"process": lambda: base_name(col(image)), "parent": lambda: base_name(col(parent)), "host": lambda: low(host), "user": lambda: low(user), "image_path": lambda: low(image), "command_contains": lambda: low(command)}
+    filled = rules.select(*[F.nullif(F.lower(F.col(c).cast("string")), F.lit("")).alias(c) for c in given]).distinct()
+    bits = [F.when(F.col(c).isNotNull(), F.lit(1 << k)).otherwise(0) for k, c in enumerate(given)]
+    filled = filled.withColumn("mask", functools.reduce(lambda a, b: a + b, bits, F.lit(0))).where("mask > 0")
+    out, hits = findings, []
+    for k, mask in enumerate(sorted(r["mask"] for r in filled.select("mask").distinct().collect())):
+        names = [c for i, c in enumerate(given) if mask >> i & 1]
+        keys = [c for c in names if c != "command_contains"]
+        own, hit = filled.where(F.col("mask") == mask), f"__hit{k}"
+        if not keys:
+            commands = findings.select(low(command).alias("__command")).distinct()
+            found = containing(commands, "__command", own.select("command_contains"), "command_contains").select("__command").distinct()
+            out = out.withColumn("__command", low(command)).join(found.withColumn(hit, F.lit(True)), "__command", "left").drop("__command")
+        else:
+            parts = [F.collect_set("command_contains").alias(f"__parts{k}")] if len(keys) < len(names) else [F.lit(True).alias(hit)]
+            lists = own.groupBy(*[F.col(c).alias(f"__{c}") for c in keys]).agg(*parts)
+            out = out.withColumns({f"__{c}": field[c]() for c in keys}).join(lists, [f"__{c}" for c in keys], "left").drop(*[f"__{c}" for c in keys])
+            if len(keys) < len(names):
+                out = out.withColumn(hit, F.exists(F.col(f"__parts{k}"), lambda x: low(command).contains(x))).drop(f"__parts{k}")
+        hits.append(F.coalesce(F.col(hit), F.lit(False)))
+    return out.select(*[col(c) for c in findings.columns if c != flag], functools.reduce(lambda a, b: a | b, hits, F.lit(False)).alias(flag))
 
 
 def suppress(findings: DataFrame, rules: DataFrame, **columns: str) -> DataFrame:
-    """Findings that no rule of a profile (a table of some of PROFILE_FIELDS, at most MOST_RULES rows) matches."""
-    rows = [r.asDict() for r in rules.limit(MOST_RULES + 1).collect()]
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"a profile has at most {MOST_RULES} rules")
-    return findings.where(~profile_match(rows, **columns))
+    """Findings that no rule of a profile matches."""
+    return profile_flag(findings, rules, "__known", **columns).where("NOT __known").drop("__known")
+
+
+def with_profile(findings: DataFrame, suppressions: DataFrame, baselines: DataFrame, **columns: str) -> DataFrame:
+    """findings with `suppressed` and `expected`: matched by a suppression, and by a baseline (which hides nothing)."""
+    return profile_flag(profile_flag(findings, suppressions, "suppressed", **columns), baselines, "expected", **columns)
+
+
+def merged_rules(saved: DataFrame, loaded: DataFrame) -> DataFrame:
+    """A loaded profile's rules added to those there are, each once; missing fields are empty."""
+    return saved.unionByName(loaded, allowMissingColumns=True).distinct()
 
 
 def having_tag_like(df: DataFrame, tags: DataFrame, part: str, id_col: str = "_rowid") -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import classify_ioc, defang, verdict, verdict_key
 from .filters import text_of
+from .grams import containing
 
-AT_ONCE = 50_000  # indicators in an automaton
+AT_ONCE = 50_000  # indicators in an automaton, at most
 
 
 def prepare(iocs: DataFrame, name: str = "ioc") -> DataFrame:
@@ -28,12 +29,15 @@ def _blob(columns: Sequence[str]) -> Column:
 def match(df: DataFrame, iocs: DataFrame, columns: Sequence[str], id_col: str, at_once: int = AT_ONCE) -> DataFrame:
     """(ioc, row) of each indicator that stands, in any case, somewhere in a row's columns.
 
-    A row's texts go once through an automaton of all indicators (Aho and Corasick 1975), whatever their number; of more
-    than `at_once` indicators every further such part is one more pass, so an automaton's size is bounded.
+    Up to `at_once` indicators make an automaton (Aho and Corasick 1975) that a row's texts go through once. More of them
+    stay a table and meet the rows by grams (see grams.py), in one pass as well; then the driver holds none of them.
     """
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("row"), F.lower(_blob(columns)).alias("blob"))
-    out, part = df.sparkSession.createDataFrame([], f"ioc string, row {kind}"), []
+    named = iocs.select("ioc", F.lower("ioc").alias("low")).where("low <> ''").distinct()
+    part = [(r["ioc"], r["low"]) for r in named.limit(at_once + 1).collect()]
+    if len(part) > at_once:
+        return containing(rows, "blob", named, "low").select("ioc", "row")
 
     def scanned(names: list[tuple[str, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,11 +57,7 @@ def match(df: DataFrame, iocs: DataFrame, columns: Sequence[str], id_col: str, a
 
         return rows.mapInArrow(run, f"ioc string, row {kind}")
 
-    for r in iocs.select("ioc", F.lower("ioc").alias("low")).where("low <> ''").distinct().toLocalIterator():
-        part.append((r["ioc"], r["low"]))
-        if len(part) == at_once:
-            out, part = out.unionByName(scanned(part)), []
-    return out.unionByName(scanned(part)) if part else out
+    return scanned(part) if part else df.sparkSession.createDataFrame([], f"ioc string, row {kind}")
 
 
 def match_patterns(df: DataFrame, patterns: Sequence[str], columns: Sequence[str], id_col: str, batch: int = 200) -> DataFrame:

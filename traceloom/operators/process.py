@@ -139,8 +139,13 @@ def capped(processes: DataFrame, order: list[str], most: int = 200_000) -> DataF
 
 
 def view(assessed: DataFrame, mode: str = "triage") -> DataFrame:
-    """raw: all; hunt: medium and up; triage: suspicious, one row per (host, image, command)."""
+    """raw: all; hunt: medium and up; triage: suspicious, one row per (host, image, command).
+
+    Where a profile has marked findings as suppressed, hunt and triage leave them out and raw shows them.
+    """
     if mode == "raw":
         return assessed
     found = assessed.where(F.col("level") >= 1)
+    if "suppressed" in assessed.columns:
+        found = found.where(~F.coalesce("suppressed", F.lit(False)))
     return found if mode == "hunt" else found.dropDuplicates(["host", "image", "command"])

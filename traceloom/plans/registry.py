@@ -335,4 +335,4 @@ def merge_timelines(spark, d):
     return annotate.merge_timelines({"events": (events, "ts"), "orders": (orders, "ts"), "lineitem": (lines, "ts")}).select("_Source", "datetime", "id", "kind", "status")
 
 
-from . import detections, files, indexed, movement, scaled  # noqa: E402, F401  register the rule-based queries and those of readers and sinks
+from . import detections, files, indexed, movement, profiles, scaled  # noqa: E402, F401  register the rule-based queries and those of readers and sinks
