@@ -198,6 +198,20 @@ def journal_table(spark, d):
     return artifacts.parse_journal(fixtures.journals(rows), at_once=1000).select("name", "entry", "seq", "parent_entry", "usn", "reasons", "ts")
 
 
+@query("""SELECT 'f' || user_id || '.txt' AS name, user_id AS entry, event_id * 8 AS usn, CASE event_id % 3 WHEN 0 THEN 'FileCreate' WHEN 1 THEN 'DataExtend|Close' ELSE '0' END AS reasons, event_id % 2 AS journal FROM events""")
+def journal_ranges(spark, d):
+    """Two large journal files, each read in ranges of 8 kB by as many tasks."""
+    from ..sources.journal_source import read_journal
+
+    k = F.col("event_id")
+    bits = F.when(k % 3 == 0, F.lit(0x100)).when(k % 3 == 1, F.lit(0x80000002)).otherwise(F.lit(0))
+    rows = read(spark, d, "events").select((k % 2).alias("journal"), (k * 8).alias("usn"), F.col("user_id").alias("entry"), (k * 10_000_000 + _TICKS).alias("ticks"), bits.cast("long").alias("bits"), F.concat(F.lit("f"), F.col("user_id").cast("string"), F.lit(".txt")).alias("name"))
+    folder = fixtures.local_file(spark, "journals")
+    fixtures.write_journals(rows, folder)
+    found = read_journal(spark, folder, split_bytes=8192)
+    return found.select("name", "entry", "usn", "reasons", F.regexp_extract("file", r"([01])\.usn$", 1).cast("long").alias("journal"))
+
+
 # Reports and saved state.
 
 

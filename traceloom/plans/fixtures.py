@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..storage import delete_at_exit, new_path
 
@@ -90,6 +91,15 @@ def journals(rows: DataFrame) -> DataFrame:
     return rows.groupBy("journal").applyInPandas(run, "content binary")
 
 
+def write_journals(rows: DataFrame, folder: str) -> None:
+    """A file `<journal>.usn` in a folder for each journal of rows."""
+    os.makedirs(folder, exist_ok=True)
+    for r in rows.select("journal").distinct().collect():
+        with open(f"{folder}/{r['journal']}.usn", "wb") as f:
+            for one in journals(rows.where(F.col("journal") == r["journal"])).toLocalIterator():
+                f.write(one["content"])
+
+
 def event_log(users):
     """A log with a record per (id, user): the first holds the template, the others refer to it; the last is damaged."""
     chunk, utf = bytearray(b"ElfChnk\0".ljust(512, b"\0")), lambda x: x.encode("utf-16-le")
