@@ -38,12 +38,12 @@ def matched(rows: DataFrame, per_key: DataFrame, keys: list[str], n_col: str, ho
 
     n_col: how many of the rows a key has, about. Keys with more than one of hot_share of all rows are fewer than hot_share
     (most, if given, is the number of the largest that count, where their rows are wide): they are broadcast and their
-    rows stay where they are. The other keys are joined by a shuffle.
+    rows stay where they are. The other keys are joined by a shuffle, at every size alike.
     """
     total = per_key.agg(F.sum(n_col)).first()[0] or 0
     large = per_key.where(F.col(n_col) > F.lit(total / min(hot_share, most or hot_share)))
     hot, rest = F.broadcast(large.drop(n_col)), per_key.where(F.col(n_col) <= F.lit(total / min(hot_share, most or hot_share))).drop(n_col)
-    cold = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(rest, keys)
+    cold = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(rest.hint("merge"), keys)
     return rows.join(hot, keys).unionByName(cold)
 
 

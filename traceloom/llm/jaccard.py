@@ -75,7 +75,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found
@@ -98,16 +98,26 @@ def _set_key(found: np.ndarray, salt: int) -> int:
     return int(_mixed(found, salt).sum(dtype=np.uint64).astype(np.int64))
 
 
-def _parity(found: np.ndarray, words: int = WORDS) -> list[int]:
+def _parity(found: np.ndarray, words: int = WORDS) -> np.ndarray:
     """Bit k of so many 64-bit words (a power of two): whether an odd number of elements is k modulo their bits."""
     odd = (np.bincount((found & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64).tolist()
+    return np.packbits(odd).view(np.int64)
 
 
 def _long_words(n: int) -> int:
     return max(WORDS, 1 << max(0, (n - 1) // 32).bit_length())
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)])))
+
+
+def _small(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that what is made of one stays small."""
+    return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+
 def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
     return (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text"))
 
@@ -118,15 +128,15 @@ def _sets(rows: DataFrame, width: int, salt: int, table: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, total, kind = _Hashes(), np.zeros(table, np.int64), None
-        for batch in batches:
-            out, kind = [], batch.column("id").type
-            for text in _texts(batch):
-                found = shingles(text, width, hashes)
-                np.add.at(total, (found % np.uint64(table)).astype(np.int64), 1)
-                out.append((len(found), _set_key(found, salt), _set_key(found, salt + 1), _parity(found), _parity(found, _long_words(len(found)))))
-            n, key, check, bits, long_bits = zip(*out, strict=True) if out else ((), (), (), (), ())
-            own = [batch.column("id"), batch.column("hash"), pa.array(n, pa.int32()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(long_bits, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(out), t) for t in (pa.int32(), pa.int64(), pa.binary()))], names)
+        for batch in _small(batches):
+            kind = batch.column("id").type
+            found = [shingles(t, width, hashes) for t in _texts(batch)]
+            for f in found:
+                np.add.at(total, (f % np.uint64(table)).astype(np.int64), 1)
+            keys = [pa.array([_set_key(f, salt + k) for f in found], pa.int64()) for k in (0, 1)]
+            bits = [_lists([_parity(f, size(len(f))) for f in found]) for size in (lambda n: WORDS, _long_words)]
+            own = [batch.column("id"), batch.column("hash"), pa.array(map(len, found), pa.int32()), *keys, *bits]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(found), t) for t in (pa.int32(), pa.int64(), pa.binary()))], names)
         if kind is not None:
             counts = sliced_counts(total)
             none = (kind, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
@@ -187,7 +197,7 @@ def _postings(rows: DataFrame, width: int, salt: int, place: np.ndarray, boundar
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _Hashes(), set()
-        for batch in batches:
+        for batch in _small(batches):
             rows = []
             for text in _texts(batch):
                 found = shingles(text, width, hashes)
@@ -266,7 +276,7 @@ def linked_sets(rows: DataFrame, classes: DataFrame, place: np.ndarray, width: i
     lists = postings.groupBy("kind", "token").agg(pivot.alias("pivot"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.count(F.lit(1)).alias("size"))
     lists = materialize(lists.where("lo < hi AND pivot IS NOT NULL").select("kind", "token", "pivot", "size"), "lists")
     distinct = matched(postings, lists, ["kind", "token"], "size").dropDuplicates(["kind", "token", "key"])
-    members = distinct.select("kind", "token", "key", "pos", "pivot").join(classes.select("key", "n", "bits"), "key")
+    members = distinct.select("kind", "token", "key", "pos", "pivot").join(classes.select("key", "n", "bits").hint("merge"), "key")
     members = materialize(members, "members")
     drop_table(postings)
     bounds = _may_link(percent, boundary)
@@ -278,14 +288,14 @@ def linked_sets(rows: DataFrame, classes: DataFrame, place: np.ndarray, width: i
     links = _verified(pairs, rows, classes, width, percent, "verified")
     roots = components(links)
     # Second round: lists in which not all members are in one component.
-    named = members.where(f"kind = {HEAVY}").join(roots, members["key"] == roots["node"], "left").select("kind", "token", member, F.coalesce("root", "key").alias("root"))
+    named = members.where(f"kind = {HEAVY}").join(roots.hint("merge"), members["key"] == roots["node"], "left").select("kind", "token", member, F.coalesce("root", "key").alias("root"))
     named = materialize(named, "named")
     shares = named.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
     usual = shares.groupBy("token").agg(F.max(F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size")).where("roots > 1").select("token", F.col("top.root").alias("usual"), "size")
     mixed = materialize(matched(named, materialize(usual, "mixed-lists"), ["token"], "size"), "mixed")
     others = mixed.where("root <> usual").select("token", F.col("q").alias("p"), F.col("root").alias("of"))
     # Of two members outside the most usual component, the smaller key asks.
-    second = mixed.join(others, "token").where("root <> of AND (root = usual OR q.key > p.key)").where(bounds)
+    second = mixed.join(others.hint("merge"), "token").where("root <> of AND (root = usual OR q.key > p.key)").where(bounds)
     left = materialize(ordered(second).distinct().join(pairs, ["a", "b"], "left_anti"), "candidates")
     more = _verified(left, rows, classes, width, percent, "verified")
     return components(links.unionByName(more))
