@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lateral
+from ..streaming.sessions import stateful_store, stream_rdp_sessions, stream_sessions
+from . import fixtures
 from .registry import query, read
 from .scaled import _LOGON, _logons
 
@@ -93,3 +95,35 @@ def lateral_custom_rules(spark, d):
         F.concat(F.lit("H"), (k % 5).cast("string")).alias("target"), F.when(u % 10 == 0, F.lit("SYSTEM")).otherwise(F.concat(F.lit("u"), (u % 7).cast("string"))).alias("user"), F.col("event_type").alias("payload"),
     )
     return lateral.relevant(rows, rules).select("id", "rule")
+
+
+# Streams, replayed from files in order; a last row far in the future lets the watermark pass all others.
+
+
+def _replayed(spark, rows, end, order: str, made):
+    """The rows of a stream made of a table's rows in four files and one row more, in a fifth."""
+    path = fixtures.folder(spark, "stream")
+    rows.repartitionByRange(4, order).sortWithinPartitions(order).write.parquet(path)
+    end.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    out, state = fixtures.folder(spark, "streamed"), fixtures.folder(spark, "stream-state")
+    made(stream).writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out, format="parquet").awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("""WITH m AS (SELECT event_type AS source, date_trunc('minute', ts)::TIMESTAMP AS minute, count(*) AS n FROM events GROUP BY 1, 2), c AS (SELECT *, coalesce((epoch(minute) - epoch(lag(minute) OVER (PARTITION BY source ORDER BY minute)) > 2400)::INT, 0) AS cut FROM m),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY source ORDER BY minute) AS k FROM c) SELECT source, min(minute) AS from_ts, max(minute) AS to_ts, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY source, k""")
+def stream_gap_sessions(spark, d):
+    """Sessions of each type by silences of 40 minutes, from session windows of a stream."""
+    rows = read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    end = spark.range(1).select(F.lit("2099-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit("end").alias("event_type"))
+    return _replayed(spark, rows, end, "ts", lambda s: stream_sessions(s, "ts", "event_type", 40, "60 days"))
+
+
+@query(f'WITH {_RDP_ROWS} SELECT target, "user", source, session_id, first_ts, last_ts, n, status, admin, reconnect FROM g')
+def stream_rdp(spark, d):
+    """Remote sessions from a stateful processor, the same as from the batch operator."""
+    stateful_store(spark)
+    rows = _rdp_rows(spark, d)
+    end = spark.range(1).select(F.lit(0).alias("event_id"), F.lit("2099-01-01 00:00:00").cast("timestamp").alias("ts"), F.lit("end").alias("target"), F.lit("").alias("user"), F.lit("").alias("source"), F.lit("").alias("session_id"))
+    return _replayed(spark, rows, end.select(*rows.columns), "ts", lambda s: stream_rdp_sessions(s, "1 hour"))
