@@ -1,4 +1,4 @@
-"""Queries of the rule-based operators: small tables written here, given to Spark as rows and to the oracle as VALUES."""
+"""Queries of functions and rules: cases written here, one for each event of the driver's table or all of them for each user."""
 
 from __future__ import annotations
 
@@ -17,8 +17,34 @@ def values(rows: list[tuple], names: str) -> str:
     return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows) + f") t({names}))"
 
 
-def frame(spark, rows: list[tuple], schema: str):
-    return spark.createDataFrame(rows, schema)
+def cases_sql(rows: list[tuple], names: str) -> str:
+    """(event_id, ...): every event with one of the rows, in turn."""
+    numbered = [(k, *r) for k, r in enumerate(rows)]
+    return f"(SELECT e.event_id, v.* EXCLUDE (turn) FROM events e JOIN {values(numbered, 'turn, ' + names)} v ON e.event_id % {len(rows)} = v.turn)"
+
+
+def cases(spark, d, rows: list[tuple], schema: str):
+    """The same rows for Spark."""
+    numbered = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "turn int, " + schema)
+    turns = read(spark, d, "events").select(F.col("event_id").alias("event_id"), (F.col("event_id") % len(rows)).cast("int").alias("turn"))
+    return turns.join(F.broadcast(numbered), "turn").drop("turn")  # a few rows
+
+
+def copies_sql(rows: list[tuple], names: str) -> str:
+    """(g, ...): all of the rows for every user of the events."""
+    return f"(SELECT u.g, v.* FROM (SELECT DISTINCT user_id AS g FROM events) u, {values(rows, names)} v)"
+
+
+def copies(spark, d, rows: list[tuple], schema: str):
+    """The same rows for Spark."""
+    types = spark.createDataFrame([], schema).schema
+    each = F.array(*[F.struct(*[F.lit(v).cast(t.dataType).alias(t.name) for v, t in zip(r, types, strict=True)]) for r in rows])
+    return read(spark, d, "events").select(F.col("user_id").alias("g")).distinct().select("g", F.explode(each).alias("x")).select("g", "x.*")
+
+
+def _of(name: str):
+    """A name that is one user's own."""
+    return F.concat(F.col(name), F.lit("-"), F.col("g").cast("string"))
 
 
 # Scalar functions.
@@ -29,27 +55,27 @@ _TIMES = [
 ]
 
 
-@query(f"SELECT id, CAST(want AS TIMESTAMP) AS ts, strftime(CAST(want AS TIMESTAMP), '%Y-%m-%d') AS day, strftime(CAST(want AS TIMESTAMP), '%Y-%m-%d %H:%M') AS minute FROM {values(_TIMES, 'id, raw, want')}")
+@query(f"SELECT event_id, id, CAST(want AS TIMESTAMP) AS ts, strftime(CAST(want AS TIMESTAMP), '%Y-%m-%d') AS day, strftime(CAST(want AS TIMESTAMP), '%Y-%m-%d %H:%M') AS minute FROM {cases_sql(_TIMES, 'id, raw, want')}")
 def ts_normalize(spark, d):
     x = F.col("raw")
-    return frame(spark, _TIMES, "id int, raw string, want string").select("id", S.normalize_timestamp(x).alias("ts"), S.extract_date(x).alias("day"), S.extract_minute(x).alias("minute"))
+    return cases(spark, d, _TIMES, "id int, raw string, want string").select("event_id", "id", S.normalize_timestamp(x).alias("ts"), S.extract_date(x).alias("day"), S.extract_minute(x).alias("minute"))
 
 
 _FLAGS = [(1, 0x80000101, "DataOverwrite|FileCreate|Close"), (2, 0, "0"), (3, 0x3000, "RenameOldName|RenameNewName"), (4, 0x200, "FileDelete")]
 
 
-@query(f"SELECT id, want AS names FROM {values(_FLAGS, 'id, bits, want')}")
+@query(f"SELECT event_id, id, want AS names FROM {cases_sql(_FLAGS, 'id, bits, want')}")
 def flag_decode(spark, d):
     bits = F.col("bits")
-    return frame(spark, _FLAGS, "id int, bits long, want string").select("id", T.flag_names(bits, T.USN_REASONS, bits.cast("string")).alias("names"))
+    return cases(spark, d, _FLAGS, "id int, bits long, want string").select("event_id", "id", T.flag_names(bits, T.USN_REASONS, bits.cast("string")).alias("names"))
 
 
 _DEFANG = [(1, "hxxps://evil[.]com/a?b=1#c", "evil.com"), (2, "1.2.3[.]4", "1.2.3.4"), (3, "user[@]bad[dot]org", "user@bad.org"), (4, "http[://]x(.)net.", "x.net"), (5, "1.2.3.4[:]443", "1.2.3.4:443"), (6, "C:\\Temp\\a.exe", "C:\\Temp\\a.exe")]
 
 
-@query(f"SELECT id, want AS ioc FROM {values(_DEFANG, 'id, raw, want')}")
+@query(f"SELECT event_id, id, want AS ioc FROM {cases_sql(_DEFANG, 'id, raw, want')}")
 def defang(spark, d):
-    return frame(spark, _DEFANG, "id int, raw string, want string").select("id", T.defang(F.col("raw")).alias("ioc"))
+    return cases(spark, d, _DEFANG, "id int, raw string, want string").select("event_id", "id", T.defang(F.col("raw")).alias("ioc"))
 
 
 _KINDS = [
@@ -57,35 +83,35 @@ _KINDS = [
 ]
 
 
-@query(f"SELECT value, kind FROM {values(_KINDS, 'value, kind')}")
+@query(f"SELECT event_id, value, kind FROM {cases_sql(_KINDS, 'value, kind')}")
 def ioc_classify(spark, d):
-    return frame(spark, _KINDS, "value string, kind string").select("value", T.classify_ioc(F.col("value")).alias("kind"))
+    return cases(spark, d, _KINDS, "value string, kind string").select("event_id", "value", T.classify_ioc(F.col("value")).alias("kind"))
 
 
 _MISC = [(1, ".bashrc", "", "0x1a2c", "6700", 45, "45m"), (2, "a.", "", "12", "12", 200, "3h 20m"), (3, "a.tar.gz", ".gz", "0xFF", "255", 3180, "2d 5h"), (4, "x", "", "", "", 0, "0m")]
 
 
-@query(f"SELECT id, ext, pid, span FROM {values(_MISC, 'id, name, ext, raw, pid, minutes, span')}")
+@query(f"SELECT event_id, id, ext, pid, span FROM {cases_sql(_MISC, 'id, name, ext, raw, pid, minutes, span')}")
 def small_functions(spark, d):
-    rows = frame(spark, _MISC, "id int, name string, ext string, raw string, pid string, minutes int, span string")
-    return rows.select("id", T.extension(F.col("name")).alias("ext"), T.hex_to_decimal(F.col("raw")).alias("pid"), T.duration_text(F.col("minutes")).alias("span"))
+    rows = cases(spark, d, _MISC, "id int, name string, ext string, raw string, pid string, minutes int, span string")
+    return rows.select("event_id", "id", T.extension(F.col("name")).alias("ext"), T.hex_to_decimal(F.col("raw")).alias("pid"), T.duration_text(F.col("minutes")).alias("span"))
 
 
 _TICKS = [(1, 0, "", False), (2, 116444735999999999, "", False), (3, 133498026000000000, "2024-01-15 14:30:00.0000000", True), (4, 133498026001234567, "2024-01-15 14:30:00.1234567", False)]
 
 
-@query(f"SELECT id, want AS text, zero FROM {values(_TICKS, 'id, ticks, want, zero')}")
+@query(f"SELECT event_id, id, want AS text, zero FROM {cases_sql(_TICKS, 'id, ticks, want, zero')}")
 def filetime_text(spark, d):
     x = F.col("ticks")
-    return frame(spark, _TICKS, "id int, ticks long, want string, zero boolean").select("id", S.filetime_string(x).alias("text"), S.zero_subsecond(x).alias("zero"))
+    return cases(spark, d, _TICKS, "id int, ticks long, want string, zero boolean").select("event_id", "id", S.filetime_string(x).alias("text"), S.zero_subsecond(x).alias("zero"))
 
 
 _IPS = [("10.1.2.3", True), ("172.20.0.1:80", True), ("172.32.0.1", False), ("::1", True), ("[::1]:443", True), ("8.8.8.8", False), ("fe80::1", False)]
 
 
-@query(f"SELECT ip, private FROM {values(_IPS, 'ip, private')}")
+@query(f"SELECT event_id, ip, private FROM {cases_sql(_IPS, 'ip, private')}")
 def private_ip(spark, d):
-    return frame(spark, _IPS, "ip string, private boolean").select("ip", T.is_private_ip(F.col("ip")).alias("private"))
+    return cases(spark, d, _IPS, "ip string, private boolean").select("event_id", "ip", T.is_private_ip(F.col("ip")).alias("private"))
 
 
 @query("""WITH c AS (SELECT p_partkey, unnest(list_transform(range(1, length(p_type) + 1), lambda i: substring(p_type, i, 1))) AS ch, length(p_type) AS n FROM part), g AS (SELECT p_partkey, ch, n, count(*) AS k FROM c GROUP BY ALL)
@@ -104,15 +130,22 @@ _PROC_SCHEMA = "id int, host string, ts string, pid string, ppid string, guid st
 _PARENTS = [(1, None), (2, 1), (3, 2), (4, 3), (5, 4), (6, None), (7, 6)]
 
 
-@query(f"SELECT id, CAST(coalesce(parent_id, 0) AS INTEGER) AS parent_id FROM {values(_PARENTS, 'id, parent_id')}")
+def _user_processes(spark, d):
+    rows = copies(spark, d, _PROCESSES, _PROC_SCHEMA).withColumn("id", F.col("id") + 100 * F.col("g")).withColumn("host", _of("host"))
+    own = lambda c: F.when(F.col(c) != "", _of(c)).otherwise("")
+    return rows.withColumns({"guid": own("guid"), "pguid": own("pguid")}).drop("g")
+
+
+@query(f"SELECT id + 100 * g AS id, CAST(coalesce(parent_id + 100 * g, 0) AS BIGINT) AS parent_id FROM {copies_sql(_PARENTS, 'id, parent_id')}")
 def process_parents(spark, d):
-    return process.link_parents(frame(spark, _PROCESSES, _PROC_SCHEMA)).select("id", F.coalesce("parent_id", F.lit(0)).alias("parent_id"))
+    """Parents by GUID and by PID, the same processes on hosts of every user."""
+    return process.link_parents(_user_processes(spark, d)).select("id", F.coalesce("parent_id", F.lit(0).cast("long")).alias("parent_id"))
 
 
-@query(f"""WITH RECURSIVE e AS {values(_PARENTS, 'id, parent_id')}, w AS (SELECT id, 0 AS depth, id AS root, parent_id FROM e WHERE parent_id IS NULL UNION ALL SELECT e.id, w.depth + 1, w.root, e.parent_id FROM e JOIN w ON e.parent_id = w.id)
-SELECT id, CAST(depth AS INTEGER) AS depth, root FROM w""")
+@query(f"""WITH RECURSIVE e AS {copies_sql(_PARENTS, 'id, parent_id')}, w AS (SELECT g, id, 0 AS depth, id AS root, parent_id FROM e WHERE parent_id IS NULL UNION ALL SELECT e.g, e.id, w.depth + 1, w.root, e.parent_id FROM e JOIN w ON e.parent_id = w.id AND e.g = w.g)
+SELECT id + 100 * g AS id, CAST(depth AS INTEGER) AS depth, root + 100 * g AS root FROM w""")
 def process_tree(spark, d):
-    return process.ancestors(process.link_parents(frame(spark, _PROCESSES, _PROC_SCHEMA)).select("id", "parent_id")).select("id", "depth", "root")
+    return process.ancestors(process.link_parents(_user_processes(spark, d)).select("id", "parent_id")).select("id", "depth", "root")
 
 
 _PAIRS = [(p, c, level, *reason[:-1].split(" [")) for p, c, level, reason in chain_pairs()]
@@ -133,12 +166,12 @@ def chain_rules(spark, d):
     return process.assess(rows, process.default_rules(spark)).select("id", "level", "reason", "techniques")
 
 
-@query(f"""SELECT id, CASE WHEN regexp_matches(command, '{process.ENCODED_PS}') THEN 3 WHEN regexp_matches(regexp_extract(lower(image), '([^\\/]*)$', 1), '{process.EXFIL_TOOLS}') THEN 2
+@query(f"""SELECT event_id, id, CASE WHEN regexp_matches(command, '{process.ENCODED_PS}') THEN 3 WHEN regexp_matches(regexp_extract(lower(image), '([^\\/]*)$', 1), '{process.EXFIL_TOOLS}') THEN 2
 WHEN regexp_matches(image, '{process.SUS_PATHS}') AND NOT regexp_matches(regexp_extract(lower(image), '([^\\/]*)$', 1), '{process.SAFE_PROCS}') THEN 1 ELSE 0 END AS level
-FROM {values(_PROCESSES, 'id, host, ts, pid, ppid, guid, pguid, image, parent_image, command')}""".replace("[^\\/]", "[^\\\\/]"))
+FROM {cases_sql(_PROCESSES, 'id, host, ts, pid, ppid, guid, pguid, image, parent_image, command')}""".replace("[^\\/]", "[^\\\\/]"))
 def standalone_patterns(spark, d):
-    rows = frame(spark, _PROCESSES, _PROC_SCHEMA)
-    return rows.select("id", process.standalone(F.col("image"), F.col("command"))["level"].alias("level"))
+    rows = cases(spark, d, _PROCESSES, _PROC_SCHEMA)
+    return rows.select("event_id", "id", process.standalone(F.col("image"), F.col("command"))["level"].alias("level"))
 
 
 # Lateral movement.
@@ -149,59 +182,64 @@ _LOGONS = [
 _LOGON_SCHEMA = "event_id int, ts string, source string, target string, user string, logon_type int"
 
 
-@query(f"""SELECT source, target, "user", logon_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, '4624' AS event_ids, logon_type = 8 AS clear_text FROM {values(_LOGONS, 'event_id, ts, source, target, "user", logon_type')}
-WHERE event_id = 4624 AND source <> '-' AND "user" <> 'SYSTEM' GROUP BY ALL""")
+def _user_logons(spark, d):
+    rows = copies(spark, d, _LOGONS, _LOGON_SCHEMA)
+    return rows.withColumns({"source": F.when(F.col("source") == "-", "-").otherwise(_of("source")), "target": _of("target")}).drop("g")
+
+
+@query(f"""SELECT source || '-' || g AS source, target || '-' || g AS target, "user", logon_type, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, '4624' AS event_ids, logon_type = 8 AS clear_text
+FROM {copies_sql(_LOGONS, 'event_id, ts, source, target, "user", logon_type')} WHERE event_id = 4624 AND source <> '-' AND "user" <> 'SYSTEM' GROUP BY ALL""")
 def lateral_edges(spark, d):
-    return lateral.logon_edges(frame(spark, _LOGONS, _LOGON_SCHEMA))
+    return lateral.logon_edges(_user_logons(spark, d))
 
 
 _CHAINS = [("A>B>C>D", 3), ("D>E", 1)]
 
 
-@query(f"SELECT path, hops FROM {values(_CHAINS, 'path, hops')}")
+@query(f"SELECT array_to_string(list_transform(string_split(path, '>'), lambda h: h || '-' || g), '>') AS path, hops FROM {copies_sql(_CHAINS, 'path, hops')}")
 def chain_paths(spark, d):
-    return lateral.chains(lateral.logon_edges(frame(spark, _LOGONS, _LOGON_SCHEMA))).select("path", "hops")
+    return lateral.chains(lateral.logon_edges(_user_logons(spark, d))).select("path", "hops")
 
 
-@query("SELECT 'B' AS host, 1 AS chains UNION ALL SELECT 'C', 1")
+@query(f"SELECT host || '-' || g AS host, n AS chains FROM {copies_sql([('B', 1), ('C', 1)], 'host, n')}")
 def lateral_pivots(spark, d):
-    return lateral.pivots(lateral.chains(lateral.logon_edges(frame(spark, _LOGONS, _LOGON_SCHEMA))))
+    return lateral.pivots(lateral.chains(lateral.logon_edges(_user_logons(spark, d))))
 
 
 _HOSTS = [("DESKTOP-AB12CD3", 1), ("WIN-12345678", 1), ("kali", 1), ("myvps01", 2), ("DC01", 0), ("h\u00f6st", 1)]
 
 
-@query(f"SELECT host, tier FROM {values(_HOSTS, 'host, tier')}")
+@query(f"SELECT event_id, host, tier FROM {cases_sql(_HOSTS, 'host, tier')}")
 def host_tiers(spark, d):
-    return frame(spark, _HOSTS, "host string, tier int").select("host", lateral.host_tier(F.col("host")).alias("tier"))
+    return cases(spark, d, _HOSTS, "host string, tier int").select("event_id", "host", lateral.host_tier(F.col("host")).alias("tier"))
 
 
 _REMOTE = [("cmd.exe /Q /c cd 1> \\\\127.0.0.1\\ADMIN$\\__1 2>&1", "wmiexec"), ("x __output y", "smbexec"), ("mmc.exe -Embedding", "dcomexec"), ("\\\\.\\pipe\\RemCom_communicat", "psexec"), ("notepad", None)]
 
 
-@query(f"SELECT command, variant FROM {values(_REMOTE, 'command, variant')}")
+@query(f"SELECT event_id, command, variant FROM {cases_sql(_REMOTE, 'command, variant')}")
 def remote_execution(spark, d):
-    return frame(spark, _REMOTE, "command string, variant string").select("command", lateral.remote_execution(F.col("command")).alias("variant"))
+    return cases(spark, d, _REMOTE, "command string, variant string").select("event_id", "command", lateral.remote_execution(F.col("command")).alias("variant"))
 
 
 _RDP = [(1149, 0, "A", "B", "u"), (21, 5, "A", "B", "u"), (22, 6, "A", "B", "u"), (4672, 7, "A", "B", "u"), (24, 600, "A", "B", "u"), (25, 700, "A", "B", "u"), (23, 900, "A", "B", "u"), (4625, 10, "A", "C", "v")]
 _RDP_OUT = [("B", "u", 1, 5, "DISCONNECTED", True, False), ("B", "u", 2, 2, "ENDED", False, True), ("C", "v", 0, 1, "FAILED", False, False)]
 
 
-@query(f"SELECT target, \"user\", CAST(session AS BIGINT) AS session, n, status, admin, reconnect FROM {values(_RDP_OUT, 'target, \"user\", session, n, status, admin, reconnect')}")
+@query(f"SELECT target || '-' || g AS target, \"user\", CAST(session AS BIGINT) AS session, n, status, admin, reconnect FROM {copies_sql(_RDP_OUT, 'target, \"user\", session, n, status, admin, reconnect')}")
 def rdp_sessions(spark, d):
-    rows = frame(spark, _RDP, "event_id int, at int, source string, target string, user string").withColumn("ts", F.timestamp_seconds(F.col("at") + 1_700_000_000))
-    return lateral.rdp_sessions(rows, None).select("target", "user", "session", "n", "status", "admin", "reconnect")
+    rows = copies(spark, d, _RDP, "event_id int, at int, source string, target string, user string").withColumn("ts", F.timestamp_seconds(F.col("at") + 1_700_000_000)).withColumn("target", _of("target"))
+    return lateral.rdp_sessions(rows.drop("g"), None).select("target", "user", "session", "n", "status", "admin", "reconnect")
 
 
 _RDP_KEYS = [(4624, 0, "A", "B", "u", None), (21, 1, "LOCAL", "B", "u", "2"), (4624, 10, "C", "B", "u", None), (21, 11, "C", "B", "u", "3"), (4672, 20, "C", "B", "u", None), (23, 60, "", "B", "u", "3"), (25, 70, "A", "B", "u", "2")]
 _RDP_KEYS_OUT = [(1, "A", "2", 2, "NO LOGOFF", False), (2, "C", "3", 4, "ENDED", False), (3, "A", "2", 1, "NO LOGOFF", False)]
 
 
-@query(f"SELECT CAST(session AS BIGINT) AS session, source, session_id, n, status, admin FROM {values(_RDP_KEYS_OUT, 'session, source, session_id, n, status, admin')}")
+@query(f"SELECT 'B-' || g AS target, CAST(session AS BIGINT) AS session, source, session_id, n, status, admin FROM {copies_sql(_RDP_KEYS_OUT, 'session, source, session_id, n, status, admin')}")
 def rdp_session_keys(spark, d):
-    rows = frame(spark, _RDP_KEYS, "event_id int, at int, source string, target string, user string, session_id string").withColumn("ts", F.timestamp_seconds(F.col("at") + 1_700_000_000))
-    return lateral.rdp_sessions(rows, None).select("session", "source", "session_id", "n", "status", "admin")
+    rows = copies(spark, d, _RDP_KEYS, "event_id int, at int, source string, target string, user string, session_id string").withColumn("ts", F.timestamp_seconds(F.col("at") + 1_700_000_000)).withColumn("target", _of("target"))
+    return lateral.rdp_sessions(rows.drop("g"), None).select("target", "session", "source", "session_id", "n", "status", "admin")
 
 
 # Persistence.
@@ -213,17 +251,18 @@ _PERSIST = [
 _PERSIST_OUT = [("Updater", "Services", 7, "High", "User-writable path", False), ("AnyDesk Service", "Services", 6, "High", "", True), ("\\Evil", "Scheduled Tasks", 6, "High", "Non-standard task path|LOLBin execution", False), ("\\Microsoft\\Windows\\X", "Scheduled Tasks", 4, "Medium", "", False), ("c", "WMI Persistence", 10, "Critical", "LOLBin execution", False), ("Google Chrome Elevation", "Services", 2, "Low", "", False)]
 
 
-@query(f"SELECT name, category, risk, severity, badges, rmm FROM {values(_PERSIST_OUT, 'name, category, risk, severity, badges, rmm')}")
+@query(f"SELECT g, name, category, risk, severity, badges, rmm FROM {copies_sql(_PERSIST_OUT, 'name, category, risk, severity, badges, rmm')}")
 def persistence_events(spark, d):
-    return persistence.event_findings(frame(spark, _PERSIST, "event_id int, channel string, name string, command string")).select("name", "category", "risk", "severity", "badges", "rmm")
+    """Badges, remote tools, vendors and updaters, the same events for every user."""
+    return persistence.event_findings(copies(spark, d, _PERSIST, "event_id int, channel string, name string, command string")).select("g", "name", "category", "risk", "severity", "badges", "rmm")
 
 
 _REG = [("HKLM\\SOFTWARE\\Microsoft\\Windows\\CurrentVersion\\Run", "x", "C:\\Temp\\a.exe", "Run / RunOnce", 5), ("HKLM\\SYSTEM\\CurrentControlSet\\Control\\Lsa", "Security Packages", "a", "LSA Packages", 8), ("HKLM\\SOFTWARE\\Other", "x", "y", None, 0)]
 
 
-@query(f"SELECT key, location, risk FROM {values(_REG, 'key, value_name, value_data, location, risk')} WHERE location IS NOT NULL")
+@query(f"SELECT event_id, key, location, risk FROM {cases_sql(_REG, 'key, value_name, value_data, location, risk')} WHERE location IS NOT NULL")
 def persistence_registry(spark, d):
-    return persistence.registry_findings(frame(spark, _REG, "key string, value_name string, value_data string, want string, want_risk int")).select("key", "location", "risk")
+    return persistence.registry_findings(cases(spark, d, _REG, "key string, value_name string, value_data string, want string, want_risk int")).select("event_id", "key", "location", "risk")
 
 
 @query("SELECT conv_id AS block_id, string_agg(text, '' ORDER BY turn) AS script, count(*) = 4 AS complete FROM conversations GROUP BY 1")
@@ -245,9 +284,12 @@ _VERDICTS = [("evil.com", 5, 0, 70), ("1.2.3.4", 0, 2, 80), ("good.org", 0, 0, 6
 _ENRICHED = [("EVIL.com", "malicious", 5 / 70), ("1.2.3.4:443", "suspicious", 2 / 80), ("good.org", "clean", 0.0), ("none.net", "not_found", 0.0)]
 
 
-@query(f"SELECT ioc, verdict, CAST(score AS DOUBLE) AS score FROM {values(_ENRICHED, 'ioc, verdict, score')}")
+@query(f"SELECT CASE ioc WHEN '1.2.3.4:443' THEN '10.' || g || '.3.4:443' ELSE g || ioc END AS ioc, verdict, CAST(score AS DOUBLE) AS score FROM {copies_sql(_ENRICHED, 'ioc, verdict, score')}")
 def verdict_enrichment(spark, d):
-    return ioc.enrich(frame(spark, _ENRICHED, "ioc string, w string, s double").select("ioc"), frame(spark, _VERDICTS, "key string, malicious int, suspicious int, total int"))
+    own = lambda c, ip: F.when(F.col(c).startswith("1.2.3.4"), F.concat(F.lit("10."), F.col("g").cast("string"), F.lit(ip))).otherwise(F.concat(F.col("g").cast("string"), F.col(c)))
+    iocs = copies(spark, d, _ENRICHED, "ioc string, w string, s double").select(own("ioc", ".3.4:443").alias("ioc"))
+    verdicts = copies(spark, d, _VERDICTS, "key string, malicious int, suspicious int, total int").withColumn("key", own("key", ".3.4")).drop("g")
+    return ioc.enrich(iocs, verdicts)
 
 
 # File system.
@@ -256,9 +298,10 @@ _ENTRIES = [(6, 5, "a"), (7, 6, "b"), (30, 99, "z"), (20, 21, "x"), (21, 20, "y"
 _PATHS = [(5, "."), (6, ".\\a"), (7, ".\\a\\b"), (30, ".\\[ORPHAN]\\z"), (20, ".\\[ORPHAN]\\y\\x"), (21, ".\\[ORPHAN]\\x\\y"), (99, ".\\[ORPHAN]")]
 
 
-@query(f"SELECT CAST(entry AS BIGINT) AS entry, path FROM {values(_PATHS, 'entry, path')}")
+@query(f"SELECT DISTINCT CASE WHEN entry = 5 THEN 5 ELSE entry + 1000 * g END AS entry, path FROM {copies_sql(_PATHS, 'entry, path')}")
 def parent_paths(spark, d):
-    return ntfs.parent_paths(frame(spark, _ENTRIES, "entry long, parent long, name string"))
+    own = lambda c: F.when(F.col(c) == 5, F.lit(5).cast("long")).otherwise(F.col(c) + 1000 * F.col("g")).alias(c)
+    return ntfs.parent_paths(copies(spark, d, _ENTRIES, "entry long, parent long, name string").select(own("entry"), own("parent"), "name"))
 
 
 _JOURNAL = [(1, 10, 1, 5, 1, "old", True, "FileCreate"), (2, 11, 1, 10, 1, "f.exe", False, "FileCreate|Close"), (3, 10, 2, 5, 1, "new", True, "RenameNewName"), (4, 12, 1, 10, 2, "g.zip", False, "DataExtend"), (5, 11, 1, 10, 1, "f.exe", False, "FileDelete|Close")]
@@ -266,39 +309,45 @@ _J_SCHEMA = "usn long, entry long, seq int, parent_entry long, parent_seq int, n
 _J_PARENTS = [(1, None), (2, "old"), (3, None), (4, "new"), (5, "old")]
 
 
-@query(f"SELECT CAST(usn AS BIGINT) AS usn, parent_name FROM {values(_J_PARENTS, 'usn, parent_name')}")
+def _user_journal(spark, d):
+    own = lambda c: F.when(F.col(c) == 5, F.lit(5).cast("long")).otherwise(F.col(c) + 1000 * F.col("g"))
+    rows = copies(spark, d, _JOURNAL, _J_SCHEMA)
+    return rows.withColumns({"usn": F.col("usn") + 1_000_000 * F.col("g"), "entry": own("entry"), "parent_entry": own("parent_entry")}).drop("g")
+
+
+@query(f"SELECT usn + 1000000 * g AS usn, parent_name FROM {copies_sql(_J_PARENTS, 'usn, parent_name')}")
 def journal_parents(spark, d):
-    return ntfs.journal_parents(frame(spark, _JOURNAL, _J_SCHEMA)).select("usn", "parent_name")
+    return ntfs.journal_parents(_user_journal(spark, d)).select("usn", "parent_name")
 
 
 _J_CATS = [(1, "creations"), (2, "creations"), (2, "execution"), (2, "close patterns"), (3, "renames"), (4, "exfiltration"), (5, "deletions"), (5, "close patterns")]
 
 
-@query(f"SELECT CAST(usn AS BIGINT) AS usn, category FROM {values(_J_CATS, 'usn, category')}")
+@query(f"SELECT g, CAST(usn AS BIGINT) AS usn, category FROM {copies_sql(_J_CATS, 'usn, category')}")
 def journal_categories(spark, d):
-    return ntfs.journal_categories(frame(spark, _JOURNAL, _J_SCHEMA).withColumn("path", F.concat(F.lit(".\\x\\"), F.col("name")))).select("usn", "category")
+    rows = copies(spark, d, _JOURNAL, _J_SCHEMA).withColumn("path", F.concat(F.lit(".\\x\\"), F.col("name")))
+    return ntfs.journal_categories(rows).select("g", "usn", "category")
 
 
-@query("SELECT CAST(11 AS BIGINT) AS entry, 'f.exe: FileCreate|Close > f.exe: FileDelete|Close' AS story")
+@query("SELECT 11 + 1000 * user_id AS entry, 'f.exe: FileCreate|Close > f.exe: FileDelete|Close' AS story FROM (SELECT DISTINCT user_id FROM events)")
 def journal_chains(spark, d):
-    return ntfs.file_chains(frame(spark, _JOURNAL, _J_SCHEMA)).where("entry = 11").select("entry", "story")
+    return ntfs.file_chains(_user_journal(spark, d)).where("entry % 1000 = 11").select("entry", "story")
 
 
 _STAMPS = [(1, "a.exe", 100_000_000_003, 100_000_000_004, 10**15, 10**15, "critical"), (2, "b.txt", 10**15 - 10**10 * 4 + 1, 10**15 + 1, 10**15, 10**15, "medium"), (3, "c.txt", 10**15 + 7, 10**15 + 8, 10**15, 10**15, None), (4, "d.txt", 10**15 + 9, 10**14 + 1, 10**15, 10**15, "high")]
 
 
-@query(f"SELECT entry, severity FROM {values(_STAMPS, 'entry, name, a, b, c, e, severity')} WHERE severity IS NOT NULL")
+@query(f"SELECT event_id, entry, severity FROM {cases_sql(_STAMPS, 'entry, name, a, b, c, e, severity')} WHERE severity IS NOT NULL")
 def timestomping(spark, d):
-    rows = frame(spark, _STAMPS, "entry int, name string, si_created long, si_modified long, fn_created long, fn_modified long, want string")
-    return ntfs.timestomping(rows).select("entry", "severity")
-
-
-_ZONES = [(1, "[ZoneTransfer]\r\nZoneId=3\r\nReferrerUrl=http://a/\r\nHostUrl=http://a/b.exe\r\n", 3, "http://a/", "http://a/b.exe")]
+    rows = cases(spark, d, _STAMPS, "entry int, name string, si_created long, si_modified long, fn_created long, fn_modified long, want string")
+    return ntfs.timestomping(rows).select("event_id", "entry", "severity")
 
 
-@query("SELECT 1 AS entry, 3 AS zone, 'http://a/' AS referrer, 'http://a/b.exe' AS host_url")
+@query("SELECT event_id AS entry, CAST(user_id % 4 AS INTEGER) AS zone, 'http://a/' || user_id AS referrer, 'http://a/' || event_type || '.exe' AS host_url FROM events")
 def alternate_streams(spark, d):
-    return ntfs.streams(frame(spark, _ZONES, "entry int, zone_contents string, z int, r string, h string").select("entry", "zone_contents"))
+    user = F.col("user_id").cast("string")
+    zone = F.concat(F.lit("[ZoneTransfer]\r\nZoneId="), (F.col("user_id") % 4).cast("string"), F.lit("\r\nReferrerUrl=http://a/"), user, F.lit("\r\nHostUrl=http://a/"), "event_type", F.lit(".exe\r\n"))
+    return ntfs.streams(read(spark, d, "events").select(F.col("event_id").alias("entry"), zone.alias("zone_contents")))
 
 
 @query("""SELECT count(*) FILTER (WHERE ends_with(lower(event_type || '.k'), 'or.k')) AS files, CAST(sum(event_id) FILTER (WHERE event_type = 'error') AS BIGINT) AS bytes, min(ts) FILTER (WHERE event_type = 'error') AS first_ts, max(ts) FILTER (WHERE event_type = 'error') AS last_ts,

@@ -14,7 +14,7 @@ from ..operators.ntfs import parent_paths
 from ..sources import artifacts, delimited, layouts, sinks
 from ..streaming.windows import stream_histogram
 from . import fixtures
-from .detections import values
+from .detections import cases, cases_sql, values
 from .registry import query, read
 
 # Delimited text.
@@ -80,9 +80,16 @@ def guid_text(spark, d):
 _FORMATS = [("a.XLSX", "xlsx"), ("b.xlsm", "xlsx"), ("c.xls", "xls"), ("d.evtx", "evtx"), ("e.plaso", "plaso"), ("f.mft", "mft"), ("$J", "usn"), ("x_$J", "usn"), ("g.csv", "csv"), ("h.txt", "csv")]
 
 
-@query(f"SELECT name, kind FROM {values(_FORMATS, 'name, kind')}")
+def _each(function):
+    """A function of one text as a column function."""
+    return F.pandas_udf(lambda texts: texts.map(function), "string")
+
+
+@query(f"SELECT event_id, name, kind FROM {cases_sql(_FORMATS, 'name, kind')}")
 def format_dispatch(spark, d):
-    return spark.createDataFrame([(n, delimited.detect_format(f"/nowhere/{n}")) for n, _ in _FORMATS], "name string, kind string")
+    """A file name for each event, and the reader it would get."""
+    kind = _each(lambda n: delimited.detect_format(f"/nowhere/{n}"))
+    return cases(spark, d, _FORMATS, "name string, want string").select("event_id", "name", kind("name").alias("kind"))
 
 
 @query("SELECT DISTINCT url AS ioc FROM pages WHERE trim(url) <> ''")
@@ -283,9 +290,11 @@ def text_save(spark, d):
 _LAYOUTS = [("EntryNumber,ParentEntryNumber,InUse,x", "MFTECmd"), ("Timestamp,RuleTitle,Level,Computer", "Hayabusa (Standard)"), ("datetime,RecordId,EventID,Provider,Level,Channel,Computer,Message", "Native event log"), ("HivePath,Key,ValueName,ValueData", "RECmd (Registry)"), ("a,b", None)]
 
 
-@query(f"SELECT headers, layout FROM {values(_LAYOUTS, 'headers, layout')}")
+@query(f"SELECT event_id, headers, layout FROM {cases_sql(_LAYOUTS, 'headers, layout')}")
 def layout_detection(spark, d):
-    return spark.createDataFrame([(h, getattr(layouts.detect_layout(h.split(",")), "name", None)) for h, _ in _LAYOUTS], "headers string, layout string")
+    """A line of headers for each event, and the layout it is known by."""
+    layout = _each(lambda h: getattr(layouts.detect_layout(h.split(",")), "name", None))
+    return cases(spark, d, _LAYOUTS, "headers string, want string").select("event_id", "headers", layout("headers").alias("layout"))
 
 
 # Streams (an extension).

@@ -9,7 +9,7 @@ from ..operators import aggregate as A
 from ..operators import annotate, ioc, lateral, ntfs, persistence, process
 from ..operators import query as Q
 from ..operators.filters import QuerySpec, View, search
-from .detections import values
+from .detections import cases, cases_sql, values
 from .registry import query, read
 
 # Search and views.
@@ -259,9 +259,11 @@ def custom_registry_rules(spark, d):
 _MODES = [("EventId,Channel,Provider,Computer", "events"), ("HivePath,KeyPath,ValueName,ValueData", "registry"), ("a,b", "events")]
 
 
-@query(f"SELECT headers, mode FROM {values(_MODES, 'headers, mode')}")
+@query(f"SELECT event_id, headers, mode FROM {cases_sql(_MODES, 'headers, mode')}")
 def persistence_mode(spark, d):
-    return spark.createDataFrame([(h, persistence.input_mode(h.split(","))) for h, _ in _MODES], "headers string, mode string")
+    """A line of headers for each event, and whether it is one of registry values or of events."""
+    mode = F.pandas_udf(lambda texts: texts.map(lambda h: persistence.input_mode(h.split(","))), "string")
+    return cases(spark, d, _MODES, "headers string, want string").select("event_id", "headers", mode("headers").alias("mode"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'svc ' || o_orderkey ELSE 'run' || o_custkey % 10 || '.exe -a ' || o_custkey % 10 END AS \"binary\" FROM orders")
