@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import translate
 from ..functions.text import fuzzy_match
 
 
@@ -45,7 +46,7 @@ class Condition:
                 return compare(low, want)
         return {
             "equals": lambda: low == want, "not equals": lambda: low != want, "contains": lambda: low.contains(want), "not contains": lambda: ~low.contains(want), "starts with": lambda: low.startswith(want),
-            "ends with": lambda: low.endswith(want), "is empty": lambda: F.trim(x) == "", "is not empty": lambda: F.trim(x) != "", "regex": lambda: x.rlike("(?i)" + v),
+            "ends with": lambda: low.endswith(want), "is empty": lambda: F.trim(x) == "", "is not empty": lambda: F.trim(x) != "", "regex": lambda: x.rlike(translate(v)),
         }[self.op]()
 
 
@@ -67,7 +68,8 @@ def search(columns: Sequence[str], term: str, mode: str = "mixed", threshold: fl
     if mode == "like":
         return functools.reduce(operator.or_, [contains_text(c, term) for c in columns])
     if mode == "regex":
-        return functools.reduce(operator.or_, [text_of(c).rlike("(?i)" + term) for c in columns])
+        pattern = translate(term)
+        return functools.reduce(operator.or_, [text_of(c).rlike(pattern) for c in columns])
     if mode == "fuzzy":
         return functools.reduce(operator.or_, [fuzzy_match(text_of(c), term, threshold) for c in columns])
     if mode == "fts":

@@ -41,6 +41,12 @@ def search_fts_phrase_and_word(spark, d):
     return read(spark, d, "documents").where(search(["text", "source"], 'license "Apache License"', "fts")).select("doc_id")
 
 
+@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)Apache(?s:.)License|[0-9]{3}-[0-9]{2}-[0-9]|(?-i:[\[{])(?s:.)')")
+def search_regex_dialect(spark, d):
+    """A pattern with code points, a named group, a class of everything and brackets in a class."""
+    return read(spark, d, "documents").where(search(["text"], r"\u{41}pache[^]License|(?<digits_1>[0-9]{3})-[0-9]{2}-\d|[[{][^]", "regex")).select("doc_id")
+
+
 @query("SELECT event_id FROM events WHERE event_type = 'error'")
 def filter_toggled(spark, d):
     """Filters and the search that are switched off are not applied."""
