@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from traceloom.llm import chat, decontamination, language_model, neighbours, pii, quality, sharding, simhash, tokenization, warc
+from traceloom.llm import chat, common, decontamination, language_model, neighbours, pii, quality, sharding, simhash, tokenization, warc
 from traceloom.llm.common import table
 
 from ..conftest import DATA
@@ -130,9 +130,22 @@ def test_simhash(odd, docs):
         assert collections.Counter((r[0], r[1], r[2]) for r in got) == brute_components(rows)
 
 
+def test_components_of_fingerprints_hold_their_roots(spark):
+    """The smallest fingerprint of a component has the component's smallest id too, whoever has that id."""
+    prints = [(5, 0), (2, 1), (9, 3), (7, 1 << 40), (1, 0b1111 << 20), (4, (0b1111 << 20) | 3), (8, -1), (6, -2), (8, 0b111111 << 50)]
+    got = {r["fp"]: r["component_id"] for r in simhash.fingerprint_components(spark.createDataFrame(prints, "id long, fp long")).collect()}
+    root = {fp: fp for _, fp in prints}
+    for _ in prints:
+        for _, a in prints:
+            for _, b in prints:
+                if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2:
+                    root[a] = root[b] = min(root[a], root[b])
+    assert got == {fp: min(i for i, other in prints if root[other] == root[fp]) for _, fp in prints}
+
+
 def test_long_paths_are_one_component(spark):
     links = spark.createDataFrame([(k + 1, k) for k in range(100)], "a long, b long")
-    assert {r["root"] for r in simhash.components(links).collect()} == {0}
+    assert {r["root"] for r in common.components(links).collect()} == {0}
 
 
 def test_one_of_each_group_stays(odd):

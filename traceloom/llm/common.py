@@ -48,7 +48,8 @@ def matched(rows: DataFrame, per_key: DataFrame, keys: list[str], n_col: str, ho
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Rows (node, root) of every node in a link (a, b); root is the smallest node reachable. Rounds of large and small stars.
+    """Rows (node, root) of every node in a link (a, b) but the roots: root is the smallest node reachable. Rounds of large
+    and small stars.
 
     A round costs two shuffles of the links and its result is written to the shared folder; the number of rounds grows
     with the logarithm of the longest path. Nodes with very many links are matched with their minima where they are.

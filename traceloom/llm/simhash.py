@@ -9,7 +9,7 @@ shuffled, each with the number of the bit that was flipped, which gives the fing
 variant exactly if they differ in at most 2 bits, so a bucket is a clique of at most 65 distinct fingerprints however many
 copies a text has; a bucket therefore emits links to its smallest member only (verified by the bits that differ), not all
 pairs. Components come from distributed min-label rounds (large star, small star) over the links, each round written to
-the shared folder; no links or fingerprints reach the driver.
+the shared folder, with nodes and roots of very many links matched where they are; no links or fingerprints reach the driver.
 
 Defined results: a null text counts as empty; rows with a null id get a fingerprint and the component of their
 fingerprint, null if no id belongs to it; rows that repeat an id with another text are fingerprints of their own; repeated
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
+from .common import components, matched, materialize
 
 _BLOCK = 1 << 16  # shingles hashed at a time, which bounds memory for very long texts
 
@@ -81,35 +81,15 @@ def ball_links(fps: DataFrame) -> DataFrame:
     return found.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Rows (node, root) of every node in a link; root is the smallest node reachable. Rounds of large and small stars.
-
-    A round costs two shuffles of the links; the number of rounds grows with the logarithm of the longest path. Minima
-    are aggregated before they are joined back, so a node with very many links is no single task's group.
-    """
-    edges = materialize(links, "links")
-    while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        after = materialize(small, "links")
-        sums = [e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for e in (edges, after)]
-        drop_table(edges)
-        edges = after
-        if tuple(sums[0]) == tuple(sums[1]):
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 def fingerprint_components(fps: DataFrame) -> DataFrame:
     """Rows (fp, component_id, n) of every distinct fingerprint of rows (id, fp): its component's smallest id, its rows."""
     reps = fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     roots = components(ball_links(reps.select("fp")))
-    linked = reps.join(roots, reps["fp"] == roots["node"])
-    least = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    labels = linked.join(least, "root").select("node", "least")
-    return reps.join(labels, reps["fp"] == labels["node"], "left").select("fp", F.coalesce("least", "rep").alias("component_id"), "n")
+    # A component's root is in no row of its own, so it is named here.
+    placed = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
+    placed = materialize(placed, "placed")
+    least = materialize(placed.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("size")), "least")
+    return matched(placed, least, ["root"], "size").select("fp", "component_id", "n")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, hot_share: int = 1000) -> DataFrame:
