@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,14 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     files.deleteOnExit(there)
 
 
-_MADE: list[str] = []  # folders of the tables made so far
+class _Made(threading.local):
+    """Folders of the tables that a thread has made so far, so that two pipelines in one driver do not meet."""
+
+    def __init__(self) -> None:
+        self.folders: list[str] = []
+
+
+_MADE = _Made()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -42,17 +50,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
     delete_at_exit(spark, path)
-    _MADE.append(path)
+    _MADE.folders.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def tables_made() -> int:
-    return len(_MADE)
+    """How many tables this thread has made."""
+    return len(_MADE.folders)
 
 
 def drop_between(spark: SparkSession, first: int, last: int) -> None:
-    """Deletes the tables made from the first on and before the last (numbers of tables_made()), which no plan needs any more."""
-    for path in _MADE[first:last]:
+    """Deletes this thread's tables from the first on and before the last (numbers of tables_made()), which no plan needs any more."""
+    for path in _MADE.folders[first:last]:
         files, there = _file_system(spark, path)
         files.delete(there, True)
 
