@@ -21,7 +21,7 @@ are connected already cannot change a component. Candidates pass the bounds of s
 parity bitmap of 256 bits (bits that differ are at most the symmetric difference), then, where they are pairs, one with
 two bits for every element; what is left is verified by the whole sets. No candidate is dropped without such a bound, so no link between different components is lost.
 
-Hot keys: lists, pivots and classes that hold more than one of 1,000 of all rows are fewer than 1,000; their side is
+Joins whose sides grow with the input are merge joins at every size. Hot keys: lists, pivots and classes that hold more than one of 1,000 of all rows are fewer than 1,000; their side is
 broadcast and the rows stay where they are (`matched`).
 
 Defined results: null texts and texts without words are empty sets, linked with nothing, whose component is their own id;
@@ -235,7 +235,7 @@ def _screened(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     for side in "ab":
         degree = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("degree"))
         of = classes.select(F.col("key").alias(side), F.col("n").alias(f"n_{side}"), F.col("long_bits").alias(f"bits_{side}"))
-        out = matched(out, materialize(degree.join(of, side), "bitmaps"), [side], "degree")
+        out = matched(out, materialize(of.join(degree.hint("merge"), side), "bitmaps"), [side], "degree")
     half = lambda x: F.zip_with(F.slice(x, F.lit(1), (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2 + 1).cast("int"), (F.size(x) / 2).cast("int")), lambda p, q: p.bitwiseXOR(q))
     fit = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(x)
     differ = F.aggregate(F.zip_with(fit(F.col("bits_a"), F.col("bits_b")), fit(F.col("bits_b"), F.col("bits_a")), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, x: a + x)
@@ -256,7 +256,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
 
     pairs = materialize(_screened(pairs, classes, percent), "screened")
     sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("key"))
-    degrees = materialize(sides.groupBy("key").agg(F.count(F.lit(1)).alias("degree")).join(classes.select("key", "handle"), "key"), "degrees")
+    degrees = materialize(sides.groupBy("key").agg(F.count(F.lit(1)).alias("degree")).join(classes.select("key", "handle").hint("merge"), "key"), "degrees")
     # A written table, so it is broadcast where it is small and else the texts are dealt by their ids.
     asked = materialize(matched(sides, degrees, ["key"], "degree").select(F.col("handle.id").alias("of"), F.col("handle.hash").alias("hash"), "key", "a", "b"), "sides")
     texts = rows.join(asked, (rows["hash"] == asked["hash"]) & rows["id"].eqNullSafe(asked["of"])).select("a", "b", "key", "text")
@@ -280,7 +280,8 @@ def linked_sets(rows: DataFrame, classes: DataFrame, place: np.ndarray, width: i
     members = materialize(members, "members")
     drop_table(postings)
     bounds = _may_link(percent, boundary)
-    heads = materialize(members.where("key = pivot").join(members.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("size")), ["kind", "token"]).select("kind", "token", F.struct("key", "n", "pos", "bits", "kind").alias("p"), "size"), "heads")
+    sizes = members.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("size")).hint("merge")
+    heads = materialize(members.where("key = pivot").join(sizes, ["kind", "token"]).select("kind", "token", F.struct("key", "n", "pos", "bits", "kind").alias("p"), "size"), "heads")
     member = F.struct("key", "n", "pos", "bits", "kind").alias("q")
     ordered = lambda df: df.select(F.least("p.key", "q.key").alias("a"), F.greatest("p.key", "q.key").alias("b"))
     with_head = matched(members.where("key <> pivot").select("kind", "token", member), heads, ["kind", "token"], "size").where(bounds)
