@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,24 +69,29 @@ def export_xlsx(df: DataFrame, path: str, sheet_rows: int = SHEET_ROWS) -> int:
 def report_html(df: DataFrame, bookmarks: DataFrame, tags: DataFrame, ts_col: str, id_col: str = "_rowid", limit: int = 5000, verdicts: DataFrame | None = None) -> str:
     """Totals, span, tag counts, the bookmarked rows and the rows of each tag, without columns that are empty there.
 
-    A section shows its first `limit` rows and says how many it has. verdicts: (ioc, verdict, score), the worst first.
+    A section shows its first `limit` rows and says how many it has; all sections come from one join with the marks. verdicts: (ioc, verdict, score), the worst first.
     """
+    tags = tags.where("tag IS NOT NULL")
     totals = df.agg(F.count(F.lit(1)).alias("n"), F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi")).first()
     counts = [(r["tag"], r["count"]) for r in tags.groupBy("tag").count().orderBy("tag").collect()]
     esc = lambda v: html.escape("" if v is None else str(v))
-
-    def section(title: str, ids: DataFrame) -> str:
-        found = df.join(ids.select(F.col("rowid").alias(id_col)).distinct(), id_col, "left_semi")
-        rows = found.orderBy(ts_col, id_col).limit(limit + 1).collect()
-        count = found.count() if len(rows) > limit else len(rows)
-        rows = rows[:limit]
+    # All sections from one join: a section is null for the bookmarks, else its tag.
+    marks = bookmarks.select("rowid", F.lit(None).cast("string").alias("__tag")).unionByName(tags.select("rowid", F.col("tag").alias("__tag"))).distinct()
+    marked = df.join(marks.withColumnRenamed("rowid", id_col), id_col)
+    sizes = {r["__tag"]: r["n"] for r in marked.groupBy("__tag").agg(F.count(F.lit(1)).alias("n")).collect()}
+    place = F.row_number().over(Window.partitionBy("__tag").orderBy(ts_col, id_col))
+    first = marked.withColumn("__place", place).where(F.col("__place") <= limit).orderBy("__tag", "__place").collect()
+    by_tag = {tag: list(rows) for tag, rows in itertools.groupby(first, key=lambda r: r["__tag"])}
+
+    def section(title: str, tag: str | None) -> str:
+        rows, count = by_tag.get(tag, []), sizes.get(tag, 0)
         names = [c for c in df.columns if any(r[c] not in (None, "") for r in rows)]
         body = "".join("<tr>" + "".join(f"<td>{esc(r[c])}</td>" for c in names) + "</tr>" for r in rows)
         shown = f"{count}" if count == len(rows) else f"first {len(rows)} of {count}"
         return f"<h2>{esc(title)} ({shown})</h2><table><tr>{''.join(f'<th>{esc(c)}</th>' for c in names)}</tr>{body}</table>"
 
-    parts = [f"<p>{totals['n']} rows, {bookmarks.count()} bookmarked, {esc(totals['lo'])} to {esc(totals['hi'])}</p>", "<ul>" + "".join(f"<li>{esc(t)}: {n}</li>" for t, n in counts) + "</ul>", section("Bookmarked", bookmarks)]
-    parts += [section(t, tags.where(F.col("tag") == t)) for t, _ in counts]
+    parts = [f"<p>{totals['n']} rows, {bookmarks.count()} bookmarked, {esc(totals['lo'])} to {esc(totals['hi'])}</p>", "<ul>" + "".join(f"<li>{esc(t)}: {n}</li>" for t, n in counts) + "</ul>", section("Bookmarked", None)]
+    parts += [section(t, t) for t, _ in counts]
     if verdicts is not None:
         rank = F.expr("array_position(array('malicious', 'suspicious', 'clean'), verdict)")
         listed = verdicts.orderBy(F.when(rank == 0, 4).otherwise(rank), F.desc("score"), "ioc").limit(limit).collect()
