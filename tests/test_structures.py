@@ -237,3 +237,19 @@ def test_late_rows_of_a_stream_are_counted(spark, tmp_path):
             assert sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"]) == 1
     got = spark.read.parquet(str(tmp_path / "out")).where("target = 'T'").collect()
     assert [(r["n"], r["status"]) for r in got] == [(2, "ENDED")]
+
+
+def test_saved_paths_follow_a_changed_file_table(spark):
+    from traceloom.operators import ntfs
+
+    rows = [(k, 100 + k, 1, random.Random(k).choice([5, 900, 901, 902, 903]), 1, f"f{k}", k % 7 == 0) for k in range(200)]
+    rows += [(1000 + k, 5000 + k, 1, 100 + 7 * (k % 20), 1, f"g{k}", False) for k in range(60)]
+    records = spark.createDataFrame(rows, "usn long, entry long, seq int, parent_entry long, parent_seq int, name string, is_dir boolean")
+    table = lambda *rows: spark.createDataFrame(list(rows), "entry long, parent long, name string")
+    steps = [None, table((900, 5, "a"), (901, 900, "b")), table((900, 5, "c"), (901, 900, "b"), (902, 5, "d")), table((902, 5, "d"))]
+    saved = ntfs.saved_paths(records)
+    for before, after in itertools.pairwise(steps):
+        saved = ntfs.refresh_paths(saved, ntfs.path_changes(before, after))
+        want = {r["usn"]: r["parent_path"] for r in ntfs.journal_paths(records, after).collect()}
+        assert {r["usn"]: r["parent_path"] for r in saved.collect()} == want
+    assert {r["entry"] for r in ntfs.path_changes(steps[1], steps[2]).collect()} == {900, 901, 902}

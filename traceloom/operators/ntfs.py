@@ -58,11 +58,12 @@ def journal_parents(records: DataFrame) -> DataFrame:
     return _linked(records).drop("parent_usn")
 
 
-def journal_paths(records: DataFrame, mft: DataFrame | None = None) -> DataFrame:
-    """records with parent_path: the whole path of each record's folder, from the journal's directory records.
+def saved_paths(records: DataFrame, mft: DataFrame | None = None) -> DataFrame:
+    """records with parent_path, the whole path of each record's folder, and what it is made of: `names`, the folders that the
+    journal's directory records give, and `above`, the entry over the first of them.
 
-    Where those end below the root, the path of the folder that is left is taken from mft, the file table's (entry,
-    parent, name), if there is one; else it is `.\\[ORPHAN]`. The chain of folders comes from pointer doubling.
+    Where the journal's folders end below the root, the path of the folder that is left is taken from mft, the file
+    table's (entry, parent, name), if there is one; else it is `.\\[ORPHAN]`. The chain of folders comes from pointer doubling.
     """
     linked = materialize(_linked(records), "linked")
     dirs = linked.where("is_dir").select("usn", "parent_usn", "parent_entry", "name")
@@ -77,9 +78,38 @@ def journal_paths(records: DataFrame, mft: DataFrame | None = None) -> DataFrame
         out = out.join(paths, "above", "left")
     else:
         out = out.withColumn("table_path", F.lit(None).cast("string"))
+    return out.withColumn("parent_path", _folder_path()).select(*records.columns, "parent_path", "names", "above")
+
+
+def _folder_path() -> Column:
     start = F.when(F.col("above") == ROOT, F.lit(".")).otherwise(F.coalesce("table_path", F.lit(".\\[ORPHAN]")))
-    path = F.array_join(F.concat(F.array(start), F.coalesce("names", F.array().cast("array<string>"))), "\\")
-    return out.withColumn("parent_path", path).select(*records.columns, "parent_path")
+    return F.array_join(F.concat(F.array(start), F.coalesce("names", F.array().cast("array<string>"))), "\\")
+
+
+def journal_paths(records: DataFrame, mft: DataFrame | None = None) -> DataFrame:
+    """records with parent_path; see saved_paths()."""
+    return saved_paths(records, mft).select(*records.columns, "parent_path")
+
+
+def path_changes(before: DataFrame | None, after: DataFrame) -> DataFrame:
+    """(entry, path) of the folders whose path a newer file table gives anew or otherwise, or no longer (null)."""
+    new = parent_paths(after).select("entry", "path")
+    if before is None:
+        return new.where(F.col("entry") != ROOT)
+    old = parent_paths(before).select(F.col("entry").alias("old_entry"), F.col("path").alias("old_path"))
+    both = new.join(old, new["entry"] == old["old_entry"], "full")
+    return both.where(~F.col("path").eqNullSafe(F.col("old_path"))).select(F.coalesce("entry", "old_entry").alias("entry"), "path")
+
+
+def refresh_paths(saved: DataFrame, changes: DataFrame) -> DataFrame:
+    """Saved paths (saved_paths()) after a change of the file table: only rows under its changed folders are made again.
+
+    The journal's own folders are not resolved again; a longer journal is a new run of saved_paths().
+    """
+    moved = changes.select(F.col("entry").alias("above"), F.col("path").alias("table_path"))
+    touched = saved.join(moved, "above").where(F.col("above") != ROOT).withColumn("parent_path", _folder_path())
+    kept = saved.join(moved.where(F.col("above") != ROOT).select("above"), "above", "left_anti")
+    return kept.select(*saved.columns).unionByName(touched.select(*saved.columns))
 
 
 TIMES = ("created", "modified", "changed", "accessed")

@@ -385,16 +385,31 @@ def stream_kinds(spark, d):
     return ntfs.stream_findings(read(spark, d, "events").select(F.col("event_id").alias("entry"), stream.alias("stream"), F.when(k == 2, "MZ\u0090").otherwise("text").alias("content"))).select("entry", "kind")
 
 
-@query("""SELECT event_id AS usn, CASE WHEN event_id % 10 = 9 THEN '.\\table' WHEN event_id % 10 = 8 THEN '.\\[ORPHAN]' WHEN event_id % 10 = 0 THEN '.' ELSE '.\\d' || event_id // 10 END AS parent_path FROM events""")
-def journal_paths(spark, d):
-    """Every tenth record creates a folder that the next seven name; the file table knows one folder more."""
+_JOURNAL_PATHS = """SELECT event_id AS usn, CASE WHEN event_id % 10 = 9 THEN '.\\table' WHEN event_id % 10 = 8 THEN '.\\[ORPHAN]' WHEN event_id % 10 = 0 THEN '.' ELSE '.\\d' || event_id // 10 END AS parent_path FROM events"""
+
+
+def _journal(spark, d):
     k = F.col("event_id")
     tens = F.floor(k / 10)
     folder = (tens + 1000).cast("long")
     parent = F.when(k % 10 == 0, F.lit(5)).when(k % 10 == 9, F.lit(900)).when(k % 10 == 8, F.lit(901)).otherwise(folder)
     name = F.when(k % 10 == 0, F.concat(F.lit("d"), tens.cast("string"))).otherwise(F.lit("f.txt"))
-    rows = read(spark, d, "events").select(k.alias("usn"), F.when(k % 10 == 0, folder).otherwise(k + 10_000_000).alias("entry"), F.lit(1).alias("seq"), parent.cast("long").alias("parent_entry"), F.lit(1).alias("parent_seq"), name.alias("name"), (k % 10 == 0).alias("is_dir"))
-    return ntfs.journal_paths(rows, spark.createDataFrame([(900, 5, "table")], "entry long, parent long, name string")).select("usn", "parent_path")
+    return read(spark, d, "events").select(k.alias("usn"), F.when(k % 10 == 0, folder).otherwise(k + 10_000_000).alias("entry"), F.lit(1).alias("seq"), parent.cast("long").alias("parent_entry"), F.lit(1).alias("parent_seq"), name.alias("name"), (k % 10 == 0).alias("is_dir"))
+
+
+@query(_JOURNAL_PATHS)
+def journal_paths(spark, d):
+    """Every tenth record creates a folder that the next seven name; the file table knows one folder more."""
+    return ntfs.journal_paths(_journal(spark, d), spark.createDataFrame([(900, 5, "table")], "entry long, parent long, name string")).select("usn", "parent_path")
+
+
+@query(_JOURNAL_PATHS)
+def journal_paths_refreshed(spark, d):
+    """The same where the file table comes later: once with a folder too many and one misnamed, then as it is."""
+    table = lambda *rows: spark.createDataFrame(list(rows), "entry long, parent long, name string")
+    first, then = table((900, 5, "old"), (901, 5, "gone")), table((900, 5, "table"))
+    saved = ntfs.refresh_paths(ntfs.saved_paths(_journal(spark, d)), ntfs.path_changes(None, first))
+    return ntfs.refresh_paths(saved, ntfs.path_changes(first, then)).select("usn", "parent_path")
 
 
 @query("SELECT c_custkey + 100 AS entry, '.' || (SELECT string_agg('\\d' || x, '' ORDER BY x) FROM range(c_custkey - c_custkey % 100, c_custkey + 1) r(x)) AS path FROM customer UNION ALL SELECT 5, '.'")
