@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +26,17 @@ class SortedTable:
     path: str
     keys: tuple[str, ...]
 
+    @cached_property
+    def _read(self) -> tuple[DataFrame, DataFrame]:
+        """The plans that read bounds and rows; files are looked at for their columns once."""
+        return tuple(self.spark.read.parquet(f"{self.path}/{part}") for part in ("bounds", "rows"))
+
     def bounds(self) -> DataFrame:
         """(file, lo, hi, n): a row for each file; lo and hi are structs of the keys."""
-        return self.spark.read.parquet(f"{self.path}/bounds")
+        return self._read[0]
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rows")
+        return self._read[1]
 
     def _files(self, found: DataFrame) -> DataFrame:
         """The rows of some files; their names come to the driver, so they are few or the whole table is read."""
