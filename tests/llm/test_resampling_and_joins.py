@@ -158,6 +158,25 @@ def test_jaccard_join_at_other_thresholds(spark, families):
     assert jaccard.near_copies(families.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [160])
+def test_copies_just_outside_the_threshold_are_not_paired_with_each_other(spark, monkeypatch, size):
+    """Copies of one text with few to many edits: most differ from each other by more than a link allows, none is lost."""
+    rng, base = np.random.default_rng(5), [f"b{k}" for k in range(size)]
+    rows = [(0, " ".join(base)), *((k, " ".join(edited(rng, base, int(rng.integers(size // 75, size // 20 + 1))))) for k in range(1, 160))]
+    seen, write = [], jaccard.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        seen.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    got = collections.Counter(map(tuple, jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute_copies(rows)
+    assert len({c for _, _, c in got}) > 10  # not one component
+    assert sum(n for name, n in seen if name == "candidates") < 6 * len(rows)  # 805 as measured
+
+
 def test_bounds_of_sizes():
     for percent in (70, 80, 90, 95, 100):
         for n in range(1, 60):
