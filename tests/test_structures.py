@@ -253,3 +253,21 @@ def test_saved_paths_follow_a_changed_file_table(spark):
         want = {r["usn"]: r["parent_path"] for r in ntfs.journal_paths(records, after).collect()}
         assert {r["usn"]: r["parent_path"] for r in saved.collect()} == want
     assert {r["entry"] for r in ntfs.path_changes(steps[1], steps[2]).collect()} == {900, 901, 902}
+
+
+def test_journal_links_of_folders_with_many_records(spark):
+    """Folders of one, several or no directory record, in several slots of the journal, against a plain search; no window reads ahead."""
+    from traceloom.operators import ntfs
+
+    draw = random.Random(8)
+    usns = sorted(draw.sample(range(1 << 23), 600))
+    rows = [(u, draw.choice([5, *range(40, 52)]), 1, draw.choice([5, 5, 5, *range(40, 60)]), draw.choice([1, 1, 2]), f"n{u}", draw.random() < 0.1) for u in usns]
+    rows += [(u + (1 << 24), 70, 1, 5, 1, f"n{u}", True) for u in usns[:1]] + [(1 << 25, 71, 1, 70, 1, "f", False)]
+    records = spark.createDataFrame(rows, "usn long, entry long, seq int, parent_entry long, parent_seq int, name string, is_dir boolean")
+    want = {}
+    for u, _, _, k, s, _, _ in rows:
+        named = sorted((r[0], r[5]) for r in rows if r[6] and r[1:3] == (k, s))
+        want[u] = ([n for at, n in named if at <= u][-1:] or [n for _, n in named][:1] or [None])[0]
+    linked = ntfs.journal_parents(records)
+    assert {r["usn"]: r["parent_name"] for r in linked.collect()} == want and linked.count() == len(rows)
+    assert "unboundedfollowing" not in plan(linked).lower()

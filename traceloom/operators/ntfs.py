@@ -11,6 +11,7 @@ from ..functions.text import entropy, extension
 from ..functions.timestamps import zero_subsecond
 from ..storage import materialize
 from .process import ancestors
+from .temporal import carried
 
 ROOT = 5
 EXECUTABLE = (".exe", ".dll", ".sys", ".ps1", ".bat", ".vbs", ".js", ".scr")
@@ -35,25 +36,33 @@ def parent_paths(entries: DataFrame) -> DataFrame:
     return whole.unionByName(asked.where(F.col("entry") == ROOT).select("entry", F.lit(".").alias("path")))
 
 
+_SLOT = 1 << 20  # bytes of a journal, and so at most as many records, whose links one task looks up
+
+
 def _linked(records: DataFrame) -> DataFrame:
     """records with parent_usn and parent_name: the directory record that names each record's parent.
 
     That is the latest one of the parent's entry and sequence at or before the record, else the first one after it.
+    Most folders have one directory record or none, so a join is enough, however many records name the folder; those
+    with several take the latest one from values that are carried over slots of the journal.
     """
-    dirs = records.where("is_dir").select(F.col("entry").alias("k"), F.col("seq").alias("s"), "usn", F.struct(F.col("usn").alias("u"), F.col("name").alias("n")).alias("found"), F.lit(0).alias("kind"))
-    asks = records.select(F.col("parent_entry").alias("k"), F.col("parent_seq").alias("s"), "usn", F.lit(None).cast(dirs.schema["found"].dataType).alias("found"), F.lit(1).alias("kind"))
-    order = Window.partitionBy("k", "s").orderBy("usn", "kind")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    link = F.coalesce(F.last("found", ignorenulls=True).over(back), F.first("found", ignorenulls=True).over(ahead))
-    found = dirs.unionByName(asks).withColumn("link", link).where("kind = 1").select("usn", F.col("link.u").alias("parent_usn"), F.col("link.n").alias("parent_name"))
-    return records.join(found, "usn", "left")
+    found = F.struct(F.col("usn").alias("u"), F.col("name").alias("n"))
+    dirs = records.where("is_dir").select(F.col("entry").alias("__k"), F.col("seq").alias("__s"), "usn", found.alias("__found"))
+    per = dirs.groupBy("__k", "__s").agg(F.min_by("__found", "usn").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    named = records.join(per, (F.col("parent_entry") == F.col("__k")) & (F.col("parent_seq") == F.col("__s")), "left")
+    several = named.where("__n > 1").withColumn("__kind", F.lit(1))
+    changes = dirs.join(per.where("__n > 1").select("__k", "__s"), ["__k", "__s"]).withColumn("__kind", F.lit(0))
+    both = several.unionByName(changes, allowMissingColumns=True)
+    latest = carried(both, ["__k", "__s"], ["usn", "__kind"], "usn", {"__latest": F.col("__found")}, slot=F.floor(F.col("usn") / _SLOT)).where("__kind = 1")
+    shown = lambda df, link: df.select(*records.columns, link["u"].alias("parent_usn"), link["n"].alias("parent_name"))
+    return shown(named.where("__n IS NULL OR __n = 1"), F.col("__first")).unionByName(shown(latest, F.coalesce("__latest", "__first")))
 
 
 def journal_parents(records: DataFrame) -> DataFrame:
     """records with parent_name: the name of each record's folder as the journal has it.
 
     records: (usn, entry, seq, parent_entry, parent_seq, name, is_dir). Reallocated entries have another sequence, so a
-    deleted folder still resolves; a union and one window replace the walk through the journal in reverse order.
+    deleted folder still resolves; joins and values carried in order replace the walk through the journal in reverse order.
     """
     return _linked(records).drop("parent_usn")
 

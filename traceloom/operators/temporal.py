@@ -135,15 +135,15 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts_col: str, value
     return both.withColumn(out, F.last("__value", ignorenulls=True).over(before)).where("__kind = 1").drop("__kind", "__value")
 
 
-def carried(df: DataFrame, keys: list[str], order: list[str], ts_col: str, last: dict[str, Column] | None = None, sums: dict[str, Column] | None = None, slot_seconds: int = 3600) -> DataFrame:
+def carried(df: DataFrame, keys: list[str], order: list[str], ts_col: str, last: dict[str, Column] | None = None, sums: dict[str, Column] | None = None, slot_seconds: int = 3600, slot: Column | None = None) -> DataFrame:
     """df with running values of each key, in order: `last`, the last non-null value before a row; `sums`, the sum up to it.
 
     A key with very many rows is several tasks: rows are dealt to slots of time, each slot leaves one row with its own last
     values and sums, those rows give every slot what it starts with, and windows run inside slots only. order starts with
-    the time. The rows are written once.
+    the time, or with what `slot`, a number that rises with the order, is made of. The rows are written once.
     """
     last, sums = last or {}, sums or {}
-    slot = F.coalesce(F.floor(seconds(col(ts_col)) / slot_seconds), F.lit(-(1 << 62)))
+    slot = F.coalesce(F.floor(seconds(col(ts_col)) / slot_seconds) if slot is None else slot, F.lit(-(1 << 62)))
     kept = {f"__{n}": v for n, v in (last | sums).items()}
     rows = materialize(df.withColumns({"__slot": slot} | kept), "carried")
     place = F.struct(*[col(c) for c in order])
