@@ -271,3 +271,18 @@ def test_journal_links_of_folders_with_many_records(spark):
     linked = ntfs.journal_parents(records)
     assert {r["usn"]: r["parent_name"] for r in linked.collect()} == want and linked.count() == len(rows)
     assert "unboundedfollowing" not in plan(linked).lower()
+
+
+@pytest.mark.parametrize("later", [False, True])
+def test_paths_of_a_folder_with_very_many_records(spark, monkeypatch, later):
+    """Records in the root and in a folder that only the table knows are linked without a window that reads ahead of each of them."""
+    from traceloom.operators import ntfs
+
+    written = []
+    monkeypatch.setattr(ntfs, "materialize", lambda df, name, to=ntfs.materialize: written.append(plan(df)) or to(df, name))
+    k = F.col("id")
+    records = spark.range(2000).select(k.alias("usn"), (k + 1000).alias("entry"), F.lit(1).alias("seq"), F.when(k % 2 == 0, 5).otherwise(900).cast("long").alias("parent_entry"), F.lit(1).alias("parent_seq"), F.lit("f").alias("name"), F.lit(False).alias("is_dir"))
+    table = spark.createDataFrame([(900, 5, "t")], "entry long, parent long, name string")
+    found = ntfs.refresh_paths(ntfs.saved_paths(records), ntfs.path_changes(None, table)) if later else ntfs.journal_paths(records, table)
+    assert {(r["parent_path"], r["count"]) for r in found.groupBy("parent_path").count().collect()} == {(".", 1000), (".\\t", 1000)}
+    assert written and not any("unboundedfollowing" in x.lower() for x in written)
