@@ -286,3 +286,66 @@ def test_paths_of_a_folder_with_very_many_records(spark, monkeypatch, later):
     found = ntfs.refresh_paths(ntfs.saved_paths(records), ntfs.path_changes(None, table)) if later else ntfs.journal_paths(records, table)
     assert {(r["parent_path"], r["count"]) for r in found.groupBy("parent_path").count().collect()} == {(".", 1000), (".\\t", 1000)}
     assert written and not any("unboundedfollowing" in x.lower() for x in written)
+
+
+class Held:
+    """A state of any kind, and the timers, as a stateful processor sees them."""
+
+    def __init__(self):
+        self.kept, self.timers = {}, set()
+        self.getListState = self.getMapState = self.getValueState = lambda *a: Held()
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+
+    def get(self):
+        return self.kept.get(None)
+
+    def update(self, value):
+        self.kept[None] = value
+
+    put = update
+
+    def clear(self):
+        self.kept.clear()
+
+    def appendList(self, rows):
+        self.kept[None] = [*self.kept.get(None, []), *rows]
+
+    def getValue(self, key):
+        return self.kept.get(key)
+
+    def updateValue(self, key, value):
+        self.kept[key] = value
+
+    def removeKey(self, key):
+        del self.kept[key]
+
+    def keys(self):
+        return iter(list(self.kept))
+
+
+@pytest.mark.parametrize("steps", [[10**9], [2000, 2001, 5500, 9000, 9001, 10**9]])
+def test_a_key_of_a_stream_has_one_timer(steps):
+    """Thousands of events of a key wake it up once a watermark, not once an event, and give the same sessions."""
+    import pandas as pd
+
+    from traceloom.streaming.sessions import RemoteSessions
+
+    draw, processor, held = random.Random(5), RemoteSessions(1000), Held()
+    rows = [(s * 4_000_000 // 3, draw.choice((4624, 21, 23, 24, 4672)), draw.choice("AB"), draw.choice(("1", None))) for s in range(9000)]
+    processor.init(held)
+    for part in (rows[1::2], rows[::2]):
+        list(processor.handleInputRows(("T", "u"), iter([pd.DataFrame(part, columns=["at", "event_id", "source", "session_id"])]), None))
+    given, woken = [], 0
+    for second in steps:
+        class Now:
+            getCurrentWatermarkInMs = staticmethod(lambda s=second: s * 1000)
+
+        while due := sorted(t for t in held.timers if t <= second * 1000):
+            woken += 1
+            given += [r for pdf in processor.handleExpiredTimer(("T", "u"), Now, None) for r in pdf.itertuples(index=False)]
+            held.timers.discard(due[0])
+    state, want = dict.fromkeys(c.split()[0] for c in processor.STATE.split(", ")) | {"n": 0, "ids": "", "admin": False}, []
+    for e in rows:
+        processor._take(state, e, ("T", "u"), want)
+    want.append(processor._given(state, ("T", "u")))
+    assert [tuple(g) for g in given] == want and sum(g.n for g in given) == 9000 and woken <= len(steps) and not held.timers

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,50 +39,87 @@ def status_of(ids: set[int], n: int) -> str:
 class RemoteSessions(StatefulProcessor):
     """The sessions of one (target, user), event by event in the order of time; see rdp_sessions() for the rules.
 
-    Events wait until the watermark has passed them, so they are taken in order. A session is given when the next one
-    begins, or when nothing has come for `idle_seconds`; what the rules look back to stays.
+    Events wait until the watermark has passed them, so they are taken in order. They wait in parts, by hours of their time,
+    and a key has one timer, that of its next event or of its session's end; so an event is written and read once or twice,
+    and a task holds an hour of a key at a time. A session is given when the next one begins, or when nothing has come for
+    `idle_seconds`; what the rules look back to stays.
     """
 
-    EVENT = "ts long, event_id int, source string, session_id string"
     STATE = "opened long, closed long, last_source string, last_ts long, current string, ids string, n long, first_ts long, source string, session_id string, admin boolean"
+    HOUR = 3_600_000_000
 
     def __init__(self, idle_seconds: int = 86_400):
         self.idle = idle_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.EVENT)
+        self.waiting = handle.getMapState("parts", "hour long, part long", "events string")
+        self.parts = handle.getValueState("parts_made", "n long")
+        self.timer = handle.getValueState("timer", "at long")
         self.state = handle.getValueState("state", self.STATE)
 
+    def _wait(self, events: list[tuple]) -> None:
+        """Writes (ts, event_id, source, session_id) to their hours, each as a new part, and sees to it that the key wakes up."""
+        hours, made = defaultdict(list), (self.parts.get() or (0,))[0]
+        for e in events:
+            hours[e[0] // self.HOUR].append(e)
+        for hour, some in hours.items():
+            self.waiting.updateValue((hour, made), (json.dumps(some),))
+            made += 1
+        self.parts.update((made,))
+        self._wake(min(e[0] for e in events) // 1000)
+
+    def _wake(self, at: int) -> None:
+        known = self.timer.get()
+        if known is None or at < known[0]:
+            if known is not None:
+                self.handle.deleteTimer(known[0])
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         none = lambda v: None if pd.isna(v) else v
-        found = [(int(r.at), int(r.event_id), none(r.source), none(r.session_id)) for pdf in rows for r in pdf.itertuples(index=False)]
-        self.waiting.appendList(found)
-        for at in {r[0] // 1000 for r in found}:
-            self.handle.registerTimer(at)
+        for pdf in rows:
+            if len(pdf):
+                self._wait([(int(r.at), int(r.event_id), none(r.source), none(r.session_id)) for r in pdf.itertuples(index=False)])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()  # nothing up to it is still to come
-        waiting = list(self.waiting.get())
-        due = sorted(r for r in map(tuple, waiting) if r[0] // 1000 <= now) if waiting else []
-        if due:
-            later = [r for r in map(tuple, waiting) if r[0] // 1000 > now]
-            self.waiting.put(later) if later else self.waiting.clear()
+        self.timer.clear()
         state = self.state.get()
         names = [c.split()[0] for c in self.STATE.split(", ")]
         s = dict(zip(names, state, strict=True)) if state is not None else dict.fromkeys(names) | {"n": 0, "ids": "", "admin": False}
-        out = []
-        for event in due:
-            self._take(s, event, key, out)
+        hours = defaultdict(list)
+        for hour, part in list(self.waiting.keys()):
+            hours[hour].append((hour, part))
+        for hour in sorted(hours):
+            if hour * self.HOUR // 1000 > now:
+                self._wake(hour * self.HOUR // 1000)
+                break
+            events = [tuple(e) for part in hours[hour] for e in json.loads(self.waiting.getValue(part)[0])]
+            later = [e for e in events if e[0] // 1000 > now]
+            if len(later) < len(events):
+                for part in hours[hour]:
+                    self.waiting.removeKey(part)
+                if later:
+                    self._wait(later)
+            elif later:
+                self._wake(min(e[0] for e in later) // 1000)
+            out: list[tuple] = []
+            for event in sorted((e for e in events if e[0] // 1000 <= now), key=lambda e: (e[0], e[1], e[2] or "", e[3] or "")):
+                self._take(s, event, key, out)
+            if out:
+                yield self._frame(out)
         if s["n"] and s["last_ts"] + self.idle <= now * 1000:
-            out.append(self._given(s, key))
+            yield self._frame([self._given(s, key)])
             s |= {"n": 0, "ids": "", "first_ts": None, "source": None, "session_id": None, "admin": False}
         elif s["n"]:
-            self.handle.registerTimer((s["last_ts"] + self.idle) // 1000 + 1)
+            self._wake((s["last_ts"] + self.idle) // 1000 + 1)
         self.state.update(tuple(s[c] for c in names))
-        if out:
-            yield pd.DataFrame(out, columns=["target", "user", "source", "session_id", "first_ts", "last_ts", "n", "status", "admin", "reconnect"])
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["target", "user", "source", "session_id", "first_ts", "last_ts", "n", "status", "admin", "reconnect"])
 
     def _take(self, s: dict, event: tuple, key: tuple, out: list) -> None:
         ts, event_id, source, session_id = event
