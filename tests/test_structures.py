@@ -349,3 +349,19 @@ def test_a_key_of_a_stream_has_one_timer(steps):
         processor._take(state, e, ("T", "u"), want)
     want.append(processor._given(state, ("T", "u")))
     assert [tuple(g) for g in given] == want and sum(g.n for g in given) == 9000 and woken <= len(steps) and not held.timers
+
+
+@pytest.mark.parametrize("cyclic", [False, True])
+def test_depths_without_lists(spark, monkeypatch, cyclic):
+    """Chains, bushy trees, missing parents and cycles have the depth and root that lists of ancestors give; trees need no list."""
+    draw = random.Random(3)
+    edges = [(k, k - 1 if k % 300 else None) for k in range(600)] + [(1000 + k, 1000 + draw.randrange(k) if k else None) for k in range(200)] + [(2000, 7777), (2001, 2000)]
+    if cyclic:
+        edges += [(3000 + k, 3000 + (k + 1) % 7) for k in range(7)] + [(3100, 3003), (3101, 3100), (3200, 3200), (3201, 3200)]
+    table = spark.createDataFrame(edges, "id long, parent_id long")
+    shown = lambda df: sorted(tuple(r) for r in df.select("id", "depth", "root").collect())
+    want = shown(process.ancestors(table))
+    widths = []
+    monkeypatch.setattr(process, "materialize", lambda df, name, to=process.materialize: widths.append("array" in str(dict(df.dtypes))) or to(df, name))
+    assert shown(process.depths(table)) == want and len(want) == len(edges) and any(widths) == cyclic and len(widths) > 5
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import drop_table, materialize
+from ..storage import drop_table, materialize, shuffles_dropped
 from .chain_rules import rules as chain_pairs
 
 # Patterns on command lines, paths and process names.
@@ -93,6 +93,31 @@ def ancestors(edges: DataFrame) -> DataFrame:
     return state.select("id", depth.alias("depth"), F.when(depth > 0, F.element_at("path", -1)).otherwise(F.col("id")).alias("root"), F.col("path").alias("ancestors"))
 
 
+def depths(edges: DataFrame) -> DataFrame:
+    """(id, depth, root) of every node of (id, parent_id), as ancestors() has them, without the lists of ancestors.
+
+    Pointer doubling on numbers: a row says which ancestor it has come to in how many steps, so a table of a round has a row
+    a node however deep the trees are. Every round ends some node of a tree; what is left when one ends none leads into
+    cycles, and its ancestors are listed.
+    """
+    spark, parent = edges.sparkSession, F.col("parent_id")
+    state = materialize(edges.select("id", F.coalesce(parent, "id").alias("at"), parent.isNotNull().cast("long").alias("steps"), parent.isNull().alias("done")), "depths")
+    left, last = state.where("NOT done").count(), -1
+    with shuffles_dropped(spark):
+        while left not in (0, last):
+            up = state.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("done").alias("ends"))
+            joined = state.where("NOT done").join(up, "at", "left")  # an ancestor that is no node is the last one
+            moved = joined.select("id", F.coalesce("next", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("ends", F.lit(True)).alias("done"))
+            before, state = state, materialize(state.where("done").unionByName(moved), "depths")
+            drop_table(before)
+            left, last = state.where("NOT done").count(), left
+    found = state.where("done").select("id", F.col("steps").cast("int").alias("depth"), F.col("at").alias("root"))
+    if left:
+        cyclic = edges.join(state.where("NOT done").select("id"), "id").select("id", "parent_id")
+        found = found.unionByName(ancestors(cyclic).select("id", "depth", "root"))
+    return found
+
+
 def chain_rule_table(rules: DataFrame) -> DataFrame:
     """One row per (parent, child) without .exe: the highest level, the first of equal ones; techniques taken from the text.
 

@@ -128,7 +128,7 @@ def process_links(spark, d):
 
 @query(f"WITH RECURSIVE {_PROC}, w AS (SELECT id, 0 AS depth, id AS root FROM l WHERE parent_id IS NULL UNION ALL SELECT l.id, w.depth + 1, w.root FROM l JOIN w ON l.parent_id = w.id) SELECT id, CAST(depth AS INTEGER) AS depth, root FROM w")
 def process_trees(spark, d):
-    return process.ancestors(process.link_parents(_processes(spark, d)).select("id", "parent_id")).select("id", "depth", "root")
+    return process.depths(process.link_parents(_processes(spark, d)).select("id", "parent_id"))
 
 
 @query("SELECT c_custkey AS id, CAST(c_custkey AS INTEGER) % 150 AS depth, c_custkey - c_custkey % 150 AS root FROM customer")
