@@ -264,3 +264,19 @@ def test_unsupported(spark, tmp_path):
     (tmp_path / "a.xls").write_bytes(b"other")
     with pytest.raises(ValueError, match="signature"):
         artifacts.load(spark, str(tmp_path / "a.xls"))
+
+
+def test_written_report_has_all_rows_in_order(spark, tmp_path):
+    """More rows in a section than a page on the driver shows, in several files; the page of the driver is the same text, cut."""
+    df = spark.range(6000).select(F.col("id").alias("_rowid"), F.timestamp_seconds(6000 - F.col("id")).alias("ts"), F.lit("<x>").alias("note"), F.lit("").alias("empty"), (F.col("id") / 4).alias("size"))
+    marks, verdicts = df.select(F.col("_rowid").alias("rowid")), spark.createDataFrame([("b", "clean", 0.0), ("a", "malicious", 0.5), ("c", "odd", 0.9)], "ioc string, verdict string, score double")
+    tags = marks.where("rowid % 2 = 0").withColumn("tag", F.lit("even"))
+    sinks.write_report(str(tmp_path / "page"), df, marks, tags, "ts", verdicts=verdicts)
+    page = "".join(p.read_text() for p in sorted((tmp_path / "page").glob("part-*")))
+    assert "Bookmarked (6000)" in page and "even (3000)" in page and "<th>empty</th>" not in page
+    lines = page.splitlines()
+    rows = [x for x in lines if x.startswith("<tr><td>")]
+    assert len(rows) == 9003 and rows[0] == "<tr><td>5999</td><td>1970-01-01 00:00:01</td><td>&lt;x&gt;</td><td>1499.75</td></tr>"
+    assert [x[8] for x in rows[-3:]] == ["a", "b", "c"] and lines[0].startswith("<!DOCTYPE") and lines[-1] == "</body></html>"
+    assert "".join(lines) == sinks.report_html(df, marks, tags, "ts", limit=10_000, verdicts=verdicts)
+    assert "Bookmarked (first 5000 of 6000)" in sinks.report_html(df, marks, tags, "ts")

@@ -66,37 +66,56 @@ def export_xlsx(df: DataFrame, path: str, sheet_rows: int = SHEET_ROWS) -> int:
     return written
 
 
-def report_html(df: DataFrame, bookmarks: DataFrame, tags: DataFrame, ts_col: str, id_col: str = "_rowid", limit: int = 5000, verdicts: DataFrame | None = None) -> str:
-    """Totals, span, tag counts, the bookmarked rows and the rows of each tag, without columns that are empty there.
+def report_lines(df: DataFrame, bookmarks: DataFrame, tags: DataFrame, ts_col: str, id_col: str = "_rowid", limit: int | None = None, verdicts: DataFrame | None = None) -> DataFrame:
+    """(line) of a report, in order: totals, span, tag counts, the bookmarked rows and the rows of each tag, without columns that are empty there.
 
-    A section shows its first `limit` rows and says how many it has; all sections come from one join with the marks. verdicts: (ioc, verdict, score), the worst first.
+    A section shows its first `limit` rows (None: all) and says how many it has; all sections come from one join with the marks, and
+    their rows are sorted and written as text by tasks. verdicts: (ioc, verdict, score), the worst first.
     """
-    tags = tags.where("tag IS NOT NULL")
+    spark, tags = df.sparkSession, tags.where("tag IS NOT NULL")
     totals = df.agg(F.count(F.lit(1)).alias("n"), F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi")).first()
     counts = [(r["tag"], r["count"]) for r in tags.groupBy("tag").count().orderBy("tag").collect()]
     esc = lambda v: html.escape("" if v is None else str(v))
     # All sections from one join: a section is null for the bookmarks, else its tag.
     marks = bookmarks.select("rowid", F.lit(None).cast("string").alias("__tag")).unionByName(tags.select("rowid", F.col("tag").alias("__tag"))).distinct()
-    marked = df.join(marks.withColumnRenamed("rowid", id_col), id_col)
+    shown = marked = df.join(marks.withColumnRenamed("rowid", id_col), id_col)
+    if limit is not None:
+        place = F.row_number().over(Window.partitionBy("__tag").orderBy(ts_col, id_col))
+        shown = marked.withColumn("__place", place).where(F.col("__place") <= limit).drop("__place")
+    filled = [F.max(F.coalesce(F.col(f"`{c}`") != "" if t == "string" else F.col(f"`{c}`").isNotNull(), F.lit(False))) for c, t in df.dtypes]
     sizes = {r["__tag"]: r["n"] for r in marked.groupBy("__tag").agg(F.count(F.lit(1)).alias("n")).collect()}
-    place = F.row_number().over(Window.partitionBy("__tag").orderBy(ts_col, id_col))
-    first = marked.withColumn("__place", place).where(F.col("__place") <= limit).orderBy("__tag", "__place").collect()
-    by_tag = {tag: list(rows) for tag, rows in itertools.groupby(first, key=lambda r: r["__tag"])}
-
-    def section(title: str, tag: str | None) -> str:
-        rows, count = by_tag.get(tag, []), sizes.get(tag, 0)
-        names = [c for c in df.columns if any(r[c] not in (None, "") for r in rows)]
-        body = "".join("<tr>" + "".join(f"<td>{esc(r[c])}</td>" for c in names) + "</tr>" for r in rows)
-        shown = f"{count}" if count == len(rows) else f"first {len(rows)} of {count}"
-        return f"<h2>{esc(title)} ({shown})</h2><table><tr>{''.join(f'<th>{esc(c)}</th>' for c in names)}</tr>{body}</table>"
-
-    parts = [f"<p>{totals['n']} rows, {bookmarks.count()} bookmarked, {esc(totals['lo'])} to {esc(totals['hi'])}</p>", "<ul>" + "".join(f"<li>{esc(t)}: {n}</li>" for t, n in counts) + "</ul>", section("Bookmarked", None)]
-    parts += [section(t, t) for t, _ in counts]
+    used = {r[0]: (r[1], [c for c, some in zip(df.columns, r[2:], strict=True) if some]) for r in shown.groupBy("__tag").agg(F.count(F.lit(1)), *filled).collect()}
+    fixed = [(0, 0, "<!DOCTYPE html><html><head><meta charset='utf-8'><title>Timeline report</title></head><body>"), (0, 1, f"<p>{totals['n']} rows, {bookmarks.count()} bookmarked, {esc(totals['lo'])} to {esc(totals['hi'])}</p>"), (0, 2, "<ul>" + "".join(f"<li>{esc(t)}: {n}</li>" for t, n in counts) + "</ul>")]
+    sections = [("Bookmarked", None), *((t, t) for t, _ in counts)]
+    for k, (title, tag) in enumerate(sections, 1):
+        (rows, names), count = used.get(tag, (0, [])), sizes.get(tag, 0)
+        said = f"{count}" if count == rows else f"first {rows} of {count}"
+        fixed += [(k, 0, f"<h2>{esc(title)} ({said})</h2><table><tr>{''.join(f'<th>{esc(c)}</th>' for c in names)}</tr>"), (k, 2, "</table>")]
+    last = len(sections) + 1
+    if verdicts is not None:
+        fixed += [(last, 0, "<h2>Verdicts</h2><table><tr><th>Indicator</th><th>Verdict</th><th>Score</th></tr>"), (last, 2, "</table>")]
+    fixed.append((last, 3, "</body></html>"))
+    cells = F.udf(lambda row, names: "<tr>" + "".join(f"<td>{esc(row[c])}</td>" for c in names) + "</tr>", "string")
+    numbers = spark.createDataFrame([(k, tag, used.get(tag, (0, []))[1]) for k, (_, tag) in enumerate(sections, 1)], "section int, tag string, names array<string>")
+    body = shown.join(numbers, F.col("__tag").eqNullSafe(F.col("tag"))).select("section", F.lit(1).alias("part"), F.struct(ts_col, id_col).alias("at"), cells(F.struct(*[F.col(f"`{c}`") for c in df.columns]), "names").alias("line"))
+    lines = spark.createDataFrame(fixed, "section int, part int, line string").unionByName(body, allowMissingColumns=True)
     if verdicts is not None:
         rank = F.expr("array_position(array('malicious', 'suspicious', 'clean'), verdict)")
-        listed = verdicts.orderBy(F.when(rank == 0, 4).otherwise(rank), F.desc("score"), "ioc").limit(limit).collect()
-        parts.append("<h2>Verdicts</h2><table><tr><th>Indicator</th><th>Verdict</th><th>Score</th></tr>" + "".join(f"<tr><td>{esc(r['ioc'])}</td><td>{esc(r['verdict'])}</td><td>{esc(r['score'])}</td></tr>" for r in listed) + "</table>")
-    return "<!DOCTYPE html><html><head><meta charset='utf-8'><title>Timeline report</title></head><body>" + "".join(parts) + "</body></html>"
+        worst = verdicts.select(F.struct(F.when(rank == 0, 4).otherwise(rank).alias("rank"), F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("less"), "ioc").alias("worst"), "ioc", "verdict", "score")
+        listed = worst if limit is None else worst.orderBy("worst").limit(limit)
+        lines = lines.unionByName(listed.select(F.lit(last).alias("section"), F.lit(1).alias("part"), "worst", cells(F.struct("ioc", "verdict", "score"), F.array(F.lit("ioc"), F.lit("verdict"), F.lit("score"))).alias("line")), allowMissingColumns=True)
+        return lines.orderBy("section", "part", "at", "worst").select("line")
+    return lines.orderBy("section", "part", "at").select("line")
+
+
+def report_html(df: DataFrame, bookmarks: DataFrame, tags: DataFrame, ts_col: str, id_col: str = "_rowid", limit: int = 5000, verdicts: DataFrame | None = None) -> str:
+    """The report as one text, for pages that fit the driver; see report_lines()."""
+    return "".join(r["line"] for r in report_lines(df, bookmarks, tags, ts_col, id_col, limit, verdicts).collect())
+
+
+def write_report(path: str, df: DataFrame, bookmarks: DataFrame, tags: DataFrame, ts_col: str, id_col: str = "_rowid", limit: int | None = None, verdicts: DataFrame | None = None) -> None:
+    """The report as text files in a folder, whose texts in the order of their names are the page; all rows, unless there is a limit."""
+    report_lines(df, bookmarks, tags, ts_col, id_col, limit, verdicts).write.text(path)
 
 
 def report_pdf(page: str, path: str, width: int = 100, lines_a_page: int = 60) -> int:
