@@ -365,3 +365,11 @@ def test_depths_without_lists(spark, monkeypatch, cyclic):
     monkeypatch.setattr(process, "materialize", lambda df, name, to=process.materialize: widths.append("array" in str(dict(df.dtypes))) or to(df, name))
     assert shown(process.depths(table)) == want and len(want) == len(edges) and any(widths) == cyclic and len(widths) > 5
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_file_table_parses_its_records_once(spark):
+    """The table's plan reads parsed records; names, paths and rows don't each parse the raw ones again."""
+    from traceloom.plans.registry import QUERIES
+
+    shown = plan(QUERIES["file_table"](spark, DATA))
+    assert "MapInPandas" not in shown and "file-records" in shown

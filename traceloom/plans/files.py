@@ -10,6 +10,7 @@ from ..operators import annotate
 from ..operators.filters import QuerySpec, col
 from ..operators.ntfs import parent_paths
 from ..sources import artifacts, delimited, layouts, sinks
+from ..storage import materialize
 from ..streaming.windows import stream_histogram
 from . import fixtures
 from .detections import cases, cases_sql, values
@@ -174,7 +175,7 @@ def _raw_files(spark, d):
     parent = F.when((key < 10) | (key % 10 == 0), F.lit(5)).otherwise(F.floor(key / 10) * 10 + 100)
     name = F.concat(F.substring("p_name", 1, 40), F.lit("."), F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "")))
     rows = read(spark, d, "part").select((key + 100).alias("entry"), parent.cast("long").alias("parent"), name.alias("name"), (key * 10_000_000 + _TICKS + key % 2).alias("created"), (key % 10 == 0).alias("is_dir"), F.concat(F.lit("hello "), key.cast("string")).alias("content"))
-    return fixtures.file_records(rows)
+    return fixtures.file_records(rows.repartition("entry"))  # the table is small for its rows, so it comes as one or two tasks
 
 
 _NAMED = "n AS (SELECT p_partkey AS k, substring(p_name, 1, 40) || '.' || lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS name FROM part)"
@@ -184,7 +185,8 @@ _NAMED = "n AS (SELECT p_partkey AS k, substring(p_name, 1, 40) || '.' || lower(
 CASE WHEN n.k % 10 = 0 THEN 'True' ELSE 'False' END AS "IsDirectory", 'True' AS "SI<FN", CASE WHEN n.k % 2 = 0 THEN 'True' ELSE 'False' END AS "uSecZeros", 'False' AS "Copied", 'Archive' AS "SiFlags",
 strftime(to_timestamp(1705329000 + n.k)::TIMESTAMP, '%Y-%m-%d %H:%M:%S.') || '000000' || (n.k % 2) AS "Created0x10", length('hello ' || n.k)::VARCHAR AS "FileSize" FROM n LEFT JOIN n f ON f.k = n.k // 10 * 10""")
 def file_table(spark, d):
-    mft = artifacts.merge_extension_names(artifacts.parse_mft(_raw_files(spark, d)))
+    parsed = materialize(artifacts.parse_mft(_raw_files(spark, d)), "file-records")  # read by names, paths and the table
+    mft = artifacts.merge_extension_names(parsed)
     table = artifacts.mft_table(mft, parent_paths(mft.select("entry", "parent", "name")))
     return table.select("EntryNumber", "FileName", "ParentPath", "Extension", "IsDirectory", "SI<FN", "uSecZeros", "Copied", "SiFlags", "Created0x10", "FileSize")
 
