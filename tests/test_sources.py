@@ -280,3 +280,17 @@ def test_written_report_has_all_rows_in_order(spark, tmp_path):
     assert [x[8] for x in rows[-3:]] == ["a", "b", "c"] and lines[0].startswith("<!DOCTYPE") and lines[-1] == "</body></html>"
     assert "".join(lines) == sinks.report_html(df, marks, tags, "ts", limit=10_000, verdicts=verdicts)
     assert "Bookmarked (first 5000 of 6000)" in sinks.report_html(df, marks, tags, "ts")
+
+
+def test_journals_are_written_in_pieces(spark, tmp_path, monkeypatch):
+    """Two journals of several pieces each, the same bytes as of journals made whole, and no task makes a whole one."""
+    rows = spark.range(3000).select((F.col("id") % 2).alias("journal"), (F.col("id") * 8).alias("usn"), "id", (F.col("id") + 10**17).alias("ticks"), F.lit(256).cast("long").alias("bits"), F.concat(F.lit("f\u00e9"), F.col("id").cast("string")).alias("name")).withColumnRenamed("id", "entry")
+    want = {bytes(r["content"]) for r in fixtures.journals(rows).collect()}
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    monkeypatch.setattr(fixtures, "journals", lambda rows: pytest.fail("a whole journal in one group"))
+    try:
+        fixtures.write_journals(rows.repartition(7), str(tmp_path / "j"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert {p.read_bytes() for p in (tmp_path / "j").iterdir()} == want and sorted(p.name for p in (tmp_path / "j").iterdir()) == ["0.usn", "1.usn"]
