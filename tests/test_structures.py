@@ -373,3 +373,15 @@ def test_file_table_parses_its_records_once(spark):
 
     shown = plan(QUERIES["file_table"](spark, DATA))
     assert "MapInPandas" not in shown and "file-records" in shown
+
+
+def test_long_needles_have_long_anchors(spark):
+    """Needles of all lengths at all places, with repeats and wide letters, each (text, needle) once; long needles meet few other texts."""
+    draw = random.Random(9)
+    texts = ["".join(draw.choice("abé1 ") for _ in range(draw.randrange(60))) for _ in range(150)] + ["aaaaaaaaaaaa", "xaaaaaaaaaaaaa", "\U0001f600" * 3 + "abcabcabc"]
+    needles = sorted({t[k : k + n] for t in texts[::3] + texts[-3:] for n in (1, 3, 4, 5, 6, 7, 9) for k in (0, 1, 2, 5) if t[k : k + n]} | {"zzzzzzz"})
+    rows, table = spark.createDataFrame(list(enumerate(texts)), "k int, t string"), spark.createDataFrame([(n,) for n in needles], "n string")
+    got = grams.containing(rows, "t", table, "n")
+    assert sorted((r["k"], r["n"]) for r in got.select("k", "n").collect()) == sorted((k, n) for k, t in enumerate(texts) for n in needles if n in t)
+    only = grams.containing(rows, "t", table.where("length(n) >= 6"), "n")
+    assert ".{6}" in plan(only) and ".{4}" not in plan(only) and sorted(got.columns) == ["k", "n", "t"] == sorted(only.columns)

@@ -1,7 +1,7 @@
 """Which texts hold which of many needles, as a join on grams: no automaton, no list of needles on the driver.
 
 Every needle has one anchor, the gram of `size` characters in it with the fewest letters (needles that are shorter are
-their own anchor). Texts are cut into their distinct grams of those sizes, joined with the anchors, and what meets is
+their own anchor); needles of LONG characters have one of that size, since short grams of words stand in most texts. Texts are cut into their distinct grams of those sizes, joined with the anchors, and what meets is
 verified by `contains`. The number of needles is that of rows of a table, which Spark broadcasts or shuffles by its size.
 """
 
@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+LONG = 6
+
+
 def grams_of(text: Column, size: int) -> Column:
     """All grams of a text, in order."""
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))
 
 
 def anchored(needles: DataFrame, name: str, size: int = 4) -> DataFrame:
@@ -27,8 +30,8 @@ def anchored(needles: DataFrame, name: str, size: int = 4) -> DataFrame:
 
 def containing(texts: DataFrame, text: str, needles: DataFrame, name: str, size: int = 4) -> DataFrame:
     """Rows of texts with each needle (columns of both) that stands in their text, as it is written."""
-    ready = anchored(needles, name, size)
-    sizes = sorted(r["__size"] for r in ready.select("__size").distinct().collect())  # at most `size` numbers
+    ready = anchored(needles.where(F.length(name) < LONG), name, size).unionByName(anchored(needles.where(F.length(name) >= LONG), name, max(size, LONG)))
+    sizes = sorted(r["__size"] for r in ready.select("__size").distinct().collect())  # size + 1 numbers at most
     parts = []
     for s in sizes:
         cut = texts.withColumn("__gram", F.explode(F.array_distinct(grams_of(F.col(text), s))))
